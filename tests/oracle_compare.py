@@ -24,7 +24,9 @@ def _norm(v):
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None
+        if v.is_integer():
+            return int(v)
         return round(v, 6)
     if hasattr(v, "tolist"):
         return _norm(v.tolist())

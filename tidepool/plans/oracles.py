@@ -31,17 +31,17 @@ _STRICT_SESSIONS = f"""
             lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pt
      FROM events),
    b AS (
-     SELECT *, sum(CASE WHEN pt IS NULL OR epoch_us(ts) - epoch_us(pt) >= {_SIX_H_US}
+      SELECT *, CAST(sum(CASE WHEN pt IS NULL OR epoch_us(ts) - epoch_us(pt) >= {_SIX_H_US}
                         THEN 1 ELSE 0 END)
                OVER (PARTITION BY user_id ORDER BY ts, event_id
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_seq
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_seq
      FROM o)
    SELECT user_id, session_seq,
           epoch_us(min(ts)) AS session_start_us,
           epoch_us(max(ts)) + {_SIX_H_US} AS session_end_us,
           epoch_us(max(ts)) + {_SIX_H_US} AS event_time_us,
           count(*) AS n_events,
-          sum(CAST(round(value * 100) AS BIGINT)) AS value_cents
+          CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
    FROM b GROUP BY user_id, session_seq)
 """
 
@@ -56,15 +56,53 @@ _DOC_WORDS = f"""
    FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
 """
 
+
+_SYNC_BRANCHES = """
+        WITH c AS (SELECT user_id AS key, CAST(floor(value) AS BIGINT) AS v,
+                          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS occ
+                   FROM events WHERE event_type = 'click'),
+             v AS (SELECT user_id AS key, CAST(event_id AS VARCHAR) AS v,
+                          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS occ
+                   FROM events WHERE event_type = 'view'),
+             p AS (SELECT user_id AS key, CAST(round(value * 100) AS BIGINT) AS v,
+                          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS occ
+                   FROM events WHERE event_type = 'purchase')"""
+
+_PATHS = " || '|' || ".join(
+    "'/beam/graph-' || CAST(li.l_orderkey AS VARCHAR) || '/job-' || CAST(li.jobid AS VARCHAR)"
+    f" || '_output-{i}.task-' || CAST(li.l_linenumber AS VARCHAR) || '.ext'" for i in range(2))
+
+_ARRIVAL = ("l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
+            "l_discount, l_tax, l_returnflag")
+
+
+def _fired(keys: str, expected: str, join: str, select_keys: str) -> str:
+    """Completion in SQL: payloads numbered per key in arrival order, cut
+    into groups of the declared size; complete groups fire."""
+    return f"""
+        WITH li AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS jobid FROM lineitem),
+        dj AS (SELECT l_orderkey, jobid, max(l_linenumber) AS nt FROM li GROUP BY 1, 2),
+        dg AS (SELECT l_orderkey, sum(nt) AS expected FROM dj GROUP BY 1),
+        p AS (SELECT li.l_orderkey, li.jobid, {expected} AS expected, {_PATHS} AS paths,
+                     row_number() OVER (PARTITION BY {", ".join("li." + k.strip() for k in keys.split(","))}
+                                        ORDER BY {", ".join("li." + c.strip() for c in _ARRIVAL.split(","))}) AS rn
+              FROM li JOIN {join}),
+        g AS (SELECT {keys}, (rn - 1) // expected + 1 AS fire, count(*) AS n,
+                     max(expected) AS expected, string_agg(paths, '|' ORDER BY rn) AS outputs_text
+              FROM p GROUP BY {keys}, fire)
+        SELECT {select_keys}, fire, n AS n_payloads, CAST(2 * n AS BIGINT) AS n_outputs, outputs_text
+        FROM g WHERE n = expected"""
+
+
 ORACLES: dict[str, str] = {
     "user_scores_sorted": f"""
         SELECT "user", score, count(*) AS n FROM {_ACCEPTED} a GROUP BY "user", score""",
     "team_scores_sorted": f"""
         SELECT team, score, count(*) AS n FROM {_ACCEPTED} a GROUP BY team, score""",
     "user_total_score": f"""
-        SELECT "user", sum(score) AS total_score FROM {_ACCEPTED} a GROUP BY "user" """,
+        SELECT "user", CAST(sum(score) AS BIGINT) AS total_score FROM {_ACCEPTED} a GROUP BY "user" """,
     "team_total_score": f"""
-        SELECT team, sum(score) AS total_score FROM {_ACCEPTED} a GROUP BY team""",
+        SELECT team, CAST(sum(score) AS BIGINT) AS total_score FROM {_ACCEPTED} a GROUP BY team""",
     "score_text": f"""
         SELECT "user", 'user: ' || "user" || ', total_score: ' || CAST(sum(score) AS VARCHAR) AS text
         FROM {_ACCEPTED} a GROUP BY "user" """,
@@ -86,8 +124,8 @@ ORACLES: dict[str, str] = {
         FROM {_GAME} g WHERE d IN (0, 1, 2, 3, 4) GROUP BY 1""",
     "sessions_strict": f"SELECT * FROM {_STRICT_SESSIONS} s",
     "sessions_to_global": f"""
-        SELECT user_id, count(*) AS n_sessions, sum(n_events) AS n_events,
-               max(n_events) AS longest_session, sum(value_cents) AS value_cents
+        SELECT user_id, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events,
+               max(n_events) AS longest_session, CAST(sum(value_cents) AS BIGINT) AS value_cents
         FROM {_STRICT_SESSIONS} s GROUP BY user_id""",
     "sessions_with_final": f"""
         WITH o AS (
@@ -96,11 +134,11 @@ ORACLES: dict[str, str] = {
           FROM events
           WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type = 'purchase', event_id)),
         b AS (
-          SELECT *, sum(CASE WHEN pt IS NULL OR pf
+          SELECT *, CAST(sum(CASE WHEN pt IS NULL OR pf
                                OR epoch_us(ts) - epoch_us(pt) >= {_SIX_H_US}
                              THEN 1 ELSE 0 END)
                     OVER (PARTITION BY user_id ORDER BY ts, fin, event_id
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_seq
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_seq
           FROM o)
         SELECT user_id, session_seq, epoch_us(min(ts)) AS session_start_us,
                CASE WHEN bool_or(fin) THEN epoch_us(max(ts))
@@ -114,4 +152,118 @@ ORACLES: dict[str, str] = {
     "first_word_more": f"""
         SELECT words[1] AS word, len(words) = 1 AS more, count(*) AS n
         FROM {_DOC_WORDS} w WHERE len(words) > 0 GROUP BY 1, 2""",
+    "sync_occurrence": f"""
+        {_SYNC_BRANCHES}
+        SELECT c.key AS key, c.occ AS occurrence, c.v AS value_0, v.v AS value_1,
+               p.v AS value_2_cents
+        FROM c JOIN v ON c.key = v.key AND c.occ = v.occ
+               JOIN p ON c.key = p.key AND c.occ = p.occ""",
+    "sync_longest": f"""
+        {_SYNC_BRANCHES}
+        SELECT coalesce(c.key, v.key, p.key) AS key, coalesce(c.occ, v.occ, p.occ) AS occurrence,
+               CAST(c.v AS VARCHAR) AS value_0, v.v AS value_1, CAST(p.v AS VARCHAR) AS value_2_cents
+        FROM c FULL JOIN v ON c.key = v.key AND c.occ = v.occ
+               FULL JOIN p ON p.key = coalesce(c.key, v.key) AND p.occ = coalesce(c.occ, v.occ)""",
+    "sync_arrival": """
+        WITH u AS (
+          SELECT user_id AS key, ts, event_id,
+                 CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS src,
+                 CASE event_type
+                   WHEN 'click' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+                   WHEN 'view' THEN CAST(event_id AS VARCHAR)
+                   ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS vt
+          FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+        n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id, src) AS rn FROM u),
+        g AS (SELECT key, (rn - 1) // 3 + 1 AS "group", count(*) AS n,
+                     string_agg(CAST(src AS VARCHAR), ',' ORDER BY rn) AS srcs,
+                     string_agg(vt, ',' ORDER BY rn) AS values_text
+              FROM n GROUP BY 1, 2)
+        SELECT key, "group", srcs, values_text FROM g WHERE n = 3""",
+    "flatten_union": """
+        SELECT event_id, event_type FROM events WHERE value < 100
+        UNION ALL
+        SELECT event_id, event_type FROM events WHERE event_type = 'view'""",
+    "job_output_task": """
+        SELECT CAST(l_orderkey AS INTEGER) AS graphid,
+               CAST(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS INTEGER) AS jobid,
+               count(*) AS n_tasks, CAST(2 * count(*) AS BIGINT) AS n_outputs
+        FROM lineitem GROUP BY 1, 2""",
+    "job_output_job": _fired("l_orderkey, jobid", "dj.nt",
+                             "dj ON li.l_orderkey = dj.l_orderkey AND li.jobid = dj.jobid",
+                             "CAST(l_orderkey AS INTEGER) AS graphid, CAST(jobid AS INTEGER) AS jobid"),
+    "job_output_graph": _fired("l_orderkey", "dg.expected", "dg ON li.l_orderkey = dg.l_orderkey",
+                               "CAST(l_orderkey AS INTEGER) AS graphid"),
+    "job_output_all_levels": f"""
+        SELECT 'taskid' AS level, count(*) AS n_rows, CAST(2 * count(*) AS BIGINT) AS n_outputs
+        FROM lineitem
+        UNION ALL
+        SELECT 'jobid', count(*), CAST(sum(n_outputs) AS BIGINT) FROM ({_fired("l_orderkey, jobid", "dj.nt",
+                             "dj ON li.l_orderkey = dj.l_orderkey AND li.jobid = dj.jobid",
+                             "l_orderkey, jobid")}) a
+        UNION ALL
+        SELECT 'graphid', count(*), CAST(sum(n_outputs) AS BIGINT) FROM ({_fired("l_orderkey", "dg.expected",
+                             "dg ON li.l_orderkey = dg.l_orderkey", "l_orderkey")}) b""",
+    "filter_attributes": """
+        SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
+        FROM events WHERE event_type = 'purchase'""",
+    "filter_attributes_list": """
+        SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
+        FROM events WHERE event_type = 'view'""",
+    "filter_attributes_chars": """
+        SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
+        FROM events WHERE list_has_all(string_split(event_type, ''), ['k', 'c', 'i', 'l'])""",
+    "decode_all_messages": """
+        SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
+    "split_threshold": """
+        SELECT event_id, CASE WHEN value < 50.0 THEN 'lower' ELSE 'upper' END AS route
+        FROM events""",
+    "dead_letter": """
+        SELECT event_id, 'ValueError' AS error_class, 'error events are not accepted' AS message
+        FROM events WHERE event_type = 'error'""",
+    "dead_letter_main": """
+        SELECT event_id, event_type = 'error' AS failed FROM events""",
+    "fail_on_value": "SELECT event_id, value FROM events",
+    "row_budget_guard": "SELECT event_id, user_id FROM events",
+    "tap_events": "SELECT event_id, event_type FROM events",
+    "split_tokens": f"""
+        SELECT token, count(*) AS n FROM (
+          SELECT unnest(list_filter(string_split_regex(
+              regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+'),
+              lambda x: x <> '')) AS token FROM documents) t
+        GROUP BY token""",
+    "value_range": """
+        SELECT event_id, greatest(CAST(floor(value) AS BIGINT), 0) AS range_size,
+               CASE WHEN floor(value) > 0
+                    THEN CAST(floor(value) AS BIGINT) * (CAST(floor(value) AS BIGINT) - 1) // 2
+                    ELSE 0 END AS range_sum
+        FROM events""",
+    "multiply": "SELECT event_id, event_id * 3 AS tripled FROM events",
+    "path_join": """
+        SELECT event_id, list_reduce(
+            ['/beam', 'user-' || CAST(user_id AS VARCHAR),
+             CASE WHEN event_type = 'error' THEN '/errors' ELSE event_type END,
+             CAST(event_id AS VARCHAR) || '.ext'],
+            lambda acc, x: CASE WHEN starts_with(x, '/') THEN x
+                                WHEN acc = '' OR ends_with(acc, '/') THEN acc || x
+                                ELSE acc || '/' || x END) AS path
+        FROM events""",
+    "cast_branches": r"""
+        SELECT event_id,
+               CASE WHEN regexp_full_match(k_text, '\s*[+-]?[0-9]+\s*')
+                    THEN TRY_CAST(k_text AS BIGINT) END AS as_int,
+               k_text AS as_str,
+               CAST(round(TRY_CAST(k_text AS DOUBLE) * 100) AS BIGINT) AS as_float_cents
+        FROM (SELECT event_id, regexp_extract(props, ':\s*(-?\d+)', 1) AS k_text FROM events) e""",
+    "encode_decode": """
+        SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS roundtrip
+        FROM documents""",
+    "word_count_text": f"""
+        SELECT words[1] AS word, words[1] || ': ' || CAST(count(*) AS VARCHAR) AS text
+        FROM {_DOC_WORDS} w WHERE len(words) > 0 GROUP BY 1""",
+    "timestamp_text": """
+        SELECT event_id,
+               CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+                    ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS text,
+               false AS is_end
+        FROM events""",
 }

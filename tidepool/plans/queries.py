@@ -14,7 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.parse import first_word_more, game_event_rejects, parse_game_event
-from tidepool.functions.scalar import format_score
+from tidepool.functions.scalar import (as_float, as_int, as_str, decode_utf8, encode_bytes,
+                                       format_pair, format_score, multiply, path_join,
+                                       split_tokens, timestamp_text, value_range,
+                                       with_event_time)
+from tidepool.operators.align import flatten, sync
+from tidepool.operators.completion import job_output, job_output_all_levels
+from tidepool.operators.route import (dead_letter, errors, fail_on_value, filter_by_attributes,
+                                      row_budget_guard, split_threshold, tap)
 from tidepool.operators.scores import scores_by_field, total_score, user_score
 from tidepool.operators.sessions import (fixed_windows, session_windows,
                                          sessions_with_final, to_global_window)
@@ -140,3 +147,229 @@ def q_first_word_more(spark, sf):
     lines = I.document_lines(I.table(spark, sf, "documents"))
     return (first_word_more(lines, "line")
             .groupBy("word", "more").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- alignment --------------------------------------------------------------
+
+def _branches(spark, sf):
+    return I.keyed_branches(_events(spark, sf))
+
+
+def _occurrence_view(df):
+    return df.select("key", "occurrence", "value_0", "value_1",
+                     F.round(F.col("value_2") * 100).cast("bigint").alias("value_2_cents"))
+
+
+@register("sync_occurrence")
+def q_sync_occurrence(spark, sf):
+    """n-th click, view and purchase of each user as one row."""
+    return _occurrence_view(sync(_branches(spark, sf), match="occurrence"))
+
+
+@register("sync_longest")
+def q_sync_longest(spark, sf):
+    """Like sync_occurrence, incomplete rows kept (absent values NULL; the
+    numbers are rendered as text so NULLs survive the value hash)."""
+    o = _occurrence_view(sync(_branches(spark, sf), match="occurrence", mode="longest"))
+    return o.select("key", "occurrence", F.col("value_0").cast("string").alias("value_0"),
+                    "value_1", F.col("value_2_cents").cast("string").alias("value_2_cents"))
+
+
+@register("sync_arrival")
+def q_sync_arrival(spark, sf):
+    """Every three consecutive arrivals of a user as one row."""
+    s = sync(_branches(spark, sf), match="arrival")
+    text = F.transform("items", lambda x: F.coalesce(
+        x["value_0"].cast("string"), x["value_1"],
+        F.round(x["value_2"] * 100).cast("bigint").cast("string")))
+    return s.select("key", "group",
+                    F.array_join(F.transform("items", lambda x: x["src"].cast("string")), ",")
+                     .alias("srcs"),
+                    F.array_join(text, ",").alias("values_text"))
+
+
+@register("flatten_union")
+def q_flatten_union(spark, sf):
+    e = _events(spark, sf).select("event_id", "event_type", "value")
+    return flatten(e.where(F.col("value") < 100), e.where(F.col("event_type") == "view")) \
+        .select("event_id", "event_type")
+
+
+# --- completion -------------------------------------------------------------
+
+def _payloads(spark, sf):
+    return I.payloads_from_lineitem(I.table(spark, sf, "lineitem"))
+
+
+def _fired_view(df, keys):
+    return df.select(*keys, "fire", "n_payloads",
+                     F.size("outputs").cast("bigint").alias("n_outputs"),
+                     F.array_join("outputs", "|").alias("outputs_text"))
+
+
+@register("job_output_task")
+def q_job_output_task(spark, sf):
+    o = job_output(_payloads(spark, sf), "taskid")
+    return o.groupBy("graphid", "jobid").agg(
+        F.count(F.lit(1)).alias("n_tasks"),
+        F.sum(F.size("outputs")).cast("bigint").alias("n_outputs"))
+
+
+@register("job_output_job")
+def q_job_output_job(spark, sf):
+    o = job_output(_payloads(spark, sf), "jobid", arrival=I.PAYLOAD_ARRIVAL)
+    return _fired_view(o, ["graphid", "jobid"])
+
+
+@register("job_output_graph")
+def q_job_output_graph(spark, sf):
+    o = job_output(_payloads(spark, sf), "graphid", arrival=I.PAYLOAD_ARRIVAL)
+    return _fired_view(o, ["graphid"])
+
+
+@register("job_output_all_levels")
+def q_job_output_all_levels(spark, sf):
+    o = job_output_all_levels(_payloads(spark, sf), arrival=I.PAYLOAD_ARRIVAL)
+    return o.groupBy("level").agg(F.count(F.lit(1)).alias("n_rows"),
+                                  F.sum(F.size("outputs")).cast("bigint").alias("n_outputs"))
+
+
+# --- filters, routes, guards ------------------------------------------------
+
+_PROPS = "k INT"
+
+
+def _messages(spark, sf):
+    return I.messages_from_events(_events(spark, sf))
+
+
+def _decoded_view(df):
+    return df.select(F.col("attributes")["id"].cast("bigint").alias("event_id"),
+                     F.col("payload.k").alias("k"))
+
+
+@register("filter_attributes")
+def q_filter_attributes(spark, sf):
+    return _decoded_view(filter_by_attributes(
+        _messages(spark, sf), {"event_type": "purchase"}, schema=_PROPS))
+
+
+@register("filter_attributes_list")
+def q_filter_attributes_list(spark, sf):
+    return _decoded_view(filter_by_attributes(
+        _messages(spark, sf), {"event_type": ["view"], "timestamp": []}, schema=_PROPS))
+
+
+@register("filter_attributes_chars")
+def q_filter_attributes_chars(spark, sf):
+    return _decoded_view(filter_by_attributes(
+        _messages(spark, sf), {"event_type": "kcil"}, schema=_PROPS, match="chars"))
+
+
+@register("decode_all_messages")
+def q_decode_all_messages(spark, sf):
+    return _decoded_view(filter_by_attributes(_messages(spark, sf), None, schema=_PROPS))
+
+
+@register("split_threshold")
+def q_split_threshold(spark, sf):
+    return split_threshold(_events(spark, sf), "value", 50.0).select("event_id", "route")
+
+
+def _reject_error_events(event_type):
+    if event_type == "error":
+        raise ValueError("error events are not accepted")
+
+
+@register("dead_letter")
+def q_dead_letter(spark, sf):
+    """Failing calls (retried, then dead-lettered) with their errors."""
+    d = dead_letter(_events(spark, sf), _reject_error_events, ["event_type"],
+                    initial_delay=0.0)
+    return errors(d).select("event_id", "error.error_class", "error.message")
+
+
+@register("dead_letter_main")
+def q_dead_letter_main(spark, sf):
+    d = dead_letter(_events(spark, sf), _reject_error_events, ["event_type"],
+                    initial_delay=0.0, keep_failed=True)
+    return d.select("event_id", F.col("error").isNotNull().alias("failed"))
+
+
+@register("fail_on_value")
+def q_fail_on_value(spark, sf):
+    e = _events(spark, sf)
+    return fail_on_value(e, F.col("value") < 0, "negative value").select("event_id", "value")
+
+
+@register("row_budget_guard")
+def q_row_budget_guard(spark, sf):
+    e = _events(spark, sf)
+    return row_budget_guard(e, 1_000_000_000, ["user_id"]).select("event_id", "user_id")
+
+
+@register("tap_events")
+def q_tap_events(spark, sf):
+    return tap(_events(spark, sf), "events").select("event_id", "event_type")
+
+
+# --- projections ------------------------------------------------------------
+
+@register("split_tokens")
+def q_split_tokens(spark, sf):
+    d = I.table(spark, sf, "documents").select("text")
+    return split_tokens(d, "text").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("value_range")
+def q_value_range(spark, sf):
+    r = value_range(F.floor("value"))
+    return _events(spark, sf).select(
+        "event_id", F.size(r).cast("bigint").alias("range_size"),
+        F.aggregate(r, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("range_sum"))
+
+
+@register("multiply")
+def q_multiply(spark, sf):
+    e = _events(spark, sf)
+    return e.select("event_id", multiply(encode_bytes(F.col("event_id")), 3).alias("tripled"))
+
+
+@register("path_join")
+def q_path_join(spark, sf):
+    e = _events(spark, sf)
+    parts = F.array(F.lit("/beam"), F.concat(F.lit("user-"), F.col("user_id").cast("string")),
+                    F.when(F.col("event_type") == "error", F.lit("/errors"))
+                     .otherwise(F.col("event_type")),
+                    F.concat(F.col("event_id").cast("string"), F.lit(".ext")))
+    return e.select("event_id", path_join(parts).alias("path"))
+
+
+@register("cast_branches")
+def q_cast_branches(spark, sf):
+    e = _events(spark, sf).select("event_id", F.col("props"),
+                                  F.regexp_extract("props", r":\s*(-?\d+)", 1).alias("k_text"))
+    return e.select("event_id", as_int("k_text").alias("as_int"),
+                    as_str("k_text").alias("as_str"),
+                    F.round(as_float("k_text") * 100).cast("bigint").alias("as_float_cents"))
+
+
+@register("encode_decode")
+def q_encode_decode(spark, sf):
+    d = I.table(spark, sf, "documents").select("doc_id", "text")
+    b = encode_bytes(F.col("text"))
+    return d.select("doc_id", F.octet_length(b).cast("bigint").alias("n_bytes"),
+                    (decode_utf8(b, strict=True) == F.col("text")).alias("roundtrip"))
+
+
+@register("word_count_text")
+def q_word_count_text(spark, sf):
+    lines = I.document_lines(I.table(spark, sf, "documents"))
+    c = first_word_more(lines, "line").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("word", format_pair(F.col("word"), F.col("n")).alias("text"))
+
+
+@register("timestamp_text")
+def q_timestamp_text(spark, sf):
+    e = with_event_time(_events(spark, sf), "ts")
+    return e.select("event_id", timestamp_text(F.col("ts")).alias("text"), "is_end")
