@@ -16,6 +16,9 @@ def spark():
         "spark.ui.showConsoleProgress": "false",
         # small Arrow batches so the ordered scan's carry across batches is exercised
         "spark.sql.execution.arrow.maxRecordsPerBatch": "5",
+        # keys with more than 2 rows count as hot: fixtures run the
+        # range-partitioned scan, single-row keys the window path
+        "tidepool.hotKeyRows": "2",
     })
     checkpoint_root(s, fallback=tempfile.mkdtemp(prefix="tidepool-ckpt-"))
     yield s

@@ -101,9 +101,10 @@ if __name__ == "__main__":
     from tidepool.session import build_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or None
-    spark = build_session("local[8]", shuffle_partitions=8,
-                          extra={"spark.driver.memory": "8g",
-                                 "spark.ui.showConsoleProgress": "false"})
+    extra = {"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
+    if os.environ.get("HOT_KEY_ROWS"):  # e.g. 0 forces the range-partitioned scan
+        extra["tidepool.hotKeyRows"] = os.environ["HOT_KEY_ROWS"]
+    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     res = compare(spark, sf, names)
     bad = [k for k, v in res.items() if not (v == "ok" or v.startswith("rows-only"))]
     print(f"{len(res) - len(bad)}/{len(res)} passed; failing: {bad}")

@@ -82,8 +82,8 @@ def test_gap_plus_minus_one_microsecond(spark):
     assert sorted(r["n_events"] for r in s.collect()) == [1, 2]
 
 
-@pytest.mark.parametrize("parts", [1, 3, 11])
-def test_ordered_scan_matches_window_functions(spark, parts):
+@pytest.mark.parametrize("parts,hot", [(1, 0), (3, 0), (11, 0), (4, 10**9), (4, 300)])
+def test_ordered_scan_matches_window_functions(spark, parts, hot):
     rnd = random.Random(7)
     rows = []
     for i in range(1500):
@@ -91,10 +91,11 @@ def test_ordered_scan_matches_window_functions(spark, parts):
         rows.append((i, k, rnd.randint(0, 8000), rnd.random() < 0.05))
     df = (spark.createDataFrame(rows, "id long, k long, t long, fin boolean")
                .withColumn("ts", F.timestamp_seconds("t")))
-    a = number_rows(df, ["k"], ["t", "id"], out="rn", partitions=parts)
+    a = number_rows(df, ["k"], ["t", "id"], out="rn", partitions=parts, hot_key_rows=hot)
     b = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    s = number_sessions(df, ["k"], "ts", 60, tiebreak=["id"], final=F.col("fin"), partitions=parts)
+    s = number_sessions(df, ["k"], "ts", 60, tiebreak=["id"], final=F.col("fin"),
+                        partitions=parts, hot_key_rows=hot)
     w = Window.partitionBy("k").orderBy("ts", "fin", "id")
     pt, pf = F.lag("t").over(w), F.lag("fin").over(w)
     brk = (pt.isNull() | pf | ((F.col("t") - pt) >= 60)).cast("int")
@@ -106,8 +107,10 @@ def test_ordered_scan_matches_window_functions(spark, parts):
 
 def test_ordered_scan_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "k long, t long")
-    got = {(r["k"], r["t"], r["rn"]) for r in number_rows(df, ["k"], ["t"], partitions=2).collect()}
-    assert got == {(1, 3, 1), (None, 1, 1), (None, 2, 2)}
+    for hot in (0, 10**9):
+        got = {(r["k"], r["t"], r["rn"])
+               for r in number_rows(df, ["k"], ["t"], partitions=2, hot_key_rows=hot).collect()}
+        assert got == {(1, 3, 1), (None, 1, 1), (None, 2, 2)}
 
 
 def test_fixed_windows(spark):

@@ -71,7 +71,9 @@ def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] =
     if not arrival:
         raise ValueError("stateful levels need an arrival order")
     keys = level_keys(level, scope)
-    p = payloads.withColumn("_expected", declared_parts(level))
+    # only what the count and the output need travels through the scan
+    p = payloads.select(*keys, *[c for c in arrival if c not in keys],
+                        declared_parts(level).alias("_expected"), "output")
     numbered = number_rows(p, keys, list(arrival), out="_rn", partitions=partitions)
     fire = F.floor((F.col("_rn") - 1) / F.col("_expected")).cast("bigint") + 1
     grouped = (numbered.where(F.col("_expected") > 0)

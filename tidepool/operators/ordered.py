@@ -7,7 +7,8 @@ instead
 1. range-partition on ``(keys..., order...)`` - the sampler cuts a hot key
    into as many partitions as its share of the rows calls for - and sort
    within each partition (one shuffle);
-2. scan each partition in Arrow batches with numpy (``mapInPandas``),
+2. scan each partition in Arrow batches (``mapInArrow``; numpy on the
+   key and time columns only, every other column passed through as is),
    numbering rows / numbering sessions as if the partition were the whole
    key;
 3. reconcile the partition edges: only the first and the last key run of a
@@ -24,19 +25,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.session import checkpoint_root
+from tidepool.session import scratch_path
 
 # The edge table has at most two rows per range partition; below this many
 # rows it is broadcast (up to 100,000 partitions), above it it is joined by
 # a shuffle instead.
 EDGE_BROADCAST_MAX_ROWS = 200_000
 
+# A key with more rows than this is hot: it would hold one task for too long.
+HOT_KEY_ROWS = 1_000_000
+
 _RN, _SEQ, _PID, _T, _FIN = "_tp_rn", "_tp_seq", "_tp_pid", "_tp_t", "_tp_final"
 
 
@@ -50,21 +55,24 @@ def _as_cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _new_run(pdf: pd.DataFrame, keys: Sequence[str], carry_key) -> np.ndarray:
+def _new_run(batch, keys: Sequence[str], carry_key) -> np.ndarray:
     """True where a row starts a new key run (compared with the row before,
-    or for row 0 with the last row of the previous batch)."""
-    n = len(pdf)
+    or for row 0 with the last row of the previous batch). Compares Arrow
+    arrays in C++; NULL keys are equal to each other."""
+    n = batch.num_rows
     new = np.zeros(n, dtype=bool)
     for i, k in enumerate(keys):
-        a = pdf[k].to_numpy()
-        na = pd.isna(a)
+        a = batch.column(k)
         if n > 1:
-            same = (a[1:] == a[:-1]) | (na[1:] & na[:-1])
-            new[1:] |= ~np.asarray(same, dtype=bool)
+            x, y = a.slice(1), a.slice(0, n - 1)
+            same = pc.or_kleene(pc.fill_null(pc.equal(x, y), False),
+                                pc.and_(pc.is_null(x), pc.is_null(y)))
+            new[1:] |= ~same.to_numpy(zero_copy_only=False)
         if carry_key is not None:
-            v = carry_key[i]
-            vna = v is None or (isinstance(v, float) and np.isnan(v))
-            if not ((na[0] and vna) or (not na[0] and not vna and a[0] == v)):
+            x, y = a.slice(0, 1), carry_key[i]
+            same = pc.or_kleene(pc.fill_null(pc.equal(x, y), False),
+                                pc.and_(pc.is_null(x), pc.is_null(y)))
+            if not same.to_numpy(zero_copy_only=False)[0]:
                 new[0] = True
     if carry_key is None and n:
         new[0] = True
@@ -72,28 +80,30 @@ def _new_run(pdf: pd.DataFrame, keys: Sequence[str], carry_key) -> np.ndarray:
 
 
 def _scan(batches, keys, gap_us, with_t, with_final):
-    """Local pass over one sorted partition.
+    """Local pass over one sorted partition (Arrow record batches in, the
+    same batches plus three columns out; other columns are passed through
+    without conversion).
 
     Adds ``_tp_rn`` (row number within the key run of this partition),
     ``_tp_seq`` (session number within the run; a session breaks on a new
     key, after a final row, or when the time step is >= gap) and the
-    partition id. State of the last row is carried across Arrow batches.
+    partition id. State of the last row is carried across batches.
     """
-    pid = np.int32(TaskContext.get().partitionId())
+    pid = TaskContext.get().partitionId()
     carry = None
-    for pdf in batches:
-        n = len(pdf)
+    for rb in batches:
+        n = rb.num_rows
         if n == 0:
             continue
-        new = _new_run(pdf, keys, None if carry is None else carry["key"])
+        new = _new_run(rb, keys, None if carry is None else carry["key"])
         idx = np.arange(n)
         start = np.maximum.accumulate(np.where(new, idx, -1))
         cont = start < 0  # rows continuing the run of the previous batch
         rn = np.where(cont, idx + 1 + (carry["rn"] if carry else 0), idx - start + 1)
         if with_t:
-            t = pdf[_T].to_numpy(dtype=np.int64)
-            fin = (pdf[_FIN].to_numpy(dtype=bool) if with_final
-                   else np.zeros(n, dtype=bool))
+            t = rb.column(_T).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            fin = (rb.column(_FIN).to_numpy(zero_copy_only=False).astype(bool)
+                   if with_final else np.zeros(n, dtype=bool))
             prev_t = np.empty(n, dtype=np.int64)
             prev_f = np.zeros(n, dtype=bool)
             prev_t[1:], prev_f[1:] = t[:-1], fin[:-1]
@@ -107,39 +117,27 @@ def _scan(batches, keys, gap_us, with_t, with_final):
         else:
             seq = np.ones(n, dtype=np.int64)
             carry_t, carry_f = 0, False
-        carry = {"key": tuple(pdf[k].iloc[n - 1] for k in keys), "rn": int(rn[-1]),
+        carry = {"key": [rb.column(k).slice(n - 1, 1) for k in keys], "rn": int(rn[-1]),
                  "seq": int(seq[-1]), "t": carry_t, "final": carry_f}
-        pdf[_RN] = rn.astype(np.int64)
-        pdf[_SEQ] = seq.astype(np.int64)
-        pdf[_PID] = pid
-        yield pdf
+        yield pa.RecordBatch.from_arrays(
+            list(rb.columns) + [pa.array(rn.astype(np.int64)), pa.array(seq.astype(np.int64)),
+                                pa.array(np.full(n, pid, dtype=np.int32))],
+            names=list(rb.schema.names) + [_RN, _SEQ, _PID])
 
 
-def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
-                  gap_us: int | None, final: Column | None,
-                  partitions: int | None) -> DataFrame:
-    """Rows of ``df`` plus ``_tp_rn`` / ``_tp_seq`` numbered per key across
-    the whole data set (see module doc).
-
-    The local scan is checkpointed (eagerly, into the session's checkpoint
-    folder): the range partitioner samples with a seed drawn from the RDD
-    id, so the partition bounds must be fixed once and read by both the edge
-    summary and the final join. The checkpoint also cuts the lineage, so a
-    lost executor does not re-run the scan.
+def _range_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
+                gap_us: int | None, with_final: bool, n_parts: int) -> DataFrame:
+    """Numbering through range partitions (see module doc).
+
+    The local scan is written once, as a Parquet table under the session's
+    checkpoint folder, and read back: the range partitioner samples with a
+    seed drawn from the RDD id, so the partition bounds must be fixed once
+    and seen alike by the edge summary and the final join. The table also
+    cuts the lineage (a lost executor does not re-run the scan), and the
+    edge summary reads only the few columns it needs from it.
     """
-    keys = list(keys)
-    work = df
     with_t = gap_us is not None
-    with_final = final is not None
-    work = work.withColumn(
-        _T, F.unix_micros(order[0].cast("timestamp")) if with_t else F.lit(0).cast("long"))
-    work = work.withColumn(
-        _FIN, F.coalesce(final, F.lit(False)) if with_final else F.lit(False))
-    sort_cols = _as_cols(keys) + [order[0]] + ([F.col(_FIN)] if with_final else []) \
-        + list(order[1:])
-    n_parts = _num_partitions(df, partitions)
     ranged = work.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
-
     row_schema = T.StructType(ranged.schema.fields + [
         T.StructField(_RN, T.LongType(), False),
         T.StructField(_SEQ, T.LongType(), False),
@@ -149,8 +147,10 @@ def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
     def rows_fn(it):
         return _scan(it, keys, gap_us or 0, with_t, with_final)
 
-    checkpoint_root(df.sparkSession)
-    rows = ranged.mapInPandas(rows_fn, row_schema).checkpoint(eager=True)
+    spark = work.sparkSession
+    path = scratch_path(spark, "ordered-scan")
+    ranged.mapInArrow(rows_fn, row_schema).write.parquet(path)
+    rows = spark.read.parquet(path)
 
     # One summary row per (partition, key): counts and the time/final state
     # of the key's last row in the partition. Only a partition's first and
@@ -189,27 +189,88 @@ def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
         F.col(k).eqNullSafe(F.col(sk)) for k, sk in zip(keys, skeys)]
     joined = rows.join(seg, cond, "left")
     return joined.select(
-        *df.columns,
+        *work.columns,
         (F.col(_RN) + F.coalesce(F.col("_rn_off"), F.lit(0))).alias(_RN),
         (F.col(_SEQ) + F.coalesce(F.col("_seq_off"), F.lit(0))).alias(_SEQ),
     )
 
 
+def _window_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
+                 gap_us: int | None) -> DataFrame:
+    """The same numbers from one window per key (JVM, whole-stage codegen),
+    for data without hot keys: every key then fits one task."""
+    w = Window.partitionBy(*keys).orderBy(*sort_cols[len(keys):])
+    out = work.withColumn(_RN, F.row_number().over(w).cast("long"))
+    if gap_us is None:
+        return out.withColumn(_SEQ, F.lit(1).cast("long"))
+    prev_t = F.lag(_T).over(w)
+    brk = (prev_t.isNull() | F.coalesce(F.lag(_FIN).over(w), F.lit(False))
+           | ((F.col(_T) - prev_t) >= F.lit(gap_us))).cast("long")
+    return (out.withColumn("_tp_brk", brk)
+               .withColumn(_SEQ, F.sum("_tp_brk").over(
+                   w.rowsBetween(Window.unboundedPreceding, 0)))
+               .drop("_tp_brk"))
+
+
+def hot_key_threshold(spark, hot_key_rows: int | None = None) -> int:
+    if hot_key_rows is not None:
+        return int(hot_key_rows)
+    return int(spark.conf.get("tidepool.hotKeyRows", str(HOT_KEY_ROWS)))
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str], threshold: int) -> bool:
+    """Whether some key holds more than ``threshold`` rows: one partial
+    aggregate over the keys; nothing but a yes/no reaches the driver."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > F.lit(threshold)).limit(1).count() > 0
+
+
+def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
+                  gap_us: int | None, final: Column | None,
+                  partitions: int | None, hot_key_rows: int | None = None) -> DataFrame:
+    """Rows of ``df`` plus ``_tp_rn`` / ``_tp_seq`` numbered per key.
+
+    Keys are counted first. When no key holds more than the hot-key
+    threshold (``tidepool.hotKeyRows``, default one million rows) each key
+    fits one task and a plain window does the work; otherwise the whole
+    input goes through the range-partitioned scan, which cuts hot keys into
+    many tasks.
+    """
+    keys = list(keys)
+    with_t = gap_us is not None
+    with_final = final is not None
+    work = df.withColumn(
+        _T, F.unix_micros(order[0].cast("timestamp")) if with_t else F.lit(0).cast("long"))
+    work = work.withColumn(
+        _FIN, F.coalesce(final, F.lit(False)) if with_final else F.lit(False))
+    sort_cols = _as_cols(keys) + [order[0]] + ([F.col(_FIN)] if with_final else []) \
+        + list(order[1:])
+    threshold = hot_key_threshold(df.sparkSession, hot_key_rows)
+    if threshold > 0 and not has_hot_key(df, keys, threshold):
+        out = _window_scan(work, keys, sort_cols, gap_us)
+    else:
+        out = _range_scan(work, keys, sort_cols, gap_us, with_final,
+                          _num_partitions(df, partitions))
+    return out.select(*df.columns, _RN, _SEQ)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence,
-                out: str = "rn", partitions: int | None = None) -> DataFrame:
+                out: str = "rn", partitions: int | None = None,
+                hot_key_rows: int | None = None) -> DataFrame:
     """Add ``out`` = 1, 2, 3, ... per key in ``order`` (the numbers of
     ``row_number() over (partition by keys order by order)``), without
     holding a key in one task. ``order`` should be a total order (end it
     with a unique column) for repeatable numbers."""
     order = _as_cols(order)
-    scanned = _ordered_scan(df, keys, order, None, None, partitions)
+    scanned = _ordered_scan(df, keys, order, None, None, partitions, hot_key_rows)
     return scanned.select(*df.columns, F.col(_RN).alias(out))
 
 
 def number_sessions(df: DataFrame, keys: Sequence[str], event_time: str | Column,
                     gap_seconds: float, tiebreak: Sequence = (),
                     final: Column | None = None, out: str = "session_seq",
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None,
+                    hot_key_rows: int | None = None) -> DataFrame:
     """Add ``out`` = 1, 2, 3, ... numbering the sessions of each key.
 
     Rows are taken in ``(event_time, final, tiebreak...)`` order; a new
@@ -222,5 +283,5 @@ def number_sessions(df: DataFrame, keys: Sequence[str], event_time: str | Column
         raise ValueError("gap must be strictly positive")
     et = F.col(event_time) if isinstance(event_time, str) else event_time
     order = [et] + _as_cols(tiebreak)
-    scanned = _ordered_scan(df, keys, order, gap_us, final, partitions)
+    scanned = _ordered_scan(df, keys, order, gap_us, final, partitions, hot_key_rows)
     return scanned.select(*df.columns, F.col(_SEQ).alias(out))
