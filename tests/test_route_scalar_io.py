@@ -203,3 +203,24 @@ def test_messages_roundtrip_and_event_time(spark, tmp_dir):
     et = event_time_from_attribute(back).select(
         F.unix_millis("event_time").alias("ms"), F.col("data").cast("string").alias("d")).collect()
     assert sorted((r["d"], r["ms"]) for r in et) == [("x", 1447679463000), ("y", 1447679463000)]
+
+
+def test_whitespace_matches_python_split(spark):
+    import random
+
+    from tidepool.functions.parse import first_word, is_single_word, strip_ws
+    pool = [chr(c) for c in range(0x3001)] + ["a", "b", "é", "語"] * 50
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    texts += ["\x1c a \x85", " x ", "\x0bword\x0b", "", "   "]
+    ws = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts += ["".join(rnd.choice(ws + ["w"]) for _ in range(8)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", split_ws(F.col("t")).alias("s"), strip_ws(F.col("t")).alias("st"),
+                    first_word(F.col("t")).alias("f"), is_single_word(F.col("t")).alias("one"))
+    for r in got.collect():
+        t = r["t"]
+        assert list(r["s"]) == t.split(), repr(t)
+        assert r["st"] == t.strip(), repr(t)
+        assert r["f"] == (t.split()[0] if t.split() else ""), repr(t)
+        assert r["one"] == (len(t.split()) == 1), repr(t)
