@@ -26,17 +26,7 @@ def _csv_field_count(line: Column) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
 
 
-def game_event_fields(line: Column) -> Column:
-    """Parse ``user,team,score,epoch_ms[,readable_time]`` into a struct.
-
-    Fields: user, team, score (BIGINT), event_time (TIMESTAMP), reason
-    (NULL when the line is accepted, else ``too_few_fields`` / ``bad_score``
-    / ``bad_time``, the first failure in field order). Quoted fields may
-    contain commas; integers may carry surrounding whitespace and a sign;
-    anything else (``1.5``, ``1_0``, overflow) is a reject. Fields past the
-    fourth are ignored.
-    """
-    r = F.from_csv(line, _CSV4)
+def _game_event_struct(r: Column, line: Column) -> Column:
     nf = _csv_field_count(line)
     score = r["f2"].try_cast("bigint")
     ms = r["f3"].try_cast("bigint")
@@ -53,6 +43,28 @@ def game_event_fields(line: Column) -> Column:
     )
 
 
+def game_event_fields(line: Column) -> Column:
+    """Parse ``user,team,score,epoch_ms[,readable_time]`` into a struct.
+
+    Fields: user, team, score (BIGINT), event_time (TIMESTAMP), reason
+    (NULL when the line is accepted, else ``too_few_fields`` / ``bad_score``
+    / ``bad_time``, the first failure in field order). Quoted fields may
+    contain commas; integers may carry surrounding whitespace and a sign;
+    anything else (``1.5``, ``1_0``, overflow) is a reject. Fields past the
+    fourth are ignored.
+    """
+    return _game_event_struct(F.from_csv(line, _CSV4), line)
+
+
+def _parsed_events(lines: DataFrame, line: str) -> DataFrame:
+    """``(user, team, score, event_time, reason)`` with the CSV parsed once
+    per line. The parse is a projection of its own, and the fields leave
+    through a generator: without that the optimizer copies the line and the
+    parse into every later filter predicate that reads a field."""
+    parsed = lines.select(F.col(line).alias("_line"), F.from_csv(F.col(line), _CSV4).alias("_r"))
+    return parsed.select(F.inline(F.array(_game_event_struct(F.col("_r"), F.col("_line")))))
+
+
 def parse_game_event(lines: DataFrame, line: str = "value",
                      observation: Observation | None = None) -> DataFrame:
     """Accepted game events ``(user, team, score, event_time)``.
@@ -61,22 +73,23 @@ def parse_game_event(lines: DataFrame, line: str = "value",
     (metric ``num_parse_errors``) beside the data.
     """
     require_columns(lines, line, where="parse_game_event")
-    parsed = lines.select(game_event_fields(F.col(line)).alias("e"))
+    parsed = _parsed_events(lines, line)
     if observation is not None:
         parsed = parsed.observe(
             observation,
             F.count(F.lit(1)).alias("num_lines"),
-            F.count_if(F.col("e.reason").isNotNull()).alias("num_parse_errors"))
-    return parsed.where(F.col("e.reason").isNull()).select(
-        "e.user", "e.team", "e.score", "e.event_time")
+            F.count_if(F.col("reason").isNotNull()).alias("num_parse_errors"))
+    return parsed.where(F.col("reason").isNull()).drop("reason")
 
 
 def game_event_rejects(lines: DataFrame, line: str = "value") -> DataFrame:
     """The rejected lines with the reason: ``(value, reason)``."""
     require_columns(lines, line, where="game_event_rejects")
-    return (lines.select(F.col(line).alias("value"),
-                         game_event_fields(F.col(line))["reason"].alias("reason"))
-                 .where(F.col("reason").isNotNull()))
+    parsed = lines.select(F.col(line).alias("_line"), F.from_csv(F.col(line), _CSV4).alias("_r"))
+    out = parsed.select(F.inline(F.array(F.struct(
+        F.col("_line").alias("value"),
+        _game_event_struct(F.col("_r"), F.col("_line"))["reason"].alias("reason")))))
+    return out.where(F.col("reason").isNotNull())
 
 
 # The characters Python's str.split() / str.strip() treat as
