@@ -86,8 +86,7 @@ def game_event_rejects(lines: DataFrame, line: str = "value") -> DataFrame:
     """The rejected lines with the reason: ``(value, reason)``."""
     require_columns(lines, line, where="game_event_rejects")
     parsed = lines.select(F.col(line).alias("_line"), F.from_csv(F.col(line), _CSV4).alias("_r"))
-    out = parsed.select(F.inline(F.array(F.struct(
-        F.col("_line").alias("value"),
+    out = parsed.select(F.col("_line").alias("value"), F.inline(F.array(F.struct(
         _game_event_struct(F.col("_r"), F.col("_line"))["reason"].alias("reason")))))
     return out.where(F.col("reason").isNotNull())
 
