@@ -267,3 +267,13 @@ ORACLES: dict[str, str] = {
                false AS is_end
         FROM events""",
 }
+
+# Streaming twins are checked against the SQL of their batch twins.
+for _stream, _batch in {"stream_final_sessions": "sessions_with_final",
+                        "stream_sessions": "sessions_strict",
+                        "stream_session_totals": "sessions_to_global",
+                        "stream_sync_occurrence": "sync_occurrence",
+                        "stream_sync_arrival": "sync_arrival",
+                        "stream_job_output_job": "job_output_job",
+                        "stream_job_output_graph": "job_output_graph"}.items():
+    ORACLES[_stream] = ORACLES[_batch]

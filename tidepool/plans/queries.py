@@ -26,6 +26,9 @@ from tidepool.operators.scores import scores_by_field, total_score, user_score
 from tidepool.operators.sessions import (fixed_windows, session_windows,
                                          sessions_with_final, to_global_window)
 from tidepool.plans import inputs as I
+from tidepool.streaming.operators import (stream_job_output, stream_session_totals,
+                                          stream_sessions_with_final, stream_sync)
+from tidepool.streaming.replay import replay_stream, run_to_table, write_replay_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -373,3 +376,96 @@ def q_word_count_text(spark, sf):
 def q_timestamp_text(spark, sf):
     e = with_event_time(_events(spark, sf), "ts")
     return e.select("event_id", timestamp_text(F.col("ts")).alias("text"), "is_end")
+
+
+# --- streaming twins (table replayed as time-ordered files) -----------------
+
+_END_TYPE = "__end__"
+
+
+def _events_stream(spark, sf, n_files=3):
+    """The events table as a stream of ``n_files`` time-ordered files, then
+    one end-of-stream row far in the future that pushes the watermark past
+    all data (it never reaches an operator)."""
+    import datetime as _dt
+    e = _events(spark, sf)
+    end = spark.createDataFrame(
+        [(-1, _dt.datetime(9999, 12, 31), -1, _END_TYPE, 0.0, "{}")], e.schema)
+    path = write_replay_files(e, "ts", n_files, end_rows=end)
+    return replay_stream(spark, path, e.schema)
+
+
+def _is_end():
+    return F.col("event_type") == _END_TYPE
+
+
+@register("stream_final_sessions")
+def q_stream_final_sessions(spark, sf):
+    """sessions_with_final on a stream: state and event-time timers."""
+    s = stream_sessions_with_final(
+        _events_stream(spark, sf), "user_id", "ts", SIX_HOURS,
+        is_final=F.col("event_type") == "purchase", tiebreak="event_id",
+        value=_cents(), end_marker=_is_end())
+    return run_to_table(s, "stream-final-sessions").select(
+        "user_id", "session_seq", "session_start_us", "session_end_us", "closed", "n_events")
+
+
+@register("stream_sessions")
+def q_stream_sessions(spark, sf):
+    """sessions_strict on a stream."""
+    s = stream_sessions_with_final(_events_stream(spark, sf), "user_id", "ts", SIX_HOURS,
+                                   tiebreak="event_id", value=_cents(), end_marker=_is_end())
+    return run_to_table(s, "stream-sessions").select(
+        "user_id", "session_seq", "session_start_us", "session_end_us",
+        F.col("session_end_us").alias("event_time_us"), "n_events", "value_cents")
+
+
+@register("stream_session_totals")
+def q_stream_session_totals(spark, sf):
+    """Sessions re-grouped per user into running totals; the latest total
+    of each user."""
+    s = stream_session_totals(_events_stream(spark, sf), "user_id", "ts", SIX_HOURS,
+                              tiebreak="event_id", value=_cents(), end_marker=_is_end())
+    t = run_to_table(s, "stream-session-totals")
+    last = F.max_by(F.struct("n_sessions", "n_events", "longest_session", "value_cents"),
+                    "n_sessions")
+    return t.groupBy("user_id").agg(last.alias("t")).select("user_id", "t.*")
+
+
+def _stream_branches(spark, sf):
+    st = _events_stream(spark, sf).where(~_is_end())
+    return I.keyed_branches(st)
+
+
+@register("stream_sync_occurrence")
+def q_stream_sync_occurrence(spark, sf):
+    s = stream_sync(_stream_branches(spark, sf), match="occurrence")
+    return _occurrence_view(run_to_table(s, "stream-sync-occurrence"))
+
+
+@register("stream_sync_arrival")
+def q_stream_sync_arrival(spark, sf):
+    s = run_to_table(stream_sync(_stream_branches(spark, sf), match="arrival"),
+                     "stream-sync-arrival")
+    text = F.transform("items", lambda x: F.coalesce(
+        x["value_0"].cast("string"), x["value_1"],
+        F.round(x["value_2"] * 100).cast("bigint").cast("string")))
+    return s.select("key", "group", "srcs", F.array_join(text, ",").alias("values_text"))
+
+
+def _payload_stream(spark, sf):
+    p = _payloads(spark, sf)
+    path = write_replay_files(p, "arrival_ts", 3)
+    return replay_stream(spark, path, p.schema)
+
+
+@register("stream_job_output_job")
+def q_stream_job_output_job(spark, sf):
+    s = stream_job_output(_payload_stream(spark, sf), "jobid", arrival=I.PAYLOAD_ARRIVAL)
+    return _fired_view(run_to_table(s, "stream-job-output-job"), ["graphid", "jobid"])
+
+
+@register("stream_job_output_graph")
+def q_stream_job_output_graph(spark, sf):
+    s = stream_job_output(_payload_stream(spark, sf), "graphid", arrival=I.PAYLOAD_ARRIVAL)
+    return _fired_view(run_to_table(s, "stream-job-output-graph"), ["graphid"])
