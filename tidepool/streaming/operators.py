@@ -68,7 +68,7 @@ def stream_sessions_with_final(stream: DataFrame, keys: str | Sequence[str], eve
         T.StructField("session_end_us", T.LongType()), T.StructField("closed", T.BooleanType()),
         T.StructField("n_events", T.LongType()), T.StructField("value_cents", T.LongType())])
     gap_us = int(round(gap_seconds * 1_000_000))
-    return prepared.groupBy(*ks).transformWithStateInPandas(
+    return prepared.groupBy(*ks).transformWithState(
         FinalSessionProcessor(ks, gap_us, lone_final), out, "Append", "EventTime")
 
 
@@ -104,7 +104,7 @@ def stream_sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "val
                             T.StructField("srcs", T.StringType()),
                             T.StructField("items", T.ArrayType(item))])
     ddl = [t.simpleString() for t in types]
-    return u.groupBy("key").transformWithStateInPandas(
+    return u.groupBy("key").transformWithState(
         SyncProcessor(n, ddl, match), out, "Append", "None")
 
 
@@ -127,8 +127,8 @@ def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence
     out = T.StructType(_fields(payloads, ks) + [
         T.StructField("fire", T.LongType()), T.StructField("n_payloads", T.LongType()),
         T.StructField("outputs", T.ArrayType(T.StringType()))])
-    return prepared.groupBy(*ks).transformWithStateInPandas(
-        CompletionProcessor(ks), out, "Append", "None")
+    return prepared.groupBy(*ks).transformWithState(
+        CompletionProcessor(ks, len(arrival)), out, "Append", "None")
 
 
 def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_time: str,
@@ -149,5 +149,5 @@ def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_ti
         T.StructField("n_sessions", T.LongType()), T.StructField("n_events", T.LongType()),
         T.StructField("longest_session", T.LongType()), T.StructField("value_cents", T.LongType())])
     gap_us = int(round(gap_seconds * 1_000_000))
-    return prepared.groupBy(*ks).transformWithStateInPandas(
+    return prepared.groupBy(*ks).transformWithState(
         SessionTotalsProcessor(ks, gap_us), out, "Append", "EventTime")

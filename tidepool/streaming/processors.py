@@ -1,29 +1,27 @@
-"""Keyed stateful processors for Structured Streaming (transformWithState).
+"""Keyed stateful processors for Structured Streaming (``transformWithState``).
 
 Each processor keeps a small per-key state in the state store (RocksDB) and
 sees one key's new rows per micro-batch; rows are put in order inside the
-key before they are applied. Per-row code here is the fold of one key's
-rows; all grouping, shuffling and checkpointing is Spark's.
+key before they are applied. The per-row code here is the fold of one key's
+rows; grouping, shuffling, checkpointing and recovery are Spark's. The Row
+interface is used (not the pandas one): a key's rows per micro-batch are
+few, and per-key pandas frames cost several times more than the fold.
+Every state access is a round trip to the state store, so each processor
+reads and writes its state once per key and call where it can.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_NO_TIMER = -1
 
-def _concat(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = [p for p in rows if len(p)]
-    if not parts:
-        return pd.DataFrame()
-    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
 
-
-def _isnull(x) -> bool:
-    return x is None or (isinstance(x, float) and np.isnan(x))
+def _row(names, values) -> Row:
+    return Row(**dict(zip(names, values)))
 
 
 def _ms_ceil(us: int) -> int:
@@ -33,21 +31,22 @@ def _ms_ceil(us: int) -> int:
 # --- sessions closed by a gap or a final event (event time) -----------------
 
 SESSION_STATE = ("seq long, start long, last long, n long, v long, lone boolean, "
-                 "active boolean, done_upto long")
+                 "active boolean, done_upto long, timer long")
 PENDING_STATE = "t long, fin boolean, tb long, v long"
+_FRESH = (0, 0, 0, 0, 0, False, False, -(2 ** 62), _NO_TIMER)
 
 
 class FinalSessionProcessor(StatefulProcessor):
     """Gap sessions per key, ended early by a final event.
 
     Input columns: the key, ``ev_t`` (event time, epoch µs), ``ev_final``,
-    ``ev_tb`` (tiebreak) and ``ev_v`` (a value summed per session). Rows wait in
-    state until the watermark passes them, then are applied in
-    ``(ev_t, ev_final, ev_tb)`` order, so out-of-order arrival within the allowed
-    lateness gives the batch result. A session is emitted when a final
-    closes it, when a later row starts a new one, or when the watermark
-    passes ``last + gap``. Rows older than what was already applied are late
-    and dropped.
+    ``ev_tb`` (tiebreak) and ``ev_v`` (a value summed per session). Rows
+    wait in state until the watermark passes them, then are applied in
+    ``(ev_t, ev_final, ev_tb)`` order, so out-of-order arrival within the
+    allowed lateness gives the batch result. A session is emitted when a
+    final closes it, when a later row starts a new one, or when the
+    watermark passes ``last + gap``. Rows older than what was already
+    applied are late and dropped.
 
     ``lone_final="close"``: a final that starts a session is a closed
     one-row session. ``"absorb"``: such a session takes every later row of
@@ -62,90 +61,112 @@ class FinalSessionProcessor(StatefulProcessor):
         self.key_cols = list(key_cols)
         self.gap_us = int(gap_us)
         self.lone_final = lone_final
+        self.names = self.key_cols + ["session_seq", "session_start_us", "session_end_us",
+                                      "closed", "n_events", "value_cents"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.session = handle.getValueState("session", SESSION_STATE)
         self.pending = handle.getListState("pending", PENDING_STATE)
 
-    def _state(self):
-        if self.session.exists():
-            return list(self.session.get())
-        return [0, 0, 0, 0, 0, False, False, -(2 ** 62)]
-
-    def _ensure_timer(self, at_ms: int) -> None:
-        if at_ms not in set(self.handle.listTimers()):
-            self.handle.registerTimer(at_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _concat(rows)
-        if len(pdf) == 0:
-            return
-        st = self._state()
-        t = pdf["ev_t"].to_numpy(dtype=np.int64)
-        keep = t >= st[7]  # rows before what was already applied are late
-        if not keep.all():
-            pdf, t = pdf[keep], t[keep]
-        if len(pdf):
-            self.pending.appendList(list(zip(
-                t.tolist(), pdf["ev_final"].astype(bool).tolist(),
-                pdf["ev_tb"].astype("int64").tolist(), pdf["ev_v"].astype("int64").tolist())))
-            self._ensure_timer(_ms_ceil(int(t.min())))
+    def _get(self) -> list:
+        st = self.session.get()
+        return list(st) if st is not None else list(_FRESH)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        st = self._get()
+        done = st[7]
+        new = [(r["ev_t"], bool(r["ev_final"]), r["ev_tb"], r["ev_v"]) for r in rows
+               if r["ev_t"] >= done]  # rows before what was already applied are late
+        if not new:
+            return iter(())
+        self.pending.appendList(new)
+        at = _ms_ceil(min(r[0] for r in new))
+        if st[8] == _NO_TIMER or at < st[8]:
+            self.handle.registerTimer(at)
+            st[8] = at
+            self.session.update(tuple(st))
         return iter(())
 
-    def _emit(self, key, out, st, closed, end_us):
-        row = dict(zip(self.key_cols, key))
-        row.update(session_seq=st[0], session_start_us=st[1], session_end_us=end_us,
-                   closed=closed, n_events=st[3], value_cents=st[4])
-        out.append(row)
+    def _emit(self, key, out, seq, start, n, v, closed, end_us):
+        out.append(_row(self.names, (*key, seq, start, end_us, closed, n, v)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
         pend = sorted(self.pending.get(), key=lambda r: (r[0], r[1], r[2]))
-        ready = [r for r in pend if r[0] <= wm_us]
-        rest = [r for r in pend if r[0] > wm_us]
-        st = self._state()
-        seq, start, last, n, v, lone, active, done = st
-        out: list[dict] = []
+        cut = 0
+        while cut < len(pend) and pend[cut][0] <= wm_us:
+            cut += 1
+        ready, rest = pend[:cut], pend[cut:]
+        seq, start, last, n, v, lone, active, done, _timer = self._get()
+        out: list[Row] = []
         gap = self.gap_us
+        absorb = self.lone_final == "absorb"
         for (rt, fin, _tb, rv) in ready:
-            if active and not (lone and self.lone_final == "absorb") and rt - last >= gap:
-                self._emit(key, out, [seq, start, last, n, v], False, last + gap)
+            if active and not (lone and absorb) and rt - last >= gap:
+                self._emit(key, out, seq, start, n, v, False, last + gap)
                 active = False
             if not active:
-                seq, start, last, n, v, active = seq + 1, rt, rt, 1, rv, True
-                lone = bool(fin)
-                if fin and self.lone_final == "close":
-                    self._emit(key, out, [seq, start, last, n, v], True, rt)
+                seq, start, last, n, v, active, lone = seq + 1, rt, rt, 1, rv, True, fin
+                if fin and not absorb:
+                    self._emit(key, out, seq, start, n, v, True, rt)
                     active = False
                 continue
             last, n, v = rt, n + 1, v + rv
             if fin:
-                self._emit(key, out, [seq, start, last, n, v], True, rt)
+                self._emit(key, out, seq, start, n, v, True, rt)
                 active = False
         if ready:
             done = max(done, ready[-1][0])
-        if active and not (lone and self.lone_final == "absorb") and last + gap <= wm_us:
-            self._emit(key, out, [seq, start, last, n, v], False, last + gap)
+            self.pending.clear()
+            if rest:
+                self.pending.put(rest)
+        if active and not (lone and absorb) and last + gap <= wm_us:
+            self._emit(key, out, seq, start, n, v, False, last + gap)
             active = False
-        self.session.update((seq, start, last, n, v, lone, active, done))
-        self.pending.clear()
-        if rest:
-            self.pending.put(rest)
-        nxt = [r[0] for r in rest[:1]]
-        if active and not (lone and self.lone_final == "absorb"):
+        nxt = [rest[0][0]] if rest else []
+        if active and not (lone and absorb):
             nxt.append(last + gap)
+        timer = _NO_TIMER
         if nxt:
-            self._ensure_timer(_ms_ceil(min(nxt)))
-        if out:
-            yield pd.DataFrame(out)
+            timer = _ms_ceil(min(nxt))
+            self.handle.registerTimer(timer)
+        self.session.update((seq, start, last, n, v, lone, active, done, timer))
+        return iter(out)
 
     def close(self) -> None:
         pass
 
 
+class SessionTotalsProcessor(FinalSessionProcessor):
+    """Sessions folded into one running total per key (the sessions of a
+    key re-grouped into one global window). Emits the key's totals each time
+    one of its sessions closes: ``(keys..., n_sessions, n_events,
+    longest_session, value_cents)``; the latest row of a key is its total."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.totals = handle.getValueState("totals", "s long, e long, m long, v long")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        closed = list(super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
+        if not closed:
+            return iter(())
+        t = self.totals.get()
+        s, e, m, v = t if t is not None else (0, 0, 0, 0)
+        out = []
+        names = self.key_cols + ["n_sessions", "n_events", "longest_session", "value_cents"]
+        for r in closed:
+            n_events, cents = r["n_events"], r["value_cents"]
+            s, e, m, v = s + 1, e + n_events, max(m, n_events), v + cents
+            out.append(_row(names, (*key, s, e, m, v)))
+        self.totals.update((s, e, m, v))
+        return iter(out)
+
+
 # --- keyed alignment (arrival order = processing order) ---------------------
 
+
 class SyncProcessor(StatefulProcessor):
     """N-way alignment per key. Input columns: ``key``, ``src`` (input
     index), ``arr_ts`` / ``arr_id`` (arrival order inside a micro-batch) and
@@ -167,51 +188,40 @@ class SyncProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         cols = ", ".join(f"value_{i} {t}" for i, t in enumerate(self.value_ddl))
         self.pending = handle.getListState("pending", f"src int, a_ts long, a_id long, {cols}")
-        self.emitted = handle.getValueState("emitted", "n long")
+        self.emitted = handle.getValueState("emitted", "n long, held long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _concat(rows)
-        if len(pdf) == 0:
-            return
-        pdf = pdf.sort_values(["arr_ts", "arr_id", "src"], kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         vals = [f"value_{i}" for i in range(self.n)]
-        # pandas turns integer columns with NULLs into floats; give state
-        # fields back the declared type
-        casts = [int if t in ("tinyint", "smallint", "int", "bigint") else (lambda x: x)
-                 for t in self.value_ddl]
-        new = [(int(s), int(a), int(b),
-                *[None if _isnull(x) else c(x) for x, c in zip(vs, casts)])
-               for s, a, b, *vs in zip(pdf["src"], pdf["arr_ts"], pdf["arr_id"],
-                                       *[pdf[c] for c in vals])]
-        pend = list(self.pending.get()) + new
-        done = self.emitted.get()[0] if self.emitted.exists() else 0
+        new = sorted(((r["src"], r["arr_ts"], r["arr_id"], *[r[c] for c in vals]) for r in rows),
+                     key=lambda r: (r[1], r[2], r[0]))
+        e = self.emitted.get()
+        done, held = (e[0], e[1]) if e is not None else (0, 0)
+        pend = (list(self.pending.get()) if held else []) + new
         out = []
         if self.match == "occurrence":
-            queues = {i: [r for r in pend if r[0] == i] for i in range(self.n)}
-            k = min(len(q) for q in queues.values())
+            queues = [[r for r in pend if r[0] == i] for i in range(self.n)]
+            k = min(len(q) for q in queues)
+            names = ["key", "occurrence", *vals]
             for j in range(k):
-                row = {"key": key[0], "occurrence": done + j + 1}
-                for i in range(self.n):
-                    row[f"value_{i}"] = queues[i][j][3 + i]
-                out.append(row)
-            rest = [r for i in range(self.n) for r in queues[i][k:]]
-            rest.sort(key=lambda r: (r[1], r[2], r[0]))
+                out.append(_row(names, (key[0], done + j + 1,
+                                        *[queues[i][j][3 + i] for i in range(self.n)])))
+            rest = sorted((r for q in queues for r in q[k:]), key=lambda r: (r[1], r[2], r[0]))
             done += k
         else:
             full = len(pend) // self.n
             for j in range(full):
                 grp = pend[j * self.n:(j + 1) * self.n]
-                out.append({"key": key[0], "group": done + j + 1,
-                            "srcs": ",".join(str(r[0]) for r in grp),
-                            "items": [dict(zip(["src"] + vals, [r[0], *r[3:]])) for r in grp]})
+                out.append(_row(["key", "group", "srcs", "items"], (
+                    key[0], done + j + 1, ",".join(str(r[0]) for r in grp),
+                    [_row(["src", *vals], (r[0], *r[3:])) for r in grp])))
             rest = pend[full * self.n:]
             done += full
-        self.pending.clear()
+        if held:
+            self.pending.clear()
         if rest:
             self.pending.put(rest)
-        self.emitted.update((done,))
-        if out:
-            yield pd.DataFrame(out)
+        self.emitted.update((done, len(rest)))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -223,60 +233,32 @@ class CompletionProcessor(StatefulProcessor):
     """Counts a key's payloads in arrival order; when the count reaches the
     declared number it emits the collected outputs and starts again.
     Input columns: the key, ``arr0, arr1, ...`` (arrival order inside a
-    micro-batch), ``expected`` and ``output``."""
+    micro-batch), ``expected`` and ``output``. One value state per key holds
+    the count, the number of firings and the outputs collected so far."""
 
-    def __init__(self, key_cols: list[str]):
+    def __init__(self, key_cols: list[str], n_arrival: int):
         self.key_cols = list(key_cols)
+        self.arr = [f"arr{i}" for i in range(n_arrival)]
+        self.names = self.key_cols + ["fire", "n_payloads", "outputs"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "seen long, fired long")
-        self.outputs = handle.getListState("outputs", "path string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _concat(rows)
-        if len(pdf) == 0:
-            return
-        acols = sorted((c for c in pdf.columns if c.startswith("arr") and c[3:].isdigit()),
-                       key=lambda c: int(c[3:]))
-        if acols:
-            pdf = pdf.sort_values(acols, kind="stable")
-        seen, fired = self.count.get() if self.count.exists() else (0, 0)
-        paths = [p[0] for p in self.outputs.get()] if seen else []
+        self.state = handle.getValueState("state", "seen long, fired long, paths array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = sorted(rows, key=lambda r: tuple(r[c] for c in self.arr))
+        st = self.state.get()
+        seen, fired, paths = (st[0], st[1], list(st[2] or [])) if st is not None else (0, 0, [])
         out = []
-        for exp, o in zip(pdf["expected"], pdf["output"]):
+        for r in rows:
             seen += 1
-            paths.extend(list(o) if o is not None else [])
-            if exp is not None and seen == int(exp):
+            paths.extend(r["output"] or [])
+            exp = r["expected"]
+            if exp is not None and seen == exp:
                 fired += 1
-                row = dict(zip(self.key_cols, key))
-                row.update(fire=fired, n_payloads=seen, outputs=list(paths))
-                out.append(row)
+                out.append(_row(self.names, (*key, fired, seen, paths)))
                 seen, paths = 0, []
-        self.count.update((seen, fired))
-        self.outputs.clear()
-        if paths:
-            self.outputs.put([(p,) for p in paths])
-        if out:
-            yield pd.DataFrame(out)
+        self.state.update((seen, fired, paths))
+        return iter(out)
 
     def close(self) -> None:
         pass
-
-
-class SessionTotalsProcessor(FinalSessionProcessor):
-    """Sessions folded into one running total per key (the sessions of a
-    key re-grouped into one global window). Emits the key's totals each time
-    one of its sessions closes: ``(keys..., n_sessions, n_events,
-    longest_session, value_cents)``; the latest row of a key is its total."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.totals = handle.getValueState("totals", "s long, e long, m long, v long")
-
-    def _emit(self, key, out, st, closed, end_us):
-        s, e, m, v = self.totals.get() if self.totals.exists() else (0, 0, 0, 0)
-        s, e, m, v = s + 1, e + st[3], max(m, st[3]), v + st[4]
-        self.totals.update((s, e, m, v))
-        row = dict(zip(self.key_cols, key))
-        row.update(n_sessions=s, n_events=e, longest_session=m, value_cents=v)
-        out.append(row)
