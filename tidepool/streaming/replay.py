@@ -22,20 +22,28 @@ from tidepool.session import scratch_path
 def write_replay_files(df: DataFrame, order_col: str, n_files: int = 3,
                        end_rows: DataFrame | None = None, path: str | None = None) -> str:
     """Write ``df`` as ``n_files`` Parquet files split at approximate
-    quantiles of ``order_col`` (rows with equal values share a file)."""
+    quantiles of ``order_col`` (rows with equal values share a file). The
+    input is computed once, into a staging copy; each file is then cut from
+    the copy (Parquet statistics skip the other ranges)."""
     spark = df.sparkSession
     path = path or scratch_path(spark, "replay")
-    t = F.unix_micros(F.col(order_col).cast("timestamp")) if df.schema[order_col].dataType \
-        .typeName().startswith("timestamp") else F.col(order_col).cast("double")
-    keyed = df.withColumn("_tp_order", t)
+    staging = path.rstrip("/") + "-staging"
+    is_time = df.schema[order_col].dataType.typeName().startswith("timestamp")
+    df.write.parquet(staging)
+    staged = spark.read.parquet(staging)
+    key = (F.unix_micros(F.col(order_col).cast("timestamp")) if is_time
+           else F.col(order_col).cast("double"))
     probs = [i / n_files for i in range(1, n_files)]
-    bounds = sorted(set(keyed.approxQuantile("_tp_order", probs, 0.001))) if probs else []
-    bucket = sum((F.col("_tp_order") > F.lit(b)).cast("int") for b in bounds) if bounds \
-        else F.lit(0)
-    keyed = keyed.withColumn("_tp_file", bucket)
-    for i in range(len(bounds) + 1):
-        (keyed.where(F.col("_tp_file") == i).drop("_tp_order", "_tp_file")
-              .coalesce(1).write.mode("append").parquet(path))
+    bounds = (sorted(set(staged.select(key.alias("k")).approxQuantile("k", probs, 0.001)))
+              if probs else [])
+    edges = [None] + bounds + [None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = staged
+        if lo is not None:
+            part = part.where(key > F.lit(lo))
+        if hi is not None:
+            part = part.where(key <= F.lit(hi))
+        part.coalesce(1).write.mode("append").parquet(path)
     if end_rows is not None:
         end_rows.coalesce(1).write.mode("append").parquet(path)
     return path
