@@ -77,8 +77,10 @@ def sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "value",
     u = _tagged(inputs, key, value, order)
     vals = [f"value_{j}" for j in range(n)]
     if match == "occurrence":
+        # hash on key alone: the numbering window and the grouping by
+        # (key, occurrence) then share one shuffle
         numbered = number_rows(u, ["key", "src"], order, out="occurrence",
-                               partitions=partitions)
+                               partitions=partitions, cluster_by=["key"])
         out = (numbered.groupBy("key", "occurrence")
                        .agg(F.count(F.lit(1)).alias("_n"),
                             *[F.any_value(v, ignoreNulls=True).alias(v) for v in vals]))

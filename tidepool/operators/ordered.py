@@ -196,9 +196,13 @@ def _range_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
 
 
 def _window_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
-                 gap_us: int | None) -> DataFrame:
+                 gap_us: int | None, cluster_by: list[str] | None = None) -> DataFrame:
     """The same numbers from one window per key (JVM, whole-stage codegen),
-    for data without hot keys: every key then fits one task."""
+    for data without hot keys: every key then fits one task. With
+    ``cluster_by`` (a subset of the keys) the rows are hash-partitioned on
+    those columns only, so a later grouping on them needs no new shuffle."""
+    if cluster_by:
+        work = work.repartition(*cluster_by)
     w = Window.partitionBy(*keys).orderBy(*sort_cols[len(keys):])
     out = work.withColumn(_RN, F.row_number().over(w).cast("long"))
     if gap_us is None:
@@ -227,7 +231,8 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], threshold: int) -> bool:
 
 def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
                   gap_us: int | None, final: Column | None,
-                  partitions: int | None, hot_key_rows: int | None = None) -> DataFrame:
+                  partitions: int | None, hot_key_rows: int | None = None,
+                  cluster_by: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``df`` plus ``_tp_rn`` / ``_tp_seq`` numbered per key.
 
     Keys are counted first. When no key holds more than the hot-key
@@ -246,8 +251,11 @@ def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
     sort_cols = _as_cols(keys) + [order[0]] + ([F.col(_FIN)] if with_final else []) \
         + list(order[1:])
     threshold = hot_key_threshold(df.sparkSession, hot_key_rows)
-    if threshold > 0 and not has_hot_key(df, keys, threshold):
-        out = _window_scan(work, keys, sort_cols, gap_us)
+    cluster = list(cluster_by) if cluster_by else None
+    if cluster and not set(cluster) <= set(keys):
+        raise ValueError("cluster_by must be a subset of the keys")
+    if threshold > 0 and not has_hot_key(df, cluster or keys, threshold):
+        out = _window_scan(work, keys, sort_cols, gap_us, cluster)
     else:
         out = _range_scan(work, keys, sort_cols, gap_us, with_final,
                           _num_partitions(df, partitions))
@@ -256,13 +264,15 @@ def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence,
                 out: str = "rn", partitions: int | None = None,
-                hot_key_rows: int | None = None) -> DataFrame:
+                hot_key_rows: int | None = None,
+                cluster_by: Sequence[str] | None = None) -> DataFrame:
     """Add ``out`` = 1, 2, 3, ... per key in ``order`` (the numbers of
     ``row_number() over (partition by keys order by order)``), without
     holding a key in one task. ``order`` should be a total order (end it
     with a unique column) for repeatable numbers."""
     order = _as_cols(order)
-    scanned = _ordered_scan(df, keys, order, None, None, partitions, hot_key_rows)
+    scanned = _ordered_scan(df, keys, order, None, None, partitions, hot_key_rows,
+                            cluster_by)
     return scanned.select(*df.columns, F.col(_RN).alias(out))
 
 

@@ -35,7 +35,8 @@ def attribute_predicate(filters: dict | None, attributes: str = "attributes",
     """True when every filter key is present and its wanted values are a
     subset of the attribute's: ``match="value"`` compares whole values
     (a scalar filter is equality, a list filter must hold only the
-    attribute's value); ``match="chars"`` compares sets of characters."""
+    attribute's value); ``match="chars"`` compares sets of characters.
+    A missing key gives false or NULL; use the predicate in ``where``."""
     if match not in ("value", "chars"):
         raise ValueError("match must be 'value' or 'chars'")
     if not filters:
@@ -44,14 +45,23 @@ def attribute_predicate(filters: dict | None, attributes: str = "attributes",
     conds = []
     for k, fv in filters.items():
         have_v = attrs[k]
-        have = (F.split(have_v, "") if match == "chars" else F.array(have_v))
-        want = F.array(*[F.lit(w) for w in _want(fv, match)]).cast("array<string>")
-        conds.append(F.map_contains_key(attrs, F.lit(k))
-                     & (F.size(F.array_except(want, have)) == 0))
+        want = _want(fv, match)
+        present = F.map_contains_key(attrs, F.lit(k))
+        if match == "chars":
+            w = F.array(*[F.lit(x) for x in want]).cast("array<string>")
+            conds.append(present & (F.size(F.array_except(w, F.split(have_v, ""))) == 0))
+        elif not want:               # the empty set is a subset of anything
+            conds.append(present)
+        elif len(want) == 1:         # {w} is a subset of {value} iff w == value
+            conds.append(have_v == F.lit(want[0]))
+        else:                        # two different values never fit in one
+            conds.append(F.lit(False))
     out = conds[0]
     for c in conds[1:]:
         out = out & c
-    return F.coalesce(out, F.lit(False))
+    # no coalesce(.., false): in a filter NULL already drops the row, and a
+    # bare comparison lets Catalyst push the test into the Parquet scan
+    return out
 
 
 def filter_by_attributes(messages: DataFrame, filters: dict | None = None,
