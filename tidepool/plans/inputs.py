@@ -73,20 +73,29 @@ def messages_from_events(events: DataFrame) -> DataFrame:
                          F.col("ts").cast("timestamp").alias("publish_time"))
 
 
+BRANCH_TYPES = ("click", "view", "purchase", "signup", "error")
+
+
 def keyed_branches(events: DataFrame) -> list[DataFrame]:
-    """Three keyed inputs ``(key, value, arrival_ts, arrival_id)`` from the
-    click, view and purchase events, keyed by user: an int (floor of value),
-    a string (event id) and a double (value)."""
-    base = events.select(F.col("user_id").alias("key"), "event_type", "value",
+    """One keyed input ``(key, value, arrival_ts, arrival_id)`` per event
+    type, keyed by user, with the value types of the reference's branches:
+    click -> int (floor of value), view -> string (event id), purchase ->
+    double (value), signup -> list of ints (``range(floor(value))``), error
+    -> string (the props text). Every event is in exactly one input."""
+    from tidepool.functions.scalar import value_range
+    base = events.select(F.col("user_id").alias("key"), "event_type", "value", "props",
                          "event_id", F.col("ts").alias("arrival_ts"),
                          F.col("event_id").alias("arrival_id"))
-    click = base.where(F.col("event_type") == "click").select(
-        "key", F.floor("value").cast("bigint").alias("value"), "arrival_ts", "arrival_id")
-    view = base.where(F.col("event_type") == "view").select(
-        "key", _s("event_id").alias("value"), "arrival_ts", "arrival_id")
-    purchase = base.where(F.col("event_type") == "purchase").select(
-        "key", F.col("value").alias("value"), "arrival_ts", "arrival_id")
-    return [click, view, purchase]
+    values = {
+        "click": F.floor("value").cast("bigint"),
+        "view": _s("event_id"),
+        "purchase": F.col("value"),
+        "signup": value_range(F.floor("value")),
+        "error": F.col("props"),
+    }
+    return [base.where(F.col("event_type") == t)
+                .select("key", values[t].alias("value"), "arrival_ts", "arrival_id")
+            for t in BRANCH_TYPES]
 
 
 JOB_OF_STATUS = {"F": 0, "O": 1}

@@ -57,16 +57,18 @@ _DOC_WORDS = f"""
 """
 
 
-_SYNC_BRANCHES = """
-        WITH c AS (SELECT user_id AS key, CAST(floor(value) AS BIGINT) AS v,
-                          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS occ
+_OCC = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS occ"
+_SYNC_BRANCHES = f"""
+        WITH c AS (SELECT user_id AS key, CAST(floor(value) AS BIGINT) AS v, {_OCC}
                    FROM events WHERE event_type = 'click'),
-             v AS (SELECT user_id AS key, CAST(event_id AS VARCHAR) AS v,
-                          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS occ
+             v AS (SELECT user_id AS key, CAST(event_id AS VARCHAR) AS v, {_OCC}
                    FROM events WHERE event_type = 'view'),
-             p AS (SELECT user_id AS key, CAST(round(value * 100) AS BIGINT) AS v,
-                          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS occ
-                   FROM events WHERE event_type = 'purchase')"""
+             p AS (SELECT user_id AS key, CAST(round(value * 100) AS BIGINT) AS v, {_OCC}
+                   FROM events WHERE event_type = 'purchase'),
+             s AS (SELECT user_id AS key, greatest(CAST(floor(value) AS BIGINT), 0) AS v, {_OCC}
+                   FROM events WHERE event_type = 'signup'),
+             e AS (SELECT user_id AS key, props AS v, {_OCC}
+                   FROM events WHERE event_type = 'error')"""
 
 _PATHS = " || '|' || ".join(
     "'/beam/graph-' || CAST(li.l_orderkey AS VARCHAR) || '/job-' || CAST(li.jobid AS VARCHAR)"
@@ -155,30 +157,41 @@ ORACLES: dict[str, str] = {
     "sync_occurrence": f"""
         {_SYNC_BRANCHES}
         SELECT c.key AS key, c.occ AS occurrence, c.v AS value_0, v.v AS value_1,
-               p.v AS value_2_cents
+               p.v AS value_2_cents, s.v AS value_3_size, e.v AS value_4
         FROM c JOIN v ON c.key = v.key AND c.occ = v.occ
-               JOIN p ON c.key = p.key AND c.occ = p.occ""",
+               JOIN p ON c.key = p.key AND c.occ = p.occ
+               JOIN s ON c.key = s.key AND c.occ = s.occ
+               JOIN e ON c.key = e.key AND c.occ = e.occ""",
     "sync_longest": f"""
         {_SYNC_BRANCHES}
-        SELECT coalesce(c.key, v.key, p.key) AS key, coalesce(c.occ, v.occ, p.occ) AS occurrence,
-               CAST(c.v AS VARCHAR) AS value_0, v.v AS value_1, CAST(p.v AS VARCHAR) AS value_2_cents
+        SELECT coalesce(c.key, v.key, p.key, s.key, e.key) AS key,
+               coalesce(c.occ, v.occ, p.occ, s.occ, e.occ) AS occurrence,
+               CAST(c.v AS VARCHAR) AS value_0, v.v AS value_1, CAST(p.v AS VARCHAR) AS value_2_cents,
+               CAST(s.v AS VARCHAR) AS value_3_size, e.v AS value_4
         FROM c FULL JOIN v ON c.key = v.key AND c.occ = v.occ
-               FULL JOIN p ON p.key = coalesce(c.key, v.key) AND p.occ = coalesce(c.occ, v.occ)""",
+               FULL JOIN p ON p.key = coalesce(c.key, v.key) AND p.occ = coalesce(c.occ, v.occ)
+               FULL JOIN s ON s.key = coalesce(c.key, v.key, p.key)
+                          AND s.occ = coalesce(c.occ, v.occ, p.occ)
+               FULL JOIN e ON e.key = coalesce(c.key, v.key, p.key, s.key)
+                          AND e.occ = coalesce(c.occ, v.occ, p.occ, s.occ)""",
     "sync_arrival": """
         WITH u AS (
           SELECT user_id AS key, ts, event_id,
-                 CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS src,
+                 CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2
+                                 WHEN 'signup' THEN 3 ELSE 4 END AS src,
                  CASE event_type
                    WHEN 'click' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
                    WHEN 'view' THEN CAST(event_id AS VARCHAR)
-                   ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS vt
-          FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+                   WHEN 'purchase' THEN CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
+                   WHEN 'signup' THEN 'r' || CAST(greatest(CAST(floor(value) AS BIGINT), 0) AS VARCHAR)
+                   ELSE props END AS vt
+          FROM events),
         n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id, src) AS rn FROM u),
-        g AS (SELECT key, (rn - 1) // 3 + 1 AS "group", count(*) AS n,
+        g AS (SELECT key, (rn - 1) // 5 + 1 AS "group", count(*) AS n,
                      string_agg(CAST(src AS VARCHAR), ',' ORDER BY rn) AS srcs,
-                     string_agg(vt, ',' ORDER BY rn) AS values_text
+                     string_agg(vt, '|' ORDER BY rn) AS values_text
               FROM n GROUP BY 1, 2)
-        SELECT key, "group", srcs, values_text FROM g WHERE n = 3""",
+        SELECT key, "group", srcs, values_text FROM g WHERE n = 5""",
     "flatten_union": """
         SELECT event_id, event_type FROM events WHERE value < 100
         UNION ALL

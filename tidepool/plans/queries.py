@@ -160,12 +160,21 @@ def _branches(spark, sf):
 
 def _occurrence_view(df):
     return df.select("key", "occurrence", "value_0", "value_1",
-                     F.round(F.col("value_2") * 100).cast("bigint").alias("value_2_cents"))
+                     F.round(F.col("value_2") * 100).cast("bigint").alias("value_2_cents"),
+                     F.size("value_3").cast("bigint").alias("value_3_size"), "value_4")
+
+
+def _item_text(x):
+    """One aligned value as text: ints, strings, cents, ``r<size>`` for lists."""
+    return F.coalesce(x["value_0"].cast("string"), x["value_1"],
+                      F.round(x["value_2"] * 100).cast("bigint").cast("string"),
+                      F.concat(F.lit("r"), F.size(x["value_3"]).cast("string")), x["value_4"])
 
 
 @register("sync_occurrence")
 def q_sync_occurrence(spark, sf):
-    """n-th click, view and purchase of each user as one row."""
+    """n-th click, view, purchase, signup and error event of each user as
+    one row."""
     return _occurrence_view(sync(_branches(spark, sf), match="occurrence"))
 
 
@@ -175,20 +184,18 @@ def q_sync_longest(spark, sf):
     numbers are rendered as text so NULLs survive the value hash)."""
     o = _occurrence_view(sync(_branches(spark, sf), match="occurrence", mode="longest"))
     return o.select("key", "occurrence", F.col("value_0").cast("string").alias("value_0"),
-                    "value_1", F.col("value_2_cents").cast("string").alias("value_2_cents"))
+                    "value_1", F.col("value_2_cents").cast("string").alias("value_2_cents"),
+                    F.col("value_3_size").cast("string").alias("value_3_size"), "value_4")
 
 
 @register("sync_arrival")
 def q_sync_arrival(spark, sf):
-    """Every three consecutive arrivals of a user as one row."""
+    """Every five consecutive arrivals of a user as one row."""
     s = sync(_branches(spark, sf), match="arrival")
-    text = F.transform("items", lambda x: F.coalesce(
-        x["value_0"].cast("string"), x["value_1"],
-        F.round(x["value_2"] * 100).cast("bigint").cast("string")))
     return s.select("key", "group",
                     F.array_join(F.transform("items", lambda x: x["src"].cast("string")), ",")
                      .alias("srcs"),
-                    F.array_join(text, ",").alias("values_text"))
+                    F.array_join(F.transform("items", _item_text), "|").alias("values_text"))
 
 
 @register("flatten_union")
@@ -447,10 +454,8 @@ def q_stream_sync_occurrence(spark, sf):
 def q_stream_sync_arrival(spark, sf):
     s = run_to_table(stream_sync(_stream_branches(spark, sf), match="arrival"),
                      "stream-sync-arrival")
-    text = F.transform("items", lambda x: F.coalesce(
-        x["value_0"].cast("string"), x["value_1"],
-        F.round(x["value_2"] * 100).cast("bigint").cast("string")))
-    return s.select("key", "group", "srcs", F.array_join(text, ",").alias("values_text"))
+    return s.select("key", "group", "srcs",
+                    F.array_join(F.transform("items", _item_text), "|").alias("values_text"))
 
 
 def _payload_stream(spark, sf):
