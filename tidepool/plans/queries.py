@@ -390,6 +390,20 @@ def q_timestamp_text(spark, sf):
 _END_TYPE = "__end__"
 
 
+# Replay copies already written in this session, by (table, sf_dir, files):
+# the streaming twins of one table read the same copy.
+_REPLAYS: dict[tuple, str] = {}
+
+
+def _replay_path(spark, key, build):
+    path = _REPLAYS.get(key)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path) if path else None
+    if jpath is None or not jpath.getFileSystem(
+            spark._jsc.hadoopConfiguration()).exists(jpath):
+        path = _REPLAYS[key] = build()
+    return path
+
+
 def _events_stream(spark, sf, n_files=3):
     """The events table as a stream of ``n_files`` time-ordered files, then
     one end-of-stream row far in the future that pushes the watermark past
@@ -398,7 +412,8 @@ def _events_stream(spark, sf, n_files=3):
     e = _events(spark, sf)
     end = spark.createDataFrame(
         [(-1, _dt.datetime(9999, 12, 31), -1, _END_TYPE, 0.0, "{}")], e.schema)
-    path = write_replay_files(e, "ts", n_files, end_rows=end)
+    path = _replay_path(spark, ("events", sf, n_files),
+                        lambda: write_replay_files(e, "ts", n_files, end_rows=end))
     return replay_stream(spark, path, e.schema)
 
 
@@ -458,9 +473,10 @@ def q_stream_sync_arrival(spark, sf):
                     F.array_join(F.transform("items", _item_text), "|").alias("values_text"))
 
 
-def _payload_stream(spark, sf):
+def _payload_stream(spark, sf, n_files=3):
     p = _payloads(spark, sf)
-    path = write_replay_files(p, "arrival_ts", 3)
+    path = _replay_path(spark, ("payloads", sf, n_files),
+                        lambda: write_replay_files(p, "arrival_ts", n_files))
     return replay_stream(spark, path, p.schema)
 
 
