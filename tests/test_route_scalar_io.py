@@ -224,3 +224,47 @@ def test_whitespace_matches_python_split(spark):
         assert r["st"] == t.strip(), repr(t)
         assert r["f"] == (t.split()[0] if t.split() else ""), repr(t)
         assert r["one"] == (len(t.split()) == 1), repr(t)
+
+
+def test_path_join_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    part = st.text(alphabet="ab/.", max_size=4)
+    cases = []
+
+    @settings(max_examples=300, database=None)
+    @given(st.lists(part, min_size=1, max_size=5))
+    def collect(parts):
+        cases.append(parts)
+
+    collect()
+    df = spark.createDataFrame([(p,) for p in cases], "p array<string>")
+    got = [r[0] for r in df.select(path_join("p")).collect()]
+    assert got == [os.path.join(*p) for p in cases]
+
+
+def test_as_int_property(spark):
+    import re
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    texts = []
+
+    @settings(max_examples=400, database=None)
+    @given(st.text(alphabet=" +-0123456789._\t", max_size=8))
+    def collect(t):
+        texts.append(t)
+
+    collect()
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(as_int("t")).collect()]
+
+    def py_int(t):  # int() of a byte string without digit separators (no '_')
+        if "_" in t or not re.fullmatch(r"\s*[+-]?[0-9]+\s*", t):
+            return None
+        v = int(t)
+        return v if -2**63 <= v < 2**63 else None
+
+    assert got == [py_int(t) for t in texts]
