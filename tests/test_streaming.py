@@ -122,3 +122,17 @@ def test_stream_payloads_twice_fire_twice(spark):
     st = replay_stream(spark, path, p2.schema)
     g = run_to_table(stream_job_output(st, "graphid", arrival=["arrival"]), "t-twice").collect()
     assert sorted(r["fire"] for r in g) == [1, 2]
+
+
+def test_stream_late_rows_are_dropped(spark):
+    # the third file holds a row older than everything already applied
+    df = _events(spark, "n100 n110 n0").withColumn(
+        "order", F.when(F.col("id") == 2, F.lit(3)).otherwise(F.col("id")))
+    end = spark.createDataFrame([("__end__", END, False, -1, 0)], SCHEMA).withColumn(
+        "order", F.lit(10))
+    path = write_replay_files(df, "order", 3, end_rows=end)
+    st = replay_stream(spark, path, df.schema)
+    s = stream_sessions_with_final(st, "k", "ts", 30, tiebreak="id",
+                                   end_marker=F.col("k") == "__end__")
+    got = [r["n_events"] for r in run_to_table(s, "t-late").collect()]
+    assert got == [2]

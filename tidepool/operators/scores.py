@@ -78,6 +78,7 @@ def total_score(events: DataFrame, field: str = "user") -> DataFrame:
 
 def user_score(lines: DataFrame, line: str = "value", as_list: bool = False,
                observation: Observation | None = None) -> DataFrame:
-    """Lines -> parsed events (rejects counted) -> scores per user."""
+    """Lines -> parsed events -> scores per user; rejects are counted on
+    ``observation`` when one is given."""
     events = parse_game_event(lines, line=line, observation=observation)
     return scores_by_field(events, "user", as_list=as_list)

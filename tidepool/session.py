@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,16 +51,20 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     A cluster must name a folder every executor can reach; the library never
-    invents a machine-local one there. Only when nothing is configured (local
-    tests) is ``fallback`` installed as the session's checkpoint folder.
+    invents a machine-local one there. Only when nothing is configured and
+    the session is local (tests, a laptop) is ``fallback`` - or a fresh
+    temporary folder - installed as the session's checkpoint folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
+    if fallback is None and sc.master.startswith("local"):
+        # a single-machine session: every "executor" shares this disk
+        fallback = tempfile.mkdtemp(prefix="tidepool-ckpt-")
     if fallback is None:
         raise RuntimeError(
-            "spark.checkpoint.dir is not set; configure a shared folder")
+            "spark.checkpoint.dir is not set; configure a folder all executors share")
     sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir() or fallback
 
