@@ -268,3 +268,32 @@ def test_as_int_property(spark):
         return v if -2**63 <= v < 2**63 else None
 
     assert got == [py_int(t) for t in texts]
+
+
+def test_key_by(spark):
+    from tidepool.functions.scalar import key_by
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    got = key_by(df, F.col("x") * 10).collect()
+    assert [tuple(r) for r in got] == [(10, 1, "a"), (20, 2, "b")]
+    assert key_by(df, "y", keep=False).columns == ["key"]
+
+
+def test_paced_sequence_stream(spark, tmp_dir):
+    import time
+    s = generate_sequence(spark, start=5, stop=8, streaming=True, rows_per_second=50)
+    q = (s.writeStream.format("parquet").option("path", tmp_dir + "/out")
+          .option("checkpointLocation", tmp_dir + "/ck").trigger(processingTime="1 second")
+          .start())
+    deadline = time.time() + 60
+    try:
+        while time.time() < deadline:
+            time.sleep(1)
+            try:
+                got = sorted({r["value"] for r in spark.read.parquet(tmp_dir + "/out").collect()})
+            except Exception:  # no file written yet
+                got = []
+            if got == [5, 6, 7]:
+                break
+    finally:
+        q.stop()
+    assert got == [5, 6, 7]
