@@ -6,7 +6,6 @@ import os
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidepool.functions.parse import first_word_more, parse_json_payload, split_ws
 from tidepool.functions.scalar import (as_float, as_int, decode_utf8, encode_bytes,

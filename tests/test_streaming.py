@@ -136,3 +136,29 @@ def test_stream_late_rows_are_dropped(spark):
                                    end_marker=F.col("k") == "__end__")
     got = [r["n_events"] for r in run_to_table(s, "t-late").collect()]
     assert got == [2]
+
+
+def test_stream_messages_to_lines(spark, tmp_dir):
+    """Messages read as a stream, event time from an attribute, words out as
+    text lines through a checkpointed stream sink."""
+    import os
+
+    from tidepool.functions.scalar import format_pair
+    from tidepool.sinks import with_attributes, write_lines, write_messages
+    from tidepool.sources.files import read_lines
+    from tidepool.sources.messages import event_time_from_attribute, read_messages
+
+    src = spark.createDataFrame([("hello world", "1447679463000"), ("solo", "1447679464000")],
+                                "d string, ts string")
+    write_messages(with_attributes(src, F.col("d"), timestamp=F.col("ts")),
+                   path=os.path.join(tmp_dir, "in"))
+    msgs = event_time_from_attribute(read_messages(spark, os.path.join(tmp_dir, "in")),
+                                     watermark="1 minute")
+    words = msgs.select(format_pair(F.col("data").cast("string"),
+                                    F.unix_millis("event_time")).alias("value"))
+    q = write_lines(words, os.path.join(tmp_dir, "out"),
+                    checkpoint=os.path.join(tmp_dir, "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(r["value"] for r in read_lines(spark, os.path.join(tmp_dir, "out", "*.txt"))
+                 .collect())
+    assert got == ["hello world: 1447679463000", "solo: 1447679464000"]

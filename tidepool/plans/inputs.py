@@ -98,9 +98,6 @@ def keyed_branches(events: DataFrame) -> list[DataFrame]:
             for t in BRANCH_TYPES]
 
 
-JOB_OF_STATUS = {"F": 0, "O": 1}
-
-
 def payloads_from_lineitem(lineitem: DataFrame, outputs: int = 2) -> DataFrame:
     """Work payloads: an order is a graph, its line statuses (F -> job 0,
     O -> job 1) are jobs, its lines are tasks. A job declares as many tasks
