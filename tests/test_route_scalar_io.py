@@ -296,3 +296,13 @@ def test_paced_sequence_stream(spark, tmp_dir):
     finally:
         q.stop()
     assert got == [5, 6, 7]
+
+
+def test_kafka_without_connector_says_so(spark):
+    from tidepool.sources.messages import kafka_to_messages, read_kafka
+    try:
+        df = read_kafka(spark, "localhost:9", "t")
+    except RuntimeError as e:
+        assert "Kafka connector" in str(e)
+    else:  # a connector is installed: the mapping to messages still applies
+        assert kafka_to_messages(df).columns == ["data", "attributes", "publish_time"]

@@ -57,7 +57,15 @@ def read_kafka(spark: SparkSession, bootstrap_servers: str, topics: str,
           .option("includeHeaders", "true"))
     for k, v in (options or {}).items():
         r = r.option(k, v)
-    return r.load()
+    try:
+        return r.load()
+    except Exception as e:  # the connector is a separate artifact
+        if "kafka" in str(e).lower() and "data source" in str(e).lower():
+            raise RuntimeError(
+                "Spark's Kafka connector is not on the classpath: add the "
+                "spark-sql-kafka-0-10 artifact matching this Spark version "
+                "(spark.jars.packages or --packages)") from e
+        raise
 
 
 def kafka_to_messages(records: DataFrame) -> DataFrame:
