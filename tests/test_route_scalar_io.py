@@ -306,3 +306,11 @@ def test_kafka_without_connector_says_so(spark):
         assert "Kafka connector" in str(e)
     else:  # a connector is installed: the mapping to messages still applies
         assert kafka_to_messages(df).columns == ["data", "attributes", "publish_time"]
+
+
+def test_fan_out_materialized(spark):
+    from tidepool.operators.route import fan_out
+    df = spark.range(10)
+    a, b = fan_out(df, lambda d: d.where("id < 3"), lambda d: d.where("id >= 7"),
+                   materialize=True)
+    assert a.count() == 3 and b.count() == 3

@@ -92,10 +92,15 @@ def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] =
 def job_output_all_levels(payloads: DataFrame, arrival: Sequence[str],
                           scope: str = "graph", partitions: int | None = None) -> DataFrame:
     """Task, job and graph outputs of one feed, as one DataFrame with a
-    ``level`` column (absent keys NULL; ``fire`` NULL for tasks)."""
+    ``level`` column (absent keys NULL; ``fire`` NULL for tasks). The feed
+    is written once and the three levels read it (``fan_out``)."""
+    from tidepool.operators.route import fan_out
+    levels = (TASK, JOB, GRAPH)
+    outs = fan_out(payloads, *[
+        (lambda lv: lambda src: job_output(src, lv, arrival, scope, partitions))(lv)
+        for lv in levels], materialize=True)
     parts = []
-    for level in (TASK, JOB, GRAPH):
-        out = job_output(payloads, level, arrival, scope, partitions)
+    for level, out in zip(levels, outs):
         cols = []
         for c, t in ((GRAPH, "int"), (JOB, "int"), (TASK, "int"), ("fire", "bigint"),
                      ("n_payloads", "bigint")):

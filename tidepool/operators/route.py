@@ -206,9 +206,20 @@ def count_where(df: DataFrame, observation: Observation | str, **conditions: Col
 
 
 def fan_out(df: DataFrame, *branches: Callable[[DataFrame], DataFrame],
-            persist: bool = False) -> list[DataFrame]:
-    """Feed the same rows to several branches. With ``persist`` the shared
-    input is cached once (useful when it is costly and read by several
-    actions); within one plan Spark already reuses shared exchanges."""
-    src = df.persist() if persist else df
+            persist: bool = False, materialize: bool = False) -> list[DataFrame]:
+    """Feed the same rows to several branches.
+
+    By default each branch plans the shared input again (Spark reuses
+    shared exchanges within one plan). ``materialize`` writes the input once
+    as a Parquet table under the session's checkpoint folder and feeds every
+    branch from it - each branch then reads only the columns it uses, and
+    the lineage is cut. ``persist`` caches it instead (for repeated actions
+    in one session; release it with ``unpersist``)."""
+    if materialize:
+        from tidepool.session import scratch_path
+        path = scratch_path(df.sparkSession, "fan-out")
+        df.write.parquet(path)
+        src = df.sparkSession.read.parquet(path)
+    else:
+        src = df.persist() if persist else df
     return [b(src) for b in branches]
