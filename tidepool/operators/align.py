@@ -60,22 +60,38 @@ def sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "value",
     ``src`` field of each item is set). ``mode``: ``synced`` / ``shortest``
     keep complete rows only; ``longest`` also keeps incomplete ones (absent
     values NULL) - a definition of ours, the reference leaves it open.
+    When the inputs are slices of one table, tag it once and call
+    :func:`sync_tagged` instead (one scan instead of N).
     """
     if not isinstance(inputs, (list, tuple)) or not inputs:
         raise ValueError("sync needs a non-empty list or tuple of DataFrames")
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
-    if match not in MATCHES:
-        raise ValueError(f"match must be one of {MATCHES}")
     spark = inputs[0].sparkSession
     for d in inputs:
         if d.sparkSession is not spark:
             raise ValueError("all inputs must belong to one SparkSession")
         require_columns(d, key, value, *order, where="sync input")
-    n = len(inputs)
+    return sync_tagged(_tagged(inputs, key, value, list(order)), len(inputs), order=order,
+                       match=match, mode=mode, partitions=partitions)
+
+
+def sync_tagged(tagged: DataFrame, n_inputs: int, order: Sequence[str] = ("arrival_ts",
+                "arrival_id"), match: str = "occurrence", mode: str = "synced",
+                partitions: int | None = None) -> DataFrame:
+    """:func:`sync` over one DataFrame that carries all inputs: columns
+    ``key``, ``src`` (input index ``0 .. n_inputs-1``), ``value_0 ..
+    value_{n_inputs-1}`` (only ``value_<src>`` set) and the ``order``
+    columns."""
+    if n_inputs <= 0:
+        raise ValueError("sync needs at least one input")
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    if match not in MATCHES:
+        raise ValueError(f"match must be one of {MATCHES}")
+    n = n_inputs
     order = list(order)
-    u = _tagged(inputs, key, value, order)
     vals = [f"value_{j}" for j in range(n)]
+    require_columns(tagged, "key", "src", *vals, *order, where="sync_tagged")
+    u = tagged
     if match == "occurrence":
         # hash on key alone: the numbering window and the grouping by
         # (key, occurrence) then share one shuffle

@@ -76,28 +76,48 @@ def messages_from_events(events: DataFrame) -> DataFrame:
 BRANCH_TYPES = ("click", "view", "purchase", "signup", "error")
 
 
+def _branch_values():
+    from tidepool.functions.scalar import value_range
+    return {
+        "click": F.floor("value").cast("bigint"),
+        "view": _s("event_id"),
+        "purchase": F.col("value"),
+        "signup": value_range(F.floor("value")),
+        "error": F.col("props"),
+    }
+
+
 def keyed_branches(events: DataFrame) -> list[DataFrame]:
     """One keyed input ``(key, value, arrival_ts, arrival_id)`` per event
     type, keyed by user, with the value types of the reference's branches:
     click -> int (floor of value), view -> string (event id), purchase ->
     double (value), signup -> list of ints (``range(floor(value))``), error
     -> string (the props text). Every event is in exactly one input."""
-    from tidepool.functions.scalar import value_range
     base = events.select(F.col("user_id").alias("key"), "event_type", "value", "props",
                          "event_id", F.col("ts").alias("arrival_ts"),
                          F.col("event_id").alias("arrival_id"))
-    values = {
-        "click": F.floor("value").cast("bigint"),
-        "view": _s("event_id"),
-        "purchase": F.col("value"),
-        "signup": value_range(F.floor("value")),
-        "error": F.col("props"),
-    }
+    values = _branch_values()
     return [base.where(F.col("event_type") == t)
                 .select("key", values[t].alias("value"), "arrival_ts", "arrival_id")
             for t in BRANCH_TYPES]
 
 
+def tagged_branches(events: DataFrame) -> DataFrame:
+    """The same inputs as :func:`keyed_branches`, as one source-tagged
+    DataFrame for ``sync_tagged``: one scan of the table instead of one per
+    input. ``src`` is the index of the event type in ``BRANCH_TYPES``."""
+    values = _branch_values()
+    et = F.col("event_type")
+    src = F.lit(None).cast("int")
+    for i, t in reversed(list(enumerate(BRANCH_TYPES))):
+        src = F.when(et == t, F.lit(i)).otherwise(src)
+    return (events.select(F.col("user_id").alias("key"), src.alias("src"),
+                          *[F.when(et == t, values[t]).alias(f"value_{i}")
+                            for i, t in enumerate(BRANCH_TYPES)],
+                          F.col("ts").alias("arrival_ts"), F.col("event_id").alias("arrival_id"))
+                  .where(F.col("src").isNotNull()))
+
+
 def payloads_from_lineitem(lineitem: DataFrame, outputs: int = 2) -> DataFrame:
     """Work payloads: an order is a graph, its line statuses (F -> job 0,
     O -> job 1) are jobs, its lines are tasks. A job declares as many tasks

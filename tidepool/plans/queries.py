@@ -18,7 +18,7 @@ from tidepool.functions.scalar import (as_float, as_int, as_str, decode_utf8, en
                                        format_pair, format_score, multiply, path_join,
                                        split_tokens, timestamp_text, value_range,
                                        with_event_time)
-from tidepool.operators.align import flatten, sync
+from tidepool.operators.align import flatten, sync_tagged
 from tidepool.operators.completion import job_output, job_output_all_levels
 from tidepool.operators.route import (dead_letter, errors, fail_on_value, filter_by_attributes,
                                       row_budget_guard, split_threshold, tap)
@@ -27,7 +27,7 @@ from tidepool.operators.sessions import (fixed_windows, session_windows,
                                          sessions_with_final, to_global_window)
 from tidepool.plans import inputs as I
 from tidepool.streaming.operators import (stream_job_output, stream_session_totals,
-                                          stream_sessions_with_final, stream_sync)
+                                          stream_sessions_with_final, stream_sync_tagged)
 from tidepool.streaming.replay import replay_stream, run_to_table, write_replay_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,8 +154,11 @@ def q_first_word_more(spark, sf):
 
 # --- alignment --------------------------------------------------------------
 
-def _branches(spark, sf):
-    return I.keyed_branches(_events(spark, sf))
+def _tagged(spark, sf):
+    return I.tagged_branches(_events(spark, sf))
+
+
+_N_BRANCHES = len(I.BRANCH_TYPES)
 
 
 def _occurrence_view(df):
@@ -175,14 +178,15 @@ def _item_text(x):
 def q_sync_occurrence(spark, sf):
     """n-th click, view, purchase, signup and error event of each user as
     one row."""
-    return _occurrence_view(sync(_branches(spark, sf), match="occurrence"))
+    return _occurrence_view(sync_tagged(_tagged(spark, sf), _N_BRANCHES, match="occurrence"))
 
 
 @register("sync_longest")
 def q_sync_longest(spark, sf):
     """Like sync_occurrence, incomplete rows kept (absent values NULL; the
     numbers are rendered as text so NULLs survive the value hash)."""
-    o = _occurrence_view(sync(_branches(spark, sf), match="occurrence", mode="longest"))
+    o = _occurrence_view(sync_tagged(_tagged(spark, sf), _N_BRANCHES, match="occurrence",
+                                     mode="longest"))
     return o.select("key", "occurrence", F.col("value_0").cast("string").alias("value_0"),
                     "value_1", F.col("value_2_cents").cast("string").alias("value_2_cents"),
                     F.col("value_3_size").cast("string").alias("value_3_size"), "value_4")
@@ -191,7 +195,7 @@ def q_sync_longest(spark, sf):
 @register("sync_arrival")
 def q_sync_arrival(spark, sf):
     """Every five consecutive arrivals of a user as one row."""
-    s = sync(_branches(spark, sf), match="arrival")
+    s = sync_tagged(_tagged(spark, sf), _N_BRANCHES, match="arrival")
     return s.select("key", "group",
                     F.array_join(F.transform("items", lambda x: x["src"].cast("string")), ",")
                      .alias("srcs"),
@@ -454,21 +458,21 @@ def q_stream_session_totals(spark, sf):
     return t.groupBy("user_id").agg(last.alias("t")).select("user_id", "t.*")
 
 
-def _stream_branches(spark, sf):
+def _stream_tagged(spark, sf):
     st = _events_stream(spark, sf).where(~_is_end())
-    return I.keyed_branches(st)
+    return I.tagged_branches(st)
 
 
 @register("stream_sync_occurrence")
 def q_stream_sync_occurrence(spark, sf):
-    s = stream_sync(_stream_branches(spark, sf), match="occurrence")
+    s = stream_sync_tagged(_stream_tagged(spark, sf), _N_BRANCHES, match="occurrence")
     return _occurrence_view(run_to_table(s, "stream-sync-occurrence"))
 
 
 @register("stream_sync_arrival")
 def q_stream_sync_arrival(spark, sf):
-    s = run_to_table(stream_sync(_stream_branches(spark, sf), match="arrival"),
-                     "stream-sync-arrival")
+    s = run_to_table(stream_sync_tagged(_stream_tagged(spark, sf), _N_BRANCHES,
+                                        match="arrival"), "stream-sync-arrival")
     return s.select("key", "group", "srcs",
                     F.array_join(F.transform("items", _item_text), "|").alias("values_text"))
 

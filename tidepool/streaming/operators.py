@@ -77,7 +77,8 @@ def stream_sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "val
                 match: str = "occurrence") -> DataFrame:
     """Keyed alignment of several streams; arrival order is processing order
     (within a micro-batch, ``order``). occurrence: ``(key, occurrence,
-    value_0..)``; arrival: ``(key, group, srcs, items)``."""
+    value_0..)``; arrival: ``(key, group, srcs, items)``. When the streams
+    are slices of one stream, tag it once and use :func:`stream_sync_tagged`."""
     if not isinstance(inputs, (list, tuple)) or not inputs:
         raise ValueError("stream_sync needs a non-empty list of streaming DataFrames")
     n = len(inputs)
@@ -85,17 +86,30 @@ def stream_sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "val
     parts = []
     for i, d in enumerate(inputs):
         require_columns(d, key, value, *order, where="stream_sync input")
-        a_ts = F.col(order[0])
-        a_ts = F.unix_micros(a_ts.cast("timestamp")) if isinstance(
-            d.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)) else a_ts
         vals = [(F.col(value) if j == i else F.lit(None).cast(types[j])).alias(f"value_{j}")
                 for j in range(n)]
-        parts.append(d.select(F.col(key).alias("key"), F.lit(i).alias("src"),
-                              a_ts.cast("long").alias("arr_ts"),
-                              F.col(order[1]).cast("long").alias("arr_id"), *vals))
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    vfields = [T.StructField(f"value_{j}", types[j]) for j in range(n)]
-    kf = T.StructField("key", inputs[0].schema[key].dataType)
+        parts.append(d.select(F.col(key).alias("key"), F.lit(i).alias("src"), *vals,
+                              *[F.col(c) for c in order]))
+    return stream_sync_tagged(reduce(lambda a, b: a.unionByName(b), parts), n, order, match)
+
+
+def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
+                       order: Sequence[str] = ("arrival_ts", "arrival_id"),
+                       match: str = "occurrence") -> DataFrame:
+    """:func:`stream_sync` over one stream carrying all inputs: ``key``,
+    ``src``, ``value_0 .. value_{n-1}`` and the ``order`` columns."""
+    n = n_inputs
+    vals = [f"value_{j}" for j in range(n)]
+    require_columns(tagged, "key", "src", *vals, *order, where="stream_sync_tagged")
+    types = [tagged.schema[v].dataType for v in vals]
+    a_ts = F.col(order[0])
+    if isinstance(tagged.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
+        a_ts = F.unix_micros(a_ts.cast("timestamp"))
+    u = tagged.select("key", F.col("src").cast("int").alias("src"),
+                      a_ts.cast("long").alias("arr_ts"),
+                      F.col(order[1]).cast("long").alias("arr_id"), *vals)
+    vfields = [T.StructField(v, t) for v, t in zip(vals, types)]
+    kf = T.StructField("key", tagged.schema["key"].dataType)
     if match == "occurrence":
         out = T.StructType([kf, T.StructField("occurrence", T.LongType())] + vfields)
     else:
