@@ -104,7 +104,12 @@ if __name__ == "__main__":
     extra = {"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
     if os.environ.get("HOT_KEY_ROWS"):  # e.g. 0 forces the range-partitioned scan
         extra["tidepool.hotKeyRows"] = os.environ["HOT_KEY_ROWS"]
-    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
+    if os.environ.get("PLAIN_SESSION"):  # a session without the library's defaults
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     res = compare(spark, sf, names)
     bad = [k for k, v in res.items() if not (v == "ok" or v.startswith("rows-only"))]
     print(f"{len(res) - len(bad)}/{len(res)} passed; failing: {bad}")

@@ -20,6 +20,18 @@ from tidepool.streaming.processors import (CompletionProcessor, FinalSessionProc
                                            SessionTotalsProcessor, SyncProcessor)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _use_rocksdb(df: DataFrame) -> None:
+    """transformWithState keeps several state variables per key and needs
+    the RocksDB state store; select it on the session if another provider
+    is configured (it applies to queries started from now on)."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
 def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
@@ -68,6 +80,7 @@ def stream_sessions_with_final(stream: DataFrame, keys: str | Sequence[str], eve
         T.StructField("session_end_us", T.LongType()), T.StructField("closed", T.BooleanType()),
         T.StructField("n_events", T.LongType()), T.StructField("value_cents", T.LongType())])
     gap_us = int(round(gap_seconds * 1_000_000))
+    _use_rocksdb(prepared)
     return prepared.groupBy(*ks).transformWithState(
         FinalSessionProcessor(ks, gap_us, lone_final), out, "Append", "EventTime")
 
@@ -118,6 +131,7 @@ def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
                             T.StructField("srcs", T.StringType()),
                             T.StructField("items", T.ArrayType(item))])
     ddl = [t.simpleString() for t in types]
+    _use_rocksdb(u)
     return u.groupBy("key").transformWithState(
         SyncProcessor(n, ddl, match), out, "Append", "None")
 
@@ -141,6 +155,7 @@ def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence
     out = T.StructType(_fields(payloads, ks) + [
         T.StructField("fire", T.LongType()), T.StructField("n_payloads", T.LongType()),
         T.StructField("outputs", T.ArrayType(T.StringType()))])
+    _use_rocksdb(prepared)
     return prepared.groupBy(*ks).transformWithState(
         CompletionProcessor(ks, len(arrival)), out, "Append", "None")
 
@@ -163,5 +178,6 @@ def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_ti
         T.StructField("n_sessions", T.LongType()), T.StructField("n_events", T.LongType()),
         T.StructField("longest_session", T.LongType()), T.StructField("value_cents", T.LongType())])
     gap_us = int(round(gap_seconds * 1_000_000))
+    _use_rocksdb(prepared)
     return prepared.groupBy(*ks).transformWithState(
         SessionTotalsProcessor(ks, gap_us), out, "Append", "EventTime")
