@@ -175,8 +175,12 @@ def test_timestamps_text(spark):
 
 
 def test_format_pair(spark):
-    df = spark.createDataFrame([("w", [True, False])], "k string, v array<boolean>")
-    assert df.select(format_pair(F.col("k"), F.col("v"), "array<boolean>")).first()[0] == "w: [true, false]"
+    df = spark.createDataFrame([("w", [True, False], ["a", "b"], True)],
+                               "k string, v array<boolean>, s array<string>, b boolean")
+    r = df.select(format_pair(F.col("k"), F.col("v"), "array<boolean>"),
+                  format_pair(F.col("k"), F.col("s"), "array<string>"),
+                  format_pair(F.col("k"), F.col("b"), "boolean")).first()
+    assert tuple(r) == ("w: %s" % [True, False], "w: %s" % ["a", "b"], "w: True")
 
 
 def test_sources(spark):

@@ -83,26 +83,37 @@ def assign_event_time(df: DataFrame, millis: str | None = None, seconds: str | N
     return df.withColumn(out, t)
 
 
-def _py_text(c: Column, dtype: str) -> Column:
-    """Text of a value as Python 2 ``%s`` renders it (lists as ``[a, b]``)."""
-    if dtype.startswith("array"):
-        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")),
-                                                 ", "), F.lit("]"))
+def _py_scalar(c: Column, dtype: str, in_list: bool) -> Column:
     if dtype == "boolean":
         return F.when(c, F.lit("True")).otherwise(F.lit("False"))
+    if dtype == "string" and in_list:  # list elements print as repr: 'abc'
+        return F.concat(F.lit("'"), c, F.lit("'"))
     return c.cast("string")
 
 
+def _py_text(c: Column, dtype: str) -> Column:
+    """Text of a value as Python's ``%s`` renders it: lists as ``[a, b]``
+    with their elements' repr (``'text'``, ``True``), booleans as
+    ``True``/``False``."""
+    if dtype.startswith("array<"):
+        inner = dtype[len("array<"):-1]
+        return F.concat(F.lit("["), F.array_join(
+            F.transform(c, lambda x: _py_scalar(x, inner, True)), ", "), F.lit("]"))
+    return _py_scalar(c, dtype, False)
+
+
 def format_score(key, value, value_type: str | None = None) -> Column:
     """``'user: %s, total_score: %s' % (key, value)``; ``value`` may be a
-    number or a list (arrays render as ``[a, b, c]``)."""
+    number or a list (give ``value_type``, e.g. ``"array<bigint>"``; arrays
+    render as ``[a, b, c]``)."""
     v = _c(value)
     return F.concat(F.lit("user: "), _c(key).cast("string"), F.lit(", total_score: "),
                     _py_text(v, value_type or ""))
 
 
 def format_pair(key, value, value_type: str | None = None) -> Column:
-    """``'%s: %s' % (key, value)``."""
+    """``'%s: %s' % (key, value)``; give ``value_type`` (e.g.
+    ``"array<boolean>"``) for booleans and lists."""
     return F.concat(_c(key).cast("string"), F.lit(": "), _py_text(_c(value), value_type or ""))
 
 
