@@ -162,3 +162,22 @@ def test_stream_messages_to_lines(spark, tmp_dir):
     got = sorted(r["value"] for r in read_lines(spark, os.path.join(tmp_dir, "out", "*.txt"))
                  .collect())
     assert got == ["hello world: 1447679463000", "solo: 1447679464000"]
+
+
+def test_stream_sync_longest_flushes_at_end(spark):
+    from tidepool.streaming.operators import stream_sync_tagged
+    rows = [("k1", 0, 1, None, T0 + dt.timedelta(seconds=1), 0),
+            ("k1", 1, None, "x", T0 + dt.timedelta(seconds=2), 1),
+            ("k2", 0, 7, None, T0 + dt.timedelta(seconds=3), 2),
+            ("k1", 0, 3, None, T0 + dt.timedelta(seconds=4), 3),
+            (None, None, None, None, END, 4)]
+    df = spark.createDataFrame(rows, "key string, src int, value_0 bigint, value_1 string, "
+                                     "arrival_ts timestamp_ntz, arrival_id long")
+    path = write_replay_files(df, "arrival_ts", 2)
+    st = replay_stream(spark, path, df.schema)
+    s = stream_sync_tagged(st, 2, mode="longest", end_marker=F.col("src").isNull())
+    got = sorted((r["key"], r["occurrence"], r["value_0"], r["value_1"])
+                 for r in run_to_table(s, "t-longest").collect())
+    assert got == [("k1", 1, 1, "x"), ("k1", 2, 3, None), ("k2", 1, 7, None)]
+    with pytest.raises(ValueError):
+        stream_sync_tagged(st, 2, mode="longest")

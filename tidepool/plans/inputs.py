@@ -102,10 +102,12 @@ def keyed_branches(events: DataFrame) -> list[DataFrame]:
             for t in BRANCH_TYPES]
 
 
-def tagged_branches(events: DataFrame) -> DataFrame:
+def tagged_branches(events: DataFrame, keep_other: bool = False) -> DataFrame:
     """The same inputs as :func:`keyed_branches`, as one source-tagged
     DataFrame for ``sync_tagged``: one scan of the table instead of one per
-    input. ``src`` is the index of the event type in ``BRANCH_TYPES``."""
+    input. ``src`` is the index of the event type in ``BRANCH_TYPES``;
+    ``keep_other`` keeps rows of other types with a NULL ``src`` (end of
+    stream markers)."""
     values = _branch_values()
     et = F.col("event_type")
     src = F.lit(None).cast("int")
@@ -115,7 +117,7 @@ def tagged_branches(events: DataFrame) -> DataFrame:
                           *[F.when(et == t, values[t]).alias(f"value_{i}")
                             for i, t in enumerate(BRANCH_TYPES)],
                           F.col("ts").alias("arrival_ts"), F.col("event_id").alias("arrival_id"))
-                  .where(F.col("src").isNotNull()))
+                  .where(F.lit(keep_other) | F.col("src").isNotNull()))
 
 
 def payloads_from_lineitem(lineitem: DataFrame, outputs: int = 2) -> DataFrame:

@@ -287,6 +287,7 @@ for _stream, _batch in {"stream_final_sessions": "sessions_with_final",
                         "stream_session_totals": "sessions_to_global",
                         "stream_sync_occurrence": "sync_occurrence",
                         "stream_sync_arrival": "sync_arrival",
+                        "stream_sync_longest": "sync_longest",
                         "stream_job_output_job": "job_output_job",
                         "stream_job_output_graph": "job_output_graph"}.items():
     ORACLES[_stream] = ORACLES[_batch]

@@ -477,6 +477,20 @@ def q_stream_sync_arrival(spark, sf):
                     F.array_join(F.transform("items", _item_text), "|").alias("values_text"))
 
 
+@register("stream_sync_longest")
+def q_stream_sync_longest(spark, sf):
+    """sync_longest on a stream: incomplete rows are emitted when the end of
+    stream marker moves the watermark to the end."""
+    st = I.tagged_branches(_events_stream(spark, sf), keep_other=True)
+    s = run_to_table(stream_sync_tagged(st, _N_BRANCHES, match="occurrence", mode="longest",
+                                        end_marker=F.col("src").isNull()),
+                     "stream-sync-longest")
+    o = _occurrence_view(s)
+    return o.select("key", "occurrence", F.col("value_0").cast("string").alias("value_0"),
+                    "value_1", F.col("value_2_cents").cast("string").alias("value_2_cents"),
+                    F.col("value_3_size").cast("string").alias("value_3_size"), "value_4")
+
+
 def _payload_stream(spark, sf, n_files=3):
     p = _payloads(spark, sf)
     path = _replay_path(spark, ("payloads", sf, n_files),

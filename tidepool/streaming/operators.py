@@ -106,14 +106,32 @@ def stream_sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "val
     return stream_sync_tagged(reduce(lambda a, b: a.unionByName(b), parts), n, order, match)
 
 
+# Event time at which the watermark means "end of stream" (an end marker
+# row carries a later time): year 9999, as far as Python datetimes reach.
+END_OF_STREAM_MS = 253370764800000
+
+
 def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
                        order: Sequence[str] = ("arrival_ts", "arrival_id"),
-                       match: str = "occurrence") -> DataFrame:
+                       match: str = "occurrence", mode: str = "synced",
+                       end_marker: Column | None = None) -> DataFrame:
     """:func:`stream_sync` over one stream carrying all inputs: ``key``,
-    ``src``, ``value_0 .. value_{n-1}`` and the ``order`` columns."""
+    ``src``, ``value_0 .. value_{n-1}`` and the ``order`` columns.
+
+    ``mode``: ``synced`` / ``shortest`` emit complete rows only.
+    ``longest`` also emits the incomplete rest of each key at the end of the
+    stream: the first ``order`` column is then the event time (watermark
+    without delay), and ``end_marker`` flags rows that end the stream.
+    """
+    if mode not in ("synced", "shortest", "longest"):
+        raise ValueError("mode must be 'synced', 'shortest' or 'longest'")
+    if mode == "longest" and end_marker is None:
+        raise ValueError("mode='longest' needs an end_marker to know the stream ended")
     n = n_inputs
     vals = [f"value_{j}" for j in range(n)]
     require_columns(tagged, "key", "src", *vals, *order, where="stream_sync_tagged")
+    if mode == "longest":
+        tagged = _prepare_event_time(tagged, order[0], "0 seconds", end_marker)
     types = [tagged.schema[v].dataType for v in vals]
     a_ts = F.col(order[0])
     if isinstance(tagged.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -132,6 +150,10 @@ def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
                             T.StructField("items", T.ArrayType(item))])
     ddl = [t.simpleString() for t in types]
     _use_rocksdb(u)
+    if mode == "longest":
+        return u.groupBy("key").transformWithState(
+            SyncProcessor(n, ddl, match, flush_at_ms=END_OF_STREAM_MS), out, "Append",
+            "EventTime")
     return u.groupBy("key").transformWithState(
         SyncProcessor(n, ddl, match), out, "Append", "None")
 

@@ -176,7 +176,8 @@ class SyncProcessor(StatefulProcessor):
     input has one. ``arrival``: emits every N consecutive arrivals.
     """
 
-    def __init__(self, n_inputs: int, value_ddl: list[str], match: str = "occurrence"):
+    def __init__(self, n_inputs: int, value_ddl: list[str], match: str = "occurrence",
+                 flush_at_ms: int | None = None):
         if n_inputs <= 0:
             raise ValueError("need at least one input")
         if match not in ("occurrence", "arrival"):
@@ -184,8 +185,12 @@ class SyncProcessor(StatefulProcessor):
         self.n = n_inputs
         self.value_ddl = value_ddl
         self.match = match
+        # "longest": when the watermark reaches flush_at_ms (the end of the
+        # stream), pending values are emitted as incomplete rows
+        self.flush_at_ms = flush_at_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         cols = ", ".join(f"value_{i} {t}" for i, t in enumerate(self.value_ddl))
         self.pending = handle.getListState("pending", f"src int, a_ts long, a_id long, {cols}")
         self.emitted = handle.getValueState("emitted", "n long, held long")
@@ -220,9 +225,34 @@ class SyncProcessor(StatefulProcessor):
             self.pending.clear()
         if rest:
             self.pending.put(rest)
+            if self.flush_at_ms is not None and not held:
+                self.handle.registerTimer(self.flush_at_ms)
         self.emitted.update((done, len(rest)))
         return iter(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """End of stream: what is still pending forms incomplete rows."""
+        e = self.emitted.get()
+        if e is None or not e[1]:
+            return iter(())
+        done = e[0]
+        pend = list(self.pending.get())
+        vals = [f"value_{i}" for i in range(self.n)]
+        out = []
+        if self.match == "occurrence":
+            queues = [[r for r in pend if r[0] == i] for i in range(self.n)]
+            for j in range(max(len(q) for q in queues)):
+                out.append(_row(["key", "occurrence", *vals], (key[0], done + j + 1, *[
+                    queues[i][j][3 + i] if j < len(queues[i]) else None
+                    for i in range(self.n)])))
+        else:
+            out.append(_row(["key", "group", "srcs", "items"], (
+                key[0], done + 1, ",".join(str(r[0]) for r in pend),
+                [_row(["src", *vals], (r[0], *r[3:])) for r in pend])))
+        self.pending.clear()
+        self.emitted.update((done + len(out), 0))
+        return iter(out)
+
     def close(self) -> None:
         pass
 
