@@ -181,3 +181,22 @@ def test_stream_sync_longest_flushes_at_end(spark):
     assert got == [("k1", 1, 1, "x"), ("k1", 2, 3, None), ("k2", 1, 7, None)]
     with pytest.raises(ValueError):
         stream_sync_tagged(st, 2, mode="longest")
+
+
+def test_stream_user_score_golden(spark):
+    """The reference's streaming replay of the 9 golden lines."""
+    from tests.test_scores import GOLDEN
+    from tidepool.functions.parse import parse_game_event
+    from tidepool.streaming.operators import stream_group_values
+    from tidepool.streaming.replay import run_updates_to_table
+    lines = spark.createDataFrame([(line, i) for i, line in enumerate(GOLDEN)],
+                                  "value string, i long")
+    path = write_replay_files(lines, "i", 3)
+    st = replay_stream(spark, path, lines.schema)
+    runs = run_updates_to_table(stream_group_values(parse_game_event(st), "user", "score"),
+                                ["user", "score"], "t-golden")
+    got = {}
+    for r in runs.collect():
+        got.setdefault(r["user"], []).extend([r["score"]] * r["n"])
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "user1": [14, 18, 18], "user2": [2], "user3": [3, 5, 8], "user4": [2, 5]}

@@ -19,12 +19,13 @@ def _s(c) -> "F.Column":
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
 
-def game_lines(events: DataFrame) -> DataFrame:
+def game_lines(events: DataFrame, *extra: str) -> DataFrame:
     """One CSV line per event: ``user<id>,team<id % 10>,<floor(value)>,<epoch
     ms>,<readable time>``. Lines are damaged or varied by ``event_id % 50``:
     0 empty, 1 two fields, 2 score ``n.5``, 3 score ``n_0``, 4 time ``t<ms>``
     (rejects); 5 score with spaces, 6 score with ``+``, 7 user quoted with a
-    comma (accepted)."""
+    comma (accepted). ``extra`` columns of the events are kept beside the
+    line (e.g. ``ts`` to replay the lines in time order)."""
     user = F.concat(F.lit("user"), _s("user_id"))
     team = F.concat(F.lit("team"), _s(F.col("user_id") % 10))
     score = _s(F.floor("value").cast("bigint"))
@@ -44,7 +45,7 @@ def game_lines(events: DataFrame) -> DataFrame:
               .when(d == 6, line(s=F.concat(F.lit("+"), score)))
               .when(d == 7, line(u=F.concat(F.lit('"'), user, F.lit(',x"'))))
               .otherwise(line()))
-    return events.select(value.alias("value"))
+    return events.select(value.alias("value"), *extra)
 
 
 def event_time_ts(events: DataFrame) -> DataFrame:

@@ -288,6 +288,8 @@ for _stream, _batch in {"stream_final_sessions": "sessions_with_final",
                         "stream_sync_occurrence": "sync_occurrence",
                         "stream_sync_arrival": "sync_arrival",
                         "stream_sync_longest": "sync_longest",
+                        "stream_user_scores_sorted": "user_scores_sorted",
+                        "stream_fixed_windows_count": "fixed_windows_count",
                         "stream_job_output_job": "job_output_job",
                         "stream_job_output_graph": "job_output_graph"}.items():
     ORACLES[_stream] = ORACLES[_batch]

@@ -26,9 +26,11 @@ from tidepool.operators.scores import scores_by_field, total_score, user_score
 from tidepool.operators.sessions import (fixed_windows, session_windows,
                                          sessions_with_final, to_global_window)
 from tidepool.plans import inputs as I
-from tidepool.streaming.operators import (stream_job_output, stream_session_totals,
+from tidepool.streaming.operators import (stream_fixed_window_counts, stream_group_values,
+                                          stream_job_output, stream_session_totals,
                                           stream_sessions_with_final, stream_sync_tagged)
-from tidepool.streaming.replay import replay_stream, run_to_table, write_replay_files
+from tidepool.streaming.replay import (replay_stream, run_to_table, run_updates_to_table,
+                                       write_replay_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -508,3 +510,28 @@ def q_stream_job_output_job(spark, sf):
 def q_stream_job_output_graph(spark, sf):
     s = stream_job_output(_payload_stream(spark, sf), "graphid", arrival=I.PAYLOAD_ARRIVAL)
     return _fired_view(run_to_table(s, "stream-job-output-graph"), ["graphid"])
+
+
+
+@register("stream_user_scores_sorted")
+def q_stream_user_scores_sorted(spark, sf):
+    """user_scores_sorted on a stream of game lines: parsed on the stream,
+    counted per (user, score) by a stateful streaming aggregation in update
+    mode; the latest count of every run."""
+    lines = I.game_lines(_events(spark, sf), "ts")
+    path = _replay_path(spark, ("game-lines", sf, 3),
+                        lambda: write_replay_files(lines, "ts", 3))
+    st = replay_stream(spark, path, lines.schema)
+    counts = stream_group_values(parse_game_event(st), "user", "score")
+    return run_updates_to_table(counts, ["user", "score"], "stream-user-scores")
+
+
+@register("stream_fixed_windows_count")
+def q_stream_fixed_windows_count(spark, sf):
+    """fixed_windows_count on a stream: windows appended as the watermark
+    passes them."""
+    s = stream_fixed_window_counts(_events_stream(spark, sf), "ts", 5, keys=["event_type"],
+                                   end_marker=_is_end())
+    t = run_to_table(s, "stream-fixed-windows")
+    return t.select(F.unix_micros(F.col("window.start")).alias("window_start_us"),
+                    "event_type", "n")

@@ -203,3 +203,23 @@ def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_ti
     _use_rocksdb(prepared)
     return prepared.groupBy(*ks).transformWithState(
         SessionTotalsProcessor(ks, gap_us), out, "Append", "EventTime")
+
+
+def stream_group_values(stream: DataFrame, keys: str | Sequence[str], value: str) -> DataFrame:
+    """Values per key on a stream as ``(keys..., value, n)`` runs (the
+    batch ``group_values``): a stateful streaming aggregation, partial
+    counts combined before the shuffle, state in the state store. Run it in
+    ``update`` mode (e.g. ``replay.run_updates_to_table``)."""
+    ks = _keys(keys)
+    require_columns(stream, *ks, value, where="stream_group_values")
+    return stream.groupBy(*ks, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_fixed_window_counts(stream: DataFrame, event_time: str, size_seconds: float,
+                               keys: Sequence[str] = (), watermark: str = "0 seconds",
+                               end_marker: Column | None = None) -> DataFrame:
+    """Rows per tumbling window (and keys) on a stream, ``(window, keys...,
+    n)``, appended once the watermark passes the window's end."""
+    s = _prepare_event_time(stream, event_time, watermark, end_marker)
+    w = F.window(event_time, f"{int(size_seconds * 1e6)} microseconds")
+    return s.groupBy(w.alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"))

@@ -69,3 +69,30 @@ def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
     if q.exception() is not None:
         raise RuntimeError(f"streaming query failed: {q.exception()}")
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_updates_to_table(stream: DataFrame, key_cols: list[str], name: str = "updates") -> DataFrame:
+    """Run an aggregating stream in ``update`` mode until drained: every
+    micro-batch appends its changed rows, tagged with the batch id, to a
+    Parquet table; the result keeps the latest row of each key. A re-run
+    micro-batch writes the same rows again under the same id, so the result
+    does not change."""
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_tp_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(write)
+               .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"streaming query failed: {q.exception()}")
+    fields = [c for c in stream.columns if c not in key_cols]
+    try:
+        rows = spark.read.parquet(out)
+    except Exception:  # nothing was written: no rows
+        return spark.createDataFrame([], stream.schema)
+    latest = F.max_by(F.struct(*fields), "_tp_batch").alias("_tp_last")
+    return rows.groupBy(*key_cols).agg(latest).select(*key_cols, "_tp_last.*")
