@@ -45,10 +45,31 @@ HOT_KEY_ROWS = 1_000_000
 _RN, _SEQ, _PID, _T, _FIN = "_tp_rn", "_tp_seq", "_tp_pid", "_tp_t", "_tp_final"
 
 
+# Upper bound on range partitions chosen from the size estimate.
+MAX_SCAN_PARTITIONS = 1_000_000
+
+
+def _parse_bytes(text: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    t = text.strip().lower().rstrip("b") or "0"
+    return int(float(t[:-1]) * units[t[-1]]) if t[-1] in units else int(t)
+
+
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
+    """Range partitions for the scan: as given, else enough for the plan's
+    size estimate at AQE's advisory partition size (never fewer than
+    ``spark.sql.shuffle.partitions``, at most ``MAX_SCAN_PARTITIONS``).
+    A fixed count would leave partitions of hundreds of GB at 100 TB."""
     if partitions:
         return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = df.sparkSession.conf
+    base = int(conf.get("spark.sql.shuffle.partitions"))
+    target = _parse_bytes(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no estimate: keep the configured count
+        return base
+    return max(base, min(MAX_SCAN_PARTITIONS, -(-size // max(target, 1))))
 
 
 def _as_cols(cols) -> list[Column]:
