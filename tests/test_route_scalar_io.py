@@ -318,3 +318,29 @@ def test_fan_out_materialized(spark):
     a, b = fan_out(df, lambda d: d.where("id < 3"), lambda d: d.where("id >= 7"),
                    materialize=True)
     assert a.count() == 3 and b.count() == 3
+
+
+def test_count_where_counters(spark):
+    from tidepool.operators.route import count_where
+    obs = Observation("c")
+    df = count_where(spark.range(10), obs, evens=F.col("id") % 2 == 0, big=F.col("id") > 7)
+    assert df.count() == 10
+    assert obs.get == {"evens": 5, "big": 2}
+
+
+def test_message_strings_and_event_time_columns(spark, tmp_dir):
+    from tidepool.functions.scalar import assign_event_time, with_event_time
+    from tidepool.sources.messages import read_message_strings
+    path = os.path.join(tmp_dir, "m")
+    src = spark.createDataFrame([("héllo",)], "d string")
+    write_messages(with_attributes(src, F.col("d")), path=path)
+    assert [r["value"] for r in read_message_strings(spark, path, streaming=False).collect()] \
+        == ["héllo"]
+    df = spark.createDataFrame([(1447679463000, 1447679463.5)], "ms long, s double")
+    r = (assign_event_time(df, millis="ms").transform(lambda d: with_event_time(d, "event_time"))
+         .select(F.unix_millis("event_time"), "is_end").first())
+    assert tuple(r) == (1447679463000, False)
+    r2 = assign_event_time(df, seconds="s").select(F.unix_millis("event_time")).first()[0]
+    assert r2 == 1447679463500
+    with pytest.raises(ValueError):
+        assign_event_time(df)
