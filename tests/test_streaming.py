@@ -200,3 +200,27 @@ def test_stream_user_score_golden(spark):
         got.setdefault(r["user"], []).extend([r["score"]] * r["n"])
     assert {k: sorted(v) for k, v in got.items()} == {
         "user1": [14, 18, 18], "user2": [2], "user3": [3, 5, 8], "user4": [2, 5]}
+
+
+def test_stream_dead_letter_and_tap(spark):
+    """Row-level operators run unchanged on a stream: the dead-letter split
+    and a tap whose counts appear in the query's progress."""
+    from tidepool.operators.route import dead_letter, errors, tap
+
+    def fail_on_five(x):
+        if x == 5:
+            raise ValueError("I hate 5!")
+
+    df = spark.range(10).withColumnRenamed("id", "item")
+    path = write_replay_files(df, "item", 2)
+    st = tap(replay_stream(spark, path, df.schema), "items")
+    out = dead_letter(st, fail_on_five, ["item"], initial_delay=0.0)
+    q = (out.writeStream.format("memory").queryName("dl_test").trigger(availableNow=True)
+            .start())
+    q.awaitTermination()
+    rows = spark.table("dl_test")
+    assert rows.count() == 10
+    assert [r["item"] for r in errors(rows).collect()] == [5]
+    seen = sum(p["observedMetrics"]["items"]["items_rows"] for p in q.recentProgress
+               if p.get("observedMetrics", {}).get("items"))
+    assert seen == 10

@@ -7,7 +7,10 @@ rows; grouping, shuffling, checkpointing and recovery are Spark's. The Row
 interface is used (not the pandas one): a key's rows per micro-batch are
 few, and per-key pandas frames cost several times more than the fold.
 Every state access is a round trip to the state store, so each processor
-reads and writes its state once per key and call where it can.
+reads and writes its state once per key and call where it can. A key's new
+rows of one micro-batch are held in memory together; bound micro-batches on
+the source (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``) so that a hot
+key's share of one batch stays small.
 """
 
 from __future__ import annotations
