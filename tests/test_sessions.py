@@ -36,6 +36,10 @@ def _sessions(df, gap=30, partitions=None):
     ("n0 n10 F20 n25 n40", [(0, 3, True, 20), (25, 2, False, 45)]),
     ("n0 n30", [(0, 1, False, 30), (30, 1, False, 30)]),
     ("F0 n10", [(0, 1, True, 0), (10, 1, False, 30)]),
+    # two finals: the first closes, the second is a lone one
+    ("n0 F10 F15", [(0, 2, True, 10), (15, 1, True, 0)]),
+    # two finals at the same instant close two sessions
+    ("n0 F5 F5", [(0, 2, True, 5), (5, 1, True, 0)]),
 ])
 def test_sessions_with_final_fixtures(spark, spec, expected):
     got = _sessions(_final_rows(spark, spec))
