@@ -122,3 +122,16 @@ def test_fixed_windows(spark):
     w = fixed_windows(df, "ts", 5)
     got = sorted(int(r["window"]["start"].timestamp()) for r in w.collect())
     assert got == [0, 0, 5, 10]
+
+
+def test_ordered_scan_splits_a_group_of_copies(spark):
+    # a third of the rows are identical copies: same key, same time
+    rows = [(0, 5)] * 600 + [(k, t) for k in range(1, 40) for t in range(30)]
+    df = spark.createDataFrame(rows, "k long, t long")
+    out = number_rows(df, ["k"], ["t"], partitions=6, hot_key_rows=0)
+    got = out.where("k = 0").agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()
+    assert tuple(got) == (1, 600, 600)
+    per_part = (df.withColumn("_tp_tie", F.monotonically_increasing_id())
+                  .repartitionByRange(6, "k", "t", "_tp_tie")
+                  .groupBy(F.spark_partition_id()).count().collect())
+    assert max(r["count"] for r in per_part) < 600  # the copies span partitions

@@ -43,6 +43,7 @@ EDGE_BROADCAST_MAX_ROWS = 200_000
 HOT_KEY_ROWS = 1_000_000
 
 _RN, _SEQ, _PID, _T, _FIN = "_tp_rn", "_tp_seq", "_tp_pid", "_tp_t", "_tp_final"
+_TIE = "_tp_tie"
 
 
 # Upper bound on range partitions chosen from the size estimate.
@@ -158,6 +159,12 @@ def _range_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
     edge summary reads only the few columns it needs from it.
     """
     with_t = gap_us is not None
+    # Rows equal on every sort column would all fall into one range
+    # partition (a group of copies can be a third of the data); a row id as
+    # the last sort column lets the sampler cut such a group too. The scan's
+    # output is written once, so the ids are read once.
+    work = work.withColumn(_TIE, F.monotonically_increasing_id())
+    sort_cols = list(sort_cols) + [F.col(_TIE)]
     ranged = work.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
     row_schema = T.StructType(ranged.schema.fields + [
         T.StructField(_RN, T.LongType(), False),
@@ -210,7 +217,7 @@ def _range_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
         F.col(k).eqNullSafe(F.col(sk)) for k, sk in zip(keys, skeys)]
     joined = rows.join(seg, cond, "left")
     return joined.select(
-        *work.columns,
+        *[c for c in work.columns if c != _TIE],
         (F.col(_RN) + F.coalesce(F.col("_rn_off"), F.lit(0))).alias(_RN),
         (F.col(_SEQ) + F.coalesce(F.col("_seq_off"), F.lit(0))).alias(_SEQ),
     )
