@@ -278,14 +278,22 @@ class CompletionProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", "seen long, fired long, paths array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        rows = sorted(rows, key=lambda r: tuple(r[c] for c in self.arr))
+        rows = list(rows)
+        if not rows:
+            return iter(())
+        # positions, not names: Row lookups by name scan the field list
+        fields = rows[0].__fields__
+        ia = [fields.index(c) for c in self.arr]
+        ie, io = fields.index("expected"), fields.index("output")
+        if len(rows) > 1:
+            rows.sort(key=lambda r: tuple(r[i] for i in ia))
         st = self.state.get()
         seen, fired, paths = (st[0], st[1], list(st[2] or [])) if st is not None else (0, 0, [])
         out = []
         for r in rows:
             seen += 1
-            paths.extend(r["output"] or [])
-            exp = r["expected"]
+            paths.extend(r[io] or [])
+            exp = r[ie]
             if exp is not None and seen == exp:
                 fired += 1
                 out.append(_row(self.names, (*key, fired, seen, paths)))
