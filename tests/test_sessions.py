@@ -135,3 +135,13 @@ def test_ordered_scan_splits_a_group_of_copies(spark):
                   .repartitionByRange(6, "k", "t", "_tp_tie")
                   .groupBy(F.spark_partition_id()).count().collect())
     assert max(r["count"] for r in per_part) < 600  # the copies span partitions
+
+
+def test_ordered_scan_edge_table_without_broadcast(spark, monkeypatch):
+    import tidepool.operators.ordered as ordered
+    monkeypatch.setattr(ordered, "EDGE_BROADCAST_MAX_ROWS", 0)
+    rows = [(k % 3, i) for i, k in enumerate(range(300))] + [(0, 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t long")
+    a = number_rows(df, ["k"], ["t"], partitions=5, hot_key_rows=0)
+    b = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t")))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
