@@ -171,7 +171,8 @@ def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence
         return payloads.select(GRAPH, JOB, TASK, F.col("output").alias("outputs"))
     ks = level_keys(level, scope)
     # the arrival columns travel as arr0, arr1, ...; the processor sorts on them
-    # (names with a leading underscore do not survive the trip into pandas)
+    # (names with a leading underscore arrived renamed _1, _2, ... in the
+    # Python worker)
     acols = [F.col(c).alias(f"arr{i}") for i, c in enumerate(arrival)]
     prepared = payloads.select(*ks, *acols, declared_parts(level).alias("expected"), "output")
     out = T.StructType(_fields(payloads, ks) + [
