@@ -132,13 +132,15 @@ def payloads_from_lineitem(lineitem: DataFrame, outputs: int = 2) -> DataFrame:
     li = lineitem.withColumn("jobid", job.cast("int"))
     # Declared task counts: an aggregate (partial sums map-side) with at most
     # two entries per order, joined back on the order key (AQE splits a hot
-    # order's partition on the lineitem side).
+    # order's partition on the lineitem side). Every order has its entry, so
+    # a left join gives the same rows - and lets Catalyst drop the join from
+    # plans that read no declared column.
     declared = (li.groupBy("l_orderkey", "jobid")
                   .agg(F.max("l_linenumber").alias("_ntasks"))
                   .groupBy("l_orderkey")
                   .agg(F.map_from_entries(F.array_sort(F.collect_list(
                       F.struct(F.col("jobid").cast("string"), F.col("_ntasks"))))).alias("jobtasks")))
-    li = li.join(declared, "l_orderkey")
+    li = li.join(declared, "l_orderkey", "left")
     graph = F.col("l_orderkey")
     task = F.col("l_linenumber")
     out = F.transform(F.sequence(F.lit(0), F.lit(outputs - 1)), lambda i: F.concat(
