@@ -281,6 +281,28 @@ ORACLES: dict[str, str] = {
         FROM events""",
 }
 
+ORACLES["word_sessions"] = f"""
+    WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents),
+    l AS (SELECT doc_id, generate_subscripts(arr, 1) - 1 AS line_no, unnest(arr) AS line FROM a),
+    w AS (SELECT doc_id, line_no,
+                 list_filter(string_split_regex(
+                     regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+'),
+                     lambda x: x <> '') AS words
+          FROM l),
+    o AS (SELECT words[1] AS word, len(words) <> 1 AS fin,
+                 (doc_id * 3600 + line_no) * 1000000 AS t, doc_id * 1000000 + line_no AS tb
+          FROM w WHERE len(words) > 0),
+    g AS (SELECT *, lag(t) OVER x AS pt, lag(fin) OVER x AS pf FROM o
+          WINDOW x AS (PARTITION BY word ORDER BY t, fin, tb)),
+    b AS (SELECT *, CAST(sum(CASE WHEN pt IS NULL OR pf OR t - pt >= 30000000 THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY word ORDER BY t, fin, tb
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_seq
+          FROM g)
+    SELECT word, session_seq, min(t) AS session_start_us,
+           CASE WHEN bool_or(fin) THEN max(t) ELSE max(t) + 30000000 END AS session_end_us,
+           bool_or(fin) AS closed, count(*) AS n_events
+    FROM b GROUP BY word, session_seq"""
+
 # Streaming twins are checked against the SQL of their batch twins.
 for _stream, _batch in {"stream_final_sessions": "sessions_with_final",
                         "stream_sessions": "sessions_strict",

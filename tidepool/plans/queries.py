@@ -535,3 +535,18 @@ def q_stream_fixed_windows_count(spark, sf):
     t = run_to_table(s, "stream-fixed-windows")
     return t.select(F.unix_micros(F.col("window.start")).alias("window_start_us"),
                     "event_type", "n")
+
+
+@register("word_sessions")
+def q_word_sessions(spark, sf):
+    """The word-count experiment over documents: first word and 'more' flag
+    per line, then per-word sessions with a 30 s gap, closed by a final
+    (a line with more than one word). Line time: document i at hour i, its
+    lines one second apart."""
+    lines = I.document_lines(I.table(spark, sf, "documents"))
+    words = (first_word_more(lines, "line")
+             .withColumn("et", F.timestamp_seconds(F.col("doc_id") * 3600 + F.col("line_no")))
+             .withColumn("tb", F.col("doc_id") * 1_000_000 + F.col("line_no")))
+    s = sessions_with_final(words, "word", "et", 30, is_final=~F.col("more"), tiebreak=["tb"])
+    return s.select("word", "session_seq", _us("session_start").alias("session_start_us"),
+                    _us("session_end").alias("session_end_us"), "closed", "n_events")
