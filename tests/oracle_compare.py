@@ -1,7 +1,7 @@
 """Run registered queries with Spark and their oracles with DuckDB, compare.
 
-Comparison as the driver describes it: columns sorted by name, row count,
-and the multiset of rows. Usage: ``python tests/oracle_compare.py [sf_dir]
+Comparison as the driver describes it: columns sorted by name, column
+types, row count, and the multiset of rows. Usage: ``python tests/oracle_compare.py [sf_dir]
 [name ...]``.
 """
 
@@ -45,6 +45,21 @@ def _rows(pdf):
     return cols, sorted(rows, key=repr)
 
 
+# DuckDB result types as Spark names them (for the schema part of the check)
+_DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string",
+                  "BOOLEAN": "boolean", "DOUBLE": "double"}
+
+
+def _type_mismatches(spark_df, rel) -> list[str]:
+    duck = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in spark_df.schema.fields:
+        d = duck.get(f.name, "MISSING")
+        if _DUCK_TO_SPARK.get(d, d) != f.dataType.simpleString():
+            out.append(f"{f.name}: {f.dataType.simpleString()} vs {d}")
+    return out
+
+
 def duck(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -61,7 +76,8 @@ def compare(spark, sf_dir, names=None, verbose=True):
     for name in names or sorted(qs):
         t0 = time.time()
         try:
-            got = qs[name](spark, sf_dir).toPandas()
+            sdf = qs[name](spark, sf_dir)
+            got = sdf.toPandas()
         except Exception as e:  # report and continue
             results[name] = f"spark error: {str(e).splitlines()[0][:300]}"
             if verbose:
@@ -74,7 +90,9 @@ def compare(spark, sf_dir, names=None, verbose=True):
                 print(f"{name:32s} rows-only {len(got)} rows  {ts:.1f}s")
             continue
         try:
-            exp = con.execute(sql[name]).df()
+            rel = con.sql(sql[name])
+            types_bad = _type_mismatches(sdf, rel)
+            exp = rel.df()
         except Exception as e:
             results[name] = f"oracle error: {str(e).splitlines()[0][:300]}"
             if verbose:
@@ -82,8 +100,10 @@ def compare(spark, sf_dir, names=None, verbose=True):
             continue
         gc, gr = _rows(got)
         ec, er = _rows(exp)
-        ok = gc == ec and gr == er
+        ok = gc == ec and gr == er and not types_bad
         msg = "ok" if ok else "MISMATCH"
+        if types_bad:
+            msg += f" types {types_bad}"
         if not ok:
             if gc != ec:
                 msg += f" cols {gc} vs {ec}"

@@ -89,7 +89,7 @@ def _fired(keys: str, expected: str, join: str, select_keys: str) -> str:
                      row_number() OVER (PARTITION BY {", ".join("li." + k.strip() for k in keys.split(","))}
                                         ORDER BY {", ".join("li." + c.strip() for c in _ARRIVAL.split(","))}) AS rn
               FROM li JOIN {join}),
-        g AS (SELECT {keys}, (rn - 1) // expected + 1 AS fire, count(*) AS n,
+        g AS (SELECT {keys}, CAST((rn - 1) // expected + 1 AS BIGINT) AS fire, count(*) AS n,
                      max(expected) AS expected, string_agg(paths, '|' ORDER BY rn) AS outputs_text
               FROM p GROUP BY {keys}, fire)
         SELECT {select_keys}, fire, n AS n_payloads, CAST(2 * n AS BIGINT) AS n_outputs, outputs_text
