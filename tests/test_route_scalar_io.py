@@ -344,3 +344,17 @@ def test_message_strings_and_event_time_columns(spark, tmp_dir):
     assert r2 == 1447679463500
     with pytest.raises(ValueError):
         assign_event_time(df)
+
+
+def test_tap_sample_batch_and_stream(spark, tmp_dir):
+    from tidepool.operators.route import tap_sample
+    from tidepool.streaming.replay import replay_stream, write_replay_files
+    seen = []
+    tap_sample(spark.range(100), "ids", n=3, log=seen.append)
+    assert len(seen) == 3 and seen[0].startswith("ids: Row(")
+    df = spark.range(10).withColumnRenamed("id", "i")
+    st = replay_stream(spark, write_replay_files(df, "i", 2), df.schema)
+    w = tap_sample(st, "stream", n=2, log=seen.append)
+    q = w.option("checkpointLocation", tmp_dir + "/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(1 for x in seen if x.startswith("stream[")) == 4  # 2 batches x 2 rows

@@ -31,7 +31,7 @@ from tidepool.operators.ordered import number_rows, number_sessions  # noqa: E40
 from tidepool.operators.route import (attribute_predicate, count_where,  # noqa: E402,F401
                                       dead_letter, dead_letter_expr, errors, fail_on_value,
                                       fan_out, filter_by_attributes, retry_call, routes,
-                                      row_budget_guard, split_threshold, tap)
+                                      row_budget_guard, split_threshold, tap, tap_sample)
 from tidepool.operators.scores import (group_values, merge_sorted,  # noqa: E402,F401
                                        scores_by_field, total_score, user_score)
 from tidepool.operators.sessions import (assign_sessions, fixed_windows,  # noqa: E402,F401

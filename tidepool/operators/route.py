@@ -199,6 +199,26 @@ def tap(df: DataFrame, name: str, observation: Observation | None = None,
     return df.observe(obs, F.count(F.lit(1)).alias(f"{name}_rows"), *metrics)
 
 
+def tap_sample(df: DataFrame, name: str, n: int = 20, log=None):
+    """Show up to ``n`` rows under ``name`` without changing anything: a
+    batch DataFrame is logged now (``take(n)``); a stream returns a writer
+    whose every micro-batch logs its first ``n`` rows (``foreachBatch``;
+    start it next to the real sink). Only ``n`` rows ever reach the driver.
+    ``log`` defaults to the ``tidepool.tap`` logger."""
+    import logging
+    log = log or logging.getLogger(f"tidepool.tap.{name}").info
+    if not df.isStreaming:
+        for row in df.take(n):
+            log(f"{name}: {row!r}")
+        return None
+
+    def show(batch: DataFrame, batch_id: int) -> None:
+        for row in batch.take(n):
+            log(f"{name}[{batch_id}]: {row!r}")
+
+    return df.writeStream.foreachBatch(show)
+
+
 def count_where(df: DataFrame, observation: Observation | str, **conditions: Column) -> DataFrame:
     """Named counters beside the data: ``count_where(df, obs,
     num_parse_errors=col('reason').isNotNull())``."""
