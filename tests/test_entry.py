@@ -22,3 +22,9 @@ def test_every_query_has_an_oracle():
 def test_batch_query_matches_oracle(spark, name):
     res = compare(spark, SMOKE, [name], verbose=False)
     assert res[name] == "ok", res[name]
+
+
+@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n.startswith("stream_")))
+def test_stream_query_matches_oracle(spark, name):
+    res = compare(spark, SMOKE, [name], verbose=False)
+    assert res[name] == "ok", res[name]
