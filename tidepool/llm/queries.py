@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm.byte_bpe import byte_bpe
 from tidepool.llm.packing import pack_documents
+from tidepool.llm.quality_gbt import quality_scores
+from tidepool.llm.quality_rules import quality_rules
 from tidepool.llm.token_count import token_counts
 
 
@@ -24,6 +26,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op4_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"),
                     public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -33,6 +43,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
+    "op4_quality_gbt": op4_quality_gbt,
+    "op10_quality_rules": op10_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
 }
 
