@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepool.llm.byte_bpe import byte_bpe
+from tidepool.llm.chat import (PART, flatten_parts, format_conversations, masked_text,
+                               parse_formatted)
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.quality_gbt import quality_scores
 from tidepool.llm.quality_rules import quality_rules
@@ -40,11 +43,39 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                     public_tokenizers.PATTERN)
 
 
+# Fixed value: both texts of the added conversation -7.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"))
+    part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"),
+                    *[F.lit(None).alias(c) for c in ("ref", "width", "height", "seconds", "pages")])
+    turns = rows.union(extra).select("conv_id", "turn", "role",
+                                     F.array(part.cast(PART)).alias("parts"))
+    out = format_conversations(flatten_parts(turns)).withColumns({
+        "turns": parse_formatted(F.col("formatted")),
+        "loss_text": masked_text(F.col("formatted"), F.col("loss"))})
+    shown = F.array_join(F.transform("turns", lambda t: F.concat(
+        t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(shown.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op4_quality_gbt": op4_quality_gbt,
     "op10_quality_rules": op10_quality_rules,
+    "op9_chat_format": op9_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
 }
 
