@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from tidepool.llm.byte_bpe import byte_bpe
 from tidepool.llm.chat import (PART, flatten_parts, format_conversations, masked_text,
                                parse_formatted)
+from tidepool.llm.oracles import ORACLES  # noqa: F401
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.quality_gbt import quality_scores
 from tidepool.llm.quality_rules import quality_rules
 from tidepool.llm.token_count import token_counts
+from tidepool.llm.warc import resolve_revisits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,46 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                     public_tokenizers.PATTERN)
 
 
+def capture_records(pages: DataFrame) -> DataFrame:
+    """Stand-in input of op6: per page a response record and a revisit record
+    of the same page under another spelling of its URL, at other times, with
+    an entity tag, only a date, another tag or no validator."""
+    n = F.col("page_id")
+    first = (n * 7919) % 1000003
+    again = first + F.pmod(n * 31, F.lit(9)) * 3600 - 3600
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.col("html").cast("binary")), 1, 12), F.lit('"'))
+    modified = F.concat(F.lit("day "), (n % 50).cast("string"))
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    response = pages.select(
+        F.concat(F.lit("r"), n).alias("record_id"), F.lit("response").alias("record_type"), "url",
+        at(first).alias("captured_at"), F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), modified,
+                     F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"),
+                     first.cast("string")).alias("headers"), F.col("html").alias("payload"))
+    revisit = pages.select(
+        F.concat(F.lit("v"), n).alias("record_id"), F.lit("revisit").alias("record_type"),
+        F.concat(F.regexp_replace("url", "^https?://", "HTTP://www."), F.lit("#again"))
+        .alias("url"),
+        at(again).alias("captured_at"), F.lit(304).alias("status"),
+        F.when(n % 4 < 2, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"),
+                                       again.cast("string"), F.lit("content-length"), F.lit("0")))
+        .when(n % 8 == 2, F.create_map(F.lit("ETag"), F.lit('"changed"')))
+        .when(n % 4 == 2, F.create_map(F.lit("last-modified"), modified, F.lit("cache-control"),
+                                       F.lit("max-age=60")))
+        .otherwise(F.create_map(F.lit("date"), again.cast("string"))).alias("headers"),
+        F.lit(None).cast("string").alias("payload"))
+    return response.unionByName(revisit)
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(capture_records(_table(spark, sf_dir, "pages")))
+    shown = F.array_join(F.transform("headers", lambda h: F.concat_ws(
+        ": ", h["name"], h["value"])), "\n")
+    return out.select("record_id", "url_key", F.unix_micros("captured_at").alias("captured_us"),
+                      "resolution", "resolved_id", "status", shown.alias("headers"),
+                      "payload_sha256", "payload_bytes")
+
+
 # Fixed value: both texts of the added conversation -7.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -75,8 +117,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_quality_gbt": op4_quality_gbt,
     "op10_quality_rules": op10_quality_rules,
+    "op6_warc_revisits": op6_warc_revisits,
     "op9_chat_format": op9_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
 }
-
-ORACLES: dict[str, str] = {}
