@@ -80,4 +80,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-ORACLES = {"op6_warc_revisits": OP6, "op9_chat_format": OP9}
+OP8 = r"""
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT a AS node, a AS seen FROM links UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen),
+comps AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+  coalesce(component_id, e.vec_id) AS component_id,
+  coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN comps ON node = e.vec_id LEFT JOIN counts ON a = e.vec_id
+"""
+
+ORACLES = {"op8_embedding_near_dedup": OP8, "op6_warc_revisits": OP6, "op9_chat_format": OP9}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.byte_bpe import byte_bpe
 from tidepool.llm.chat import (PART, flatten_parts, format_conversations, masked_text,
                                parse_formatted)
+from tidepool.llm.embedding_join import embedding_near_duplicates
 from tidepool.llm.oracles import ORACLES  # noqa: F401
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.quality_gbt import quality_scores
@@ -85,6 +86,10 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "payload_sha256", "payload_bytes")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"), bound=0.93)
+
+
 # Fixed value: both texts of the added conversation -7.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op4_quality_gbt": op4_quality_gbt,
     "op10_quality_rules": op10_quality_rules,
     "op6_warc_revisits": op6_warc_revisits,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_chat_format": op9_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
 }
