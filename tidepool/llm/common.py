@@ -165,6 +165,51 @@ def _hash_group(group: list[bytes]) -> list[np.ndarray]:
     return [h[e - len(w):e] for e, w in zip(ends, words)]
 
 
+# --- links in a block ----------------------------------------------------------
+
+class Forest:
+    """Union-find over the vectors or documents of a block; links are given
+    as boolean matrices and only a spanning forest of them comes out."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = int(parent[i])
+        return int(i)
+
+    def join(self, rows: np.ndarray, cols: np.ndarray, linked: np.ndarray) -> None:
+        """Unite member ``rows[i]`` with ``cols[j]`` wherever ``linked[i, j]``."""
+        r = np.flatnonzero(linked.any(axis=1))
+        if not len(r):
+            return
+        c = np.flatnonzero(linked.any(axis=0))
+        rows, cols, linked = rows[r], cols[c], linked[np.ix_(r, c)]
+        none = len(self.parent)
+        # the smallest label in reach, passed to and fro until it settles
+        row_label = np.array([self.root(i) for i in rows.tolist()])
+        col_label = np.array([self.root(i) for i in cols.tolist()])
+        while True:
+            to_col = np.minimum(col_label, np.where(linked, row_label[:, None], none).min(axis=0))
+            to_row = np.minimum(row_label, np.where(linked, to_col[None, :], none).min(axis=1))
+            if (to_col == col_label).all() and (to_row == row_label).all():
+                break
+            row_label, col_label = to_row, to_col
+        for i, label in zip([*rows.tolist(), *cols.tolist()],
+                            [*row_label.tolist(), *col_label.tolist()]):
+            x, y = self.root(i), self.root(label)
+            self.parent[max(x, y)] = min(x, y)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Members that are not roots, and their roots."""
+        root = np.array([self.root(i) for i in range(len(self.parent))], dtype=np.int64)
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return member, root[member]
+
+
 # --- tables ------------------------------------------------------------------
 
 def written(df: DataFrame, name: str) -> DataFrame:

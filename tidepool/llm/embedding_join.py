@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import labelled_components, small, written
+from tidepool.llm.common import Forest, labelled_components, small, written
 
 # Principal axes of the grid, and the vectors (documented bound) they are fitted on.
 AXES, FIT_VECTORS = 4, 4_000
@@ -161,7 +161,7 @@ class _Joined:
         self.vectors = np.concatenate([np.frombuffer(s["vectors"], np.float64)
                                        .reshape(s["n"], -1) for s in sides])
         self.count = np.zeros(len(self.reps), dtype=np.int64)
-        self.parent = np.arange(len(self.reps))
+        self.forest = Forest(len(self.reps))
         if b is None:
             self.inside(0, a["n"])
         else:
@@ -202,37 +202,14 @@ class _Joined:
         self.count[alo:ahi] += linked @ self.weights[blo:bhi]
         if alo != blo:
             self.count[blo:bhi] += self.weights[alo:ahi] @ linked
-        # smallest label in reach, within this product; then into the forest
-        rows = np.flatnonzero(linked.any(axis=1))
-        cols = np.flatnonzero(linked.any(axis=0))
-        part = linked[np.ix_(rows, cols)]
-        none = len(self.reps)
-        row_label = np.array([self.root(i) for i in alo + rows])
-        col_label = np.array([self.root(i) for i in blo + cols])
-        while True:
-            to_col = np.minimum(col_label, np.where(part, row_label[:, None], none).min(axis=0))
-            to_row = np.minimum(row_label, np.where(part, to_col[None, :], none).min(axis=1))
-            if (to_col == col_label).all() and (to_row == row_label).all():
-                break
-            row_label, col_label = to_row, to_col
-        for i, label in zip(np.concatenate([alo + rows, blo + cols]).tolist(),
-                            np.concatenate([row_label, col_label]).tolist()):
-            x, y = self.root(i), self.root(label)
-            self.parent[max(x, y)] = min(x, y)
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = int(self.parent[i])
-        return int(i)
+        self.forest.join(np.arange(alo, ahi), np.arange(blo, bhi), linked)
 
     def rows(self) -> pa.Table:
-        root = np.array([self.root(i) for i in range(len(self.reps))])
         hit = np.flatnonzero(self.count)
-        tree = np.flatnonzero(root != np.arange(len(root)))
+        tree, root = self.forest.edges()
         return pa.table({
             "a": pa.array(np.concatenate([self.reps[hit], self.reps[tree]])),
-            "b": pa.array(np.concatenate([self.reps[hit], self.reps[root[tree]]])),
+            "b": pa.array(np.concatenate([self.reps[hit], self.reps[root]])),
             "links": pa.array(np.concatenate([self.count[hit], np.zeros(len(tree), np.int64)]))})
 
 

@@ -101,4 +101,30 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
 FROM embeddings e LEFT JOIN comps ON node = e.vec_id LEFT JOIN counts ON a = e.vec_id
 """
 
-ORACLES = {"op8_embedding_near_dedup": OP8, "op6_warc_revisits": OP6, "op9_chat_format": OP9}
+OP7 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM words),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b
+    ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * o >= 75 * (x.n + y.n - o)),
+reach AS (
+  SELECT a AS node, a AS seen FROM links UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen),
+comps AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+  coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN comps ON node = d.doc_id
+"""
+
+ORACLES = {"op7_ngram_jaccard": OP7, "op8_embedding_near_dedup": OP8, "op6_warc_revisits": OP6, "op9_chat_format": OP9}

@@ -10,6 +10,7 @@ from tidepool.llm.byte_bpe import byte_bpe
 from tidepool.llm.chat import (PART, flatten_parts, format_conversations, masked_text,
                                parse_formatted)
 from tidepool.llm.embedding_join import embedding_near_duplicates
+from tidepool.llm.ngram_join import near_duplicate_groups
 from tidepool.llm.oracles import ORACLES  # noqa: F401
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.quality_gbt import quality_scores
@@ -86,6 +87,11 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "payload_sha256", "payload_bytes")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(_table(spark, sf_dir, "documents"), percent=75, words=5).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"), bound=0.93)
 
@@ -123,6 +129,7 @@ QUERIES = {
     "op4_quality_gbt": op4_quality_gbt,
     "op10_quality_rules": op10_quality_rules,
     "op6_warc_revisits": op6_warc_revisits,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_chat_format": op9_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
