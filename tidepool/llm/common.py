@@ -212,12 +212,34 @@ class Forest:
 
 # --- tables ------------------------------------------------------------------
 
+_LIVE: dict[str, SparkSession] = {}  # scratch tables of this driver, oldest first
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared scratch folder and read
     back: later steps share it and a lost executor does not redo it."""
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    _LIVE[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame | str) -> None:
+    """Delete scratch tables (or paths) that nothing unwritten depends on."""
+    for t in tables:
+        path = t if isinstance(t, str) else t.scratch
+        spark = _LIVE.pop(path, None)
+        if spark is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def live_tables() -> list[str]:
+    """Paths of the scratch tables not dropped yet, oldest first."""
+    return list(_LIVE)
 
 
 def small(df: DataFrame, bytes_per_row: int, rows: int | None = None) -> DataFrame:
@@ -248,20 +270,29 @@ def labelled_components(edges: DataFrame, name: str = "components") -> DataFrame
         moved = True
         while moved:
             up = root.select(F.col("u").alias("v"), F.col("v").alias("w"))
-            step = written(root.join(up, "v").select(
+            step = written(root.select("u", "v").join(up, "v").select(
                 "u", F.col("w").alias("v"), (F.col("v") != F.col("w")).alias("moved")), name)
             moved = not step.where("moved").isEmpty()
-            root = step.select("u", "v")
+            dropped(root)
+            root = step
+        ru = root.select("u", F.col("v").alias("ru"))
+        rv = root.select(F.col("u").alias("v"), F.col("v").alias("rv"))
+        rest = written(e.join(ru, "u").join(rv, "v").where(F.col("ru") != F.col("rv"))
+                       .select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v"))
+                       .distinct(), name)
+        done = rest.isEmpty()
         if label is None:
             label = root
         else:
             up = root.select(F.col("u").alias("v"), F.col("v").alias("w"))
-            label = written(label.join(up, "v", "left")
-                            .select("u", F.coalesce("w", "v").alias("v")), name)
-        ru = root.select("u", F.col("v").alias("ru"))
-        rv = root.select(F.col("u").alias("v"), F.col("v").alias("rv"))
-        e = written(e.join(ru, "u").join(rv, "v").where(F.col("ru") != F.col("rv"))
-                    .select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v"))
-                    .distinct(), name)
-        if e.isEmpty():
-            return label.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            next_label = written(label.select("u", "v").join(up, "v", "left")
+                                 .select("u", F.coalesce("w", "v").alias("v")), name)
+            dropped(label, root)
+            label = next_label
+        dropped(e)
+        e = rest
+        if done:
+            dropped(e)
+            out = label.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.scratch = label.scratch
+            return out

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import Forest, labelled_components, small, written
+from tidepool.llm.common import Forest, dropped, labelled_components, small, written
 
 # Principal axes of the grid, and the vectors (documented bound) they are fitted on.
 AXES, FIT_VECTORS = 4, 4_000
@@ -286,6 +286,7 @@ def embedding_near_duplicates(df: DataFrame, bound: float = 0.93, vec_id: str =
         .select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
                 .alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
         "vector-results")
+    dropped(classes, blocks, pairs, found, component)
     out = rows.select("vec_id", "label", "digest").join(
         small(of_class, 64, n), ["label", "digest"], "left")
     own = F.coalesce("component_id", "vec_id")

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import (Forest, gram_hashes, hashed_texts, labelled_components, mix64,
-                                 small, written)
+from tidepool.llm.common import (Forest, dropped, gram_hashes, hashed_texts,
+                                 labelled_components, mix64, small, written)
 
 WORDS, PERCENT = 5, 75
 # Counters of the n-gram sketch (8 MB), sent in chunks.
@@ -76,9 +76,10 @@ def _size_need(n: np.ndarray, percent: int) -> np.ndarray:
 # --- 1. classes and the sketch ---------------------------------------------------
 
 def _described(words: int):
-    schema = "doc_id bigint, n bigint, digest bigint, chunk int, counts binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()),
-                       ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = ("doc_id bigint, text_hash bigint, n bigint, digest bigint, chunk int,"
+              " counts binary")
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()),
+                       ("digest", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
@@ -90,7 +91,7 @@ def _described(words: int):
                 np.add.at(counts, _counter(grams), 1)
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()),
                  pa.array(digests, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
                 schema=arrow)
         chunks = [(i, counts[i * CHUNK:(i + 1) * CHUNK]) for i in range(COUNTERS // CHUNK)]
@@ -99,7 +100,7 @@ def _described(words: int):
         if chunks:
             none = pa.nulls(len(chunks), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array([i for i, _ in chunks], pa.int32()),
+                [none, none, none, none, pa.array([i for i, _ in chunks], pa.int32()),
                  pa.array([c for _, c in chunks], pa.binary())], schema=arrow)
 
     return described, schema
@@ -446,9 +447,9 @@ def _between_blocks(percent: int):
     return between
 
 
-def _cluster_links(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _cluster_links(members: DataFrame, known: DataFrame, percent: int) -> tuple:
     """Links among the members ``(cluster, node, n, grams)`` of clusters, as
-    forests: first within blocks by size, then between blocks by the groups
+    two tables of forests: first within blocks by size, then between blocks by the groups
     these links (and the ``known`` ones) give."""
     n = members.count()
     parts = max(1, -(-n // BLOCK_ROWS))
@@ -471,28 +472,31 @@ def _cluster_links(members: DataFrame, known: DataFrame, percent: int) -> DataFr
         small(ends, 64, 2 * pairs.count()), "block")
     second = written(dealt.groupBy("a", "b").applyInArrow(_between_blocks(percent), LINKS),
                      "ngram-far-links")
-    return first.union(second)
+    dropped(label, blocks, pairs)
+    return first, second
 
 
 # --- all together --------------------------------------------------------------------
 
 def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
                           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, digest``, one row per row of ``docs``.
+    """``doc_id, n_shingles, component_id, group_id, text_hash``, one row per
+    row of ``docs``.
 
     ``n_shingles`` is the size of the text's set of ``words``-word n-grams
     (words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; fewer words are
     one n-gram; null, empty and blank texts have none and link with nothing).
     Texts link when 100 * overlap >= ``percent`` * union; ``component_id`` is
     the smallest id reachable (ids may repeat; null where all reachable ids
-    are null). ``digest`` is a hash of the set, null if it is empty. Texts are
-    read whole; other columns are not read; an empty table gives an empty
-    result."""
+    are null). ``group_id`` names the component (null without words) and
+    ``text_hash`` is the xxhash64 of the text. Texts are read whole; other
+    columns are not read; an empty table gives an empty result."""
     spark = docs.sparkSession
-    read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"),
+                       F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     task, schema = _described(words)
     described = written(read.mapInArrow(task, schema), "ngram-documents")
-    rows = described.where("chunk IS NULL").select("doc_id", "n", "digest")
+    rows = described.where("chunk IS NULL").select("doc_id", "text_hash", "n", "digest")
     classes = written(rows.where("n > 0").groupBy(F.col("digest").alias("node"))
                       .agg(F.min("doc_id").alias("rep")), "ngram-classes")
 
@@ -500,28 +504,33 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     task, schema = _prefixes(words, percent, sketch)
     sort = ["gram", "part", "n", "node"]
     found = written(
-        read.mapInArrow(task, schema).repartition("gram", "part").sortWithinPartitions(*sort)
+        read.select("text").mapInArrow(task, schema).repartition("gram", "part")
+        .sortWithinPartitions(*sort)
         .mapInArrow(_columns(percent), "a bigint, b bigint, shared bigint, need bigint"),
         "ngram-columns")
 
-    cluster = written(
-        labelled_components(found.where("shared = 0").select("a", "b"), "ngram-clusters")
-        .withColumnRenamed("component", "cluster").join(classes.select("node"), "node", "left_semi"),
-        "ngram-members")
+    hubs = labelled_components(found.where("shared = 0").select("a", "b"), "ngram-clusters")
+    cluster = written(hubs.withColumnRenamed("component", "cluster")
+                      .join(classes.select("node"), "node", "left_semi"), "ngram-members")
     pairs = (found.where("shared > 0").groupBy("a", "b", "need")
              .agg(F.sum("shared").alias("shared")).where("shared >= need").select("a", "b"))
-    of = lambda c: small(cluster.select(F.col("node").alias(c), F.col("cluster").alias(f"c_{c}")),
-                         24)
+    n_members = cluster.count()
+
+    def of(c: str) -> DataFrame:
+        return small(cluster.select(F.col("node").alias(c), F.col("cluster").alias(f"c_{c}")),
+                     24, n_members)
+
     pairs = written(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
                     .where("NOT coalesce(c_a = c_b, false)").select("a", "b"), "ngram-pairs")
+    dropped(hubs, found)
 
     needed = (pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
               .union(cluster.select("node")).distinct())
     wanted = written(classes.join(needed, "node", "left_semi"), "ngram-needed")
     ids = wanted.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id"))
     task, schema = _whole_sets(words)
-    texts = read.join(small(ids, 16), "doc_id", "left_semi").union(
-        read.where("doc_id IS NULL")).select("text")
+    texts = read.join(small(ids, 16), "doc_id", "left_semi").select("text").union(
+        read.where("doc_id IS NULL").select("text"))
     sets = written(texts.mapInArrow(task, schema), "ngram-sets")
 
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"),
@@ -533,19 +542,53 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     links = written(checked.where(
         100 * F.col("over") >= percent * (F.col("n_a") + F.col("n_b") - F.col("over")))
         .select("a", "b"), "ngram-links")
-    members = written(sets.join(small(cluster, 24), "node")
+    members = written(sets.join(small(cluster, 24, n_members), "node")
                       .dropDuplicates(["node"]).select("cluster", "node", "n", "grams"),
                       "ngram-cluster-sets")
-    all_links = links.union(_cluster_links(members, links, percent))
+    first, second = _cluster_links(members, links, percent)
+    joined = labelled_components(links.union(first).union(second), "ngram-components")
+    dropped(cluster, pairs, wanted, sets, members, links, first, second)
 
-    group = written(labelled_components(all_links, "ngram-components")
-                    .join(classes, "node"), "ngram-linked")
+    group = written(joined.join(classes, "node"), "ngram-linked")
     smallest = group.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = written(group.join(smallest, "component").select("node", "component_id"),
+    of_node = written(group.join(smallest, "component").select("node", "component",
+                                                               "component_id"),
                       "ngram-group-ids")
-    ids = classes.join(small(of_node, 24), "node", "left").select(
-        F.col("node").alias("digest"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.join(small(written(ids, "ngram-results"), 24), "digest", "left")
+    named = written(classes.join(small(of_node, 32), "node", "left").select(
+        F.col("node").alias("digest"), F.coalesce("component", "node").alias("group_id"),
+        F.coalesce("component_id", "rep").alias("component_id")), "ngram-results")
+    dropped(joined, group, of_node, classes)
+    out = rows.join(small(named, 32), "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
-                      "digest")
+                      "group_id", "text_hash")
+
+
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
+                      doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of every near-duplicate group: the one with the
+    smallest id, then text hash (null ids last); of rows equal in both, any
+    one. Rows without words are in no group and all stay, as do all columns."""
+    rows = written(near_duplicate_groups(docs, percent, words, doc_id, text)
+                   .where("group_id IS NOT NULL").select("doc_id", "text_hash", "group_id"),
+                   "ngram-group-rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    chosen = written(rows.groupBy("group_id").agg(F.min(rank).alias("kept")), "ngram-chosen")
+    kept = F.col("kept") == rank
+    many = rows.join(chosen, "group_id")
+    twice = written(many.where(kept).groupBy("doc_id", "text_hash").count().where("count > 1")
+                    .select("doc_id", "text_hash"), "ngram-repeated")
+    lost = written(many.where(~kept).select("doc_id", "text_hash").distinct(), "ngram-lost")
+    dropped(rows, chosen)
+
+    gone = small(lost.select(F.col("doc_id").alias("_g_id"), F.col("text_hash").alias("_g_hash")),
+                 32)
+    same = (F.col(doc_id).cast("bigint").eqNullSafe(F.col("_g_id"))
+            & (F.xxhash64(F.col(text)) == F.col("_g_hash")))
+    left = docs.join(gone, same, "left_anti")
+    if twice.isEmpty():
+        return left
+    again = small(twice.select(F.col("doc_id").alias("_g_id"),
+                               F.col("text_hash").alias("_g_hash")), 32)
+    return left.join(again, same, "left_anti").unionByName(
+        left.join(again, same, "left_semi").dropDuplicates([doc_id, text]))

@@ -15,6 +15,7 @@ from tidepool.llm.oracles import ORACLES  # noqa: F401
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.quality_gbt import quality_scores
 from tidepool.llm.quality_rules import quality_rules
+from tidepool.llm.suffix_dedup import remove_repeats
 from tidepool.llm.token_count import token_counts
 from tidepool.llm.warc import resolve_revisits
 
@@ -33,6 +34,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=50, gram=24)
+
+
 def op4_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -126,6 +132,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_gbt": op4_quality_gbt,
     "op10_quality_rules": op10_quality_rules,
     "op6_warc_revisits": op6_warc_revisits,
