@@ -23,7 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import CodeBook, per_process, piece_batches, shared_file, sums_by_length
+from tidepool.llm.common import (CodeBook, per_process, piece_batches, shared_file,
+                                 sums_by_length, texts_in)
 
 # Stands between pieces in one pass of the automaton: no byte maps to it.
 _BETWEEN = "Ā"
@@ -179,7 +180,7 @@ def encode_texts(df: DataFrame, ranks: str, pattern: str, text: str = "text") ->
             ids_sha = [hashlib.sha256() for _ in range(n)]
             bytes_sha = [hashlib.sha256() for _ in range(n)]
             begun = bytearray(n)
-            segments = ((i, t) for i, t in enumerate(batch.to_pylist()) if t)
+            segments = ((i, t) for i, t in texts_in(batch) if t)
             for pieces, owners, lengths in piece_batches(segments, rx.findall,
                                                          lambda t: rx.finditer(t)):
                 if not pieces:

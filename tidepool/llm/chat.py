@@ -5,7 +5,8 @@ document) are flattened into one text with ordered placeholders; the
 attachments are recorded beside it with the tokens they expand to. The turns
 of a conversation are put into a template whose control strings cannot occur
 in texts: inside texts ``\\`` is written ``\\s`` and ``<`` is written ``\\l``,
-so a ``<`` always begins a mark, and reading back is exact.
+so a ``<`` always begins a mark (in roles ``>`` is written ``\\g``), and reading
+back is exact.
 """
 
 from __future__ import annotations
@@ -33,6 +34,15 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    """A role also gives up ``>``, which ends its mark: written ``\\g``."""
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\g"), F.lit(">")))
+
+
 def _ceil_div(a: Column, b: int) -> Column:
     return F.ceil(a.cast("double") / F.lit(b)).cast("bigint")
 
@@ -90,7 +100,7 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     is empty and roles are escaped like texts. Rows with a null conversation
     id form one conversation. A conversation is one training text, so its
     turns meet in one row; one shuffle by conversation does it all."""
-    opening = F.concat(F.lit(TURN_OPEN), escape(F.col(role)), F.lit(TURN_MID))
+    opening = F.concat(F.lit(TURN_OPEN), escape_role(F.col(role)), F.lit(TURN_MID))
     rows = turns.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), "content", "attachments",
@@ -126,7 +136,7 @@ def parse_formatted(formatted: Column) -> Column:
     # the last piece is what follows the last mark: nothing
     turns = F.slice(raw, 1, F.size(raw) - 1)
     return F.transform(turns, lambda t: F.struct(
-        unescape(F.substring_index(F.substr(t, F.lit(len(TURN_OPEN) + 1)), TURN_MID, 1))
+        unescape_role(F.substring_index(F.substr(t, F.lit(len(TURN_OPEN) + 1)), TURN_MID, 1))
         .alias("role"),
         unescape(F.substr(t, F.locate(TURN_MID, t) + F.lit(len(TURN_MID)))).alias("text")))
 

@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from tidepool.session import scratch_path
 # A text longer than this is split into pieces chunk by chunk.
 LONG_CHARS = 4_000_000
 # Pieces (pre-tokens, words) held at once by a task.
-BATCH_PIECES = 600_000
+BATCH_PIECES = 300_000
+# Bytes of text held as Python strings at once (one text may be longer).
+SLICE_BYTES = 4 << 20
 # A table is broadcast only if a count shows it to be below this many bytes.
 BROADCAST_BYTES = 24 << 20
 
@@ -42,6 +45,27 @@ def shared_file(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data), (len(data), zlib.crc32(data))
 
 
+def text_slices(texts: pa.Array, max_bytes: int | None = None) -> Iterator[tuple[int, list]]:
+    """``(first, texts[first:...])`` in Python strings, slice by slice of about
+    ``max_bytes``, so that a large Arrow batch is never all Python objects."""
+    max_bytes = max_bytes or SLICE_BYTES
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    end = np.cumsum(size, dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        done = end[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(end, done + max_bytes, side="right")))
+        last = min(last, first + 20_000)
+        yield first, texts.slice(first, last - first).to_pylist()
+        first = last
+
+
+def texts_in(texts: pa.Array) -> Iterator[tuple[int, str | None]]:
+    """``(place, text)`` of every text, through :func:`text_slices`."""
+    for first, group in text_slices(texts):
+        yield from enumerate(group, start=first)
+
+
 def piece_batches(segments, find_all: Callable, find_iter: Callable) -> Iterator[tuple]:
     """``(pieces, owners, lengths)``: the pieces of ``(owner, text)`` segments,
     at most about ``BATCH_PIECES`` at a time and always in order; a very long
@@ -142,20 +166,13 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def hashed_texts(texts: Sequence, lower: bool, max_bytes: int = 6 << 20) -> Iterator[tuple]:
+def hashed_texts(texts: pa.Array, lower: bool) -> Iterator[tuple]:
     """``(first, [hashes of the words of texts[first]], ...)``: words are
     ``[^\\x20\\x09-\\x0D]+``; null texts have none. Texts are hashed together
-    in groups of about ``max_bytes``."""
-    group, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        data = b"" if t is None else t.encode("utf-8", "surrogatepass")
-        group.append(lower_ascii(data) if lower else data)
-        size += len(data)
-        if size >= max_bytes:
-            yield first, _hash_group(group)
-            group, size, first = [], 0, i + 1
-    if group:
-        yield first, _hash_group(group)
+    slice by slice."""
+    for first, group in text_slices(texts):
+        data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in group]
+        yield first, _hash_group([lower_ascii(d) for d in data] if lower else data)
 
 
 def _hash_group(group: list[bytes]) -> list[np.ndarray]:

@@ -50,7 +50,7 @@ SPLIT_ROWS = 200_000
 LINKS = "a bigint, b bigint"
 
 
-def ngram_sets(texts: list, words: int) -> Iterator[np.ndarray]:
+def ngram_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of every text: all runs of ``words``
     words, the whole sequence if there are fewer, none without words."""
     for _, hashes in hashed_texts(texts, lower=True):
@@ -85,7 +85,7 @@ def _described(words: int):
         counts = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             sizes, digests = [], []
-            for grams in ngram_sets(batch.column("text").to_pylist(), words):
+            for grams in ngram_sets(batch.column("text"), words):
                 sizes.append(len(grams))
                 digests.append(_digest(grams) if len(grams) else None)
                 np.add.at(counts, _counter(grams), 1)
@@ -146,7 +146,7 @@ def _prefixes(words: int, percent: int, shared_sketch):
         seen: set[int] = set()
         for batch in batches:
             grams, nodes, sizes = [], [], []
-            for own in ngram_sets(batch.column("text").to_pylist(), words):
+            for own in ngram_sets(batch.column("text"), words):
                 n = len(own)
                 node = _digest(own) if n else None
                 if not n or node in seen:
@@ -270,7 +270,7 @@ def _whole_sets(words: int):
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in ngram_sets(batch.column("text").to_pylist(), words) if len(s)]
+            sets = [s for s in ngram_sets(batch.column("text"), words) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_digest(s) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),

@@ -68,7 +68,7 @@ WITH rows AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 marked AS (
   SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
-    replace(replace(role, '\', '\s'), '<', '\l') AS erole,
+    replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g') AS erole,
     replace(replace(text, '\', '\s'), '<', '\l') AS etext FROM rows)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, etext))

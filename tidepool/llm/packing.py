@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import CodeBook, per_process, piece_batches, shared_file, written
+from tidepool.llm.common import (CodeBook, per_process, piece_batches, shared_file, texts_in,
+                                 written)
 
 PIECES = "struct<doc_tokens:bigint,pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>"
 # Stands between words when many are encoded together; a word that holds it
@@ -100,8 +101,7 @@ def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2
             open_ids: list[list[np.ndarray]] = [[] for _ in range(n)]
             pieces: list[list[dict]] = [[] for _ in range(n)]
             count = [0] * n
-            segments = ((i, t.encode("utf-8", "surrogatepass"))
-                        for i, t in enumerate(batch.to_pylist()) if t)
+            segments = ((i, t.encode("utf-8", "surrogatepass")) for i, t in texts_in(batch) if t)
             for found, owners, lengths in piece_batches(segments, bytes.split,
                                                         lambda t: words.finditer(t)):
                 if not found:

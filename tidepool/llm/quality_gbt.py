@@ -111,7 +111,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     @F.arrow_udf("array<double>")
     def statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            _, ratios = document_statistics(batch.to_pylist())
+            _, ratios = document_statistics(batch)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(ratios.ravel()), len(RATIOS))
             yield flat.cast(pa.list_(pa.float64()))
 
@@ -131,7 +131,7 @@ def score_texts(df: DataFrame, model: BoostedTrees, text: str = "text") -> Colum
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = shared.value
         for batch in batches:
-            _, ratios = document_statistics(batch.to_pylist())
+            _, ratios = document_statistics(batch)
             yield pa.array(trees.score(ratios))
 
     return score.asNondeterministic()(F.col(text))

@@ -6,12 +6,12 @@ Words are ``[^\\x20\\x09-\\x0D]+``, case kept.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidepool.llm.common import text_slices
+
 # The integer counts, then the ratios, in the order of the columns.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("log_words", "chars_per_word", "symbols_per_word", "dup_line_share",
@@ -87,27 +87,13 @@ def _of_group(texts: list, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return counts, ratios
 
 
-def document_statistics(texts: list, max_bytes: int = 6 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """``(counts, ratios)`` of whole texts, one row each in the order of
-    ``COUNTS`` and ``RATIOS``; null and empty texts (and texts of white space,
-    but for their characters) are all zero."""
-    out: list[tuple] = []
-    group, data, size = [], [], 0
-
-    def flush() -> Iterator[tuple]:
-        if group:
-            yield _of_group(group, data)
-
-    for t in texts:
-        t = t or ""
-        raw = t.encode("utf-8", "surrogatepass")
-        group.append(t)
-        data.append(raw)
-        size += len(raw)
-        if size >= max_bytes:
-            out.extend(flush())
-            group, data, size = [], [], 0
-    out.extend(flush())
-    if not out:
-        return np.zeros((0, len(COUNTS)), np.int64), np.zeros((0, len(RATIOS)))
+def document_statistics(texts, max_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(counts, ratios)`` of whole texts (an Arrow array or a list), one row
+    each in the order of ``COUNTS`` and ``RATIOS``; null and empty texts are
+    all zero, texts of white space too but for their counts."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.string())
+    out = [(np.zeros((0, len(COUNTS)), np.int64), np.zeros((0, len(RATIOS))))]
+    for _, group in text_slices(texts, max_bytes):
+        group = [t or "" for t in group]
+        out.append(_of_group(group, [t.encode("utf-8", "surrogatepass") for t in group]))
     return np.concatenate([c for c, _ in out]), np.concatenate([r for _, r in out])

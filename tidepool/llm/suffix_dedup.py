@@ -80,7 +80,7 @@ def _suffix_rows(length: int, gram: int):
         for batch in batches:
             ids, text_hash = batch.column("doc_id"), batch.column("text_hash")
             at = 0
-            for _, group in hashed_texts(batch.column("text").to_pylist(), lower=False):
+            for _, group in hashed_texts(batch.column("text"), lower=False):
                 found = [sparse_suffixes(words, length, gram) for words in group]
                 owner = pa.array(np.repeat(np.arange(at, at + len(group)),
                                            [len(f[0]) for f in found]))
@@ -101,7 +101,7 @@ def _run_rows(length: int):
             ids, text_hash = batch.column("doc_id"), batch.column("text_hash")
             ranges = batch.column("ranges").to_pylist()
             at = 0
-            for _, group in hashed_texts(batch.column("text").to_pylist(), lower=False):
+            for _, group in hashed_texts(batch.column("text"), lower=False):
                 owner, begin, run = [], [], []
                 for words in group:
                     own = np.concatenate([np.arange(r["first"], r["last"] + 1)

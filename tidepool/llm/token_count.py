@@ -17,7 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import CodeBook, per_process, piece_batches, shared_file, sums_by_length
+from tidepool.llm.common import (CodeBook, per_process, piece_batches, shared_file,
+                                 sums_by_length, texts_in)
 
 # Fixed value: the byte-level pre-token pattern of the vocabulary's family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -127,7 +128,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text") -> Column:
             total = np.zeros(len(batch), dtype=np.int64)
 
             def segments():
-                for i, t in enumerate(batch.to_pylist()):
+                for i, t in texts_in(batch):
                     if not t:
                         continue
                     if table.special is not None and table.special.search(t):

@@ -116,7 +116,7 @@ def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED,
     usable = F.col("url_key").isNotNull() & F.col("us").isNotNull()
     known = narrow.where(usable)
     bounds = known.approxQuantile("at", [i / slices for i in range(1, slices)], 0.1 / slices)
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="at", outputCol="slice").transform(known)
 
     last = dealt.where("NOT is_revisit").groupBy("url_key", "slice").agg(
