@@ -82,7 +82,8 @@ def _fit_axes(classes: DataFrame, n: int) -> np.ndarray:
     if sample is None:
         return np.eye(top["dim"], min(AXES, top["dim"]))
     unit = _unit(sample)
-    _, axes = np.linalg.eigh(np.cov(unit.T).reshape(unit.shape[1], unit.shape[1]))
+    centred = unit - unit.mean(axis=0)
+    _, axes = np.linalg.eigh(centred.T @ centred)
     return np.ascontiguousarray(axes[:, ::-1][:, :AXES])
 
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import (Forest, dropped, gram_hashes, hashed_texts,
@@ -279,17 +279,19 @@ def _whole_sets(words: int):
     return whole, schema
 
 
-@F.arrow_udf("bigint")
-def _overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Common members of two sorted sets."""
-    for left, right in batches:
-        out = []
-        for x, y in zip(left.to_pylist(), right.to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            out.append(int((both[1:] == both[:-1]).sum()))
-        yield pa.array(out, pa.int64())
+def overlap(left: Column, right: Column) -> Column:
+    """Common members of two sorted sets of hashes."""
+    @F.arrow_udf("bigint")
+    def common(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for some, others in batches:
+            out = []
+            for x, y in zip(some.to_pylist(), others.to_pylist()):
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort(kind="stable")
+                out.append(int((both[1:] == both[:-1]).sum()))
+            yield pa.array(out, pa.int64())
+
+    return common.asNondeterministic()(left, right)
 
 
 def block_product(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -538,7 +540,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"),
                         F.col("grams").alias("grams_b"))
     checked = (left.join(small(pairs, 32), "a").join(right, "b")
-               .withColumn("over", _overlap(F.col("grams_a"), F.col("grams_b"))))
+               .withColumn("over", overlap(F.col("grams_a"), F.col("grams_b"))))
     links = written(checked.where(
         100 * F.col("over") >= percent * (F.col("n_a") + F.col("n_b") - F.col("over")))
         .select("a", "b"), "ngram-links")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import dropped, hashed_texts, mix64, small, written
+from tidepool.llm.common import dropped, hashed_texts, mix64, small, texts_in, written
 
 LENGTH, GRAM = 50, 24
 
@@ -119,35 +119,39 @@ def _run_rows(length: int):
     return rows
 
 
-@F.arrow_udf("struct<text:string,n_removed:bigint,n_passages:bigint>")
-def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def without_ranges(text: Column, ranges: Column) -> Column:
     """Texts without the words of the given ranges (and the white space after
-    each range); null where there are none."""
-    word = re.compile(rb"[^\x20\x09-\x0d]+")
-    for texts, ranges in batches:
-        out = []
-        for text, own in zip(texts.to_pylist(), ranges.to_pylist()):
-            if not own or text is None:
-                out.append(None)
-                continue
-            data = text.encode("utf-8", "surrogatepass")
-            starts = np.array([m.start() for m in word.finditer(data)] + [len(data)])
-            gone = np.zeros(len(starts), dtype=np.int64)
-            for r in own:
-                gone[r["first"]] += 1
-                gone[r["end"]] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            kept, at = [], 0
-            for b, e in zip(starts[begin].tolist(), starts[end].tolist()):
-                kept.append(data[at:b])
-                at = e
-            kept.append(data[at:])
-            out.append({"text": b"".join(kept).decode("utf-8", "surrogatepass"),
-                        "n_removed": int(gone.sum()), "n_passages": len(begin)})
-        yield pa.array(out, type=pa.struct([("text", pa.string()), ("n_removed", pa.int64()),
-                                            ("n_passages", pa.int64())]))
+    each range), the words and passages removed; null where there are none."""
+    @F.arrow_udf("struct<text:string,n_removed:bigint,n_passages:bigint>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        word = re.compile(rb"[^\x20\x09-\x0d]+")
+        for texts, own_ranges in batches:
+            out = []
+            for i, t in texts_in(texts):
+                own = own_ranges[i].as_py()
+                if not own or t is None:
+                    out.append(None)
+                    continue
+                data = t.encode("utf-8", "surrogatepass")
+                starts = np.array([m.start() for m in word.finditer(data)] + [len(data)])
+                change = np.zeros(len(starts), dtype=np.int64)
+                for r in own:
+                    change[r["first"]] += 1
+                    change[r["end"]] -= 1
+                gone = np.cumsum(change)[:-1] > 0
+                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                kept, at = [], 0
+                for b, e in zip(starts[begin].tolist(), starts[end].tolist()):
+                    kept.append(data[at:b])
+                    at = e
+                kept.append(data[at:])
+                out.append({"text": b"".join(kept).decode("utf-8", "surrogatepass"),
+                            "n_removed": int(gone.sum()), "n_passages": len(begin)})
+            yield pa.array(out, type=pa.struct([
+                ("text", pa.string()), ("n_removed", pa.int64()), ("n_passages", pa.int64())]))
+
+    return cut.asNondeterministic()(text, ranges)
 
 
 def _place() -> Column:
@@ -229,7 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     keyed = source.withColumns({"_rep_id": F.col(doc_id).cast("bigint"),
                                 "_rep_hash": F.xxhash64(F.col(text))})
     joined = _with_ranges(keyed, ranges, "left")
-    cleaned = joined.withColumn("_clean", _without(
+    cleaned = joined.withColumn("_clean", without_ranges(
         F.when(F.col("_rep_ranges").isNotNull(), F.col(text)), F.col("_rep_ranges")))
     out = [F.coalesce("_clean.text", F.col(text)).alias(c) if c == text else F.col(c)
            for c in source.columns]

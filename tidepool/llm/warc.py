@@ -115,7 +115,8 @@ def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED,
                                               "sha256", "bytes")).alias("response")), "captures")
     usable = F.col("url_key").isNotNull() & F.col("us").isNotNull()
     known = narrow.where(usable)
-    bounds = known.approxQuantile("at", [i / slices for i in range(1, slices)], 0.1 / slices)
+    shares = [i / slices for i in range(1, slices)]
+    bounds = known.approxQuantile("at", shares, 0.1 / slices) if shares else []
     splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="at", outputCol="slice").transform(known)
 
