@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import (CodeBook, per_process, piece_batches, shared_file,
+from tidepool.llm.common import (CodeBook, lean_task, per_process, piece_batches, shared_file,
                                  sums_by_length, texts_in)
 
 # Stands between pieces in one pass of the automaton: no byte maps to it.
@@ -163,45 +163,46 @@ def encode_texts(df: DataFrame, ranks: str, pattern: str, text: str = "text") ->
 
     @F.arrow_udf(RESULT)
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocab = per_process(("vocabulary", key), lambda: Vocabulary(data.value))
-        rx = per_process(("pattern", pattern), lambda: regex.compile(pattern))
-
-        def encode(new: list, results):
-            counts, written, decoded = results or (np.zeros(0, np.int64), [], [])
-            ids = vocab.encode([_as_latin1(p) for p in new])
-            written.extend(",".join(map(str, x)) for x in ids)
-            decoded.extend(map(vocab.decode, ids))
-            return np.concatenate([counts, np.fromiter(map(len, ids), np.int64)]), written, decoded
-
-        book = per_process(("byte-bpe", key, pattern), lambda: CodeBook(encode, 300_000))
-        for batch in batches:
-            n = len(batch)
-            total = np.zeros(n, dtype=np.int64)
-            ids_sha = [hashlib.sha256() for _ in range(n)]
-            bytes_sha = [hashlib.sha256() for _ in range(n)]
-            begun = bytearray(n)
-            segments = ((i, t) for i, t in texts_in(batch) if t)
-            for pieces, owners, lengths in piece_batches(segments, rx.findall,
-                                                         lambda t: rx.finditer(t)):
-                if not pieces:
-                    continue
-                rows = book.rows_of(pieces)
-                counts, ids_text, decoded = book.results
-                np.add.at(total, owners, sums_by_length(counts[rows], lengths))
-                rows = rows.tolist()
-                at = 0
-                for i, length in zip(owners, lengths):
-                    own = rows[at:at + length]
-                    at += length
-                    if own:
-                        joined = ",".join([ids_text[r] for r in own])
-                        ids_sha[i].update((("," if begun[i] else "") + joined).encode())
-                        bytes_sha[i].update(b"".join([decoded[r] for r in own]))
-                        begun[i] = 1
-            yield pa.StructArray.from_arrays(
-                [pa.array(total), pa.array([h.hexdigest() for h in ids_sha]),
-                 pa.array([h.hexdigest() for h in bytes_sha])],
-                names=["n_tokens", "ids_sha256", "decoded_sha256"])
+        with lean_task("byte-bpe"):
+            vocab = per_process(("vocabulary", key), lambda: Vocabulary(data.value))
+            rx = per_process(("pattern", pattern), lambda: regex.compile(pattern))
+
+            def encode(new: list, results):
+                counts, written, decoded = results or (np.zeros(0, np.int64), [], [])
+                ids = vocab.encode([_as_latin1(p) for p in new])
+                written.extend(",".join(map(str, x)) for x in ids)
+                decoded.extend(map(vocab.decode, ids))
+                return np.concatenate([counts, np.fromiter(map(len, ids), np.int64)]), written, decoded
+
+            book = per_process(("byte-bpe", key, pattern), lambda: CodeBook(encode, 300_000))
+            for batch in batches:
+                n = len(batch)
+                total = np.zeros(n, dtype=np.int64)
+                ids_sha = [hashlib.sha256() for _ in range(n)]
+                bytes_sha = [hashlib.sha256() for _ in range(n)]
+                begun = bytearray(n)
+                segments = ((i, t) for i, t in texts_in(batch) if t)
+                for pieces, owners, lengths in piece_batches(segments, rx.findall,
+                                                             lambda t: rx.finditer(t)):
+                    if not pieces:
+                        continue
+                    rows = book.rows_of(pieces)
+                    counts, ids_text, decoded = book.results
+                    np.add.at(total, owners, sums_by_length(counts[rows], lengths))
+                    rows = rows.tolist()
+                    at = 0
+                    for i, length in zip(owners, lengths):
+                        own = rows[at:at + length]
+                        at += length
+                        if own:
+                            joined = ",".join([ids_text[r] for r in own])
+                            ids_sha[i].update((("," if begun[i] else "") + joined).encode())
+                            bytes_sha[i].update(b"".join([decoded[r] for r in own]))
+                            begun[i] = 1
+                yield pa.StructArray.from_arrays(
+                    [pa.array(total), pa.array([h.hexdigest() for h in ids_sha]),
+                     pa.array([h.hexdigest() for h in bytes_sha])],
+                    names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.asNondeterministic()(F.col(text))
 

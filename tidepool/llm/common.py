@@ -3,6 +3,9 @@ word hashes, scratch tables, size-checked broadcasts."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
 import sys
 import types
@@ -16,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.session import scratch_path
+from tidepool.session import dropped, live_tables, written  # noqa: F401
 
 # A text longer than this is split into pieces chunk by chunk.
 LONG_CHARS = 4_000_000
 # Pieces (pre-tokens, words) held at once by a task.
 BATCH_PIECES = 300_000
 # Bytes of text held as Python strings at once (one text may be longer).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # A table is broadcast only if a count shows it to be below this many bytes.
 BROADCAST_BYTES = 24 << 20
 
@@ -31,13 +34,34 @@ BROADCAST_BYTES = 24 << 20
 def per_process(key, build: Callable):
     """``build()`` once per Python worker process. Task code is shipped by
     value, so module globals do not outlive a task; this store does."""
-    store = sys.modules.setdefault("_llm_process_memo", types.ModuleType("_llm_process_memo"))
-    memo = store.__dict__.setdefault("memo", {})
+    memo = _process_store().__dict__.setdefault("memo", {})
     if key not in memo:
         memo[key] = build()
     return memo[key]
 
 
+def _process_store():
+    return sys.modules.setdefault("_llm_process_memo", types.ModuleType("_llm_process_memo"))
+
+
+@contextlib.contextmanager
+def lean_task(operator: str):
+    """Around the work of a task: workers are reused, so what another
+    operator remembered is forgotten first, and freed memory goes back to the
+    system at the end."""
+    store = _process_store().__dict__
+    if store.get("operator") != operator:
+        store["operator"] = operator
+        store.pop("memo", None)
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every libc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_file(spark: SparkSession, path: str):
     """The bytes of a vocabulary file (about 2 MB), read on the driver and
     broadcast, with a key for :func:`per_process`."""
@@ -229,36 +253,6 @@ class Forest:
 
 # --- tables ------------------------------------------------------------------
 
-_LIVE: dict[str, SparkSession] = {}  # scratch tables of this driver, oldest first
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared scratch folder and read
-    back: later steps share it and a lost executor does not redo it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    _LIVE[path] = spark
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def dropped(*tables: DataFrame | str) -> None:
-    """Delete scratch tables (or paths) that nothing unwritten depends on."""
-    for t in tables:
-        path = t if isinstance(t, str) else t.scratch
-        spark = _LIVE.pop(path, None)
-        if spark is not None:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def live_tables() -> list[str]:
-    """Paths of the scratch tables not dropped yet, oldest first."""
-    return list(_LIVE)
-
-
 def small(df: DataFrame, bytes_per_row: int, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted size is below
     ``BROADCAST_BYTES``, else as it is (a shuffle join). ``df`` should be a

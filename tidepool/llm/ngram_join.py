@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import (Forest, dropped, gram_hashes, hashed_texts,
-                                 labelled_components, mix64, small, written)
+                                 labelled_components, lean_task, mix64, small, written)
 
 WORDS, PERCENT = 5, 75
 # Counters of the n-gram sketch (8 MB), sent in chunks.
@@ -50,13 +50,13 @@ SPLIT_ROWS = 200_000
 LINKS = "a bigint, b bigint"
 
 
-def ngram_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of every text: all runs of ``words``
-    words, the whole sequence if there are fewer, none without words."""
-    for _, hashes in hashed_texts(texts, lower=True):
-        for h in hashes:
-            yield np.unique(gram_hashes(h, min(words, len(h)))) if len(h) \
-                else np.zeros(0, np.uint64)
+def ngram_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """``(first, sets of texts[first], ...)``, slice by slice: the sorted
+    distinct n-gram hashes of every text - all runs of ``words`` words, the
+    whole sequence if there are fewer, none without words."""
+    for first, hashes in hashed_texts(texts, lower=True):
+        yield first, [np.unique(gram_hashes(h, min(words, len(h)))) if len(h)
+                      else np.zeros(0, np.uint64) for h in hashes]
 
 
 def _digest(grams: np.ndarray) -> int:
@@ -82,18 +82,22 @@ def _described(words: int):
                        ("digest", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            sizes, digests = [], []
-            for grams in ngram_sets(batch.column("text"), words):
-                sizes.append(len(grams))
-                digests.append(_digest(grams) if len(grams) else None)
-                np.add.at(counts, _counter(grams), 1)
-            none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()),
-                 pa.array(digests, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
-                schema=arrow)
+        with lean_task("ngrams"):
+            counts = np.zeros(COUNTERS, dtype=np.int64)
+            for batch in batches:
+                for first, sets in ngram_sets(batch.column("text"), words):
+                    n = len(sets)
+                    np.add.at(counts, _counter(np.concatenate(sets)), 1)
+                    none = pa.nulls(n)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(first, n),
+                         batch.column("text_hash").slice(first, n),
+                         pa.array([len(s) for s in sets], pa.int64()),
+                         pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()),
+                         none.cast(pa.int32()), none.cast(pa.binary())], schema=arrow)
+            yield from counted(counts)
+
+    def counted(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         chunks = [(i, counts[i * CHUNK:(i + 1) * CHUNK]) for i in range(COUNTERS // CHUNK)]
         chunks = [(i, c.astype(np.int32 if c.max() < 1 << 31 else np.int64).tobytes())
                   for i, c in chunks if c.any()]
@@ -141,35 +145,41 @@ def _prefixes(words: int, percent: int, shared_sketch):
                        ("n", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared_sketch.value
-        usual = 4 * int(sketch.mean())
-        seen: set[int] = set()
-        for batch in batches:
-            grams, nodes, sizes = [], [], []
-            for own in ngram_sets(batch.column("text"), words):
-                n = len(own)
-                node = _digest(own) if n else None
-                if not n or node in seen:
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(node)
-                need = int(_size_need(np.array(n), percent))
-                length = n - need + min(SHARED, need)
-                order = np.argsort(sketch[_counter(own)], kind="stable")[:length]
-                grams.append(own[order])
-                nodes.append(node)
-                sizes.append(n)
-            if not grams:
+        with lean_task("ngrams"):
+            sketch = shared_sketch.value
+            usual = 4 * int(sketch.mean())
+            seen: set[int] = set()
+            for batch in batches:
+                for _, sets in ngram_sets(batch.column("text"), words):
+                    if (rows := of_sets(sets, sketch, usual, seen)) is not None:
+                        yield rows
+
+    def of_sets(sets: list, sketch: np.ndarray, usual: int, seen: set) -> pa.RecordBatch | None:
+        grams, nodes, sizes = [], [], []
+        for own in sets:
+            n = len(own)
+            node = _digest(own) if n else None
+            if not n or node in seen:
                 continue
-            flat = np.concatenate(grams)
-            length = np.fromiter(map(len, grams), np.int64, len(grams))
-            node = np.repeat(np.array(nodes, dtype=np.int64), length)
-            parts = np.maximum(0, sketch[_counter(flat)] - usual) // SPLIT_ROWS
-            part = np.where(parts > 0, 1 + (node & 0x7FFFFFFF) % np.maximum(parts, 1), 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(node),
-                 pa.array(np.repeat(np.array(sizes, dtype=np.int64), length))], schema=arrow)
+            if len(seen) >= 300_000:
+                seen.clear()
+            seen.add(node)
+            need = int(_size_need(np.array(n), percent))
+            length = n - need + min(SHARED, need)
+            order = np.argsort(sketch[_counter(own)], kind="stable")[:length]
+            grams.append(own[order])
+            nodes.append(node)
+            sizes.append(n)
+        if not grams:
+            return None
+        flat = np.concatenate(grams)
+        length = np.fromiter(map(len, grams), np.int64, len(grams))
+        node = np.repeat(np.array(nodes, dtype=np.int64), length)
+        parts = np.maximum(0, sketch[_counter(flat)] - usual) // SPLIT_ROWS
+        part = np.where(parts > 0, 1 + (node & 0x7FFFFFFF) % np.maximum(parts, 1), 0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(flat.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(node),
+             pa.array(np.repeat(np.array(sizes, dtype=np.int64), length))], schema=arrow)
 
     return prefixes, schema
 
@@ -222,43 +232,44 @@ def _columns(percent: int):
              zero, zero], names=["a", "b", "shared", "need"])
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Columns(percent)
-        rest = [np.zeros(0, np.int64)] * 4
-        open_long = None  # the long column that goes on in the next batch
-        for batch in batches:
-            new = [batch.column(c).to_numpy().astype(np.int64) for c in
-                   ("gram", "part", "node", "n")]
-            gram, part, node, n = (np.concatenate(x) for x in zip(rest, new))
-            if len(gram) > 1:  # copies of a set arrive once per task
-                same = (gram[1:] == gram[:-1]) & (part[1:] == part[:-1]) & (node[1:] == node[:-1])
-                gram, part, node, n = (x[np.concatenate([[True], ~same])]
-                                       for x in (gram, part, node, n))
-            begins = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1])
-                                                    | (part[1:] != part[:-1])]))
-            size = np.diff(np.append(begins, len(gram)))
-            is_long = (size > LONG_COLUMN) | (part[begins] > 0)
-            if open_long is not None:
-                is_long[0] |= (gram[0], part[0]) == open_long
-            last_long = bool(is_long[-1])
-            row_long = np.repeat(is_long, size)
-            closed = np.ones(len(gram), dtype=bool)
-            if not last_long:  # a short column may go on: keep it back
-                closed[begins[-1]:] = False
-            if row_long.any():
-                yield hubs(gram[row_long], node[row_long])
-            take = closed & ~row_long
-            column = np.repeat(np.arange(len(begins)), size)[take]
-            state.short(column, node[take], n[take])
-            # of a long column one row stays, to know it and drop its copy
-            open_long = (gram[-1], part[-1]) if last_long else None
-            back = slice(len(gram) - 1, None) if last_long else slice(begins[-1], None)
-            rest = [x[back] for x in (gram, part, node, n)]
-            if state.held > 400_000:
-                yield state.summed()
-        if len(rest[0]) and open_long is None:
-            state.short(np.zeros(len(rest[0]), np.int64), rest[2], rest[3])
-        if (left := state.summed()) is not None:
-            yield left
+        with lean_task("ngrams"):
+            state = _Columns(percent)
+            rest = [np.zeros(0, np.int64)] * 4
+            open_long = None  # the long column that goes on in the next batch
+            for batch in batches:
+                new = [batch.column(c).to_numpy().astype(np.int64) for c in
+                       ("gram", "part", "node", "n")]
+                gram, part, node, n = (np.concatenate(x) for x in zip(rest, new))
+                if len(gram) > 1:  # copies of a set arrive once per task
+                    same = (gram[1:] == gram[:-1]) & (part[1:] == part[:-1]) & (node[1:] == node[:-1])
+                    gram, part, node, n = (x[np.concatenate([[True], ~same])]
+                                           for x in (gram, part, node, n))
+                begins = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1])
+                                                        | (part[1:] != part[:-1])]))
+                size = np.diff(np.append(begins, len(gram)))
+                is_long = (size > LONG_COLUMN) | (part[begins] > 0)
+                if open_long is not None:
+                    is_long[0] |= (gram[0], part[0]) == open_long
+                last_long = bool(is_long[-1])
+                row_long = np.repeat(is_long, size)
+                closed = np.ones(len(gram), dtype=bool)
+                if not last_long:  # a short column may go on: keep it back
+                    closed[begins[-1]:] = False
+                if row_long.any():
+                    yield hubs(gram[row_long], node[row_long])
+                take = closed & ~row_long
+                column = np.repeat(np.arange(len(begins)), size)[take]
+                state.short(column, node[take], n[take])
+                # of a long column one row stays, to know it and drop its copy
+                open_long = (gram[-1], part[-1]) if last_long else None
+                back = slice(len(gram) - 1, None) if last_long else slice(begins[-1], None)
+                rest = [x[back] for x in (gram, part, node, n)]
+                if state.held > 400_000:
+                    yield state.summed()
+            if len(rest[0]) and open_long is None:
+                state.short(np.zeros(len(rest[0]), np.int64), rest[2], rest[3])
+            if (left := state.summed()) is not None:
+                yield left
 
     return columns
 
@@ -269,12 +280,15 @@ def _whole_sets(words: int):
     schema = "node bigint, n bigint, grams binary"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for s in ngram_sets(batch.column("text"), words) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_digest(s) for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "grams"])
+        with lean_task("ngrams"):
+            for batch in batches:
+                for _, sets in ngram_sets(batch.column("text"), words):
+                    sets = [s for s in sets if len(s)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_digest(s) for s in sets], pa.int64()),
+                         pa.array([len(s) for s in sets], pa.int64()),
+                         pa.array([s.tobytes() for s in sets], pa.binary())],
+                        names=["node", "n", "grams"])
 
     return whole, schema
 
@@ -283,13 +297,14 @@ def overlap(left: Column, right: Column) -> Column:
     """Common members of two sorted sets of hashes."""
     @F.arrow_udf("bigint")
     def common(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for some, others in batches:
-            out = []
-            for x, y in zip(some.to_pylist(), others.to_pylist()):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort(kind="stable")
-                out.append(int((both[1:] == both[:-1]).sum()))
-            yield pa.array(out, pa.int64())
+        with lean_task("ngrams"):
+            for some, others in batches:
+                out = []
+                for x, y in zip(some.to_pylist(), others.to_pylist()):
+                    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                    both.sort(kind="stable")
+                    out.append(int((both[1:] == both[:-1]).sum()))
+                yield pa.array(out, pa.int64())
 
     return common.asNondeterministic()(left, right)
 
@@ -366,20 +381,21 @@ def _within_blocks(percent: int):
     """Links inside blocks of a cluster, and with the last rows of the block
     before, as a forest."""
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[dict] = []
-        last = None
-        for group, rows in _grouped(batches, ["cluster"]):
-            if group == last:
-                rows = before + rows
-            sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-            node = np.array([r["node"] for r in rows], dtype=np.int64)
-            forest = Forest(len(rows))
-            every = np.arange(len(rows))
-            forest.join(every, every, _linked(sets, len(sets), percent))
-            member, root = forest.edges()
-            yield pa.RecordBatch.from_arrays([pa.array(node[member]), pa.array(node[root])],
-                                             names=["a", "b"])
-            before, last = rows[-OVERLAP:], group
+        with lean_task("ngrams"):
+            before: list[dict] = []
+            last = None
+            for group, rows in _grouped(batches, ["cluster"]):
+                if group == last:
+                    rows = before + rows
+                sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+                node = np.array([r["node"] for r in rows], dtype=np.int64)
+                forest = Forest(len(rows))
+                every = np.arange(len(rows))
+                forest.join(every, every, _linked(sets, len(sets), percent))
+                member, root = forest.edges()
+                yield pa.RecordBatch.from_arrays([pa.array(node[member]), pa.array(node[root])],
+                                                 names=["a", "b"])
+                before, last = rows[-OVERLAP:], group
 
     return within
 

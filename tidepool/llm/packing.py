@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import (CodeBook, per_process, piece_batches, shared_file, texts_in,
+from tidepool.llm.common import (CodeBook, lean_task, per_process, piece_batches, shared_file, texts_in,
                                  written)
 
 PIECES = "struct<doc_tokens:bigint,pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>"
@@ -86,54 +86,55 @@ def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2
 
     @F.arrow_udf(PIECES)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = per_process(("word-encoder", key), lambda: WordEncoder(data.value))
-
-        def encode(new: list, results):
-            flat, ends = results or (np.zeros(0, np.uint32), np.zeros(1, np.int64))
-            ids = encoder.encode([w.decode("utf-8", "surrogatepass") for w in new])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.concatenate([flat, *ids]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
-
-        book = per_process(("word-ids", key), lambda: CodeBook(encode, 700_000))
-        words = per_process("words", lambda: __import__("re").compile(rb"[^\x20\x09-\x0d]+"))
-        for batch in batches:
-            n = len(batch)
-            open_ids: list[list[np.ndarray]] = [[] for _ in range(n)]
-            pieces: list[list[dict]] = [[] for _ in range(n)]
-            count = [0] * n
-            segments = ((i, t.encode("utf-8", "surrogatepass")) for i, t in texts_in(batch) if t)
-            for found, owners, lengths in piece_batches(segments, bytes.split,
-                                                        lambda t: words.finditer(t)):
-                if not found:
-                    continue
-                rows = book.rows_of(found)
-                flat, ends = book.results
-                size = ends[rows + 1] - ends[rows]
-                total = np.cumsum(size)
-                # the ids of all words of the batch, one after the other
-                at = np.repeat(ends[rows] - (total - size), size) + np.arange(total[-1])
-                ids = flat[at]
-                word_end = np.cumsum(lengths)
-                id_end = np.concatenate([[0], total])[word_end]
-                id_begin = np.concatenate([[0], id_end[:-1]])
-                for i, a, b in zip(owners, id_begin, id_end):
-                    open_ids[i].append(ids[a:b])
-                    waiting = sum(map(len, open_ids[i]))
-                    if waiting >= 64 * length:  # a very long text: close its full blocks
-                        whole = np.concatenate(open_ids[i])
-                        full = waiting - waiting % length
-                        pieces[i] += _cut(whole[:full], count[i], length)
-                        count[i] += full
-                        open_ids[i] = [whole[full:]]
-            for i in range(n):
-                rest = np.concatenate([*open_ids[i], np.array([end_id], dtype=np.uint32)])
-                pieces[i] += _cut(rest, count[i], length)
-                count[i] += len(rest)
-            yield pa.StructArray.from_arrays(
-                [pa.array(count, type=pa.int64()),
-                 pa.array(pieces, type=pa.list_(pa.struct([
-                     ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))],
-                names=["doc_tokens", "pieces"])
+        with lean_task("packing"):
+            encoder = per_process(("word-encoder", key), lambda: WordEncoder(data.value))
+
+            def encode(new: list, results):
+                flat, ends = results or (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+                ids = encoder.encode([w.decode("utf-8", "surrogatepass") for w in new])
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                return np.concatenate([flat, *ids]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
+
+            book = per_process(("word-ids", key), lambda: CodeBook(encode, 700_000))
+            words = per_process("words", lambda: __import__("re").compile(rb"[^\x20\x09-\x0d]+"))
+            for batch in batches:
+                n = len(batch)
+                open_ids: list[list[np.ndarray]] = [[] for _ in range(n)]
+                pieces: list[list[dict]] = [[] for _ in range(n)]
+                count = [0] * n
+                segments = ((i, t.encode("utf-8", "surrogatepass")) for i, t in texts_in(batch) if t)
+                for found, owners, lengths in piece_batches(segments, bytes.split,
+                                                            lambda t: words.finditer(t)):
+                    if not found:
+                        continue
+                    rows = book.rows_of(found)
+                    flat, ends = book.results
+                    size = ends[rows + 1] - ends[rows]
+                    total = np.cumsum(size)
+                    # the ids of all words of the batch, one after the other
+                    at = np.repeat(ends[rows] - (total - size), size) + np.arange(total[-1])
+                    ids = flat[at]
+                    word_end = np.cumsum(lengths)
+                    id_end = np.concatenate([[0], total])[word_end]
+                    id_begin = np.concatenate([[0], id_end[:-1]])
+                    for i, a, b in zip(owners, id_begin, id_end):
+                        open_ids[i].append(ids[a:b])
+                        waiting = sum(map(len, open_ids[i]))
+                        if waiting >= 64 * length:  # a very long text: close its full blocks
+                            whole = np.concatenate(open_ids[i])
+                            full = waiting - waiting % length
+                            pieces[i] += _cut(whole[:full], count[i], length)
+                            count[i] += full
+                            open_ids[i] = [whole[full:]]
+                for i in range(n):
+                    rest = np.concatenate([*open_ids[i], np.array([end_id], dtype=np.uint32)])
+                    pieces[i] += _cut(rest, count[i], length)
+                    count[i] += len(rest)
+                yield pa.StructArray.from_arrays(
+                    [pa.array(count, type=pa.int64()),
+                     pa.array(pieces, type=pa.list_(pa.struct([
+                         ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))],
+                    names=["doc_tokens", "pieces"])
 
     return cut.asNondeterministic()(F.col(text))
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import lean_task
 from tidepool.llm.labels import held_out, labelled_sample
 from tidepool.llm.statistics import RATIOS, document_statistics
 
@@ -110,10 +111,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
 
     @F.arrow_udf("array<double>")
     def statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            _, ratios = document_statistics(batch)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(ratios.ravel()), len(RATIOS))
-            yield flat.cast(pa.list_(pa.float64()))
+        with lean_task("statistics"):
+            for batch in batches:
+                _, ratios = document_statistics(batch)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(ratios.ravel()), len(RATIOS))
+                yield flat.cast(pa.list_(pa.float64()))
 
     sample = labelled_sample(docs, labels, label, max_rows, doc_id, text)
     rows = (sample.select("doc_id", "label", statistics.asNondeterministic()("text").alias("r"))
@@ -129,10 +131,11 @@ def score_texts(df: DataFrame, model: BoostedTrees, text: str = "text") -> Colum
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        trees = shared.value
-        for batch in batches:
-            _, ratios = document_statistics(batch)
-            yield pa.array(trees.score(ratios))
+        with lean_task("statistics"):
+            trees = shared.value
+            for batch in batches:
+                _, ratios = document_statistics(batch)
+                yield pa.array(trees.score(ratios))
 
     return score.asNondeterministic()(F.col(text))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import dropped, hashed_texts, mix64, small, texts_in, written
+from tidepool.llm.common import dropped, hashed_texts, lean_task, mix64, small, texts_in, written
 
 LENGTH, GRAM = 50, 24
 
@@ -77,19 +77,23 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _suffix_rows(length: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, text_hash = batch.column("doc_id"), batch.column("text_hash")
-            at = 0
-            for _, group in hashed_texts(batch.column("text"), lower=False):
-                found = [sparse_suffixes(words, length, gram) for words in group]
-                owner = pa.array(np.repeat(np.arange(at, at + len(group)),
-                                           [len(f[0]) for f in found]))
-                at += len(group)
-                g, c, first, last = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(g), _signed(c), ids.take(owner), text_hash.take(owner),
-                     pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                    names=["gram", "content", "doc_id", "text_hash", "first", "last"])
+        with lean_task("suffixes"):
+            for batch in batches:
+                yield from of_batch(batch)
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, text_hash = batch.column("doc_id"), batch.column("text_hash")
+        at = 0
+        for _, group in hashed_texts(batch.column("text"), lower=False):
+            found = [sparse_suffixes(words, length, gram) for words in group]
+            owner = pa.array(np.repeat(np.arange(at, at + len(group)),
+                                       [len(f[0]) for f in found]))
+            at += len(group)
+            g, c, first, last = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(g), _signed(c), ids.take(owner), text_hash.take(owner),
+                 pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
+                names=["gram", "content", "doc_id", "text_hash", "first", "last"])
 
     return rows
 
@@ -97,24 +101,28 @@ def _suffix_rows(length: int, gram: int):
 def _run_rows(length: int):
     """Every run of words that begins in the given ranges of a text."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, text_hash = batch.column("doc_id"), batch.column("text_hash")
-            ranges = batch.column("ranges").to_pylist()
-            at = 0
-            for _, group in hashed_texts(batch.column("text"), lower=False):
-                owner, begin, run = [], [], []
-                for words in group:
-                    own = np.concatenate([np.arange(r["first"], r["last"] + 1)
-                                          for r in ranges[at]])
-                    run.append(RunHashes(words).of(own, own + length))
-                    begin.append(own)
-                    owner.append(np.full(len(own), at))
-                    at += 1
-                owner = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(run)), ids.take(owner), text_hash.take(owner),
-                     pa.array(np.concatenate(begin).astype(np.int32))],
-                    names=["run", "doc_id", "text_hash", "first"])
+        with lean_task("suffixes"):
+            for batch in batches:
+                yield from of_batch(batch)
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, text_hash = batch.column("doc_id"), batch.column("text_hash")
+        ranges = batch.column("ranges").to_pylist()
+        at = 0
+        for _, group in hashed_texts(batch.column("text"), lower=False):
+            owner, begin, run = [], [], []
+            for words in group:
+                own = np.concatenate([np.arange(r["first"], r["last"] + 1)
+                                      for r in ranges[at]])
+                run.append(RunHashes(words).of(own, own + length))
+                begin.append(own)
+                owner.append(np.full(len(own), at))
+                at += 1
+            owner = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(np.concatenate(run)), ids.take(owner), text_hash.take(owner),
+                 pa.array(np.concatenate(begin).astype(np.int32))],
+                names=["run", "doc_id", "text_hash", "first"])
 
     return rows
 
@@ -124,32 +132,36 @@ def without_ranges(text: Column, ranges: Column) -> Column:
     each range), the words and passages removed; null where there are none."""
     @F.arrow_udf("struct<text:string,n_removed:bigint,n_passages:bigint>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        with lean_task("suffixes"):
+            for texts, own_ranges in batches:
+                yield of_batch(texts, own_ranges)
+
+    def of_batch(texts: pa.Array, own_ranges: pa.Array) -> pa.Array:
         word = re.compile(rb"[^\x20\x09-\x0d]+")
-        for texts, own_ranges in batches:
-            out = []
-            for i, t in texts_in(texts):
-                own = own_ranges[i].as_py()
-                if not own or t is None:
-                    out.append(None)
-                    continue
-                data = t.encode("utf-8", "surrogatepass")
-                starts = np.array([m.start() for m in word.finditer(data)] + [len(data)])
-                change = np.zeros(len(starts), dtype=np.int64)
-                for r in own:
-                    change[r["first"]] += 1
-                    change[r["end"]] -= 1
-                gone = np.cumsum(change)[:-1] > 0
-                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                kept, at = [], 0
-                for b, e in zip(starts[begin].tolist(), starts[end].tolist()):
-                    kept.append(data[at:b])
-                    at = e
-                kept.append(data[at:])
-                out.append({"text": b"".join(kept).decode("utf-8", "surrogatepass"),
-                            "n_removed": int(gone.sum()), "n_passages": len(begin)})
-            yield pa.array(out, type=pa.struct([
-                ("text", pa.string()), ("n_removed", pa.int64()), ("n_passages", pa.int64())]))
+        out = []
+        for i, t in texts_in(texts):
+            own = own_ranges[i].as_py()
+            if not own or t is None:
+                out.append(None)
+                continue
+            data = t.encode("utf-8", "surrogatepass")
+            starts = np.array([m.start() for m in word.finditer(data)] + [len(data)])
+            change = np.zeros(len(starts), dtype=np.int64)
+            for r in own:
+                change[r["first"]] += 1
+                change[r["end"]] -= 1
+            gone = np.cumsum(change)[:-1] > 0
+            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            kept, at = [], 0
+            for b, e in zip(starts[begin].tolist(), starts[end].tolist()):
+                kept.append(data[at:b])
+                at = e
+            kept.append(data[at:])
+            out.append({"text": b"".join(kept).decode("utf-8", "surrogatepass"),
+                        "n_removed": int(gone.sum()), "n_passages": len(begin)})
+        return pa.array(out, type=pa.struct([
+            ("text", pa.string()), ("n_removed", pa.int64()), ("n_passages", pa.int64())]))
 
     return cut.asNondeterministic()(text, ranges)
 

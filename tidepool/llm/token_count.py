@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import (CodeBook, per_process, piece_batches, shared_file,
+from tidepool.llm.common import (CodeBook, lean_task, per_process, piece_batches, shared_file,
                                  sums_by_length, texts_in)
 
 # Fixed value: the byte-level pre-token pattern of the vocabulary's family.
@@ -116,34 +116,35 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text") -> Column:
 
     @F.arrow_udf("bigint")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = per_process(("merge-table", key), lambda: MergeTable(data.value))
-        pattern = per_process("byte-level-pattern", lambda: regex.compile(PATTERN))
-
-        def encode(new: list, results):
-            counts = table.count([p.encode("utf-8", "surrogatepass") for p in new])
-            return counts if results is None else np.concatenate([results, counts])
-
-        book = per_process(("token-count", key), lambda: CodeBook(encode))
-        for batch in batches:
-            total = np.zeros(len(batch), dtype=np.int64)
-
-            def segments():
-                for i, t in texts_in(batch):
-                    if not t:
-                        continue
-                    if table.special is not None and table.special.search(t):
-                        parts = table.special.split(t)
-                        total[i] += len(parts) - 1
-                        yield from ((i, p) for p in parts if p)
-                    else:
-                        yield i, t
-
-            for pieces, owners, lengths in piece_batches(segments(), pattern.findall,
-                                                         pattern.finditer):
-                if pieces:
-                    rows = book.rows_of(pieces)
-                    np.add.at(total, owners, sums_by_length(book.results[rows], lengths))
-            yield pa.array(total)
+        with lean_task("token-count"):
+            table = per_process(("merge-table", key), lambda: MergeTable(data.value))
+            pattern = per_process("byte-level-pattern", lambda: regex.compile(PATTERN))
+
+            def encode(new: list, results):
+                counts = table.count([p.encode("utf-8", "surrogatepass") for p in new])
+                return counts if results is None else np.concatenate([results, counts])
+
+            book = per_process(("token-count", key), lambda: CodeBook(encode))
+            for batch in batches:
+                total = np.zeros(len(batch), dtype=np.int64)
+
+                def segments():
+                    for i, t in texts_in(batch):
+                        if not t:
+                            continue
+                        if table.special is not None and table.special.search(t):
+                            parts = table.special.split(t)
+                            total[i] += len(parts) - 1
+                            yield from ((i, p) for p in parts if p)
+                        else:
+                            yield i, t
+
+                for pieces, owners, lengths in piece_batches(segments(), pattern.findall,
+                                                             pattern.finditer):
+                    if pieces:
+                        rows = book.rows_of(pieces)
+                        np.add.at(total, owners, sums_by_length(book.results[rows], lengths))
+                yield pa.array(total)
 
     return counted.asNondeterministic()(F.col(text))
 
