@@ -353,7 +353,8 @@ def test_tap_sample_batch_and_stream(spark, tmp_dir):
     tap_sample(spark.range(100), "ids", n=3, log=seen.append)
     assert len(seen) == 3 and seen[0].startswith("ids: Row(")
     df = spark.range(10).withColumnRenamed("id", "i")
-    st = replay_stream(spark, write_replay_files(df, "i", 2), df.schema)
+    path, n = write_replay_files(df, "i", 2)
+    st = replay_stream(spark, path, df.schema, n)
     w = tap_sample(st, "stream", n=2, log=seen.append)
     q = w.option("checkpointLocation", tmp_dir + "/ck").trigger(availableNow=True).start()
     q.awaitTermination()

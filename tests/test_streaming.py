@@ -26,8 +26,8 @@ def _events(spark, spec, key="k"):
 
 def _stream(spark, df, n_files=3, order="ts"):
     end = spark.createDataFrame([("__end__", END, False, -1, 0)], SCHEMA)
-    path = write_replay_files(df, order, n_files, end_rows=end)
-    return replay_stream(spark, path, df.schema)
+    path, n = write_replay_files(df, order, n_files, end_rows=end)
+    return replay_stream(spark, path, df.schema, n)
 
 
 def _sessions(spark, spec, lone_final="close", n_files=3, watermark="0 seconds"):
@@ -69,8 +69,8 @@ def test_stream_out_of_order_within_lateness(spark):
     rev = df.withColumn("ts_rev", F.lit(T0) - (F.col("ts") - F.lit(T0)))
     end = spark.createDataFrame([("__end__", END, False, -1, 0)], SCHEMA) \
         .withColumn("ts_rev", F.lit(END))
-    path = write_replay_files(rev, "ts_rev", 3, end_rows=end)
-    st = replay_stream(spark, path, rev.schema)
+    path, n = write_replay_files(rev, "ts_rev", 3, end_rows=end)
+    st = replay_stream(spark, path, rev.schema, n)
     s = stream_sessions_with_final(st, "k", "ts", 30, is_final=F.col("fin"), tiebreak="id",
                                    watermark="1 day", end_marker=F.col("k") == "__end__")
     got = sorted(r["n_events"] for r in run_to_table(s, "t-ooo").collect())
@@ -95,8 +95,8 @@ def _kv(spark, rows, vtype="bigint"):
 def test_stream_sync_equals_batch(spark, match):
     a = _kv(spark, [("k1", 1, 0), ("k2", 2, 1), ("k1", 7, 5), ("k3", 3, 6)])
     b = _kv(spark, [("k1", 4, 2), ("k2", 5, 3), ("k2", 8, 4), ("k1", 9, 7)])
-    paths = [write_replay_files(d, "arrival_ts", 2) for d in (a, b)]
-    streams = [replay_stream(spark, p, a.schema) for p in paths]
+    streams = [replay_stream(spark, path, a.schema, n) for path, n in
+               (write_replay_files(d, "arrival_ts", 2) for d in (a, b))]
     got = run_to_table(stream_sync(streams, match=match), f"t-sync-{match}")
     want = sync([a, b], match=match)
     cols = ["key", "occurrence", "value_0", "value_1"] if match == "occurrence" else \
@@ -107,23 +107,103 @@ def test_stream_sync_equals_batch(spark, match):
 
 def test_stream_farm_payloads(spark):
     p = work_payloads(spark, graphs=1, jobs=2, tasks=3, outputs=4, seed=3)
-    path = write_replay_files(p, "arrival", 3)
-    st = replay_stream(spark, path, p.schema)
+    path, n = write_replay_files(p, "arrival", 3)
+    st = replay_stream(spark, path, p.schema, n)
     g = run_to_table(stream_job_output(st, "graphid", arrival=["arrival"]), "t-farm-g").collect()
     assert [len(r["outputs"]) for r in g] == [24]
     batch = job_output(p, "graphid", arrival=["arrival"]).collect()
     assert g[0]["outputs"] == batch[0]["outputs"]
-    st = replay_stream(spark, path, p.schema)
+    st = replay_stream(spark, path, p.schema, n)
     j = run_to_table(stream_job_output(st, "jobid", arrival=["arrival"]), "t-farm-j").collect()
     assert sorted(len(r["outputs"]) for r in j) == [12, 12]
 
 
+PAYLOAD = ("graphid bigint, jobid bigint, taskid bigint, jobtasks map<string,int>,"
+           " output array<string>, arrival bigint")
+
+
+@pytest.mark.parametrize("declared", [[3, 2, 2, 1, 5], [2, 2, 2, 2], [1, None, 2, 3, 2],
+                                      [None, None], [4, 4, 4]])
+def test_changing_declared_counts_fire_alike(spark, declared):
+    """The count is compared with the number the current payload declares, in
+    batch as on a stream; a NULL output adds nothing."""
+    rows = [(g, 0, i, {"0": d}, None if i == 1 else [f"{g}/{i}"], i)
+            for g in (1, 2) for i, d in enumerate(declared)]
+    p = spark.createDataFrame(rows, PAYLOAD)
+    want, seen, outs = [], 0, []
+    for i, d in enumerate(declared):
+        seen, outs = seen + 1, outs + ([] if i == 1 else [i])
+        if seen == d:
+            want.append((len(want) + 1, seen, outs))
+            seen, outs = 0, []
+    want = sorted((g, f, n, [f"{g}/{i}" for i in o]) for g in (1, 2) for f, n, o in want)
+    view = ["graphid", "fire", "n_payloads", "outputs"]
+    # one job per graph: a NULL count counts as no part of the graph's sum
+    batch = job_output(p, "jobid", arrival=["arrival"]).select(*view).collect() \
+        if None not in declared else None
+    if batch is not None:
+        assert sorted(map(tuple, batch)) == want
+    path, n = write_replay_files(p, "arrival", 2)
+    st = replay_stream(spark, path, p.schema, n)
+    if None not in declared:
+        got = run_to_table(stream_job_output(st, "jobid", arrival=["arrival"]), "t-changing")
+        assert sorted(map(tuple, got.select(*view).collect())) == want
+
+
+def test_replay_slices_are_written_by_many_tasks(spark):
+    from pyspark.sql import functions as F2
+
+    from tidepool.session import dropped, live_tables
+    before = set(live_tables())
+    df = spark.range(100).withColumn("t", F2.col("id"))
+    path, n = write_replay_files(df, "t", 3, end_rows=df.limit(1))
+    assert n >= 4
+    batches = []
+    q = (replay_stream(spark, path, df.schema, n).writeStream
+         .foreachBatch(lambda b, i: batches.append(sorted(r.t for r in b.collect())))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert [len(b) for b in batches][3:] == [1] and sum(batches[:3], []) == list(range(100))
+    assert set(live_tables()) - before == {path}  # the staging copy is gone
+    dropped(path)
+    assert set(live_tables()) == before
+
+
+def test_sync_orders_by_all_columns(spark):
+    from tidepool.streaming.operators import stream_sync_tagged
+    rows = [("k", 0, i, 5, "x", z) for i, z in enumerate([3, None, 1, 2])]
+    df = spark.createDataFrame(rows, "key string, src int, value_0 int, t bigint, u string,"
+                                     " z bigint")
+    path, n = write_replay_files(df, "t", 1)
+    for order in (["t", "u", "z"], ["z"]):
+        st = replay_stream(spark, path, df.schema, n)
+        got = run_to_table(stream_sync_tagged(st, 1, order=order), "t-order").collect()
+        assert [r.value_0 for r in sorted(got, key=lambda r: r.occurrence)] == [1, 2, 3, 0]
+
+
+def test_rocksdb_is_asked_for(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    path, n = write_replay_files(spark.range(1).selectExpr(
+        "'k' key", "0 src", "1 value_0", "id arrival_ts", "id arrival_id"), "arrival_ts", 1)
+    st = replay_stream(spark, path, "key string, src int, value_0 int, arrival_ts bigint,"
+                                    " arrival_id bigint", n)
+    try:
+        spark.conf.set(key, "org.example.Other")
+        from tidepool.streaming.operators import stream_sync_tagged
+        with pytest.raises(RuntimeError, match="RocksDB"):
+            stream_sync_tagged(st, 1)
+        assert spark.conf.get(key) == "org.example.Other"
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_stream_payloads_twice_fire_twice(spark):
     p = work_payloads(spark, graphs=1, jobs=2, tasks=3, outputs=1, seed=1) \
         .withColumn("arrival", F.col("jobid") * 10 + F.col("taskid"))
     p2 = p.unionByName(p.withColumn("arrival", F.col("arrival") + 1000))
-    path = write_replay_files(p2, "arrival", 2)
-    st = replay_stream(spark, path, p2.schema)
+    path, n = write_replay_files(p2, "arrival", 2)
+    st = replay_stream(spark, path, p2.schema, n)
     g = run_to_table(stream_job_output(st, "graphid", arrival=["arrival"]), "t-twice").collect()
     assert sorted(r["fire"] for r in g) == [1, 2]
 
@@ -134,8 +214,8 @@ def test_stream_late_rows_are_dropped(spark):
         "order", F.when(F.col("id") == 2, F.lit(3)).otherwise(F.col("id")))
     end = spark.createDataFrame([("__end__", END, False, -1, 0)], SCHEMA).withColumn(
         "order", F.lit(10))
-    path = write_replay_files(df, "order", 3, end_rows=end)
-    st = replay_stream(spark, path, df.schema)
+    path, n = write_replay_files(df, "order", 3, end_rows=end)
+    st = replay_stream(spark, path, df.schema, n)
     s = stream_sessions_with_final(st, "k", "ts", 30, tiebreak="id",
                                    end_marker=F.col("k") == "__end__")
     got = [r["n_events"] for r in run_to_table(s, "t-late").collect()]
@@ -177,8 +257,8 @@ def test_stream_sync_longest_flushes_at_end(spark):
             (None, None, None, None, END, 4)]
     df = spark.createDataFrame(rows, "key string, src int, value_0 bigint, value_1 string, "
                                      "arrival_ts timestamp_ntz, arrival_id long")
-    path = write_replay_files(df, "arrival_ts", 2)
-    st = replay_stream(spark, path, df.schema)
+    path, n = write_replay_files(df, "arrival_ts", 2)
+    st = replay_stream(spark, path, df.schema, n)
     s = stream_sync_tagged(st, 2, mode="longest", end_marker=F.col("src").isNull())
     got = sorted((r["key"], r["occurrence"], r["value_0"], r["value_1"])
                  for r in run_to_table(s, "t-longest").collect())
@@ -195,8 +275,8 @@ def test_stream_user_score_golden(spark):
     from tidepool.streaming.replay import run_updates_to_table
     lines = spark.createDataFrame([(line, i) for i, line in enumerate(GOLDEN)],
                                   "value string, i long")
-    path = write_replay_files(lines, "i", 3)
-    st = replay_stream(spark, path, lines.schema)
+    path, n = write_replay_files(lines, "i", 3)
+    st = replay_stream(spark, path, lines.schema, n)
     runs = run_updates_to_table(stream_group_values(parse_game_event(st), "user", "score"),
                                 ["user", "score"], "t-golden")
     got = {}
@@ -216,8 +296,8 @@ def test_stream_dead_letter_and_tap(spark):
             raise ValueError("I hate 5!")
 
     df = spark.range(10).withColumnRenamed("id", "item")
-    path = write_replay_files(df, "item", 2)
-    st = tap(replay_stream(spark, path, df.schema), "items")
+    path, n = write_replay_files(df, "item", 2)
+    st = tap(replay_stream(spark, path, df.schema, n), "items")
     out = dead_letter(st, fail_on_five, ["item"], initial_delay=0.0)
     q = (out.writeStream.format("memory").queryName("dl_test").trigger(availableNow=True)
             .start())

@@ -25,10 +25,10 @@ GAME_EVENT = T.StructType([
 
 # One work payload: a task of a job of a graph, with the outputs it wrote.
 PAYLOAD = T.StructType([
-    T.StructField("graphid", T.IntegerType()),
+    T.StructField("graphid", T.LongType()),
     T.StructField("jobtasks", T.MapType(T.StringType(), T.IntegerType())),
-    T.StructField("jobid", T.IntegerType()),
-    T.StructField("taskid", T.IntegerType()),
+    T.StructField("jobid", T.LongType()),
+    T.StructField("taskid", T.LongType()),
     T.StructField("output", T.ArrayType(T.StringType())),
 ])
 

@@ -18,20 +18,25 @@ _MAX_MS = 9_223_372_036_854_775
 _CSV4 = "f0 STRING, f1 STRING, f2 STRING, f3 STRING"
 
 
-def _csv_field_count(line: Column) -> Column:
-    """Number of CSV fields: commas outside double-quoted sections, plus one
-    (the regex runs only on lines that contain a quote)."""
-    unquoted = F.when(line.contains('"'), F.regexp_replace(line, r'"[^"]*"', "")) \
-                .otherwise(line)
-    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+# Quotes inside a quoted field are doubled, a backslash is a character.
+_CSV_OPTIONS = {"escape": '"'}
+
+
+def _csv_fields(line: Column) -> Column:
+    """The first four CSV fields; NULL for those the line does not have."""
+    return F.from_csv(line, _CSV4, _CSV_OPTIONS)
 
 
 def _game_event_struct(r: Column, line: Column) -> Column:
-    nf = _csv_field_count(line)
     score = r["f2"].try_cast("bigint")
     ms = r["f3"].try_cast("bigint")
     ms_ok = ms.isNotNull() & (F.abs(ms) <= F.lit(_MAX_MS))
-    reason = (F.when(line.isNull() | (nf < 4), F.lit("too_few_fields"))
+    # an empty field reads as NULL like a missing one: a line whose fields 3
+    # and 4 are empty has the commas for them
+    enough = r["f3"].isNotNull() | (F.length(F.regexp_replace(
+        F.when(line.contains('"'), F.regexp_replace(line, r'"[^"]*"', "")).otherwise(line),
+        "[^,]", "")) >= 3)
+    reason = (F.when(line.isNull() | ~enough, F.lit("too_few_fields"))
                .when(score.isNull(), F.lit("bad_score"))
                .when(~ms_ok, F.lit("bad_time")))
     return F.struct(
@@ -53,7 +58,7 @@ def game_event_fields(line: Column) -> Column:
     anything else (``1.5``, ``1_0``, overflow) is a reject. Fields past the
     fourth are ignored.
     """
-    return _game_event_struct(F.from_csv(line, _CSV4), line)
+    return _game_event_struct(_csv_fields(line), line)
 
 
 def _parsed_events(lines: DataFrame, line: str) -> DataFrame:
@@ -61,7 +66,7 @@ def _parsed_events(lines: DataFrame, line: str) -> DataFrame:
     per line. The parse is a projection of its own, and the fields leave
     through a generator: without that the optimizer copies the line and the
     parse into every later filter predicate that reads a field."""
-    parsed = lines.select(F.col(line).alias("_line"), F.from_csv(F.col(line), _CSV4).alias("_r"))
+    parsed = lines.select(F.col(line).alias("_line"), _csv_fields(F.col(line)).alias("_r"))
     return parsed.select(F.inline(F.array(_game_event_struct(F.col("_r"), F.col("_line")))))
 
 
@@ -85,7 +90,7 @@ def parse_game_event(lines: DataFrame, line: str = "value",
 def game_event_rejects(lines: DataFrame, line: str = "value") -> DataFrame:
     """The rejected lines with the reason: ``(value, reason)``."""
     require_columns(lines, line, where="game_event_rejects")
-    parsed = lines.select(F.col(line).alias("_line"), F.from_csv(F.col(line), _CSV4).alias("_r"))
+    parsed = lines.select(F.col(line).alias("_line"), _csv_fields(F.col(line)).alias("_r"))
     out = parsed.select(F.col("_line").alias("value"), F.inline(F.array(F.struct(
         _game_event_struct(F.col("_r"), F.col("_line"))["reason"].alias("reason")))))
     return out.where(F.col("reason").isNotNull())
@@ -140,6 +145,15 @@ def first_word_more(lines: DataFrame, line: str = "line",
                .withColumn("more", is_single_word(F.col(line))))
 
 
+def _json_fields(parsed: str, schema: T.StructType | str) -> list[Column]:
+    """The declared fields of the first element of a parsed array; a value
+    that cannot be of its field's type is NULL, like an absent one."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    return [F.try_variant_get(parsed, f"$[0]['{f.name}']", f.dataType.simpleString())
+            .alias(f.name) for f in schema.fields]
+
+
 def parse_json_payload(df: DataFrame, schema: T.StructType | str, data: str = "data",
                        mode: str = "reject", out: str = "payload") -> DataFrame:
     """Decode the JSON in ``data`` (bytes or text) with a declared schema.
@@ -150,13 +164,19 @@ def parse_json_payload(df: DataFrame, schema: T.StructType | str, data: str = "d
     malformed row, like an uncaught ``json.loads`` error.
     """
     require_columns(df, data, where="parse_json_payload")
+    # Parsed once: the text as the only element of an array. What follows a
+    # value, a second value or a loose spelling makes the array malformed or
+    # longer, so it is well-formed when it is one object and no more.
     text = F.col(data).cast("string")
-    decoded = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    # from_json in permissive mode yields a struct of NULLs for malformed
-    # input; a row is well-formed when it parses as a JSON object.
-    valid = F.coalesce(F.get_json_object(text, "$").isNotNull()
-                       & F.ltrim(text).startswith("{"), F.lit(False))
-    res = df.withColumn(out, F.when(valid, decoded)).withColumn("json_error", ~valid)
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    res = df.withColumn("_json", parsed)
+    one = F.coalesce(F.schema_of_variant(F.try_variant_get("_json", "$[0]", "variant"))
+                     .startswith("OBJECT"), F.lit(False))
+    more = F.try_variant_get("_json", "$[1]", "variant").isNotNull()
+    valid = one & ~more
+    res = res.withColumn("json_error", ~valid).withColumn(
+        out, F.when(valid, F.struct(*_json_fields("_json", schema)))).drop("_json")
+    res = res.select(*[c for c in res.columns if c != "json_error"], "json_error")
     if mode == "reject":
         return res
     if mode == "drop":

@@ -61,8 +61,16 @@ def as_str(value) -> Column:
 
 
 def as_float(value) -> Column:
-    """``float(x)`` of text; NULL when not a number."""
-    return _c(value).cast("string").try_cast("double")
+    """``float(x)`` of text: digits with an optional sign, point, exponent and
+    surrounding whitespace, or a spelling of infinity or not-a-number; NULL
+    otherwise (``1d``, ``0x1p3`` are numbers to Java only)."""
+    v = F.trim(F.regexp_replace(_c(value).cast("string"), r"^\s+|\s+$", ""))
+    number = v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    word = F.lower(F.regexp_replace(v, r"^[+-]", ""))
+    sign = F.when(v.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    return (F.when(number, v.try_cast("double"))
+             .when(word.isin("inf", "infinity"), sign * F.lit(float("inf")))
+             .when(word == "nan", F.lit(float("nan"))))
 
 
 def value_range(value) -> Column:
@@ -102,6 +110,7 @@ def _py_text(c: Column, dtype: str) -> Column:
     return _py_scalar(c, dtype, False)
 
 
+# The two text forms below.
 def format_score(key, value, value_type: str | None = None) -> Column:
     """``'user: %s, total_score: %s' % (key, value)``; ``value`` may be a
     number or a list (give ``value_type``, e.g. ``"array<bigint>"``; arrays

@@ -2,22 +2,25 @@
 once all its declared parts have arrived.
 
 A payload is ``(graphid, jobtasks MAP<STRING,INT>, jobid, taskid, output
-ARRAY<STRING>)``. Per key, payloads are counted in arrival order; every time
-the count reaches the declared number the collected outputs are emitted and
-the count starts again (so twice the declared payloads fire twice; an
-incomplete key never fires). A job declares ``jobtasks[jobid]`` parts, a graph
+ARRAY<STRING>)``. Per key, payloads are counted in arrival order; when the
+count reaches the number that the payload just counted declares, the outputs
+collected so far are emitted and the count starts again (so twice the declared
+payloads fire twice; an incomplete key never fires). A NULL output adds
+nothing, a NULL declared number never fires. A job declares ``jobtasks[jobid]`` parts, a graph
 the sum of all ``jobtasks`` values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.contracts import require_columns
 from tidepool.operators.ordered import number_rows
+from tidepool.session import dropped, written
 
 GRAPH, JOB, TASK = "graphid", "jobid", "taskid"
 STATEFUL = (JOB, GRAPH)
@@ -50,6 +53,80 @@ def level_keys(level: str, scope: str = "graph") -> list[str]:
     raise ValueError(f"level must be one of {LEVELS}")
 
 
+def _fires(keys: list[str]):
+    """Firing numbers of rows sorted by key and arrival, one pass with one
+    counter: for keys whose payloads declare different numbers."""
+    def fires(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, fired = None, 0, 0
+        for batch in batches:
+            own = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            fire, done = [], []
+            for key, expected in zip(own, batch.column("_expected").to_pylist()):
+                if key != last:
+                    last, seen, fired = key, 0, 0
+                seen += 1
+                fire.append(fired + 1)
+                hit = expected is not None and seen == expected
+                done.append(hit)
+                if hit:
+                    fired, seen = fired + 1, 0
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(fire, pa.int64()), pa.array(done, pa.bool_())],
+                names=[*batch.schema.names, "fire", "_done"])
+
+    return fires
+
+
+def job_output_rows(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
+                    scope: str = "graph", partitions: int | None = None) -> DataFrame:
+    """The payloads of complete firings, ``(keys..., fire, place, n_payloads,
+    output)``: ``fire`` counts the firings of the key, ``place`` the payloads
+    of a firing from 1. Nothing is gathered: payloads are numbered per key
+    (skew-safe), and whether a firing is complete follows from counts.
+
+    Where all payloads of a key declare one number, firings are runs of that
+    length; the payloads of the other keys pass a counter in arrival order,
+    row by row, in the task of their key."""
+    keys = level_keys(level, scope)
+    # only what the count and the output need travels through the scan
+    p = payloads.select(*keys, *[c for c in arrival if c not in keys],
+                        declared_parts(level).alias("_expected"), "output")
+    of_key = p.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_expected").alias("_emin"),
+        F.max("_expected").alias("_emax"), F.count("_expected").alias("_known"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    renamed = of_key.toDF(*names, "_n", "_emin", "_emax", "_known")
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    numbered = number_rows(p, keys, list(arrival), out="_rn", partitions=partitions) \
+        .join(renamed, same)
+    one = (F.col("_emin") == F.col("_emax")) & (F.col("_known") == F.col("_n"))
+    size = F.col("_emax")
+    fire = F.floor((F.col("_rn") - 1) / size).cast("bigint") + 1
+    steady = (numbered.where(one & (size > 0)).withColumn("fire", fire)
+              .where(F.col("fire") * size <= F.col("_n"))
+              .select(*keys, "fire", (F.col("_rn") - (F.col("fire") - 1) * size).alias("place"),
+                      size.alias("n_payloads"), "output"))
+
+    varied = written(numbered.where(~one & F.col("_emax").isNotNull())
+                     .select(*keys, "_rn", "_expected", "output"), "completion-varied")
+    if varied.isEmpty():
+        dropped(varied)
+        return steady
+    schema = varied.schema.simpleString()[len("struct<"):-1] + ",fire:bigint,_done:boolean"
+    counted = written(varied.repartition(*keys).sortWithinPartitions(*keys, "_rn")
+                      .mapInArrow(_fires(keys), schema), "completion-fires")
+    ends = (counted.where("_done").groupBy(*keys, "fire").agg(F.max("_rn").alias("_end"))
+            .toDF(*names, "_fire", "_end"))
+    w = Window.partitionBy(*names).orderBy("_fire")
+    ends = ends.withColumn("n_payloads", F.col("_end") - F.coalesce(
+        F.lag("_end").over(w), F.lit(0)))
+    same = [*same, F.col("fire") == F.col("_fire")]
+    changed = counted.join(ends, same).select(
+        *keys, "fire", (F.col("_rn") - F.col("_end") + F.col("n_payloads")).alias("place"),
+        "n_payloads", "output")
+    return steady.unionByName(changed)
+
+
 def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
                scope: str = "graph", partitions: int | None = None) -> DataFrame:
     """Outputs per completed task / job / graph.
@@ -58,7 +135,9 @@ def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] =
     taskid, outputs)``. ``jobid`` / ``graphid``: one row per firing,
     ``(keys..., fire, n_payloads, outputs)`` with outputs in arrival order;
     ``fire`` counts firings of the key. ``arrival`` is the arrival order
-    (end it with unique columns).
+    (end it with unique columns). A firing's outputs are gathered only once
+    it is known to be complete; for firings too large for a row take
+    :func:`job_output_rows`.
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
@@ -71,38 +150,25 @@ def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] =
     if not arrival:
         raise ValueError("stateful levels need an arrival order")
     keys = level_keys(level, scope)
-    # only what the count and the output need travels through the scan
-    p = payloads.select(*keys, *[c for c in arrival if c not in keys],
-                        declared_parts(level).alias("_expected"), "output")
-    numbered = number_rows(p, keys, list(arrival), out="_rn", partitions=partitions)
-    fire = F.floor((F.col("_rn") - 1) / F.col("_expected")).cast("bigint") + 1
-    grouped = (numbered.where(F.col("_expected") > 0)
-                       .withColumn("fire", fire)
-                       .groupBy(*keys, "fire")
-                       .agg(F.count(F.lit(1)).alias("n_payloads"),
-                            F.min("_expected").alias("_emin"),
-                            F.max("_expected").alias("_emax"),
-                            F.sort_array(F.collect_list(F.struct("_rn", "output"))).alias("_o")))
-    return (grouped.where((F.col("n_payloads") == F.col("_emax"))
-                          & (F.col("_emin") == F.col("_emax")))
-                   .select(*keys, "fire", "n_payloads",
-                           F.flatten(F.transform("_o", lambda x: x["output"])).alias("outputs")))
+    rows = job_output_rows(payloads, level, arrival, scope, partitions)
+    none = F.array().cast("array<string>")
+    return (rows.groupBy(*keys, "fire")
+                .agg(F.max("n_payloads").alias("n_payloads"), F.sort_array(F.collect_list(
+                    F.struct("place", F.coalesce("output", none).alias("output")))).alias("_o"))
+                .select(*keys, "fire", "n_payloads",
+                        F.flatten(F.col("_o")["output"]).alias("outputs")))
 
 
 def job_output_all_levels(payloads: DataFrame, arrival: Sequence[str],
                           scope: str = "graph", partitions: int | None = None) -> DataFrame:
     """Task, job and graph outputs of one feed, as one DataFrame with a
-    ``level`` column (absent keys NULL; ``fire`` NULL for tasks). The feed
-    is written once and the three levels read it (``fan_out``)."""
-    from tidepool.operators.route import fan_out
-    levels = (TASK, JOB, GRAPH)
-    outs = fan_out(payloads, *[
-        (lambda lv: lambda src: job_output(src, lv, arrival, scope, partitions))(lv)
-        for lv in levels], materialize=True)
+    ``level`` column (absent keys NULL; ``fire`` NULL for tasks). Each level
+    plans the feed anew and reads only the columns it uses."""
     parts = []
-    for level, out in zip(levels, outs):
+    for level in (TASK, JOB, GRAPH):
+        out = job_output(payloads, level, arrival, scope, partitions)
         cols = []
-        for c, t in ((GRAPH, "int"), (JOB, "int"), (TASK, "int"), ("fire", "bigint"),
+        for c, t in ((GRAPH, "bigint"), (JOB, "bigint"), (TASK, "bigint"), ("fire", "bigint"),
                      ("n_payloads", "bigint")):
             cols.append((F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c))
         parts.append(out.select(F.lit(level).alias("level"), *cols, "outputs"))

@@ -18,9 +18,9 @@ instead
    over its few rows and broadcast back.
 
 The data is shuffled once and passes through Python once. Rows are counted
-per key first: when no key holds more than ``tidepool.hotKeyRows`` rows, one
-plain window per key (JVM only) gives the same numbers at less cost, and is
-used instead.
+per key first: only the rows of keys with more than ``tidepool.hotKeyRows``
+rows take this way; for the others one plain window per key (JVM only) gives
+the same numbers at less cost.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.session import scratch_path
+from tidepool.session import dropped, written
 
 # The edge table has at most two rows per range partition; below this many
 # rows it is broadcast (up to 100,000 partitions), above it it is joined by
@@ -49,31 +49,24 @@ _RN, _SEQ, _PID, _T, _FIN = "_tp_rn", "_tp_seq", "_tp_pid", "_tp_t", "_tp_final"
 _TIE = "_tp_tie"
 
 
-# Upper bound on range partitions chosen from the size estimate.
-MAX_SCAN_PARTITIONS = 1_000_000
-
-
 def _parse_bytes(text: str) -> int:
     units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     t = text.strip().lower().rstrip("b") or "0"
     return int(float(t[:-1]) * units[t[-1]]) if t[-1] in units else int(t)
 
 
-def _num_partitions(df: DataFrame, partitions: int | None) -> int:
-    """Range partitions for the scan: as given, else enough for the plan's
-    size estimate at AQE's advisory partition size (never fewer than
-    ``spark.sql.shuffle.partitions``, at most ``MAX_SCAN_PARTITIONS``).
-    A fixed count would leave partitions of hundreds of GB at 100 TB."""
+def _num_partitions(table: DataFrame, partitions: int | None) -> int:
+    """Range partitions for the scan of a written table: as given, else enough
+    for its size at AQE's advisory partition size (never fewer than
+    ``spark.sql.shuffle.partitions``). A fixed count would leave partitions
+    of hundreds of GB at 100 TB."""
     if partitions:
         return int(partitions)
-    conf = df.sparkSession.conf
+    conf = table.sparkSession.conf
     base = int(conf.get("spark.sql.shuffle.partitions"))
     target = _parse_bytes(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no estimate: keep the configured count
-        return base
-    return max(base, min(MAX_SCAN_PARTITIONS, -(-size // max(target, 1))))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(base, -(-size // max(target, 1)))
 
 
 def _as_cols(cols) -> list[Column]:
@@ -151,7 +144,7 @@ def _scan(batches, keys, gap_us, with_t, with_final):
 
 
 def _range_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
-                gap_us: int | None, with_final: bool, n_parts: int) -> DataFrame:
+                gap_us: int | None, with_final: bool, partitions: int | None) -> DataFrame:
     """Numbering through range partitions (see module doc).
 
     The local scan is written once, as a Parquet table under the session's
@@ -164,11 +157,13 @@ def _range_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
     with_t = gap_us is not None
     # Rows equal on every sort column would all fall into one range
     # partition (a group of copies can be a third of the data); a row id as
-    # the last sort column lets the sampler cut such a group too. The scan's
-    # output is written once, so the ids are read once.
-    work = work.withColumn(_TIE, F.monotonically_increasing_id())
+    # the last sort column lets the sampler cut such a group too. The ids are
+    # written before they are sorted on: a map task that runs again (a lost
+    # executor) must send every row to the range it went to before.
+    with_ids = written(work.withColumn(_TIE, F.monotonically_increasing_id()), "ordered-ids")
+    n_parts = _num_partitions(with_ids, partitions)
     sort_cols = list(sort_cols) + [F.col(_TIE)]
-    ranged = work.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
+    ranged = with_ids.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
     row_schema = T.StructType(ranged.schema.fields + [
         T.StructField(_RN, T.LongType(), False),
         T.StructField(_SEQ, T.LongType(), False),
@@ -178,10 +173,8 @@ def _range_scan(work: DataFrame, keys: list[str], sort_cols: list[Column],
     def rows_fn(it):
         return _scan(it, keys, gap_us or 0, with_t, with_final)
 
-    spark = work.sparkSession
-    path = scratch_path(spark, "ordered-scan")
-    ranged.mapInArrow(rows_fn, row_schema).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = written(ranged.mapInArrow(rows_fn, row_schema), "ordered-scan")
+    dropped(with_ids)
 
     # One summary row per (partition, key): counts and the time/final state
     # of the key's last row in the partition. Only a partition's first and
@@ -253,11 +246,12 @@ def hot_key_threshold(spark, hot_key_rows: int | None = None) -> int:
     return int(spark.conf.get("tidepool.hotKeyRows", str(HOT_KEY_ROWS)))
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], threshold: int) -> bool:
-    """Whether some key holds more than ``threshold`` rows: one partial
-    aggregate over the keys; nothing but a yes/no reaches the driver."""
+def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
+    """The keys with more than ``threshold`` rows, as a written table: one
+    partial aggregate that reads the key columns only. The table has fewer
+    rows than the input has per ``threshold``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > F.lit(threshold)).limit(1).count() > 0
+    return written(counts.where(F.col("_n") > F.lit(threshold)).select(*keys), "hot-keys")
 
 
 def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
@@ -266,11 +260,11 @@ def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
                   cluster_by: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``df`` plus ``_tp_rn`` / ``_tp_seq`` numbered per key.
 
-    Keys are counted first. When no key holds more than the hot-key
-    threshold (``tidepool.hotKeyRows``, default one million rows) each key
-    fits one task and a plain window does the work; otherwise the whole
-    input goes through the range-partitioned scan, which cuts hot keys into
-    many tasks.
+    Keys are counted first. The rows of keys up to the hot-key threshold
+    (``tidepool.hotKeyRows``, default one million rows) fit one task per key
+    and take a plain window; the rows of the other keys - only these - go
+    through the range-partitioned scan, which cuts a key into many tasks.
+    Both give the same numbers.
     """
     keys = list(keys)
     with_t = gap_us is not None
@@ -285,12 +279,24 @@ def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
     cluster = list(cluster_by) if cluster_by else None
     if cluster and not set(cluster) <= set(keys):
         raise ValueError("cluster_by must be a subset of the keys")
-    if threshold > 0 and not has_hot_key(df, cluster or keys, threshold):
-        out = _window_scan(work, keys, sort_cols, gap_us, cluster)
-    else:
-        out = _range_scan(work, keys, sort_cols, gap_us, with_final,
-                          _num_partitions(df, partitions))
-    return out.select(*df.columns, _RN, _SEQ)
+    if threshold < 1:  # every key counts as hot
+        out = _range_scan(work, keys, sort_cols, gap_us, with_final, partitions)
+        return out.select(*df.columns, _RN, _SEQ)
+    hot = hot_keys(df, cluster or keys, threshold)
+    n_hot = hot.count()
+    if not n_hot:
+        dropped(hot)
+        return _window_scan(work, keys, sort_cols, gap_us, cluster).select(
+            *df.columns, _RN, _SEQ)
+    names = [f"_tp_h{i}" for i in range(len(hot.columns))]
+    some = hot.toDF(*names)
+    if n_hot <= EDGE_BROADCAST_MAX_ROWS:
+        some = F.broadcast(some)
+    is_hot = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(cluster or keys, names)]
+    cold = _window_scan(work.join(some, is_hot, "left_anti"), keys, sort_cols, gap_us, cluster)
+    split = _range_scan(work.join(some, is_hot, "left_semi"), keys, sort_cols, gap_us,
+                        with_final, partitions)
+    return cold.select(*df.columns, _RN, _SEQ).unionByName(split.select(*df.columns, _RN, _SEQ))
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence,
@@ -311,18 +317,24 @@ def number_sessions(df: DataFrame, keys: Sequence[str], event_time: str | Column
                     gap_seconds: float, tiebreak: Sequence = (),
                     final: Column | None = None, out: str = "session_seq",
                     partitions: int | None = None,
-                    hot_key_rows: int | None = None) -> DataFrame:
+                    hot_key_rows: int | None = None,
+                    keep_untimed: bool = False) -> DataFrame:
     """Add ``out`` = 1, 2, 3, ... numbering the sessions of each key.
 
     Rows are taken in ``(event_time, final, tiebreak...)`` order; a new
     session starts at a key's first row, after a final row, and where the
     time step from the previous row is ``>= gap_seconds`` (so rows exactly
-    one gap apart are in different sessions).
+    one gap apart are in different sessions). A row without an event time is
+    in no session: it is left out, or with ``keep_untimed`` kept with a NULL
+    number.
     """
     gap_us = int(round(gap_seconds * 1_000_000))
     if gap_us <= 0:
         raise ValueError("gap must be strictly positive")
     et = F.col(event_time) if isinstance(event_time, str) else event_time
     order = [et] + _as_cols(tiebreak)
-    scanned = _ordered_scan(df, keys, order, gap_us, final, partitions, hot_key_rows)
-    return scanned.select(*df.columns, F.col(_SEQ).alias(out))
+    scanned = _ordered_scan(df.where(et.isNotNull()), keys, order, gap_us, final, partitions,
+                            hot_key_rows).select(*df.columns, F.col(_SEQ).alias(out))
+    if not keep_untimed:
+        return scanned
+    return scanned.unionByName(df.where(et.isNull()).withColumn(out, F.lit(None).cast("long")))

@@ -108,14 +108,15 @@ def fail_on_value(df: DataFrame, bad: Column, message: str = "bad value") -> Dat
 
 
 def row_budget_guard(df: DataFrame, limit: int, keys: Sequence[str]) -> DataFrame:
-    """Pass rows through; the job fails if a key has more than ``limit``
-    rows. Counts are partial aggregates, joined back as a semi-join."""
+    """Pass every row through, those with null keys too; the job fails if a
+    key has more than ``limit`` rows. The largest count per key is one
+    number: a partial aggregate and a one-row subquery, no keyed join."""
     require_columns(df, *keys, where="row_budget_guard")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ok = counts.where(F.when(F.col("_n") > F.lit(limit), F.raise_error(F.concat(
-        F.lit(f"row budget {limit} exceeded by a key with "), F.col("_n").cast("string"),
-        F.lit(" rows")))).otherwise(F.lit(True))).select(*keys)
-    return df.join(ok, list(keys), "left_semi")
+    most = counts.agg(F.max("_n").alias("_most")).scalar()
+    return df.where(F.when(most > F.lit(limit), F.raise_error(F.concat(
+        F.lit(f"row budget {limit} exceeded by a key with "), most.cast("string"),
+        F.lit(" rows")))).otherwise(F.lit(True)))
 
 
 # --- retries and dead letters -----------------------------------------------
@@ -148,8 +149,10 @@ def dead_letter(df: DataFrame, fn: Callable, cols: Sequence[str], retries: int =
     ``out`` = ``struct(error_class, message)`` of the final exception, NULL
     on success. ``keep_failed=True`` keeps failed rows in the result (the
     reference sends them to the main output too); ``False`` drops them. Use
-    :func:`errors` for the dead-letter side. The call runs in Arrow batches
-    through a pandas UDF; ``fn`` itself is the caller's per-element code."""
+    :func:`errors` for the dead-letter side. ``fn`` is called once per row and
+    attempt, in Arrow batches through a pandas UDF (again only where Spark
+    retries a task). A failure that a Column can tell needs no call: see
+    :func:`dead_letter_expr`."""
     require_columns(df, *cols, where="dead_letter")
     call = retry_call(fn, retries, initial_delay, max_delay, retry_on)
 
@@ -166,8 +169,12 @@ def dead_letter(df: DataFrame, fn: Callable, cols: Sequence[str], retries: int =
                 msg.append(str(e))
         return pd.DataFrame({"error_class": cls, "message": msg})
 
-    e = guarded(*[F.col(c) for c in cols])
-    res = df.withColumn(out, F.when(e["error_class"].isNotNull(), e))
+    # Not deterministic, and a column of its own before anything reads it: else
+    # the optimizer copies the call into every expression that names it.
+    call_result = guarded.asNondeterministic()(*[F.col(c) for c in cols])
+    tried = df.withColumn("_tried", call_result)
+    res = tried.withColumn(out, F.when(F.col("_tried.error_class").isNotNull(),
+                                       F.col("_tried"))).drop("_tried")
     return res if keep_failed else res.where(F.col(out).isNull())
 
 
@@ -233,13 +240,12 @@ def fan_out(df: DataFrame, *branches: Callable[[DataFrame], DataFrame],
     shared exchanges within one plan). ``materialize`` writes the input once
     as a Parquet table under the session's checkpoint folder and feeds every
     branch from it - each branch then reads only the columns it uses, and
-    the lineage is cut. ``persist`` caches it instead (for repeated actions
+    the lineage is cut; drop the table with ``session.dropped(...)`` once the
+    branches' results are written (``session.live_tables()`` names it). ``persist`` caches it instead (for repeated actions
     in one session; release it with ``unpersist``)."""
     if materialize:
-        from tidepool.session import scratch_path
-        path = scratch_path(df.sparkSession, "fan-out")
-        df.write.parquet(path)
-        src = df.sparkSession.read.parquet(path)
+        from tidepool.session import written
+        src = written(df, "fan-out")
     else:
         src = df.persist() if persist else df
     return [b(src) for b in branches]

@@ -21,9 +21,11 @@ def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def _session_rows(df, keys, event_time, gap_seconds, tiebreak, final, partitions):
+def _session_rows(df, keys, event_time, gap_seconds, tiebreak, final, partitions,
+                  keep_untimed=False):
     return number_sessions(df, keys, event_time, gap_seconds, tiebreak=tiebreak,
-                           final=final, out="session_seq", partitions=partitions)
+                           final=final, out="session_seq", partitions=partitions,
+                           keep_untimed=keep_untimed)
 
 
 def assign_sessions(df: DataFrame, keys: str | Sequence[str], event_time: str,
@@ -32,10 +34,12 @@ def assign_sessions(df: DataFrame, keys: str | Sequence[str], event_time: str,
                     partitions: int | None = None) -> DataFrame:
     """Every row with ``session_seq``, the 1-based number of its session
     within its key (strict gap: rows exactly ``gap_seconds`` apart are in
-    different sessions; with ``final``, a final row closes its session)."""
+    different sessions; with ``final``, a final row closes its session). A
+    row without an event time is in no session: its number is NULL."""
     ks = _keys(keys)
     require_columns(df, *ks, event_time, *tiebreak, where="assign_sessions")
-    return _session_rows(df, ks, event_time, gap_seconds, list(tiebreak), final, partitions)
+    return _session_rows(df, ks, event_time, gap_seconds, list(tiebreak), final, partitions,
+                         keep_untimed=True)
 
 
 def session_windows(df: DataFrame, keys: str | Sequence[str], event_time: str,
@@ -47,10 +51,12 @@ def session_windows(df: DataFrame, keys: str | Sequence[str], event_time: str,
     window is the union of ``[t, t + gap)``), ``event_time`` = window end
     (output at end of window), ``n_events`` and any extra ``aggs``.
 
-    Two events exactly one gap apart are in different sessions.
+    Two events exactly one gap apart are in different sessions; rows without
+    an event time are in none.
     """
     ks = _keys(keys)
-    rows = assign_sessions(df, ks, event_time, gap_seconds, tiebreak, None, partitions)
+    require_columns(df, *ks, event_time, *tiebreak, where="session_windows")
+    rows = _session_rows(df, ks, event_time, gap_seconds, list(tiebreak), None, partitions)
     gap = F.make_dt_interval(secs=F.lit(float(gap_seconds)))
     return (rows.groupBy(*ks, "session_seq")
                 .agg(F.min(event_time).alias("session_start"),
@@ -82,9 +88,10 @@ def sessions_with_final(df: DataFrame, keys: str | Sequence[str], event_time: st
         raise ValueError("batch sessions support lone_final='close'; use "
                          "tidepool.streaming for 'absorb'")
     ks = _keys(keys)
-    rows = assign_sessions(df.withColumn("_final", F.coalesce(is_final, F.lit(False))),
-                           ks, event_time, gap_seconds, tiebreak, F.col("_final"),
-                           partitions)
+    require_columns(df, *ks, event_time, *tiebreak, where="sessions_with_final")
+    rows = _session_rows(df.withColumn("_final", F.coalesce(is_final, F.lit(False))),
+                         ks, event_time, gap_seconds, list(tiebreak), F.col("_final"),
+                         partitions)
     gap = F.make_dt_interval(secs=F.lit(float(gap_seconds)))
     return (rows.groupBy(*ks, "session_seq")
                 .agg(F.min(event_time).alias("session_start"),

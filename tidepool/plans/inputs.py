@@ -24,7 +24,8 @@ def game_lines(events: DataFrame, *extra: str) -> DataFrame:
     ms>,<readable time>``. Lines are damaged or varied by ``event_id % 50``:
     0 empty, 1 two fields, 2 score ``n.5``, 3 score ``n_0``, 4 time ``t<ms>``
     (rejects); 5 score with spaces, 6 score with ``+``, 7 user quoted with a
-    comma (accepted). ``extra`` columns of the events are kept beside the
+    comma, 8 a quote inside an unquoted user, 9 a doubled quote inside a
+    quoted one (accepted). ``extra`` columns of the events are kept beside the
     line (e.g. ``ts`` to replay the lines in time order)."""
     user = F.concat(F.lit("user"), _s("user_id"))
     team = F.concat(F.lit("team"), _s(F.col("user_id") % 10))
@@ -44,6 +45,8 @@ def game_lines(events: DataFrame, *extra: str) -> DataFrame:
               .when(d == 5, line(s=F.concat(F.lit(" "), score, F.lit(" "))))
               .when(d == 6, line(s=F.concat(F.lit("+"), score)))
               .when(d == 7, line(u=F.concat(F.lit('"'), user, F.lit(',x"'))))
+              .when(d == 8, line(u=F.concat(F.lit('us"er'), _s("user_id"))))
+              .when(d == 9, line(u=F.concat(F.lit('"'), user, F.lit('""q"'))))
               .otherwise(line()))
     return events.select(value.alias("value"), *extra)
 
@@ -63,17 +66,38 @@ def document_lines(documents: DataFrame) -> DataFrame:
 def messages_from_events(events: DataFrame) -> DataFrame:
     """Broker messages: ``data`` = the ``props`` JSON bytes, attributes
     ``event_type``, ``user``, ``id`` and ``timestamp`` (epoch ms),
-    ``publish_time`` = ts."""
+    ``publish_time`` = ts. The data is damaged by ``event_id % 50``: 10 text
+    after it, 11 twice, 12 single quotes, 13 an array, 14 cut off."""
+    d = F.col("event_id") % 50
+    data = (F.when(d == 10, F.concat("props", F.lit(" junk")))
+             .when(d == 11, F.concat("props", "props"))
+             .when(d == 12, F.replace("props", F.lit('"'), F.lit("'")))
+             .when(d == 13, F.concat(F.lit("["), "props", F.lit("]")))
+             .when(d == 14, F.substring("props", 1, 4))
+             .otherwise(F.col("props")))
     attrs = F.create_map(
         F.lit("event_type"), F.col("event_type"),
         F.lit("user"), _s("user_id"),
         F.lit("id"), _s("event_id"),
         F.lit("timestamp"), _s(F.unix_millis(F.col("ts").cast("timestamp"))))
-    return events.select(F.col("props").cast("binary").alias("data"),
+    return events.select(data.cast("binary").alias("data"),
                          attrs.alias("attributes"),
                          F.col("ts").cast("timestamp").alias("publish_time"))
 
 
+def number_texts(events: DataFrame) -> DataFrame:
+    """``(event_id, k_text)``: the number in ``props`` as text, by ``event_id
+    % 50`` spelled as other languages would: 1 ``nd``, 2 ``0xn``, 3 ``n.0f``,
+    4 `` n.5e1 ``, 5 ``n_0``."""
+    k = F.regexp_extract("props", r":\s*(-?\d+)", 1)
+    d = F.col("event_id") % 50
+    return events.select("event_id", F.when(d == 1, F.concat(k, F.lit("d")))
+                         .when(d == 2, F.concat(F.lit("0x"), k))
+                         .when(d == 3, F.concat(k, F.lit(".0f")))
+                         .when(d == 4, F.concat(F.lit(" "), k, F.lit(".5e1 ")))
+                         .when(d == 5, F.concat(k, F.lit("_0"))).otherwise(k).alias("k_text"))
+
+
 BRANCH_TYPES = ("click", "view", "purchase", "signup", "error")
 
 
@@ -129,7 +153,7 @@ def payloads_from_lineitem(lineitem: DataFrame, outputs: int = 2) -> DataFrame:
     ``(l_shipdate, l_linenumber, l_partkey, l_suppkey)`` plus the remaining
     columns as tiebreaks."""
     job = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
-    li = lineitem.withColumn("jobid", job.cast("int"))
+    li = lineitem.withColumn("jobid", job.cast("bigint"))
     # Declared task counts: an aggregate (partial sums map-side) with at most
     # two entries per order, joined back on the order key (AQE splits a hot
     # order's partition on the lineitem side). Every order has its entry, so
@@ -143,12 +167,13 @@ def payloads_from_lineitem(lineitem: DataFrame, outputs: int = 2) -> DataFrame:
     li = li.join(declared, "l_orderkey", "left")
     graph = F.col("l_orderkey")
     task = F.col("l_linenumber")
+    # fixed value: the form of an output path
     out = F.transform(F.sequence(F.lit(0), F.lit(outputs - 1)), lambda i: F.concat(
         F.lit("/beam/graph-"), _s(graph), F.lit("/job-"), _s("jobid"),
         F.lit("_output-"), _s(i), F.lit(".task-"), _s(task), F.lit(".ext")))
     return li.select(
-        graph.cast("int").alias("graphid"), "jobtasks", "jobid",
-        task.cast("int").alias("taskid"), out.alias("output"),
+        graph.cast("bigint").alias("graphid"), "jobtasks", "jobid",
+        task.cast("bigint").alias("taskid"), out.alias("output"),
         F.col("l_shipdate").alias("arrival_ts"),
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag")

@@ -12,7 +12,8 @@ from __future__ import annotations
 _GAME = """
   (SELECT event_id, user_id, ts, value, event_id % 50 AS d,
           CAST(floor(value) AS BIGINT) AS score,
-          'user' || CAST(user_id AS VARCHAR) || CASE WHEN event_id % 50 = 7 THEN ',x' ELSE '' END AS "user",
+          CASE event_id % 50 WHEN 8 THEN 'us"er' ELSE 'user' END || CAST(user_id AS VARCHAR) ||
+            CASE event_id % 50 WHEN 7 THEN ',x' WHEN 9 THEN '"q' ELSE '' END AS "user",
           'team' || CAST(user_id % 10 AS VARCHAR) AS team
    FROM events)
 """
@@ -197,15 +198,15 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT event_id, event_type FROM events WHERE event_type = 'view'""",
     "job_output_task": """
-        SELECT CAST(l_orderkey AS INTEGER) AS graphid,
-               CAST(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS INTEGER) AS jobid,
+        SELECT CAST(l_orderkey AS BIGINT) AS graphid,
+               CAST(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS BIGINT) AS jobid,
                count(*) AS n_tasks, CAST(2 * count(*) AS BIGINT) AS n_outputs
         FROM lineitem GROUP BY 1, 2""",
     "job_output_job": _fired("l_orderkey, jobid", "dj.nt",
                              "dj ON li.l_orderkey = dj.l_orderkey AND li.jobid = dj.jobid",
-                             "CAST(l_orderkey AS INTEGER) AS graphid, CAST(jobid AS INTEGER) AS jobid"),
+                             "CAST(l_orderkey AS BIGINT) AS graphid, CAST(jobid AS BIGINT) AS jobid"),
     "job_output_graph": _fired("l_orderkey", "dg.expected", "dg ON li.l_orderkey = dg.l_orderkey",
-                               "CAST(l_orderkey AS INTEGER) AS graphid"),
+                               "CAST(l_orderkey AS BIGINT) AS graphid"),
     "job_output_all_levels": f"""
         SELECT 'taskid' AS level, count(*) AS n_rows, CAST(2 * count(*) AS BIGINT) AS n_outputs
         FROM lineitem
@@ -217,16 +218,16 @@ ORACLES: dict[str, str] = {
         SELECT 'graphid', count(*), CAST(sum(n_outputs) AS BIGINT) FROM ({_fired("l_orderkey", "dg.expected",
                              "dg ON li.l_orderkey = dg.l_orderkey", "l_orderkey")}) b""",
     "filter_attributes": """
-        SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
+        SELECT event_id, CASE WHEN event_id % 50 NOT IN (10, 11, 12, 13, 14) THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k
         FROM events WHERE event_type = 'purchase'""",
     "filter_attributes_list": """
-        SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
+        SELECT event_id, CASE WHEN event_id % 50 NOT IN (10, 11, 12, 13, 14) THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k
         FROM events WHERE event_type = 'view'""",
     "filter_attributes_chars": """
-        SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
+        SELECT event_id, CASE WHEN event_id % 50 NOT IN (10, 11, 12, 13, 14) THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k
         FROM events WHERE list_has_all(string_split(event_type, ''), ['k', 'c', 'i', 'l'])""",
     "decode_all_messages": """
-        SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
+        SELECT event_id, CASE WHEN event_id % 50 NOT IN (10, 11, 12, 13, 14) THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""",
     "split_threshold": """
         SELECT event_id, CASE WHEN value < 50.0 THEN 'lower' ELSE 'upper' END AS route
         FROM events""",
@@ -265,8 +266,12 @@ ORACLES: dict[str, str] = {
                CASE WHEN regexp_full_match(k_text, '\s*[+-]?[0-9]+\s*')
                     THEN TRY_CAST(k_text AS BIGINT) END AS as_int,
                k_text AS as_str,
-               CAST(round(TRY_CAST(k_text AS DOUBLE) * 100) AS BIGINT) AS as_float_cents
-        FROM (SELECT event_id, regexp_extract(props, ':\s*(-?\d+)', 1) AS k_text FROM events) e""",
+               CAST(round(CASE WHEN event_id % 50 NOT IN (1, 2, 3, 5)
+                 THEN TRY_CAST(trim(k_text) AS DOUBLE) END * 100) AS BIGINT) AS as_float_cents
+        FROM (SELECT event_id, CASE event_id % 50 WHEN 1 THEN k || 'd' WHEN 2 THEN '0x' || k
+                WHEN 3 THEN k || '.0f' WHEN 4 THEN ' ' || k || '.5e1 ' WHEN 5 THEN k || '_0'
+                ELSE k END AS k_text
+              FROM (SELECT event_id, regexp_extract(props, ':\s*(-?\d+)', 1) AS k FROM events)) e""",
     "encode_decode": """
         SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS roundtrip
         FROM documents""",

@@ -26,6 +26,7 @@ from tidepool.operators.scores import scores_by_field, total_score, user_score
 from tidepool.operators.sessions import (fixed_windows, session_windows,
                                          sessions_with_final, to_global_window)
 from tidepool.plans import inputs as I
+from tidepool.session import claimed_path, dropped
 from tidepool.streaming.operators import (stream_fixed_window_counts, stream_group_values,
                                           stream_job_output, stream_session_totals,
                                           stream_sessions_with_final, stream_sync_tagged)
@@ -363,8 +364,7 @@ def q_path_join(spark, sf):
 
 @register("cast_branches")
 def q_cast_branches(spark, sf):
-    e = _events(spark, sf).select("event_id", F.col("props"),
-                                  F.regexp_extract("props", r":\s*(-?\d+)", 1).alias("k_text"))
+    e = I.number_texts(_events(spark, sf))
     return e.select("event_id", as_int("k_text").alias("as_int"),
                     as_str("k_text").alias("as_str"),
                     F.round(as_float("k_text") * 100).cast("bigint").alias("as_float_cents"))
@@ -396,31 +396,23 @@ def q_timestamp_text(spark, sf):
 _END_TYPE = "__end__"
 
 
-# Replay copies already written in this session, by (table, sf_dir, files):
-# the streaming twins of one table read the same copy.
-_REPLAYS: dict[tuple, str] = {}
+def _drained(stream, name, replay):
+    """The rows of a stream run to its end; its replay copy is deleted."""
+    out = run_to_table(stream, name)
+    dropped(replay)
+    return out
 
 
-def _replay_path(spark, key, build):
-    path = _REPLAYS.get(key)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path) if path else None
-    if jpath is None or not jpath.getFileSystem(
-            spark._jsc.hadoopConfiguration()).exists(jpath):
-        path = _REPLAYS[key] = build()
-    return path
-
-
-def _events_stream(spark, sf, n_files=3):
-    """The events table as a stream of ``n_files`` time-ordered files, then
+def _events_replay(spark, sf, n_slices=3):
+    """The events table as a stream of ``n_slices`` time-ordered slices, then
     one end-of-stream row far in the future that pushes the watermark past
     all data (it never reaches an operator)."""
     import datetime as _dt
     e = _events(spark, sf)
     end = spark.createDataFrame(
         [(-1, _dt.datetime(9999, 12, 31), -1, _END_TYPE, 0.0, "{}")], e.schema)
-    path = _replay_path(spark, ("events", sf, n_files),
-                        lambda: write_replay_files(e, "ts", n_files, end_rows=end))
-    return replay_stream(spark, path, e.schema)
+    path, n = write_replay_files(e, "ts", n_slices, end_rows=end)
+    return replay_stream(spark, path, e.schema, n), path
 
 
 def _is_end():
@@ -430,20 +422,22 @@ def _is_end():
 @register("stream_final_sessions")
 def q_stream_final_sessions(spark, sf):
     """sessions_with_final on a stream: state and event-time timers."""
+    events, path = _events_replay(spark, sf)
     s = stream_sessions_with_final(
-        _events_stream(spark, sf), "user_id", "ts", SIX_HOURS,
+        events, "user_id", "ts", SIX_HOURS,
         is_final=F.col("event_type") == "purchase", tiebreak="event_id",
         value=_cents(), end_marker=_is_end())
-    return run_to_table(s, "stream-final-sessions").select(
+    return _drained(s, "stream-final-sessions", path).select(
         "user_id", "session_seq", "session_start_us", "session_end_us", "closed", "n_events")
 
 
 @register("stream_sessions")
 def q_stream_sessions(spark, sf):
     """sessions_strict on a stream."""
-    s = stream_sessions_with_final(_events_stream(spark, sf), "user_id", "ts", SIX_HOURS,
-                                   tiebreak="event_id", value=_cents(), end_marker=_is_end())
-    return run_to_table(s, "stream-sessions").select(
+    events, path = _events_replay(spark, sf)
+    s = stream_sessions_with_final(events, "user_id", "ts", SIX_HOURS, tiebreak="event_id",
+                                   value=_cents(), end_marker=_is_end())
+    return _drained(s, "stream-sessions", path).select(
         "user_id", "session_seq", "session_start_us", "session_end_us",
         F.col("session_end_us").alias("event_time_us"), "n_events", "value_cents")
 
@@ -452,29 +446,32 @@ def q_stream_sessions(spark, sf):
 def q_stream_session_totals(spark, sf):
     """Sessions re-grouped per user into running totals; the latest total
     of each user."""
-    s = stream_session_totals(_events_stream(spark, sf), "user_id", "ts", SIX_HOURS,
-                              tiebreak="event_id", value=_cents(), end_marker=_is_end())
-    t = run_to_table(s, "stream-session-totals")
+    events, path = _events_replay(spark, sf)
+    s = stream_session_totals(events, "user_id", "ts", SIX_HOURS, tiebreak="event_id",
+                              value=_cents(), end_marker=_is_end())
+    t = _drained(s, "stream-session-totals", path)
     last = F.max_by(F.struct("n_sessions", "n_events", "longest_session", "value_cents"),
                     "n_sessions")
     return t.groupBy("user_id").agg(last.alias("t")).select("user_id", "t.*")
 
 
 def _stream_tagged(spark, sf):
-    st = _events_stream(spark, sf).where(~_is_end())
-    return I.tagged_branches(st)
+    events, path = _events_replay(spark, sf)
+    return I.tagged_branches(events.where(~_is_end())), path
 
 
 @register("stream_sync_occurrence")
 def q_stream_sync_occurrence(spark, sf):
-    s = stream_sync_tagged(_stream_tagged(spark, sf), _N_BRANCHES, match="occurrence")
-    return _occurrence_view(run_to_table(s, "stream-sync-occurrence"))
+    tagged, path = _stream_tagged(spark, sf)
+    s = stream_sync_tagged(tagged, _N_BRANCHES, match="occurrence")
+    return _occurrence_view(_drained(s, "stream-sync-occurrence", path))
 
 
 @register("stream_sync_arrival")
 def q_stream_sync_arrival(spark, sf):
-    s = run_to_table(stream_sync_tagged(_stream_tagged(spark, sf), _N_BRANCHES,
-                                        match="arrival"), "stream-sync-arrival")
+    tagged, path = _stream_tagged(spark, sf)
+    s = _drained(stream_sync_tagged(tagged, _N_BRANCHES, match="arrival"),
+                 "stream-sync-arrival", path)
     return s.select("key", "group", "srcs",
                     F.array_join(F.transform("items", _item_text), "|").alias("values_text"))
 
@@ -483,33 +480,35 @@ def q_stream_sync_arrival(spark, sf):
 def q_stream_sync_longest(spark, sf):
     """sync_longest on a stream: incomplete rows are emitted when the end of
     stream marker moves the watermark to the end."""
-    st = I.tagged_branches(_events_stream(spark, sf), keep_other=True)
-    s = run_to_table(stream_sync_tagged(st, _N_BRANCHES, match="occurrence", mode="longest",
-                                        end_marker=F.col("src").isNull()),
-                     "stream-sync-longest")
+    events, path = _events_replay(spark, sf)
+    st = I.tagged_branches(events, keep_other=True)
+    s = _drained(stream_sync_tagged(st, _N_BRANCHES, match="occurrence", mode="longest",
+                                    end_marker=F.col("src").isNull()),
+                 "stream-sync-longest", path)
     o = _occurrence_view(s)
     return o.select("key", "occurrence", F.col("value_0").cast("string").alias("value_0"),
                     "value_1", F.col("value_2_cents").cast("string").alias("value_2_cents"),
                     F.col("value_3_size").cast("string").alias("value_3_size"), "value_4")
 
 
-def _payload_stream(spark, sf, n_files=3):
+def _payload_replay(spark, sf, n_slices=3):
     p = _payloads(spark, sf)
-    path = _replay_path(spark, ("payloads", sf, n_files),
-                        lambda: write_replay_files(p, "arrival_ts", n_files))
-    return replay_stream(spark, path, p.schema)
+    path, n = write_replay_files(p, "arrival_ts", n_slices)
+    return replay_stream(spark, path, p.schema, n), path
 
 
 @register("stream_job_output_job")
 def q_stream_job_output_job(spark, sf):
-    s = stream_job_output(_payload_stream(spark, sf), "jobid", arrival=I.PAYLOAD_ARRIVAL)
-    return _fired_view(run_to_table(s, "stream-job-output-job"), ["graphid", "jobid"])
+    payloads, path = _payload_replay(spark, sf)
+    s = stream_job_output(payloads, "jobid", arrival=I.PAYLOAD_ARRIVAL)
+    return _fired_view(_drained(s, "stream-job-output-job", path), ["graphid", "jobid"])
 
 
 @register("stream_job_output_graph")
 def q_stream_job_output_graph(spark, sf):
-    s = stream_job_output(_payload_stream(spark, sf), "graphid", arrival=I.PAYLOAD_ARRIVAL)
-    return _fired_view(run_to_table(s, "stream-job-output-graph"), ["graphid"])
+    payloads, path = _payload_replay(spark, sf)
+    s = stream_job_output(payloads, "graphid", arrival=I.PAYLOAD_ARRIVAL)
+    return _fired_view(_drained(s, "stream-job-output-graph", path), ["graphid"])
 
 
 
@@ -519,20 +518,21 @@ def q_stream_user_scores_sorted(spark, sf):
     counted per (user, score) by a stateful streaming aggregation in update
     mode; the latest count of every run."""
     lines = I.game_lines(_events(spark, sf), "ts")
-    path = _replay_path(spark, ("game-lines", sf, 3),
-                        lambda: write_replay_files(lines, "ts", 3))
-    st = replay_stream(spark, path, lines.schema)
+    path, n = write_replay_files(lines, "ts", 3)
+    st = replay_stream(spark, path, lines.schema, n)
     counts = stream_group_values(parse_game_event(st), "user", "score")
-    return run_updates_to_table(counts, ["user", "score"], "stream-user-scores")
+    out = run_updates_to_table(counts, ["user", "score"], "stream-user-scores")
+    dropped(path)
+    return out
 
 
 @register("stream_fixed_windows_count")
 def q_stream_fixed_windows_count(spark, sf):
     """fixed_windows_count on a stream: windows appended as the watermark
     passes them."""
-    s = stream_fixed_window_counts(_events_stream(spark, sf), "ts", 5, keys=["event_type"],
-                                   end_marker=_is_end())
-    t = run_to_table(s, "stream-fixed-windows")
+    events, path = _events_replay(spark, sf)
+    s = stream_fixed_window_counts(events, "ts", 5, keys=["event_type"], end_marker=_is_end())
+    t = _drained(s, "stream-fixed-windows", path)
     return t.select(F.unix_micros(F.col("window.start")).alias("window_start_us"),
                     "event_type", "n")
 

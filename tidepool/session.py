@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of the library relies on. Event times are compared and
 # printed in UTC; AQE re-plans joins and coalesces small shuffles at run time;
@@ -47,22 +48,26 @@ def build_session(master: str | None = None, app: str = "tidepool",
     return spark
 
 
+def _is_local_path(path: str) -> bool:
+    return path.startswith(("/", "file:"))
+
+
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     A cluster must name a folder every executor can reach; the library never
-    invents a machine-local one there. Only when nothing is configured and
-    the session is local (tests, a laptop) is ``fallback`` - or a fresh
-    temporary folder - installed as the session's checkpoint folder.
+    invents one there, and refuses a ``fallback`` on a local disk. Only when
+    nothing is configured and the session is local (tests, a laptop: its one
+    JVM is every executor) is ``fallback`` - or a fresh temporary folder -
+    installed as the session's checkpoint folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    if fallback is None and sc.master.startswith("local"):
-        # a single-machine session: every "executor" shares this disk
-        fallback = tempfile.mkdtemp(prefix="tidepool-ckpt-")
-    if fallback is None:
+    if re.match(r"local(\[|$)", sc.master):
+        fallback = fallback or tempfile.mkdtemp(prefix="tidepool-ckpt-")
+    elif fallback is None or _is_local_path(fallback):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; configure a folder all executors share")
     sc.setCheckpointDir(fallback)
@@ -73,3 +78,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint root for one job's files."""
     root = checkpoint_root(spark)
     return os.path.join(root.rstrip("/"), "tidepool", f"{name}-{uuid.uuid4().hex}")
+
+
+_LIVE: dict[str, SparkSession] = {}  # scratch tables of this driver, oldest first
+
+
+def claimed_path(spark: SparkSession, name: str) -> str:
+    """A scratch folder that :func:`dropped` may delete."""
+    path = scratch_path(spark, name)
+    _LIVE[path] = spark
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared scratch folder and read
+    back: later steps share it and a lost executor does not redo it."""
+    spark = df.sparkSession
+    path = claimed_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame | str) -> None:
+    """Delete scratch tables (or paths) that nothing unwritten depends on."""
+    for t in tables:
+        path = t if isinstance(t, str) else t.scratch
+        spark = _LIVE.pop(path, None)
+        if spark is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def live_tables() -> list[str]:
+    """Paths of the scratch tables not dropped yet, oldest first. A result
+    that is still lazy may read them: drop what a call left (those not listed
+    before it) once its result is written."""
+    return list(_LIVE)

@@ -23,13 +23,13 @@ from tidepool.streaming.processors import (CompletionProcessor, FinalSessionProc
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _use_rocksdb(df: DataFrame) -> None:
-    """transformWithState keeps several state variables per key and needs
-    the RocksDB state store; select it on the session if another provider
-    is configured (it applies to queries started from now on)."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
-        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+def _need_rocksdb(df: DataFrame) -> None:
+    """transformWithState keeps several state variables per key and needs the
+    RocksDB state store. The caller's configuration is not touched: a session
+    without it is told what to set (``build_session`` sets it)."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if df.sparkSession.conf.get(key, "") != ROCKSDB_PROVIDER:
+        raise RuntimeError(f"set {key} to {ROCKSDB_PROVIDER}")
 
 
 def _keys(keys) -> list[str]:
@@ -43,7 +43,9 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
 def _prepare_event_time(stream: DataFrame, event_time: str, watermark: str,
                         end_marker: Column | None) -> DataFrame:
     et = F.col(event_time).cast("timestamp")
-    s = stream.withColumn(event_time, et).withWatermark(event_time, watermark)
+    # rows without an event time are in no window or session, as in batch
+    s = stream.withColumn(event_time, et).where(F.col(event_time).isNotNull()) \
+              .withWatermark(event_time, watermark)
     if end_marker is None:
         return s
     # End-of-stream markers only move the watermark; they never reach the
@@ -80,7 +82,7 @@ def stream_sessions_with_final(stream: DataFrame, keys: str | Sequence[str], eve
         T.StructField("session_end_us", T.LongType()), T.StructField("closed", T.BooleanType()),
         T.StructField("n_events", T.LongType()), T.StructField("value_cents", T.LongType())])
     gap_us = int(round(gap_seconds * 1_000_000))
-    _use_rocksdb(prepared)
+    _need_rocksdb(prepared)
     return prepared.groupBy(*ks).transformWithState(
         FinalSessionProcessor(ks, gap_us, lone_final), out, "Append", "EventTime")
 
@@ -133,12 +135,13 @@ def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
     if mode == "longest":
         tagged = _prepare_event_time(tagged, order[0], "0 seconds", end_marker)
     types = [tagged.schema[v].dataType for v in vals]
-    a_ts = F.col(order[0])
-    if isinstance(tagged.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
-        a_ts = F.unix_micros(a_ts.cast("timestamp"))
+    # all order columns travel as arr0, arr1, ...; times as microseconds
+    acols = [F.unix_micros(F.col(c).cast("timestamp")) if isinstance(
+        tagged.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(c)
+        for c in order]
     u = tagged.select("key", F.col("src").cast("int").alias("src"),
-                      a_ts.cast("long").alias("arr_ts"),
-                      F.col(order[1]).cast("long").alias("arr_id"), *vals)
+                      *[c.alias(f"arr{i}") for i, c in enumerate(acols)], *vals)
+    order_ddl = [u.schema[f"arr{i}"].dataType.simpleString() for i in range(len(order))]
     vfields = [T.StructField(v, t) for v, t in zip(vals, types)]
     kf = T.StructField("key", tagged.schema["key"].dataType)
     if match == "occurrence":
@@ -149,13 +152,13 @@ def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
                             T.StructField("srcs", T.StringType()),
                             T.StructField("items", T.ArrayType(item))])
     ddl = [t.simpleString() for t in types]
-    _use_rocksdb(u)
+    _need_rocksdb(u)
     if mode == "longest":
         return u.groupBy("key").transformWithState(
-            SyncProcessor(n, ddl, match, flush_at_ms=END_OF_STREAM_MS), out, "Append",
+            SyncProcessor(n, ddl, order_ddl, match, flush_at_ms=END_OF_STREAM_MS), out, "Append",
             "EventTime")
     return u.groupBy("key").transformWithState(
-        SyncProcessor(n, ddl, match), out, "Append", "None")
+        SyncProcessor(n, ddl, order_ddl, match), out, "Append", "None")
 
 
 def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
@@ -178,7 +181,7 @@ def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence
     out = T.StructType(_fields(payloads, ks) + [
         T.StructField("fire", T.LongType()), T.StructField("n_payloads", T.LongType()),
         T.StructField("outputs", T.ArrayType(T.StringType()))])
-    _use_rocksdb(prepared)
+    _need_rocksdb(prepared)
     return prepared.groupBy(*ks).transformWithState(
         CompletionProcessor(ks, len(arrival)), out, "Append", "None")
 
@@ -201,7 +204,7 @@ def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_ti
         T.StructField("n_sessions", T.LongType()), T.StructField("n_events", T.LongType()),
         T.StructField("longest_session", T.LongType()), T.StructField("value_cents", T.LongType())])
     gap_us = int(round(gap_seconds * 1_000_000))
-    _use_rocksdb(prepared)
+    _need_rocksdb(prepared)
     return prepared.groupBy(*ks).transformWithState(
         SessionTotalsProcessor(ks, gap_us), out, "Append", "EventTime")
 

@@ -170,23 +170,30 @@ class SessionTotalsProcessor(FinalSessionProcessor):
 # --- keyed alignment (arrival order = processing order) ---------------------
 
 
+def _none_first(values) -> tuple:
+    return tuple((v is not None, v) for v in values)
+
+
 class SyncProcessor(StatefulProcessor):
     """N-way alignment per key. Input columns: ``key``, ``src`` (input
-    index), ``arr_ts`` / ``arr_id`` (arrival order inside a micro-batch) and
-    ``value_0 .. value_{N-1}`` (only the row's own input set).
+    index), ``arr0, arr1, ...`` (arrival order inside a micro-batch; NULL
+    first) and ``value_0 .. value_{N-1}`` (only the row's own input set).
 
     ``occurrence``: keeps a queue per input; emits the heads once every
-    input has one. ``arrival``: emits every N consecutive arrivals.
+    input has one. ``arrival``: emits every N consecutive arrivals. Rows that
+    complete nothing are appended to the state; it is read and rewritten only
+    when rows are emitted.
     """
 
-    def __init__(self, n_inputs: int, value_ddl: list[str], match: str = "occurrence",
-                 flush_at_ms: int | None = None):
+    def __init__(self, n_inputs: int, value_ddl: list[str], order_ddl: list[str],
+                 match: str = "occurrence", flush_at_ms: int | None = None):
         if n_inputs <= 0:
             raise ValueError("need at least one input")
         if match not in ("occurrence", "arrival"):
             raise ValueError("match must be 'occurrence' or 'arrival'")
         self.n = n_inputs
         self.value_ddl = value_ddl
+        self.order_ddl = order_ddl
         self.match = match
         # "longest": when the watermark reaches flush_at_ms (the end of the
         # stream), pending values are emitted as incomplete rows
@@ -194,43 +201,66 @@ class SyncProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        cols = ", ".join(f"value_{i} {t}" for i, t in enumerate(self.value_ddl))
-        self.pending = handle.getListState("pending", f"src int, a_ts long, a_id long, {cols}")
-        self.emitted = handle.getValueState("emitted", "n long, held long")
+        cols = ", ".join([f"arr{i} {t}" for i, t in enumerate(self.order_ddl)]
+                         + [f"value_{i} {t}" for i, t in enumerate(self.value_ddl)])
+        self.pending = handle.getListState("pending", f"src int, {cols}")
+        # rows emitted, rows held, and how many of them per input
+        self.emitted = handle.getValueState("emitted", "n long, held long, queues array<long>")
+
+    def _value(self, row, i: int):
+        return row[1 + len(self.order_ddl) + i]
+
+    def _order(self, row) -> tuple:
+        return (*_none_first(row[1:1 + len(self.order_ddl)]), row[0])
+
+    def _group(self, key, place: int, rows) -> Row:
+        vals = [f"value_{i}" for i in range(self.n)]
+        return _row(["key", "group", "srcs", "items"], (
+            key[0], place, ",".join(str(r[0]) for r in rows),
+            [_row(["src", *vals], (r[0], *[self._value(r, i) for i in range(self.n)]))
+             for r in rows]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         vals = [f"value_{i}" for i in range(self.n)]
-        new = sorted(((r["src"], r["arr_ts"], r["arr_id"], *[r[c] for c in vals]) for r in rows),
-                     key=lambda r: (r[1], r[2], r[0]))
+        arr = [f"arr{i}" for i in range(len(self.order_ddl))]
+        new = sorted(((r["src"], *[r[c] for c in arr], *[r[c] for c in vals]) for r in rows),
+                     key=self._order)
         e = self.emitted.get()
-        done, held = (e[0], e[1]) if e is not None else (0, 0)
+        done, held, queued = (e[0], e[1], list(e[2])) if e is not None else (0, 0, [0] * self.n)
+        for r in new:
+            queued[r[0]] += 1
+        ready = min(queued) if self.match == "occurrence" else (held + len(new)) // self.n
+        if self.flush_at_ms is not None and not held:
+            self.handle.registerTimer(self.flush_at_ms)
+        if not ready:
+            self.pending.appendList(new)
+            self.emitted.update((done, held + len(new), queued))
+            return iter(())
         pend = (list(self.pending.get()) if held else []) + new
         out = []
         if self.match == "occurrence":
             queues = [[r for r in pend if r[0] == i] for i in range(self.n)]
-            k = min(len(q) for q in queues)
-            names = ["key", "occurrence", *vals]
-            for j in range(k):
-                out.append(_row(names, (key[0], done + j + 1,
-                                        *[queues[i][j][3 + i] for i in range(self.n)])))
-            rest = sorted((r for q in queues for r in q[k:]), key=lambda r: (r[1], r[2], r[0]))
-            done += k
+            for j in range(ready):
+                out.append(_row(["key", "occurrence", *vals], (key[0], done + j + 1, *[
+                    self._value(queues[i][j], i) for i in range(self.n)])))
+            taken = [0] * self.n
+            rest = []
+            for r in pend:
+                taken[r[0]] += 1
+                if taken[r[0]] > ready:
+                    rest.append(r)
         else:
-            full = len(pend) // self.n
-            for j in range(full):
-                grp = pend[j * self.n:(j + 1) * self.n]
-                out.append(_row(["key", "group", "srcs", "items"], (
-                    key[0], done + j + 1, ",".join(str(r[0]) for r in grp),
-                    [_row(["src", *vals], (r[0], *r[3:])) for r in grp])))
-            rest = pend[full * self.n:]
-            done += full
+            for j in range(ready):
+                out.append(self._group(key, done + j + 1, pend[j * self.n:(j + 1) * self.n]))
+            rest = pend[ready * self.n:]
         if held:
             self.pending.clear()
         if rest:
-            self.pending.put(rest)
-            if self.flush_at_ms is not None and not held:
-                self.handle.registerTimer(self.flush_at_ms)
-        self.emitted.update((done, len(rest)))
+            self.pending.put([tuple(r) for r in rest])
+        queued = [0] * self.n
+        for r in rest:
+            queued[r[0]] += 1
+        self.emitted.update((done + ready, len(rest), queued))
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -246,14 +276,12 @@ class SyncProcessor(StatefulProcessor):
             queues = [[r for r in pend if r[0] == i] for i in range(self.n)]
             for j in range(max(len(q) for q in queues)):
                 out.append(_row(["key", "occurrence", *vals], (key[0], done + j + 1, *[
-                    queues[i][j][3 + i] if j < len(queues[i]) else None
+                    self._value(queues[i][j], i) if j < len(queues[i]) else None
                     for i in range(self.n)])))
         else:
-            out.append(_row(["key", "group", "srcs", "items"], (
-                key[0], done + 1, ",".join(str(r[0]) for r in pend),
-                [_row(["src", *vals], (r[0], *r[3:])) for r in pend])))
+            out.append(self._group(key, done + 1, pend))
         self.pending.clear()
-        self.emitted.update((done + len(out), 0))
+        self.emitted.update((done + len(out), 0, [0] * self.n))
         return iter(out)
 
     def close(self) -> None:
@@ -266,8 +294,9 @@ class CompletionProcessor(StatefulProcessor):
     """Counts a key's payloads in arrival order; when the count reaches the
     declared number it emits the collected outputs and starts again.
     Input columns: the key, ``arr0, arr1, ...`` (arrival order inside a
-    micro-batch), ``expected`` and ``output``. One value state per key holds
-    the count, the number of firings and the outputs collected so far."""
+    micro-batch), ``expected`` and ``output`` (a NULL output adds nothing).
+    A value state holds the count and the number of firings; the outputs
+    collected so far are appended to a list state, read only to fire."""
 
     def __init__(self, key_cols: list[str], n_arrival: int):
         self.key_cols = list(key_cols)
@@ -275,7 +304,8 @@ class CompletionProcessor(StatefulProcessor):
         self.names = self.key_cols + ["fire", "n_payloads", "outputs"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "seen long, fired long, paths array<string>")
+        self.state = handle.getValueState("state", "seen long, fired long, held boolean")
+        self.paths = handle.getListState("paths", "path string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows = list(rows)
@@ -286,19 +316,25 @@ class CompletionProcessor(StatefulProcessor):
         ia = [fields.index(c) for c in self.arr]
         ie, io = fields.index("expected"), fields.index("output")
         if len(rows) > 1:
-            rows.sort(key=lambda r: tuple(r[i] for i in ia))
+            rows.sort(key=lambda r: _none_first(r[i] for i in ia))
         st = self.state.get()
-        seen, fired, paths = (st[0], st[1], list(st[2] or [])) if st is not None else (0, 0, [])
+        seen, fired, held = tuple(st) if st is not None else (0, 0, False)
+        new: list[str] = []
         out = []
         for r in rows:
             seen += 1
-            paths.extend(r[io] or [])
-            exp = r[ie]
-            if exp is not None and seen == exp:
+            new.extend(r[io] or [])
+            if r[ie] is not None and seen == r[ie]:
                 fired += 1
-                out.append(_row(self.names, (*key, fired, seen, paths)))
-                seen, paths = 0, []
-        self.state.update((seen, fired, paths))
+                if held:
+                    new = [p[0] for p in self.paths.get()] + new
+                    self.paths.clear()
+                out.append(_row(self.names, (*key, fired, seen, new)))
+                seen, new, held = 0, [], False
+        if new:
+            self.paths.appendList([(p,) for p in new])
+            held = True
+        self.state.update((seen, fired, held))
         return iter(out)
 
     def close(self) -> None:

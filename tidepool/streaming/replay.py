@@ -1,11 +1,13 @@
 """Replaying a table as a stream, and running a stream to a table.
 
-``write_replay_files`` cuts a DataFrame into time-ordered files (written one
-after another, so a file source reads them in that order); an optional last
-file holds end-of-stream rows that push the watermark past all data.
+``write_replay_files`` cuts a DataFrame into time-ordered slices, each of the
+same number of files (written slice after slice, so a file source that takes
+that many files per micro-batch reads one slice at a time); an optional last
+slice holds end-of-stream rows that push the watermark past all data.
 ``run_to_table`` runs a streaming DataFrame with the ``availableNow`` trigger
 into a Parquet sink and returns the sink as a batch DataFrame. Both write
-under the session's checkpoint folder.
+under the session's checkpoint folder; :func:`tidepool.session.dropped` deletes
+what they wrote.
 """
 
 from __future__ import annotations
@@ -14,44 +16,77 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidepool.session import scratch_path
+from tidepool.session import claimed_path, dropped, written
 
+# A slice has files of about this many bytes, and at least so many files.
+FILE_BYTES, MIN_FILES = 128 << 20, 4
 
-def write_replay_files(df: DataFrame, order_col: str, n_files: int = 3,
-                       end_rows: DataFrame | None = None, path: str | None = None) -> str:
-    """Write ``df`` as ``n_files`` Parquet files split at approximate
-    quantiles of ``order_col`` (rows with equal values share a file). The
-    input is computed once, into a staging copy; each file is then cut from
-    the copy (Parquet statistics skip the other ranges)."""
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _data_files(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Data files of a folder and their bytes."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return 0, 0
+    found = [f for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")]
+    return len(found), sum(f.getLen() for f in found)
+
+
+def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
+                       end_rows: DataFrame | None = None, path: str | None = None,
+                       min_files: int = MIN_FILES) -> tuple[str, int]:
+    """``(path, files per slice)``: ``df`` as ``n_slices`` slices split at
+    approximate quantiles of ``order_col`` (rows with equal values share a
+    slice), and ``end_rows`` as a last one. The input is computed once, into a
+    staging copy that is dropped again; each slice is then cut from the copy
+    (Parquet statistics skip the other ranges) and written by as many tasks as
+    it has files. A slice with fewer rows than files is filled up with empty
+    files, so that every micro-batch is one slice."""
     spark = df.sparkSession
-    path = path or scratch_path(spark, "replay")
-    staging = path.rstrip("/") + "-staging"
+    path = path or claimed_path(spark, "replay")
+    staged = written(df, "replay-staging")
     is_time = df.schema[order_col].dataType.typeName().startswith("timestamp")
-    df.write.parquet(staging)
-    staged = spark.read.parquet(staging)
     key = (F.unix_micros(F.col(order_col).cast("timestamp")) if is_time
            else F.col(order_col).cast("double"))
-    probs = [i / n_files for i in range(1, n_files)]
+    probs = [i / n_slices for i in range(1, n_slices)]
     bounds = (sorted(set(staged.select(key.alias("k")).approxQuantile("k", probs, 0.001)))
               if probs else [])
+    n_files = max(min_files, -(-_data_files(spark, staged.scratch)[1]
+                               // (n_slices * FILE_BYTES)))
+    nothing = spark.createDataFrame([], df.schema)
+    written_files = 0
+
+    def add(part: DataFrame) -> None:
+        nonlocal written_files
+        part.repartition(n_files).write.mode("append").parquet(path)
+        written_files += n_files
+        for _ in range(written_files - _data_files(spark, path)[0]):
+            nothing.repartition(1).write.mode("append").parquet(path)
+
     edges = [None] + bounds + [None]
     for lo, hi in zip(edges[:-1], edges[1:]):
-        part = staged
-        if lo is not None:
-            part = part.where(key > F.lit(lo))
+        # rows without an order value go first
+        part = staged if lo is None else staged.where(key > F.lit(lo))
         if hi is not None:
-            part = part.where(key <= F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(path)
+            part = part.where((key <= F.lit(hi)) | key.isNull() if lo is None
+                              else key <= F.lit(hi))
+        add(part)
     if end_rows is not None:
-        end_rows.coalesce(1).write.mode("append").parquet(path)
-    return path
+        add(end_rows)
+    dropped(staged)
+    return path, n_files
 
 
 def replay_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """A streaming DataFrame over the replay files, ``files_per_trigger``
-    files per micro-batch, oldest first."""
+    files (one slice) per micro-batch, oldest first."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
                  .parquet(path))
 
@@ -60,7 +95,7 @@ def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
     """Run ``stream`` until its sources are drained (``availableNow``), into
     a Parquet sink with its own checkpoint; return the sink's rows."""
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = claimed_path(spark, name)
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     q: StreamingQuery = (stream.writeStream.format("parquet").option("path", out)
                          .option("checkpointLocation", ckpt).outputMode("append")
@@ -78,11 +113,11 @@ def run_updates_to_table(stream: DataFrame, key_cols: list[str], name: str = "up
     micro-batch writes the same rows again under the same id, so the result
     does not change."""
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = claimed_path(spark, name)
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_tp_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.withColumn("_tp_batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out)
 
     q = (stream.writeStream.outputMode("update").foreachBatch(write)
                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -90,9 +125,9 @@ def run_updates_to_table(stream: DataFrame, key_cols: list[str], name: str = "up
     if q.exception() is not None:
         raise RuntimeError(f"streaming query failed: {q.exception()}")
     fields = [c for c in stream.columns if c not in key_cols]
-    try:
-        rows = spark.read.parquet(out)
-    except Exception:  # nothing was written: no rows
+    if not _data_files(spark, out)[0]:  # nothing was written: no rows
         return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(T.StructType(
+        [*stream.schema.fields, T.StructField("_tp_batch", T.LongType())])).parquet(out)
     latest = F.max_by(F.struct(*fields), "_tp_batch").alias("_tp_last")
     return rows.groupBy(*key_cols).agg(latest).select(*key_cols, "_tp_last.*")
