@@ -198,7 +198,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                      "runs-around")
     keyed = docs.select(F.col("doc_id").alias("_rep_id"), F.col("text_hash").alias("_rep_hash"),
                         "text")
-    near = _with_ranges(keyed, around, "inner").select(
+    near = _with_ranges(keyed, around, "inner", few=True).select(
         F.col("_rep_id").alias("doc_id"), F.col("_rep_hash").alias("text_hash"), "text",
         F.col("_rep_ranges").alias("ranges"))
     runs = written(near.mapInArrow(
@@ -214,16 +214,18 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return out
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
+def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str, few: bool) -> DataFrame:
     """``docs`` (keyed by ``_rep_id`` and ``_rep_hash``) with the ``ranges`` of
-    their id and text hash as ``_rep_ranges``."""
+    their id and text hash as ``_rep_ranges``: a shuffle join, or with ``few``
+    a broadcast join if the ranges prove small."""
     kept = ranges.select(F.col("doc_id").alias("_of_id"), F.col("text_hash").alias("_of_hash"),
                          F.col("ranges").alias("_rep_ranges"))
-    total = kept.agg(F.sum(F.size("_rep_ranges")), F.count(F.lit(1))).first()
+    if few:
+        total = kept.agg(F.sum(F.size("_rep_ranges")), F.count(F.lit(1))).first()
+        kept = small(kept, 1, 16 * (total[0] or 0) + 64 * total[1])
     same = ((F.col("_rep_hash") == F.col("_of_hash"))
             & F.col("_rep_id").eqNullSafe(F.col("_of_id")))
-    return docs.join(small(kept, 1, 16 * (total[0] or 0) + 64 * total[1]), same, how).drop(
-        "_of_id", "_of_hash")
+    return docs.join(kept, same, how).drop("_of_id", "_of_hash")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
@@ -244,7 +246,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     ranges = repeated_ranges(narrow.where(F.col("text").isNotNull()), length, gram)
     keyed = source.withColumns({"_rep_id": F.col(doc_id).cast("bigint"),
                                 "_rep_hash": F.xxhash64(F.col(text))})
-    joined = _with_ranges(keyed, ranges, "left")
+    joined = _with_ranges(keyed, ranges, "left", few=False)
     cleaned = joined.withColumn("_clean", without_ranges(
         F.when(F.col("_rep_ranges").isNotNull(), F.col(text)), F.col("_rep_ranges")))
     out = [F.coalesce("_clean.text", F.col(text)).alias(c) if c == text else F.col(c)
