@@ -164,16 +164,18 @@ def parse_json_payload(df: DataFrame, schema: T.StructType | str, data: str = "d
     malformed row, like an uncaught ``json.loads`` error.
     """
     require_columns(df, data, where="parse_json_payload")
-    # Parsed once: the text as the only element of an array. What follows a
-    # value, a second value or a loose spelling makes the array malformed or
-    # longer, so it is well-formed when it is one object and no more.
+    # Parsed once: the text as the first of two elements of an array, the
+    # second a hash of it. What follows a value, a second value, a bracket or
+    # a loose spelling makes the array malformed or another one; the text is
+    # well-formed when it is one object and the hash comes right after it.
     text = F.col(data).cast("string")
-    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    mark = F.xxhash64(text)
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"),
+                                       F.lit("]")))
     res = df.withColumn("_json", parsed)
-    one = F.coalesce(F.schema_of_variant(F.try_variant_get("_json", "$[0]", "variant"))
-                     .startswith("OBJECT"), F.lit(False))
-    more = F.try_variant_get("_json", "$[1]", "variant").isNotNull()
-    valid = one & ~more
+    one = F.schema_of_variant(F.try_variant_get("_json", "$[0]", "variant")).startswith("OBJECT")
+    then = F.try_variant_get("_json", "$[1]", "bigint") == mark
+    valid = F.coalesce(one & then, F.lit(False))
     res = res.withColumn("json_error", ~valid).withColumn(
         out, F.when(valid, F.struct(*_json_fields("_json", schema)))).drop("_json")
     res = res.select(*[c for c in res.columns if c != "json_error"], "json_error")

@@ -320,3 +320,42 @@ for _stream, _batch in {"stream_final_sessions": "sessions_with_final",
                         "stream_job_output_job": "job_output_job",
                         "stream_job_output_graph": "job_output_graph"}.items():
     ORACLES[_stream] = ORACLES[_batch]
+
+
+ORACLES["lines_round_trip"] = f"SELECT text AS value FROM ({ORACLES['score_text']}) s"
+ORACLES["messages_round_trip"] = """
+    SELECT event_id, event_type, epoch_us(ts) // 1000 * 1000 AS event_time_us, props AS text
+    FROM events"""
+ORACLES["stream_message_strings"] = "SELECT props AS value FROM events"
+ORACLES["game_event_times"] = f"""
+    SELECT "user", team, score, epoch_us(ts) // 1000 * 1000 AS time_us FROM {_ACCEPTED} a"""
+ORACLES["assign_event_time"] = """
+    SELECT event_id, epoch_us(ts) // 1000 * 1000 AS time_us FROM events"""
+ORACLES["key_by"] = "SELECT user_id % 7 AS key, event_id FROM events"
+ORACLES["now_iso"] = "SELECT event_id, true AS in_form FROM events"
+ORACLES["random_value"] = "SELECT event_id, true AS in_range FROM events"
+ORACLES["count_rejects"] = f"""
+    SELECT (SELECT count(*) FROM events) AS num_lines,
+      (SELECT count(*) FROM events WHERE event_id % 50 < 5) AS num_parse_errors,
+      (SELECT count(*) FROM {_DOC_WORDS} w WHERE len(words) = 0) AS empty_lines"""
+ORACLES["dead_letter_expr"] = ORACLES["dead_letter"]
+ORACLES["sync_inputs"] = ORACLES["sync_occurrence"]
+ORACLES["job_output_graph_rows"] = f"""
+    WITH li AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS jobid FROM lineitem),
+    dj AS (SELECT l_orderkey, jobid, max(l_linenumber) AS nt FROM li GROUP BY 1, 2),
+    dg AS (SELECT l_orderkey, CAST(sum(nt) AS BIGINT) AS expected FROM dj GROUP BY 1),
+    p AS (SELECT li.l_orderkey, expected, {_PATHS} AS paths,
+            row_number() OVER (PARTITION BY li.l_orderkey ORDER BY {_ARRIVAL}) AS rn,
+            count(*) OVER (PARTITION BY li.l_orderkey) AS total
+          FROM li JOIN dg ON li.l_orderkey = dg.l_orderkey)
+    SELECT l_orderkey AS graphid, (rn - 1) // expected + 1 AS fire,
+      (rn - 1) % expected + 1 AS place, expected AS n_payloads, paths AS output_text
+    FROM p WHERE ((rn - 1) // expected + 1) * expected <= total"""
+# the watermark is the latest event of the first slice, in whole milliseconds
+ORACLES["stream_fixed_windows_late"] = """
+    WITH w AS (SELECT epoch_us(time_bucket(INTERVAL 5 SECOND, ts)) AS window_start_us, event_type,
+                      event_id % 7 = 3 AS late FROM events),
+    m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 AS mark FROM events
+          WHERE event_id % 7 NOT IN (0, 3))
+    SELECT window_start_us, event_type, count(*) AS n FROM w, m
+    WHERE NOT late OR window_start_us + 5000000 > mark GROUP BY 1, 2"""

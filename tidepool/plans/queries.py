@@ -10,23 +10,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.parse import first_word_more, game_event_rejects, parse_game_event
-from tidepool.functions.scalar import (as_float, as_int, as_str, decode_utf8, encode_bytes,
-                                       format_pair, format_score, multiply, path_join,
-                                       split_tokens, timestamp_text, value_range,
-                                       with_event_time)
-from tidepool.operators.align import flatten, sync_tagged
-from tidepool.operators.completion import job_output, job_output_all_levels
-from tidepool.operators.route import (dead_letter, errors, fail_on_value, filter_by_attributes,
+from tidepool.functions.scalar import (as_float, as_int, as_str, assign_event_time, decode_utf8,
+                                       encode_bytes, format_pair, format_score, key_by, multiply,
+                                       now_iso, path_join, random_value, split_tokens,
+                                       timestamp_text, value_range, with_event_time)
+from tidepool.operators.align import flatten, sync, sync_tagged
+from tidepool.operators.completion import job_output, job_output_all_levels, job_output_rows
+from tidepool.operators.route import (dead_letter, dead_letter_expr, errors, fail_on_value, filter_by_attributes,
                                       row_budget_guard, split_threshold, tap)
 from tidepool.operators.scores import scores_by_field, total_score, user_score
 from tidepool.operators.sessions import (fixed_windows, session_windows,
                                          sessions_with_final, to_global_window)
 from tidepool.plans import inputs as I
 from tidepool.session import claimed_path, dropped
+from tidepool.sinks import with_attributes, write_lines, write_messages
+from tidepool.sources.files import read_lines
+from tidepool.sources.messages import (event_time_from_attribute, read_message_strings,
+                                       read_messages)
 from tidepool.streaming.operators import (stream_fixed_window_counts, stream_group_values,
                                           stream_job_output, stream_session_totals,
                                           stream_sessions_with_final, stream_sync_tagged)
@@ -550,3 +554,129 @@ def q_word_sessions(spark, sf):
     s = sessions_with_final(words, "word", "et", 30, is_final=~F.col("more"), tiebreak=["tb"])
     return s.select("word", "session_seq", _us("session_start").alias("session_start_us"),
                     _us("session_end").alias("session_end_us"), "closed", "n_events")
+
+
+# --- sources and sinks --------------------------------------------------------
+
+@register("lines_round_trip")
+def q_lines_round_trip(spark, sf):
+    """Total scores written as text lines and read back."""
+    path = claimed_path(spark, "score-lines")
+    t = total_score(_parsed(spark, sf), "user")
+    write_lines(t.select(format_score(F.col("user"), F.col("total_score")).alias("text")), path,
+                column="text")
+    return read_lines(spark, path)
+
+
+def _published(spark, sf):
+    """Events published as message files: props as data, the rest attributes."""
+    path = claimed_path(spark, "messages")
+    e = _events(spark, sf)
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    write_messages(with_attributes(e, F.col("props"), id=F.col("event_id"),
+                                   event_type=F.col("event_type"), timestamp=ms), path)
+    return path
+
+
+@register("messages_round_trip")
+def q_messages_round_trip(spark, sf):
+    """Messages published with attributes, read back, event time taken from
+    the ``timestamp`` attribute, data decoded."""
+    msgs = read_messages(spark, _published(spark, sf), streaming=False)
+    return event_time_from_attribute(msgs).select(
+        F.col("attributes")["id"].cast("bigint").alias("event_id"),
+        F.col("attributes")["event_type"].alias("event_type"),
+        _us("event_time").alias("event_time_us"), decode_utf8(F.col("data")).alias("text"))
+
+
+@register("stream_message_strings")
+def q_stream_message_strings(spark, sf):
+    """The data of published messages as text, read as a stream."""
+    path = _published(spark, sf)
+    return _drained(read_message_strings(spark, path), "stream-message-strings", path)
+
+
+# --- projections with times, keys, counters -----------------------------------
+
+@register("game_event_times")
+def q_game_event_times(spark, sf):
+    """Parsed events with the event time of their line."""
+    return _parsed(spark, sf).select("user", "team", "score", _us("event_time").alias("time_us"))
+
+
+@register("assign_event_time")
+def q_assign_event_time(spark, sf):
+    e = _events(spark, sf).select("event_id", F.unix_millis(F.col("ts").cast("timestamp"))
+                                  .alias("ms"))
+    return assign_event_time(e, millis="ms").select("event_id", _us("event_time").alias("time_us"))
+
+
+@register("key_by")
+def q_key_by(spark, sf):
+    return key_by(_events(spark, sf), F.col("user_id") % 7).select("key", "event_id")
+
+
+@register("now_iso")
+def q_now_iso(spark, sf):
+    form = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}Z$"
+    return _events(spark, sf).select("event_id", now_iso().rlike(form).alias("in_form"))
+
+
+@register("random_value")
+def q_random_value(spark, sf):
+    r = _events(spark, sf).select("event_id", random_value(7).alias("r"))
+    return r.select("event_id", ((F.col("r") >= 0) & (F.col("r") < 1)).alias("in_range"))
+
+
+@register("count_rejects")
+def q_count_rejects(spark, sf):
+    """Counters kept beside the data: lines, rejected lines and empty lines
+    of the events' game lines and the documents' text lines."""
+    game, words = Observation(), Observation()
+    noop = lambda df: df.write.format("noop").mode("overwrite").save()
+    noop(parse_game_event(I.game_lines(_events(spark, sf)), observation=game))
+    noop(first_word_more(I.document_lines(I.table(spark, sf, "documents")), "line",
+                         observation=words))
+    return spark.createDataFrame(
+        [(game.get["num_lines"], game.get["num_parse_errors"], words.get["empty_lines"])],
+        "num_lines bigint, num_parse_errors bigint, empty_lines bigint")
+
+
+@register("dead_letter_expr")
+def q_dead_letter_expr(spark, sf):
+    """The dead letters of a failure that a Column can tell: no Python."""
+    d = dead_letter_expr(_events(spark, sf), F.col("event_type") == "error", "ValueError",
+                         "error events are not accepted")
+    return errors(d).select("event_id", "error.error_class", "error.message")
+
+
+@register("sync_inputs")
+def q_sync_inputs(spark, sf):
+    """sync_occurrence over five separate inputs."""
+    return _occurrence_view(sync(I.keyed_branches(_events(spark, sf)), match="occurrence"))
+
+
+@register("job_output_graph_rows")
+def q_job_output_graph_rows(spark, sf):
+    """The payloads of complete graphs, one row each."""
+    rows = job_output_rows(_payloads(spark, sf), "graphid", arrival=I.PAYLOAD_ARRIVAL)
+    return rows.select("graphid", "fire", "place", "n_payloads",
+                       F.array_join("output", "|").alias("output_text"))
+
+
+@register("stream_fixed_windows_late")
+def q_stream_fixed_windows_late(spark, sf):
+    """fixed_windows_count on a stream in which every seventh event comes
+    after all others: where the watermark has closed its window it is late
+    and dropped. (Spark judges lateness by the watermark of the micro-batch
+    before: the events of another residue come in between.)"""
+    import datetime as _dt
+    m = F.col("event_id") % 7
+    e = _events(spark, sf).withColumn("turn", F.when(m == 3, 2).when(m == 0, 1).otherwise(0))
+    end = spark.createDataFrame(
+        [(-1, _dt.datetime(9999, 12, 31), -1, _END_TYPE, 0.0, "{}", 3)], e.schema)
+    path, n = write_replay_files(e, "turn", end_rows=end, bounds=[0, 1])
+    s = stream_fixed_window_counts(replay_stream(spark, path, e.schema, n), "ts", 5,
+                                   keys=["event_type"], end_marker=_is_end())
+    t = _drained(s, "stream-fixed-windows-late", path)
+    return t.select(_us("window.start").alias("window_start_us"), "event_type", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -116,3 +117,14 @@ def live_tables() -> list[str]:
     that is still lazy may read them: drop what a call left (those not listed
     before it) once its result is written."""
     return list(_LIVE)
+
+
+@contextlib.contextmanager
+def scratch_scope():
+    """Delete on leaving what was written to the scratch folder inside: call
+    an operator and write its result in the scope."""
+    before = set(_LIVE)
+    try:
+        yield
+    finally:
+        dropped(*[t for t in _LIVE if t not in before])

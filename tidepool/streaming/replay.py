@@ -41,10 +41,11 @@ def _data_files(spark: SparkSession, path: str) -> tuple[int, int]:
 
 def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
                        end_rows: DataFrame | None = None, path: str | None = None,
-                       min_files: int = MIN_FILES) -> tuple[str, int]:
+                       min_files: int = MIN_FILES, bounds: list | None = None
+                       ) -> tuple[str, int]:
     """``(path, files per slice)``: ``df`` as ``n_slices`` slices split at
     approximate quantiles of ``order_col`` (rows with equal values share a
-    slice), and ``end_rows`` as a last one. The input is computed once, into a
+    slice) or after the given ``bounds``, and ``end_rows`` as a last one. The input is computed once, into a
     staging copy that is dropped again; each slice is then cut from the copy
     (Parquet statistics skip the other ranges) and written by as many tasks as
     it has files. A slice with fewer rows than files is filled up with empty
@@ -56,8 +57,9 @@ def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
     key = (F.unix_micros(F.col(order_col).cast("timestamp")) if is_time
            else F.col(order_col).cast("double"))
     probs = [i / n_slices for i in range(1, n_slices)]
-    bounds = (sorted(set(staged.select(key.alias("k")).approxQuantile("k", probs, 0.001)))
-              if probs else [])
+    if bounds is None:
+        bounds = (sorted(set(staged.select(key.alias("k")).approxQuantile("k", probs, 0.001)))
+                  if probs else [])
     n_files = max(min_files, -(-_data_files(spark, staged.scratch)[1]
                                // (n_slices * FILE_BYTES)))
     nothing = spark.createDataFrame([], df.schema)
@@ -91,9 +93,11 @@ def replay_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
                  .parquet(path))
 
 
-def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str = "stream", progress: list | None = None
+                 ) -> DataFrame:
     """Run ``stream`` until its sources are drained (``availableNow``), into
-    a Parquet sink with its own checkpoint; return the sink's rows."""
+    a Parquet sink with its own checkpoint; return the sink's rows. The
+    progress of the micro-batches is appended to ``progress`` if given."""
     spark = stream.sparkSession
     base = claimed_path(spark, name)
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
@@ -103,9 +107,18 @@ def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"streaming query failed: {q.exception()}")
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def late_rows(progress: list) -> int:
+    """Rows that stateful operators dropped as late, as Spark counts them (a
+    windowed count drops rows after its partial sums)."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress
+               for op in p["stateOperators"])
+
+
 def run_updates_to_table(stream: DataFrame, key_cols: list[str], name: str = "updates") -> DataFrame:
     """Run an aggregating stream in ``update`` mode until drained: every
     micro-batch appends its changed rows, tagged with the batch id, to a
