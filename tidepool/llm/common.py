@@ -69,9 +69,9 @@ def shared_file(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data), (len(data), zlib.crc32(data))
 
 
-def text_slices(texts: pa.Array, max_bytes: int | None = None) -> Iterator[tuple[int, list]]:
-    """``(first, texts[first:...])`` in Python strings, slice by slice of about
-    ``max_bytes``, so that a large Arrow batch is never all Python objects."""
+def array_slices(texts: pa.Array, max_bytes: int | None = None
+                 ) -> Iterator[tuple[int, pa.Array]]:
+    """``(first, slice)``: slices of about ``max_bytes`` of text."""
     max_bytes = max_bytes or SLICE_BYTES
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     end = np.cumsum(size, dtype=np.int64)
@@ -80,10 +80,17 @@ def text_slices(texts: pa.Array, max_bytes: int | None = None) -> Iterator[tuple
         done = end[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(end, done + max_bytes, side="right")))
         last = min(last, first + 20_000)
-        yield first, texts.slice(first, last - first).to_pylist()
+        yield first, texts.slice(first, last - first)
         first = last
 
 
+def text_slices(texts: pa.Array, max_bytes: int | None = None) -> Iterator[tuple[int, list]]:
+    """``(first, texts[first:...])`` in Python strings, slice by slice, so that
+    a large Arrow batch is never all Python objects."""
+    for first, part in array_slices(texts, max_bytes):
+        yield first, part.to_pylist()
+
+
 def texts_in(texts: pa.Array) -> Iterator[tuple[int, str | None]]:
     """``(place, text)`` of every text, through :func:`text_slices`."""
     for first, group in text_slices(texts):
@@ -128,16 +135,21 @@ class CodeBook:
 
     def rows_of(self, pieces: list) -> np.ndarray:
         """The result row of every piece (repeats allowed)."""
-        codes = pa.array(pieces).dictionary_encode()
-        distinct = codes.dictionary.to_pylist()
-        if len(self.rows) + len(distinct) > self.limit:
-            self.rows, self.results = {}, None
+        distinct = set(pieces)
+        new = list(distinct.difference(self.rows))
+        if len(self.rows) + len(new) > self.limit:
+            self.rows, self.results, new = {}, None, list(distinct)
         known = self.rows
-        new = [p for p in distinct if p not in known]
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self.results = self.encode(new, self.results)
-        rows = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def rows_of_array(self, pieces: pa.Array) -> np.ndarray:
+        """The same for an Arrow array; only its distinct values become
+        Python objects."""
+        codes = pieces.dictionary_encode()
+        rows = self.rows_of(codes.dictionary.to_pylist())
         return rows[codes.indices.to_numpy(zero_copy_only=False)]
 
 
@@ -150,14 +162,16 @@ def sums_by_length(values: np.ndarray, lengths: Sequence[int]) -> np.ndarray:
 
 # --- word hashes -------------------------------------------------------------
 
-# A-Z and a-z as bytes.
-_UPPER = bytes(range(65, 91))
-_LOWER_TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
-
-
-def lower_ascii(data: bytes) -> bytes:
-    """A-Z to a-z, every other byte as it is."""
-    return data.translate(_LOWER_TABLE)
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words (``[^\\x20\\x09-\\x0D]+``) of the texts as one binary array, and
+    how many each text has; null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    begin = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(
+        zero_copy_only=False), dtype=np.int64)])
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real).cast(pa.binary()), np.diff(upto[begin])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -169,12 +183,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of words, each distinct word hashed once."""
     import xxhash
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = pa.array(words, type=pa.binary()).dictionary_encode()
+    codes = words.dictionary_encode()
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, codes.dictionary.to_pylist()),
                     np.uint64, len(codes.dictionary))
     return h[codes.indices.to_numpy(zero_copy_only=False)]
@@ -191,19 +203,13 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def hashed_texts(texts: pa.Array, lower: bool) -> Iterator[tuple]:
-    """``(first, [hashes of the words of texts[first]], ...)``: words are
-    ``[^\\x20\\x09-\\x0D]+``; null texts have none. Texts are hashed together
-    slice by slice."""
-    for first, group in text_slices(texts):
-        data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in group]
-        yield first, _hash_group([lower_ascii(d) for d in data] if lower else data)
-
-
-def _hash_group(group: list[bytes]) -> list[np.ndarray]:
-    words = [data.split() for data in group]
-    h = word_hashes(list(itertools.chain.from_iterable(words)))
-    ends = np.cumsum([len(w) for w in words])
-    return [h[e - len(w):e] for e, w in zip(ends, words)]
+    """``(first, [hashes of the words of texts[first]], ...)``, slice by slice;
+    with ``lower``, of the words with A-Z as a-z."""
+    for first, part in array_slices(texts):
+        words, counts = split_words(pc.ascii_lower(part) if lower else part)
+        h = word_hashes(words)
+        ends = np.cumsum(counts)
+        yield first, [h[e - n:e] for e, n in zip(ends, counts)]
 
 
 # --- links in a block ----------------------------------------------------------

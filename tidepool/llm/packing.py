@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import (CodeBook, lean_task, per_process, piece_batches, shared_file, texts_in,
-                                 written)
+from tidepool.llm.common import (CodeBook, array_slices, lean_task, per_process, shared_file,
+                                 split_words, written)
 
-PIECES = "struct<doc_tokens:bigint,pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>"
+PIECES = ("struct<doc_tokens:bigint,"
+          "pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>")
 # Stands between words when many are encoded together; a word that holds it
 # is encoded alone.
 _BETWEEN = "\x01"
@@ -67,12 +68,6 @@ class WordEncoder:
         return out
 
 
-def _cut(ids: np.ndarray, first: int, length: int) -> list[dict]:
-    return [{"start": first + s, "length": min(length, len(ids) - s),
-             "ids_crc32": zlib.crc32(ids[s:s + length].astype("<u4").tobytes())}
-            for s in range(0, len(ids), length)]
-
-
 def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2048,
               end_id: int = 1) -> Column:
     """A struct column: ``doc_tokens`` and ``pieces`` of every whole text, as
@@ -93,47 +88,41 @@ def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2
                 flat, ends = results or (np.zeros(0, np.uint32), np.zeros(1, np.int64))
                 ids = encoder.encode([w.decode("utf-8", "surrogatepass") for w in new])
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                return np.concatenate([flat, *ids]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
+                return (np.concatenate([flat, *ids]),
+                        np.concatenate([ends, ends[-1] + np.cumsum(sizes)]))
 
             book = per_process(("word-ids", key), lambda: CodeBook(encode, 700_000))
-            words = per_process("words", lambda: __import__("re").compile(rb"[^\x20\x09-\x0d]+"))
             for batch in batches:
-                n = len(batch)
-                open_ids: list[list[np.ndarray]] = [[] for _ in range(n)]
-                pieces: list[list[dict]] = [[] for _ in range(n)]
-                count = [0] * n
-                segments = ((i, t.encode("utf-8", "surrogatepass")) for i, t in texts_in(batch) if t)
-                for found, owners, lengths in piece_batches(segments, bytes.split,
-                                                            lambda t: words.finditer(t)):
-                    if not found:
-                        continue
-                    rows = book.rows_of(found)
-                    flat, ends = book.results
+                tokens: list[int] = []
+                starts: list[np.ndarray] = []
+                sizes: list[np.ndarray] = []
+                sums: list[int] = []
+                for _, part in array_slices(batch):
+                    words, counts = split_words(part)
+                    rows = book.rows_of_array(words)
+                    flat, ends = book.results or (np.zeros(0, np.uint32), np.zeros(1, np.int64))
                     size = ends[rows + 1] - ends[rows]
-                    total = np.cumsum(size)
-                    # the ids of all words of the batch, one after the other
-                    at = np.repeat(ends[rows] - (total - size), size) + np.arange(total[-1])
+                    upto = np.concatenate([[0], np.cumsum(size)])
+                    # the ids of all words of the slice, one after the other
+                    at = np.repeat(ends[rows] - upto[:-1], size) + np.arange(upto[-1])
                     ids = flat[at]
-                    word_end = np.cumsum(lengths)
-                    id_end = np.concatenate([[0], total])[word_end]
-                    id_begin = np.concatenate([[0], id_end[:-1]])
-                    for i, a, b in zip(owners, id_begin, id_end):
-                        open_ids[i].append(ids[a:b])
-                        waiting = sum(map(len, open_ids[i]))
-                        if waiting >= 64 * length:  # a very long text: close its full blocks
-                            whole = np.concatenate(open_ids[i])
-                            full = waiting - waiting % length
-                            pieces[i] += _cut(whole[:full], count[i], length)
-                            count[i] += full
-                            open_ids[i] = [whole[full:]]
-                for i in range(n):
-                    rest = np.concatenate([*open_ids[i], np.array([end_id], dtype=np.uint32)])
-                    pieces[i] += _cut(rest, count[i], length)
-                    count[i] += len(rest)
+                    cut_at = upto[np.concatenate([[0], np.cumsum(counts)])]
+                    for lo, hi in zip(cut_at[:-1], cut_at[1:]):
+                        own = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
+                        start = np.arange(0, len(own), length)
+                        tokens.append(len(own))
+                        starts.append(start)
+                        sizes.append(np.minimum(length, len(own) - start))
+                        sums += [zlib.crc32(own[s:s + length].tobytes()) for s in start]
+                none = np.zeros(0, np.int64)
+                pieces = pa.StructArray.from_arrays(
+                    [pa.array(np.concatenate([none, *starts])),
+                     pa.array(np.concatenate([none, *sizes])), pa.array(sums, type=pa.int64())],
+                    names=["start", "length", "ids_crc32"])
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in starts])])
                 yield pa.StructArray.from_arrays(
-                    [pa.array(count, type=pa.int64()),
-                     pa.array(pieces, type=pa.list_(pa.struct([
-                         ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))],
+                    [pa.array(tokens, type=pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pieces)],
                     names=["doc_tokens", "pieces"])
 
     return cut.asNondeterministic()(F.col(text))

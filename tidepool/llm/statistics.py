@@ -5,12 +5,11 @@ Words are ``[^\\x20\\x09-\\x0D]+``, case kept.
 
 from __future__ import annotations
 
-import itertools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidepool.llm.common import text_slices
+from tidepool.llm.common import array_slices, split_words
 
 # The integer counts, then the ratios, in the order of the columns.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -51,17 +50,15 @@ def _repeat_words(codes: np.ndarray, n_codes: int) -> int:
     return int(covered.sum())
 
 
-def _of_group(texts: list, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    words = [d.split() for d in data]
-    flat = list(itertools.chain.from_iterable(words))
-    codes = pa.array(flat, type=pa.binary()).dictionary_encode()
+def _of_group(texts: list, data: list[bytes], flat: pa.Array, sizes: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray]:
+    codes = flat.dictionary_encode()
     indices = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     size = pc.binary_length(codes.dictionary).to_numpy(zero_copy_only=False)
     counts = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
     ratios = np.zeros((len(texts), len(RATIOS)))
     at = 0
-    for i, (text, raw, own) in enumerate(zip(texts, data, words)):
-        n = len(own)
+    for i, (text, raw, n) in enumerate(zip(texts, data, sizes.tolist())):
         code = indices[at:at + n]
         at += n
         if not raw:
@@ -93,7 +90,8 @@ def document_statistics(texts, max_bytes: int | None = None) -> tuple[np.ndarray
     all zero, texts of white space too but for their counts."""
     texts = texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.string())
     out = [(np.zeros((0, len(COUNTS)), np.int64), np.zeros((0, len(RATIOS))))]
-    for _, group in text_slices(texts, max_bytes):
-        group = [t or "" for t in group]
-        out.append(_of_group(group, [t.encode("utf-8", "surrogatepass") for t in group]))
+    for _, part in array_slices(texts, max_bytes):
+        group = [t or "" for t in part.to_pylist()]
+        out.append(_of_group(group, [t.encode("utf-8", "surrogatepass") for t in group],
+                             *split_words(part)))
     return np.concatenate([c for c, _ in out]), np.concatenate([r for _, r in out])
