@@ -21,8 +21,9 @@ def summarize(plan: str) -> dict:
     count = lambda n: sum(1 for x in nodes if x == n)
     scans = re.findall(r"ReadSchema: (struct<.*?>)\s*$", plan, flags=re.M)
     pushed = [p for p in re.findall(r"PushedFilters: \[(.*?)\]\s*$", plan, flags=re.M) if p]
-    python = sorted({x for x in nodes if x in ("MapInArrow", "MapInPandas", "ArrowEvalPython",
-                                               "BatchEvalPython", "FlatMapGroupsInPandas")})
+    kinds = ("MapInArrow", "MapInPandas", "ArrowEvalPython", "BatchEvalPython",
+             "FlatMapGroupsInPandas")
+    python = [f"{count(k)} {k}" for k in kinds if count(k)]
     return {"exchanges": count("Exchange"), "broadcasts": count("BroadcastExchange"),
             "windows": count("Window"), "python": python, "scans": scans, "pushed": pushed}
 
@@ -37,13 +38,13 @@ def main() -> None:
              f"Generated by `tests/plan_summary.py` on `{sf}`: shuffles (`Exchange`), "
              "broadcasts, windows, Python stages, filters pushed into the Parquet scan and "
              "the columns each scan reads. Streaming twins run through Structured Streaming "
-             "and are not listed.", "",
+             "and are not listed; the llm queries run several jobs each.", "",
              "| query | shuffles | broadcasts | windows | python | pushed filters | columns read |",
              "|---|---|---|---|---|---|---|"]
-    for name in sorted(E.queries()):
+    for name in sorted(E.QUERIES):
         if name.startswith("stream_"):
             continue
-        df = E.queries()[name](spark, sf)
+        df = E.QUERIES[name](spark, sf)
         plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         s = summarize(plan)
         cols = "; ".join(sorted({re.sub(r":[a-z_]+(<[^>]*>)?", "", x)[7:-1] for x in s["scans"]}))

@@ -65,7 +65,7 @@ def test_fail_on_value(spark):
     df = spark.range(10)
     assert fail_on_value(df, F.col("id") == 50).count() == 10
     with pytest.raises(Exception):
-        fail_on_value(df, F.col("id") == 5, "I hate 5!").collect()
+        fail_on_value(df, F.col("id") == 5, "five is not accepted").collect()
 
 
 def test_row_budget_guard(spark):
@@ -78,17 +78,17 @@ def test_row_budget_guard(spark):
 def test_dead_letter_keeps_item_in_main(spark):
     def _fail_on_five(x):  # defined here so it is shipped by value
         if x == 5:
-            raise ValueError("I hate 5!")
+            raise ValueError("five is not accepted")
 
     df = spark.range(10).withColumnRenamed("id", "item")
     d = dead_letter(df, _fail_on_five, ["item"], initial_delay=0.0)
     assert d.count() == 10
     e = errors(d).collect()
     assert [(r["item"], r["error"]["error_class"], r["error"]["message"]) for r in e] == [
-        (5, "ValueError", "I hate 5!")]
+        (5, "ValueError", "five is not accepted")]
     assert dead_letter(df, _fail_on_five, ["item"], initial_delay=0.0,
                        keep_failed=False).count() == 9
-    x = dead_letter_expr(df, F.col("item") == 5, "ValueError", "I hate 5!")
+    x = dead_letter_expr(df, F.col("item") == 5, "ValueError", "five is not accepted")
     assert errors(x).count() == 1
 
 

@@ -8,6 +8,8 @@ from tidepool.functions.scalar import format_score
 from tidepool.operators.scores import (group_values, merge_sorted, scores_by_field,
                                        total_score, user_score)
 
+# Sample lines whose grouped scores are given; they must stay as
+# they are.
 GOLDEN = [
     "user3,team3,3,1447679463000,2015-11-16 13:11:03.921",
     "user4,team3,2,1447683063000,2015-11-16 14:11:03.921",

@@ -46,10 +46,22 @@ def test_sessions_with_final_fixtures(spark, spec, expected):
     assert [(int(s), n, c, d) for s, n, c, d in got] == expected
 
 
-def test_absorb_mode_is_streaming_only(spark):
+@pytest.mark.parametrize("spec,expected", [
+    ("F0 n10 n100 F200", [(0, 4, True, 200)]),
+    ("n0 F10 F15 n99 n300", [(0, 2, True, 10), (15, 3, False, None)]),
+    ("n0 n40 F60 n70", [(0, 1, False, 30), (40, 2, True, 20), (70, 1, False, 30)]),
+])
+def test_a_lone_final_may_absorb(spark, spec, expected):
+    out = sessions_with_final(_final_rows(spark, spec), "k", "ts", 30, F.col("fin"),
+                              tiebreak=["id"], lone_final="absorb")
+    got = sorted((int(r.session_start.timestamp()), r.n_events, r.closed,
+                  r.session_end and int((r.session_end - r.session_start).total_seconds()))
+                 for r in out.collect())
+    base = min(g[0] for g in got) - min(e[0] for e in expected)
+    assert [(s - base, *rest) for s, *rest in got] == expected
     with pytest.raises(ValueError):
-        sessions_with_final(_final_rows(spark, "F0 n10"), "k", "ts", 30, F.col("fin"),
-                            lone_final="absorb")
+        sessions_with_final(_final_rows(spark, spec), "k", "ts", 30, F.col("fin"),
+                            lone_final="other")
 
 
 def test_gap_must_be_positive(spark):

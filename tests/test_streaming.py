@@ -293,7 +293,7 @@ def test_stream_dead_letter_and_tap(spark):
 
     def fail_on_five(x):
         if x == 5:
-            raise ValueError("I hate 5!")
+            raise ValueError("five is not accepted")
 
     df = spark.range(10).withColumnRenamed("id", "item")
     path, n = write_replay_files(df, "item", 2)

@@ -8,10 +8,12 @@ ordinary aggregates, which Spark combines partially before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.contracts import require_columns
 from tidepool.operators.ordered import number_sessions
@@ -79,29 +81,79 @@ def sessions_with_final(df: DataFrame, keys: str | Sequence[str], event_time: st
     ``>= gap``. A session containing a final is ``closed`` and ends at the
     final's time (the final is a member); otherwise it ends at last + gap.
     ``lone_final="close"``: a final that starts a session is a closed
-    one-row session. The order-dependent ``"absorb"`` variant exists only in
-    the streaming processor, where rows arrive one micro-batch at a time.
+    one-row session. ``"absorb"``: such a session takes every later row of
+    its key, whatever the gaps, until the next final closes it; while none
+    comes it is not closed and its end is NULL (a stream does not emit it
+    yet). Absorbing depends on all rows before, so the rows of a key pass a
+    small state machine one by one, in the task of the key, without being
+    gathered; ``"close"`` also splits hot keys.
     """
     if gap_seconds <= 0:
         raise ValueError("gap must be strictly positive")
-    if lone_final != "close":
-        raise ValueError("batch sessions support lone_final='close'; use "
-                         "tidepool.streaming for 'absorb'")
+    if lone_final not in ("close", "absorb"):
+        raise ValueError("lone_final must be 'close' or 'absorb'")
     ks = _keys(keys)
     require_columns(df, *ks, event_time, *tiebreak, where="sessions_with_final")
-    rows = _session_rows(df.withColumn("_final", F.coalesce(is_final, F.lit(False))),
-                         ks, event_time, gap_seconds, list(tiebreak), F.col("_final"),
-                         partitions)
+    marked = df.withColumn("_final", F.coalesce(is_final, F.lit(False)))
     gap = F.make_dt_interval(secs=F.lit(float(gap_seconds)))
+    if lone_final == "absorb":
+        rows = _absorbing_rows(marked, ks, event_time, gap_seconds, list(tiebreak))
+    else:
+        rows = _session_rows(marked, ks, event_time, gap_seconds, list(tiebreak),
+                             F.col("_final"), partitions)
+        # a closing final ends any session here, a lone one its own
+        rows = rows.withColumns({"_ends": F.col("_final"), "_lone": F.lit(False)})
     return (rows.groupBy(*ks, "session_seq")
                 .agg(F.min(event_time).alias("session_start"),
                      F.max(event_time).alias("_last"),
-                     F.bool_or("_final").alias("closed"),
+                     F.bool_or("_ends").alias("closed"), F.bool_or("_lone").alias("_open"),
                      F.count(F.lit(1)).alias("n_events"), *aggs)
                 .withColumn("session_end",
                             F.when(F.col("closed"), F.col("_last"))
-                             .otherwise(F.col("_last") + gap))
-                .drop("_last"))
+                             .when(~F.col("_open"), F.col("_last") + gap))
+                .drop("_last", "_open"))
+
+
+def _absorbing_rows(df: DataFrame, keys: list[str], event_time: str, gap_seconds: float,
+                    tiebreak: list[str]) -> DataFrame:
+    """Rows with ``session_seq``, ``_ends`` (this final closes its session)
+    and ``_lone`` (this final began one that absorbs)."""
+    gap_us = int(round(gap_seconds * 1_000_000))
+    timed = df.where(F.col(event_time).isNotNull()).withColumn(
+        "_us", F.unix_micros(F.col(event_time).cast("timestamp")))
+    idle, opened, absorbing = range(3)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, seq, before = None, idle, 0, 0
+        for batch in batches:
+            own = zip(*[batch.column(k).to_pylist() for k in keys])
+            seqs, ends, lone = [], [], []
+            for key, t, final in zip(own, batch.column("_us").to_pylist(),
+                                     batch.column("_final").to_pylist()):
+                if key != last:
+                    last, state, seq = key, idle, 0
+                if state == opened and t - before >= gap_us:
+                    state = idle
+                begins = state == idle
+                if begins:
+                    seq += 1
+                    state = absorbing if final else opened
+                seqs.append(seq)
+                ends.append(final and not begins)
+                lone.append(final and begins)
+                if final and not begins:
+                    state = idle
+                before = t
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(seqs, pa.int64()), pa.array(ends, pa.bool_()),
+                 pa.array(lone, pa.bool_())],
+                names=[*batch.schema.names, "session_seq", "_ends", "_lone"])
+
+    schema = T.StructType([*timed.schema.fields, T.StructField("session_seq", T.LongType()),
+                           T.StructField("_ends", T.BooleanType()),
+                           T.StructField("_lone", T.BooleanType())])
+    return (timed.repartition(*keys).sortWithinPartitions(*keys, "_us", "_final", *tiebreak)
+            .mapInArrow(fold, schema).drop("_us"))
 
 
 def to_global_window(sessions: DataFrame, keys: str | Sequence[str],

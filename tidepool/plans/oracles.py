@@ -359,3 +359,24 @@ ORACLES["stream_fixed_windows_late"] = """
           WHERE event_id % 7 NOT IN (0, 3))
     SELECT window_start_us, event_type, count(*) AS n FROM w, m
     WHERE NOT late OR window_start_us + 5000000 > mark GROUP BY 1, 2"""
+
+# state 0: no session, 1: open, 2: absorbing; one row of every user per step
+ORACLES["sessions_absorb"] = f"""
+    WITH RECURSIVE o AS (
+      SELECT user_id, epoch_us(ts) AS t, event_type = 'purchase' AS fin,
+        row_number() OVER (PARTITION BY user_id
+                           ORDER BY ts, event_type = 'purchase', event_id) AS rn FROM events),
+    f AS (
+      SELECT user_id, rn, t, fin, CAST(1 AS BIGINT) AS seq, true AS begins,
+        CASE WHEN fin THEN 2 ELSE 1 END AS state FROM o WHERE rn = 1
+      UNION ALL
+      SELECT user_id, rn, t, fin, CASE WHEN idle THEN seq + 1 ELSE seq END, idle,
+        CASE WHEN idle AND fin THEN 2 WHEN idle THEN 1 WHEN fin THEN 0 ELSE state END
+      FROM (SELECT o.user_id, o.rn, o.t, o.fin, f.seq, f.state,
+              f.state = 0 OR (f.state = 1 AND o.t - f.t >= {_SIX_H_US}) AS idle
+            FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1))
+    SELECT user_id, seq AS session_seq, min(t) AS session_start_us,
+      CASE WHEN bool_or(fin AND NOT begins) THEN max(t) WHEN bool_or(fin) THEN -1
+           ELSE max(t) + {_SIX_H_US} END AS session_end_us,
+      bool_or(fin AND NOT begins) AS closed, count(*) AS n_events
+    FROM f GROUP BY user_id, seq"""

@@ -144,6 +144,18 @@ def q_sessions_with_final(spark, sf):
                     "closed", "n_events")
 
 
+@register("sessions_absorb")
+def q_sessions_absorb(spark, sf):
+    """sessions_with_final in which a final that starts a session absorbs
+    what follows until the next final."""
+    s = sessions_with_final(_events(spark, sf), "user_id", "ts", SIX_HOURS,
+                            is_final=F.col("event_type") == "purchase",
+                            tiebreak=["event_id"], lone_final="absorb")
+    return s.select("user_id", "session_seq", _us("session_start").alias("session_start_us"),
+                    F.coalesce(_us("session_end"), F.lit(-1)).alias("session_end_us"),
+                    "closed", "n_events")
+
+
 @register("fixed_windows_count")
 def q_fixed_windows_count(spark, sf):
     w = fixed_windows(_events(spark, sf), "ts", 5)
