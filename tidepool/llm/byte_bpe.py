@@ -28,12 +28,16 @@ from tidepool.llm.common import (CodeBook, lean_task, per_process, piece_batches
 
 # Stands between pieces in one pass of the automaton: no byte maps to it.
 _BETWEEN = "Ā"
-# Distinct token pairs remembered by a process.
+# Distinct token pairs (and choices after a token) remembered by a process.
 MAX_PAIRS = 1_000_000
 
 RESULT = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
 
+# Rank that stands for the beginning of a piece in a pair; above any vocabulary.
+_BEGIN = 1 << 24
+
+
 class Vocabulary:
     """Token ranks of a ``.tiktoken`` file, its automaton and pair memo."""
 
@@ -43,12 +47,17 @@ class Vocabulary:
             if line.strip():
                 token, rank = line.split()
                 self.rank[base64.b64decode(token).decode("latin-1")] = int(rank)
+        self.text = {r: t for t, r in self.rank.items()}
         self.token = {r: t.encode("latin-1") for t, r in self.rank.items()}
+        self.size = {r: len(t) for r, t in self.text.items()}
+        self.most = max(self.size.values(), default=0)
         self.automaton = ahocorasick.Automaton()
-        for token in self.rank:
-            self.automaton.add_word(token, token)
+        for token, rank in self.rank.items():
+            self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.choices: dict[int, int] = {}
+        self.prefix: dict[int, int] = {}
 
     def merged(self, piece: str) -> list[str]:
         """The merges by their definition: join the leftmost lowest-ranked
@@ -56,89 +65,127 @@ class Vocabulary:
         parts = list(piece)
         rank = self.rank
         while len(parts) > 1:
-            scores = [rank.get(a + b, -1) for a, b in zip(parts, parts[1:])]
-            best = min((s for s in scores if s >= 0), default=-1)
-            if best < 0:
+            scores = [rank.get(a + b, _BEGIN) for a, b in zip(parts, parts[1:])]
+            best = min(scores)
+            if best == _BEGIN:
                 break
             i = scores.index(best)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def fits(self, before: str | None, token: str) -> bool:
-        """Whether ``token`` can follow ``before`` (None: begin a piece)."""
-        key = (before, token)
+    def fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` can follow ``before`` (``_BEGIN``: begin a piece),
+        remembered per pair."""
+        key = before << 25 | token
         known = self.pairs.get(key)
         if known is None:
+            text = self.text[token]
+            last = [] if before == _BEGIN else [self.text[before]]
+            known = self.merged("".join([*last, text])) == [*last, text]
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            known = self.merged((before or "") + token) == ([token] if before is None
-                                                            else [before, token])
             self.pairs[key] = known
         return known
 
-    def backtracked(self, piece: str) -> list[str]:
-        """The encoding of one piece (Latin-1 characters)."""
+    def longest(self, piece: str, at: int) -> int:
+        """The longest token that begins at ``at``: the automaton tells how far
+        the text follows any token, the rank table where one ends."""
+        rest = piece[at:at + self.most]
+        size = self.automaton.longest_prefix(rest)
+        rank = self.rank
+        while size:
+            token = rank.get(rest[:size])
+            if token is not None:
+                return token
+            size -= 1
+        raise ValueError("the vocabulary lacks a byte of the text")
+
+    def shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of ``token``, or -1."""
+        known = self.prefix.get(token)
+        if known is None:
+            text = self.text[token]
+            known = next((self.rank[text[:n]] for n in range(len(text) - 1, 0, -1)
+                          if text[:n] in self.rank), -1)
+            self.prefix[token] = known
+        return known
+
+    def choice(self, before: int, token: int) -> int:
+        """The longest of ``token`` and its shorter prefixes that fits after
+        ``before``, or -1; remembered per pair."""
+        key, pick = before << 25 | token, token
+        while pick >= 0 and not self.fits(before, pick):
+            pick = self.shorter(pick)
+        if len(self.choices) >= MAX_PAIRS:
+            self.choices.clear()
+        self.choices[key] = pick
+        return pick
+
+    def backtracked(self, piece: str, matches: list[int] | None = None) -> list[int]:
+        """The token ids of one piece (Latin-1 characters). ``matches`` are its
+        longest matches from the left, if they are known: they stand as long
+        as each fits its neighbour."""
         n = len(piece)
-        starts: list[list[str]] = [[] for _ in range(n)]
-        for end, token in self.automaton.iter(piece):
-            starts[end + 1 - len(token)].append(token)  # shortest first
-        dead = bytearray(n + 1)
-        tokens: list[str] = []
-        choice: list[int] = []
-        at, k = 0, len(starts[0]) - 1
-        while at < n:
-            before = tokens[-1] if tokens else None
-            while k >= 0:
-                token = starts[at][k]
-                if not dead[at + len(token)] and self.fits(before, token):
-                    break
-                k -= 1
-            if k >= 0:
-                tokens.append(token)
-                choice.append(k)
-                at += len(token)
-                k = len(starts[at]) - 1 if at < n else -1
+        choices, size = self.choices, self.size
+        tokens: list[int] = []
+        dead: set[int] = set()
+        at, before = 0, _BEGIN
+        aligned = bool(matches)
+        token = matches[0] if aligned else self.longest(piece, 0)
+        while True:
+            pick = -1
+            if token >= 0:
+                pick = choices.get(before << 25 | token)
+                if pick is None:
+                    pick = self.choice(before, token)
+                while dead and pick >= 0 and at + size[pick] in dead:
+                    shorter = self.shorter(pick)
+                    pick = self.choice(before, shorter) if shorter >= 0 else -1
+            if pick >= 0:
+                tokens.append(pick)
+                before = pick
+                at += size[pick]
+                if at == n:
+                    return tokens
+                aligned = aligned and pick == token
+                token = matches[len(tokens)] if aligned else self.longest(piece, at)
             elif tokens:
-                dead[at] = 1
-                at -= len(tokens.pop())
-                k = choice.pop() - 1
+                dead.add(at)
+                last = tokens.pop()
+                at -= size[last]
+                before = tokens[-1] if tokens else _BEGIN
+                token, aligned = self.shorter(last), False
             else:
-                raise ValueError("the vocabulary lacks a byte of the text")
-        return tokens
+                raise ValueError("no encoding of the piece is stable")
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Token ids of every piece. A piece that is a token is that token;
         for the others one pass of the automaton over all pieces gives the
-        longest matches from the left, and only those pieces in which two
-        neighbours do not fit are searched."""
-        rank, pairs, fits = self.rank, self.pairs, self.fits
+        longest matches from the left, and a piece is searched on from the
+        first place where two neighbours do not fit."""
         out: list = [None] * len(pieces)
         rest = []
-        for i, p in enumerate(pieces):
-            r = rank.get(p)
+        for i, r in enumerate(map(self.rank.get, pieces)):
             if r is None:
                 rest.append(i)
             else:
                 out[i] = [r]
         if not rest:
             return out
-        matches = self.automaton.iter_long(_BETWEEN.join([pieces[i] for i in rest]))
-        end, token = next(matches, (None, None))
-        stop = -1
-        for i in rest:
-            piece = pieces[i]
-            stop += len(piece) + 1
-            ids, before, good, covered = [], None, True, 0
-            while end is not None and end < stop:
-                covered += len(token)
-                if good:
-                    known = pairs.get((before, token))
-                    good = fits(before, token) if known is None else known
-                    ids.append(rank[token])
-                    before = token
-                end, token = next(matches, (None, None))
-            out[i] = ids if good and covered == len(piece) else [
-                rank[t] for t in self.backtracked(piece)]
+        joined = _BETWEEN.join([pieces[i] for i in rest])
+        matches = self.automaton.iter_long(joined)
+        todo = iter(rest)
+        i, found = next(todo), []
+        stop = len(pieces[i])
+        for end, token in matches:
+            while end > stop:
+                out[i] = self.backtracked(pieces[i], found)
+                i, found = next(todo), []
+                stop += len(pieces[i]) + 1
+            found.append(token)
+        out[i] = self.backtracked(pieces[i], found)
+        for i in todo:
+            out[i] = self.backtracked(pieces[i])
         return out
 
     def decode(self, ids) -> bytes:
@@ -174,7 +221,7 @@ def encode_texts(df: DataFrame, ranks: str, pattern: str, text: str = "text") ->
                 decoded.extend(map(vocab.decode, ids))
                 return np.concatenate([counts, np.fromiter(map(len, ids), np.int64)]), written, decoded
 
-            book = per_process(("byte-bpe", key, pattern), lambda: CodeBook(encode, 300_000))
+            book = per_process(("byte-bpe", key, pattern), lambda: CodeBook(encode, 450_000))
             for batch in batches:
                 n = len(batch)
                 total = np.zeros(n, dtype=np.int64)

@@ -24,9 +24,9 @@ from tidepool.session import dropped, live_tables, written  # noqa: F401
 # A text longer than this is split into pieces chunk by chunk.
 LONG_CHARS = 4_000_000
 # Pieces (pre-tokens, words) held at once by a task.
-BATCH_PIECES = 300_000
+BATCH_PIECES = 600_000
 # Bytes of text held as Python strings at once (one text may be longer).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
 # A table is broadcast only if a count shows it to be below this many bytes.
 BROADCAST_BYTES = 24 << 20
 
@@ -135,23 +135,28 @@ class CodeBook:
 
     def rows_of(self, pieces: list) -> np.ndarray:
         """The result row of every piece (repeats allowed)."""
-        distinct = set(pieces)
-        new = list(distinct.difference(self.rows))
-        if len(self.rows) + len(new) > self.limit:
-            self.rows, self.results, new = {}, None, list(distinct)
-        known = self.rows
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.results = self.encode(new, self.results)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        self._learn(set(pieces))
+        return np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
 
     def rows_of_array(self, pieces: pa.Array) -> np.ndarray:
         """The same for an Arrow array; only its distinct values become
         Python objects."""
         codes = pieces.dictionary_encode()
-        rows = self.rows_of(codes.dictionary.to_pylist())
+        distinct = codes.dictionary.to_pylist()
+        self._learn(distinct)
+        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))
         return rows[codes.indices.to_numpy(zero_copy_only=False)]
 
+    def _learn(self, distinct) -> None:
+        known = self.rows
+        new = [p for p in distinct if p not in known]
+        if len(known) + len(new) > self.limit:
+            known = self.rows = {}
+            self.results, new = None, list(distinct)
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.results = self.encode(new, self.results)
+
 
 def sums_by_length(values: np.ndarray, lengths: Sequence[int]) -> np.ndarray:
     """Sums over consecutive runs of the given lengths (0 allowed)."""

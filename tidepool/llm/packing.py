@@ -7,12 +7,14 @@ free room of the bins, independently in randomised groups of pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,48 +26,140 @@ PIECES = ("struct<doc_tokens:bigint,"
 # Stands between words when many are encoded together; a word that holds it
 # is encoded alone.
 _BETWEEN = "\x01"
+# Words in one text for the library; distinct words a process remembers;
+# bytes of text in hand.
+GROUP_WORDS, KNOWN_WORDS, PACK_SLICE_BYTES = 512, 600_000, 6 << 20
 # Pieces of a packing group, on average: one group is packed in one task.
 GROUP_PIECES = 6_000
 
 
+# The text steps of the vocabularies whose plain words can take the
+# short way below.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+                {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
+          "use_regex": False}
+# Plain words: Latin-1 letters, then some punctuation. Normalising is lower case,
+# and the pattern cuts between the two parts.
+_LETTERS, _PUNCT = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", "[.,;:!?*%$&#|]+"
+
+
 class WordEncoder:
     """Ids of white-space separated words by a ``tokenizers`` JSON file whose
-    normaliser and pre-tokenizer never look across white space."""
+    normaliser and pre-tokenizer never look across white space.
+
+    Words are encoded many at a time: with a separator token between them, or,
+    where the vocabulary's text steps are the known ones, plain words by the
+    library without those steps, which do nothing to them but lower case and
+    one cut; the word-end mark tells where a word's ids end."""
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_buffer(data)
-        self.between = self.ids([f" {_BETWEEN} "])[0]
-        if len(self.between) != 1:
+        (between,) = self._ids(self.tokenizer, [f" {_BETWEEN} "])
+        if len(between) != 1:
             raise ValueError("the vocabulary has no token of its own for U+0001")
+        self.between = between[0]
+        self.plain = None
+        spec = json.loads(data)
+        pre = spec["pre_tokenizer"] or {}
+        split, bytes_ = (pre.get("pretokenizers") or [{}, {}])[:2]
+        if (spec["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS}
+                and split.get("pattern") == {"Regex": _SPLIT} and split.get("invert")
+                and split.get("behavior") == "Removed" and bytes_ == _BYTES
+                and len(pre["pretokenizers"]) == 2
+                and spec["model"].get("end_of_word_suffix") == "</w>"):
+            ends = [i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+            self.ends[ends] = True
+            self.plain = Tokenizer.from_str(json.dumps(spec | {
+                "normalizer": None, "added_tokens": [], "pre_tokenizer": {
+                    "type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTES]}}))
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, sizes)``: the ids of all words one after the other, and how
+        many each word has."""
+        array = pa.array(words, type=pa.string())
+        plain = pc.match_substring_regex(array, f"^{_LETTERS}({_PUNCT})?$") if self.plain \
+            else pa.array(np.zeros(len(words), dtype=bool))
+        plain = plain.to_numpy(zero_copy_only=False)
+        alone = pc.match_substring(array, _BETWEEN).to_numpy(zero_copy_only=False)
+        ids, sizes, place = [], [], []
+        for mask, way in ((plain, self._plain), (alone, self._alone),
+                          (~plain & ~alone, self._separated)):
+            if mask.any():
+                x, n = way(array.filter(pa.array(mask)))
+                ids.append(x)
+                sizes.append(n)
+                place.append(np.flatnonzero(mask))
+        if not place:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        flat, size = np.concatenate(ids), np.concatenate(sizes)
+        if len(ids) == 1:
+            return flat, size
+        # back to the order of the words
+        order = np.argsort(np.concatenate(place))
+        begin = (np.cumsum(size) - size)[order]
+        size = size[order]
+        shift = np.repeat(begin - (np.cumsum(size) - size), size)
+        return flat[shift + np.arange(len(flat))], size
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        two = pc.match_substring_regex(words, f"{_PUNCT}$").to_numpy(zero_copy_only=False)
+        parts = pc.replace_substring_regex(words, f"^({_LETTERS})({_PUNCT})$",
+                                           r"\1 \2").to_pylist()
+        texts = [" ".join(parts[lo:lo + GROUP_WORDS]).lower()
+                 for lo in range(0, len(parts), GROUP_WORDS)]
+        flat = np.concatenate([np.array(x, dtype=np.uint32)
+                               for t in texts for x in self._ids(self.plain, [t])])
+        last = np.flatnonzero(self.ends[flat])
+        upto = np.cumsum(1 + two)
+        if upto[-1] != len(last):
+            raise ValueError("a plain word was cut otherwise")
+        return flat, np.diff(np.concatenate([[-1], last[upto - 1]]))
+
+    def _separated(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words, ids, sizes = array.to_pylist(), [], []
+        for lo in range(0, len(words), GROUP_WORDS):
+            members = words[lo:lo + GROUP_WORDS]
+            (found,) = self._ids(self.tokenizer, [f" {_BETWEEN} ".join(members)])
+            flat = np.array(found, dtype=np.uint32)
+            mark = flat == self.between
+            cuts = np.flatnonzero(mark)
+            if len(cuts) != len(members) - 1:
+                raise ValueError("a word changed the separator")
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(flat)]])) - 1)
+            ids.append(flat[~mark])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _alone(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(x, dtype=np.uint32) for x in self._ids(self.tokenizer, words.to_pylist())]
+        return np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64)
+
+
+class WordIds:
+    """Ids of the words known so far, in arrays that grow by doubling."""
+
+    def __init__(self):
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.words = 0
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, words: list[str], group: int = 512) -> list[np.ndarray]:
-        """The ids of every word. Words are encoded in groups with a
-        separator token between them, the fast way through the library."""
-        alone = [i for i, w in enumerate(words) if _BETWEEN in w]
-        rest = [i for i, w in enumerate(words) if _BETWEEN not in w] if alone \
-            else range(len(words))
-        out: list = [None] * len(words)
-        for i, ids in zip(alone, self.ids([words[i] for i in alone])):
-            out[i] = np.array(ids, dtype=np.uint32)
-        texts = [f" {_BETWEEN} ".join([words[i] for i in rest[lo:lo + group]])
-                 for lo in range(0, len(rest), group)]
-        for lo in range(0, len(texts), 64):
-            for g, ids in enumerate(self.ids(texts[lo:lo + 64]), start=lo):
-                flat = np.array(ids, dtype=np.uint32)
-                cuts = np.flatnonzero(flat == self.between[0])
-                begin = np.concatenate([[0], cuts + 1])
-                end = np.concatenate([cuts, [len(flat)]])
-                members = rest[g * group:(g + 1) * group]
-                if len(begin) != len(members):
-                    raise ValueError("a word changed the separator")
-                for i, a, b in zip(members, begin, end):
-                    out[i] = flat[a:b]
-        return out
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> "WordIds":
+        used = int(self.ends[self.words])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.words + len(sizes) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[used:used + len(ids)] = ids
+        self.ends[self.words + 1:self.words + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.words += len(sizes)
+        return self
 
 
 def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2048,
@@ -84,23 +178,21 @@ def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2
         with lean_task("packing"):
             encoder = per_process(("word-encoder", key), lambda: WordEncoder(data.value))
 
-            def encode(new: list, results):
-                flat, ends = results or (np.zeros(0, np.uint32), np.zeros(1, np.int64))
-                ids = encoder.encode([w.decode("utf-8", "surrogatepass") for w in new])
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                return (np.concatenate([flat, *ids]),
-                        np.concatenate([ends, ends[-1] + np.cumsum(sizes)]))
+            def encode(new: list, results: WordIds | None) -> WordIds:
+                return (results or WordIds()).add(*encoder.encode(
+                    [w.decode("utf-8", "surrogatepass") for w in new]))
 
-            book = per_process(("word-ids", key), lambda: CodeBook(encode, 700_000))
+            book = per_process(("word-ids", key), lambda: CodeBook(encode, KNOWN_WORDS))
             for batch in batches:
                 tokens: list[int] = []
                 starts: list[np.ndarray] = []
                 sizes: list[np.ndarray] = []
                 sums: list[int] = []
-                for _, part in array_slices(batch):
+                for _, part in array_slices(batch, PACK_SLICE_BYTES):
                     words, counts = split_words(part)
                     rows = book.rows_of_array(words)
-                    flat, ends = book.results or (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+                    known = book.results or WordIds()
+                    flat, ends = known.flat, known.ends
                     size = ends[rows + 1] - ends[rows]
                     upto = np.concatenate([[0], np.cumsum(size)])
                     # the ids of all words of the slice, one after the other
