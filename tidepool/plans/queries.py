@@ -20,7 +20,8 @@ from tidepool.functions.scalar import (as_float, as_int, as_str, assign_event_ti
                                        timestamp_text, value_range, with_event_time)
 from tidepool.operators.align import flatten, sync, sync_tagged
 from tidepool.operators.completion import job_output, job_output_all_levels, job_output_rows
-from tidepool.operators.route import (dead_letter, dead_letter_expr, errors, fail_on_value, filter_by_attributes,
+from tidepool.operators.route import (dead_letter, dead_letter_expr, errors, fail_on_value,
+                                      filter_by_attributes,
                                       row_budget_guard, split_threshold, tap)
 from tidepool.operators.scores import scores_by_field, total_score, user_score
 from tidepool.operators.sessions import (fixed_windows, session_windows,

@@ -45,8 +45,8 @@ def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
                        ) -> tuple[str, int]:
     """``(path, files per slice)``: ``df`` as ``n_slices`` slices split at
     approximate quantiles of ``order_col`` (rows with equal values share a
-    slice) or after the given ``bounds``, and ``end_rows`` as a last one. The input is computed once, into a
-    staging copy that is dropped again; each slice is then cut from the copy
+    slice) or after the given ``bounds``, and ``end_rows`` as a last one. The
+    input is computed once, into a staging copy that is dropped again; each slice is then cut from the copy
     (Parquet statistics skip the other ranges) and written by as many tasks as
     it has files. A slice with fewer rows than files is filled up with empty
     files, so that every micro-batch is one slice."""
