@@ -28,7 +28,7 @@ PIECES = ("struct<doc_tokens:bigint,"
 _BETWEEN = "\x01"
 # Words in one text for the library; distinct words a process remembers;
 # bytes of text in hand.
-GROUP_WORDS, KNOWN_WORDS, PACK_SLICE_BYTES = 512, 600_000, 6 << 20
+GROUP_WORDS, KNOWN_WORDS, PACK_SLICE_BYTES = 512, 400_000, 4 << 20
 # Pieces of a packing group, on average: one group is packed in one task.
 GROUP_PIECES = 6_000
 
