@@ -3,7 +3,8 @@ repeated passages, packing.
 
 Every stage takes the documents its predecessor kept. Its result is written
 as Parquet and read again before the next stage, so a stage may delete the
-scratch tables that the stage before it left.
+scratch tables that the stage before it left. The trained stages learn from
+the labelled rows of the whole documents table.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ def _stage(work):
     return stage
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -58,8 +63,11 @@ def quality_classifier(spark, docs, sf_dir):
 
 @_stage
 def quality_rules(spark, docs, sf_dir):
-    """Documents that pass the fixed rules and the isolation forest stay."""
-    model = fit_rules(docs, _labels(spark, sf_dir))
+    """Documents that pass the fixed rules and the isolation forest stay.
+
+    The forest and its threshold are fitted on labelled rows of the whole
+    table: the classifier has left hardly any bad ones in ``docs``."""
+    model = fit_rules(_documents(spark, sf_dir), _labels(spark, sf_dir))
     verdict = _free_name(docs, "_verdict")
     return docs.withColumn(verdict, judge(docs, model)).where(
         F.col(f"{verdict}.kept")).select(*docs.columns)
@@ -102,7 +110,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over ``documents``; the result of each
     but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     before = None
     for name, stage in STAGES[:-1]:
         kept = written(stage(spark, docs, sf_dir), f"stage-{name}")
