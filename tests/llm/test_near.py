@@ -85,6 +85,32 @@ def test_groups_with_small_blocks_and_parts(spark, monkeypatch):
     check_groups(spark, near_texts(1))
 
 
+@pytest.mark.parametrize("sizes", [{}, {"LONG_COLUMN": 3, "BLOCK_ROWS": 8, "OVERLAP": 2,
+                                        "SPLIT_ROWS": 4}])
+def test_links_are_counted(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = near_texts(4) + ["", None]
+    _, sets = near_duplicates(texts)
+    want = [0] * len(texts)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            o = len(x & y)
+            if o and 100 * o >= 75 * (len(x) + len(y) - o):
+                want[i] += 1
+                want[j] += 1
+    assert max(want) > 30
+    docs = documents(spark, texts, extra=["n_links", "links", "weight"])
+    got = {r.doc_id: r.n_links
+           for r in ngram_join.near_duplicate_groups(docs, count_links=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    # equal ids and no ids: every row counts
+    twice = documents(spark, texts * 2, [9] * len(texts) + [None] * len(texts))
+    rows = ngram_join.near_duplicate_groups(twice, count_links=True).collect()
+    assert sorted(r.n_links for r in rows) == sorted(
+        2 * w + bool(s) for w, s in zip(want, sets) for _ in range(2))
+
+
 def test_groups_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(ngram_join, "LONG_COLUMN", 4)

@@ -494,12 +494,88 @@ def _cluster_links(members: DataFrame, known: DataFrame, percent: int) -> tuple:
     return first, second
 
 
+# --- 4. numbers of links ----------------------------------------------------------------
+
+WEIGHTED_BLOCKS = ("block bigint, cluster bigint, low bigint, high bigint,"
+                   " nodes binary, sizes binary, weights binary, grams binary")
+
+
+def _weighted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cluster and size to one row per block."""
+    from pyspark import TaskContext
+    first = TaskContext.get().partitionId() << 32
+    for k, (group, rows) in enumerate(_grouped(batches, ["cluster"])):
+        node, n, weight = (np.array([r[c] for r in rows], dtype=np.int64)
+                           for c in ("node", "n", "weight"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([first + k]), pa.array([group[0]], pa.int64()),
+             pa.array([int(n.min())]), pa.array([int(n.max())]), pa.array([node.tobytes()]),
+             pa.array([n.tobytes()]), pa.array([weight.tobytes()]),
+             pa.array([b"".join(r["grams"] for r in rows)])],
+            names=["block", "cluster", "low", "high", "nodes", "sizes", "weights", "grams"])
+
+
+def _block_sums(percent: int):
+    """The weights of what every document of two blocks (of one, if they are
+    the same) links with."""
+    def sums(table: pa.Table) -> pa.Table:
+        sides = sorted(table.to_pylist(), key=lambda s: s["block"])
+        nodes, sets = _split_sets(sides[0])
+        weight = [np.frombuffer(s["weights"], np.int64) for s in sides]
+        split = len(sets)
+        if len(sides) > 1:
+            other, more = _split_sets(sides[1])
+            nodes, sets = np.concatenate([nodes, other]), sets + more
+        linked = _linked(sets, split, percent)
+        links = linked @ weight[-1]
+        if len(sides) > 1:
+            links = np.concatenate([links, linked.T @ weight[0]])
+        some = links > 0
+        return pa.table({"node": nodes[some], "links": links[some]})
+
+    return sums
+
+
+def _link_counts(members: DataFrame, links: DataFrame, weights: DataFrame,
+                 percent: int) -> DataFrame:
+    """``(node, links)``: the rows of other classes that the rows of a class
+    link with; classes without any are left out. ``links`` are those between
+    documents not in one cluster; those among the members of clusters are
+    summed from products of all pairs of blocks whose sizes leave room."""
+    n = members.count()
+    parts = max(1, -(-n // BLOCK_ROWS))
+    order = ["cluster", "n", "node"]
+    blocks = written(members.join(weights, "node").repartitionByRange(parts, *order)
+                     .sortWithinPartitions(*order)
+                     .mapInArrow(_weighted_blocks, WEIGHTED_BLOCKS), "ngram-weighted-blocks")
+    ranges = blocks.select("cluster", "block", "low", "high")
+    left, right = (ranges.select("cluster", *[F.col(c).alias(f"{c}_{side}") for c in
+                                              ("block", "low", "high")]) for side in "ab")
+    room = ((100 * F.col("high_b") >= percent * F.col("low_a"))
+            & (100 * F.col("high_a") >= percent * F.col("low_b")))
+    pairs = written(left.join(right, "cluster").where((F.col("block_a") <= F.col("block_b")) & room)
+                    .select(F.col("block_a").alias("a"), F.col("block_b").alias("b")),
+                    "ngram-weighted-pairs")
+    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    dealt = blocks.select("block", "nodes", "sizes", "weights", "grams").join(
+        small(ends, 64, 2 * pairs.count()), "block")
+    inside = dealt.groupBy("a", "b").applyInArrow(_block_sums(percent), "node bigint, links bigint")
+    once = links.select("a", "b").distinct()
+    both = once.union(once.select("b", "a")).toDF("node", "other")
+    outside = both.join(weights.toDF("other", "links"), "other").select("node", "links")
+    counts = written(inside.union(outside).groupBy("node").agg(F.sum("links").alias("links")),
+                     "ngram-link-counts")
+    dropped(blocks, pairs)
+    return counts
+
+
 # --- all together --------------------------------------------------------------------
 
 def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
-                          doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                          doc_id: str = "doc_id", text: str = "text",
+                          count_links: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, group_id, text_hash``, one row per
-    row of ``docs``.
+    row of ``docs``; with ``count_links`` also ``n_links``.
 
     ``n_shingles`` is the size of the text's set of ``words``-word n-grams
     (words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; fewer words are
@@ -507,8 +583,11 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     Texts link when 100 * overlap >= ``percent`` * union; ``component_id`` is
     the smallest id reachable (ids may repeat; null where all reachable ids
     are null). ``group_id`` names the component (null without words) and
-    ``text_hash`` is the xxhash64 of the text. Texts are read whole; other
-    columns are not read; an empty table gives an empty result."""
+    ``text_hash`` is the xxhash64 of the text. ``n_links`` is the number of
+    other rows linked directly, copies with it (0 without words); no pair is
+    written for it, but the products take time with the square of a cluster.
+    Texts are read whole; other columns are not read; an empty table gives an
+    empty result."""
     spark = docs.sparkSession
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"),
                        F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
@@ -565,6 +644,10 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
                       "ngram-cluster-sets")
     first, second = _cluster_links(members, links, percent)
     joined = labelled_components(links.union(first).union(second), "ngram-components")
+    if count_links:
+        weights = written(rows.where("n > 0").groupBy(F.col("digest").alias("node"))
+                          .agg(F.count(F.lit(1)).alias("weight")), "ngram-weights")
+        counts = _link_counts(members, links, weights, percent)
     dropped(cluster, pairs, wanted, sets, members, links, first, second)
 
     group = written(joined.join(classes, "node"), "ngram-linked")
@@ -578,8 +661,17 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     dropped(joined, group, of_node, classes)
     out = rows.join(small(named, 32), "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
-                      "group_id", "text_hash")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "group_id",
+               "text_hash"]
+    if count_links:
+        of_class = written(weights.join(counts, "node", "left").select(
+            F.col("node").alias("digest"),
+            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
+            "ngram-class-links")
+        dropped(weights, counts)
+        out = out.join(small(of_class, 32), "digest", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(*columns)
 
 
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
