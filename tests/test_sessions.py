@@ -157,3 +157,32 @@ def test_ordered_scan_edge_table_without_broadcast(spark, monkeypatch):
     a = number_rows(df, ["k"], ["t"], partitions=5, hot_key_rows=0)
     b = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t")))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_absorbing_sessions_of_a_hot_key_are_split(spark):
+    import random
+
+    from tidepool.operators.sessions import _absorbing_rows
+    rng = random.Random(11)
+    rows, t = [], {"hot": 0, None: 0, "cold": 0}
+    for i in range(1500):
+        k = "hot" if i % 3 else rng.choice([None, "hot"]) if i > 5 else "cold"
+        t[k] += rng.choice([0, 5, 20, 29, 30, 31, 90])
+        rows.append((k, t[k], rng.random() < 0.08, i))
+    want = {}
+    for key in t:
+        state, seq, before = "idle", 0, 0
+        for _, at, final, i in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            if state == "opened" and at - before >= 30:
+                state = "idle"
+            if begins := state == "idle":
+                seq, state = seq + 1, "absorbing" if final else "opened"
+            elif final:
+                state = "idle"
+            want[i], before = (seq, final and not begins, final and begins), at
+    df = spark.createDataFrame(rows, "k string, at long, _final boolean, id long").selectExpr(
+        "k", "timestamp_seconds(at) ts", "_final", "id").repartition(3)
+    got = _absorbing_rows(df, ["k"], "ts", 30, ["id"]).selectExpr(
+        "*", "spark_partition_id() part").collect()
+    assert {r.id: (r.session_seq, r._ends, r._lone) for r in got} == want and len(got) == 1500
+    assert len({r.part for r in got if r.k == "hot"}) > 1

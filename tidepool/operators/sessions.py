@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.contracts import require_columns
-from tidepool.operators.ordered import number_sessions
+from tidepool.operators.ordered import (EDGE_BROADCAST_MAX_ROWS, _num_partitions,
+                                        hot_key_threshold, hot_keys, number_sessions)
+from tidepool.session import dropped, written
 
 
 def _keys(keys) -> list[str]:
@@ -85,8 +87,8 @@ def sessions_with_final(df: DataFrame, keys: str | Sequence[str], event_time: st
     its key, whatever the gaps, until the next final closes it; while none
     comes it is not closed and its end is NULL (a stream does not emit it
     yet). Absorbing depends on all rows before, so the rows of a key pass a
-    small state machine one by one, in the task of the key, without being
-    gathered; ``"close"`` also splits hot keys.
+    small state machine one by one, without being gathered; a hot key's rows
+    pass it in parts, from each of its states. Both split hot keys.
     """
     if gap_seconds <= 0:
         raise ValueError("gap must be strictly positive")
@@ -97,7 +99,7 @@ def sessions_with_final(df: DataFrame, keys: str | Sequence[str], event_time: st
     marked = df.withColumn("_final", F.coalesce(is_final, F.lit(False)))
     gap = F.make_dt_interval(secs=F.lit(float(gap_seconds)))
     if lone_final == "absorb":
-        rows = _absorbing_rows(marked, ks, event_time, gap_seconds, list(tiebreak))
+        rows = _absorbing_rows(marked, ks, event_time, gap_seconds, list(tiebreak), partitions)
     else:
         rows = _session_rows(marked, ks, event_time, gap_seconds, list(tiebreak),
                              F.col("_final"), partitions)
@@ -115,12 +117,128 @@ def sessions_with_final(df: DataFrame, keys: str | Sequence[str], event_time: st
 
 
 def _absorbing_rows(df: DataFrame, keys: list[str], event_time: str, gap_seconds: float,
-                    tiebreak: list[str]) -> DataFrame:
+                    tiebreak: list[str], partitions: int | None = None) -> DataFrame:
     """Rows with ``session_seq``, ``_ends`` (this final closes its session)
     and ``_lone`` (this final began one that absorbs)."""
     gap_us = int(round(gap_seconds * 1_000_000))
     timed = df.where(F.col(event_time).isNotNull()).withColumn(
         "_us", F.unix_micros(F.col(event_time).cast("timestamp")))
+    threshold = hot_key_threshold(df.sparkSession)
+    if threshold < 1:  # every key counts as hot
+        return _absorbing_split(timed, keys, gap_us, tiebreak, partitions)
+    hot = hot_keys(timed, keys, threshold)
+    n_hot = hot.count()
+    if not n_hot:
+        dropped(hot)
+        return _absorbing_whole(timed, keys, gap_us, tiebreak)
+    names = [f"_tp_h{i}" for i in range(len(keys))]
+    some = hot.toDF(*names)
+    if n_hot <= EDGE_BROADCAST_MAX_ROWS:
+        some = F.broadcast(some)
+    is_hot = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, names)]
+    return _absorbing_whole(timed.join(some, is_hot, "left_anti"), keys, gap_us, tiebreak) \
+        .unionByName(_absorbing_split(timed.join(some, is_hot, "left_semi"), keys, gap_us,
+                                      tiebreak, partitions))
+
+
+def _absorbing_split(timed: DataFrame, keys: list[str], gap_us: int, tiebreak: list[str],
+                     partitions: int | None) -> DataFrame:
+    """The rows of hot keys, range-partitioned (see ``ordered``): a partition
+    passes each of its key runs from all three states the rows before may
+    leave; the runs of a key, a row per partition, are then composed, which
+    says from which state a run was entered and after how many sessions."""
+    idle, opened, absorbing = range(3)
+    with_ids = written(timed.withColumn("_tie", F.monotonically_increasing_id()), "absorb-ids")
+    order = [*keys, "_us", "_final", *tiebreak, "_tie"]
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        last, before, rn, states, seqs = None, 0, 0, [], []
+        for batch in batches:
+            rows = []
+            own = zip(*[batch.column(k).to_pylist() for k in keys])
+            for key, t, final in zip(own, batch.column("_us").to_pylist(),
+                                     batch.column("_final").to_pylist()):
+                if key != last:  # the step from the partition before is composed later
+                    last, before, rn, states, seqs = key, t, 0, [idle, opened, absorbing], [0] * 3
+                rn += 1
+                row = [rn]
+                for x in range(3):
+                    state = states[x]
+                    if state == opened and t - before >= gap_us:
+                        state = idle
+                    begins = state == idle
+                    if begins:
+                        seqs[x] += 1
+                        state = absorbing if final else opened
+                    elif final:
+                        state = idle
+                    states[x] = state
+                    row += [seqs[x], state, final and not begins, final and begins]
+                rows.append(row)
+                before = t
+            new = list(zip(*rows)) if rows else [()] * 13
+            kinds = [pa.int64()] + [pa.int64(), pa.int32(), pa.bool_(), pa.bool_()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([pid] * batch.num_rows, pa.int32()),
+                 *[pa.array(v, k) for v, k in zip(new, kinds)]],
+                names=[*batch.schema.names, *added.names])
+
+    added = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_rn", T.LongType())])
+    for x in range(3):
+        added = (added.add(f"_seq{x}", T.LongType()).add(f"_state{x}", T.IntegerType())
+                 .add(f"_ends{x}", T.BooleanType()).add(f"_lone{x}", T.BooleanType()))
+    n_parts = _num_partitions(with_ids, partitions)
+    rows = written(with_ids.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+                   .mapInArrow(passes, T.StructType(with_ids.schema.fields + added.fields)),
+                   "absorb-scan")
+    dropped(with_ids)
+    ends = F.struct("_us", *[f"_{c}{x}" for x in range(3) for c in ("seq", "state")])
+    names = [f"_tp_k{i}" for i in range(len(keys))]
+    runs = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)],
+                        F.col("_pid").alias("_in")).agg(
+        F.min("_us").alias("_first"), F.max_by(ends, "_rn").alias("_end")).select(
+        *names, "_in", "_first", "_end.*")
+
+    def composed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_in")
+        state, seq, before = idle, 0, 0
+        entered, offset = [], []
+        for run in table.drop_columns(names).to_pylist():
+            if state == opened and run["_first"] - before >= gap_us:
+                state = idle
+            entered.append(state)
+            offset.append(seq)
+            seq += run[f"_seq{state}"]
+            state, before = run[f"_state{state}"], run["_us"]
+        return table.select([*names, "_in"]).append_column(
+            "_entered", pa.array(entered, pa.int32())).append_column(
+            "_offset", pa.array(offset, pa.int64()))
+
+    found = T.StructType([*[runs.schema[n] for n in (*names, "_in")],
+                          T.StructField("_entered", T.IntegerType()),
+                          T.StructField("_offset", T.LongType())])
+    entry = written(runs.groupBy(*names).applyInArrow(composed, found), "absorb-entries")
+    if entry.count() <= EDGE_BROADCAST_MAX_ROWS:
+        entry = F.broadcast(entry)
+    cond = [F.col("_pid") == F.col("_in")] + [F.col(k).eqNullSafe(F.col(n))
+                                              for k, n in zip(keys, names)]
+
+    def of(c: str) -> Column:
+        return F.when(F.col("_entered") == idle, F.col(f"_{c}{idle}")).when(
+            F.col("_entered") == opened, F.col(f"_{c}{opened}")).otherwise(
+            F.col(f"_{c}{absorbing}"))
+
+    return rows.join(entry, cond).select(
+        *[c for c in timed.columns if c != "_us"],
+        (F.col("_offset") + of("seq")).alias("session_seq"), of("ends").alias("_ends"),
+        of("lone").alias("_lone"))
+
+
+def _absorbing_whole(timed: DataFrame, keys: list[str], gap_us: int,
+                     tiebreak: list[str]) -> DataFrame:
+    """The rows of keys that fit a task each."""
     idle, opened, absorbing = range(3)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
