@@ -8,6 +8,7 @@ so both engines hash them alike.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -27,7 +28,7 @@ from tidepool.operators.scores import scores_by_field, total_score, user_score
 from tidepool.operators.sessions import (fixed_windows, session_windows,
                                          sessions_with_final, to_global_window)
 from tidepool.plans import inputs as I
-from tidepool.session import claimed_path, dropped
+from tidepool.session import STATE_STORE, claimed_path, dropped, session_settings
 from tidepool.sinks import with_attributes, write_lines, write_messages
 from tidepool.sources.files import read_lines
 from tidepool.sources.messages import (event_time_from_attribute, read_message_strings,
@@ -50,6 +51,19 @@ def register(name: str):
     return deco
 
 
+def register_stateful(name: str):
+    """A query that runs a stream with keyed state: whatever state store the
+    session names, it runs on RocksDB, and the session's setting comes back."""
+    def deco(fn):
+        @functools.wraps(fn)
+        def query(spark, sf):
+            with session_settings(spark, STATE_STORE):
+                return fn(spark, sf)
+
+        return register(name)(query)
+    return deco
+
+
 def _us(c) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -436,7 +450,7 @@ def _is_end():
     return F.col("event_type") == _END_TYPE
 
 
-@register("stream_final_sessions")
+@register_stateful("stream_final_sessions")
 def q_stream_final_sessions(spark, sf):
     """sessions_with_final on a stream: state and event-time timers."""
     events, path = _events_replay(spark, sf)
@@ -448,7 +462,7 @@ def q_stream_final_sessions(spark, sf):
         "user_id", "session_seq", "session_start_us", "session_end_us", "closed", "n_events")
 
 
-@register("stream_sessions")
+@register_stateful("stream_sessions")
 def q_stream_sessions(spark, sf):
     """sessions_strict on a stream."""
     events, path = _events_replay(spark, sf)
@@ -459,7 +473,7 @@ def q_stream_sessions(spark, sf):
         F.col("session_end_us").alias("event_time_us"), "n_events", "value_cents")
 
 
-@register("stream_session_totals")
+@register_stateful("stream_session_totals")
 def q_stream_session_totals(spark, sf):
     """Sessions re-grouped per user into running totals; the latest total
     of each user."""
@@ -477,14 +491,14 @@ def _stream_tagged(spark, sf):
     return I.tagged_branches(events.where(~_is_end())), path
 
 
-@register("stream_sync_occurrence")
+@register_stateful("stream_sync_occurrence")
 def q_stream_sync_occurrence(spark, sf):
     tagged, path = _stream_tagged(spark, sf)
     s = stream_sync_tagged(tagged, _N_BRANCHES, match="occurrence")
     return _occurrence_view(_drained(s, "stream-sync-occurrence", path))
 
 
-@register("stream_sync_arrival")
+@register_stateful("stream_sync_arrival")
 def q_stream_sync_arrival(spark, sf):
     tagged, path = _stream_tagged(spark, sf)
     s = _drained(stream_sync_tagged(tagged, _N_BRANCHES, match="arrival"),
@@ -493,7 +507,7 @@ def q_stream_sync_arrival(spark, sf):
                     F.array_join(F.transform("items", _item_text), "|").alias("values_text"))
 
 
-@register("stream_sync_longest")
+@register_stateful("stream_sync_longest")
 def q_stream_sync_longest(spark, sf):
     """sync_longest on a stream: incomplete rows are emitted when the end of
     stream marker moves the watermark to the end."""
@@ -514,14 +528,14 @@ def _payload_replay(spark, sf, n_slices=3):
     return replay_stream(spark, path, p.schema, n), path
 
 
-@register("stream_job_output_job")
+@register_stateful("stream_job_output_job")
 def q_stream_job_output_job(spark, sf):
     payloads, path = _payload_replay(spark, sf)
     s = stream_job_output(payloads, "jobid", arrival=I.PAYLOAD_ARRIVAL)
     return _fired_view(_drained(s, "stream-job-output-job", path), ["graphid", "jobid"])
 
 
-@register("stream_job_output_graph")
+@register_stateful("stream_job_output_graph")
 def q_stream_job_output_graph(spark, sf):
     payloads, path = _payload_replay(spark, sf)
     s = stream_job_output(payloads, "graphid", arrival=I.PAYLOAD_ARRIVAL)

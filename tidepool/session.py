@@ -10,6 +10,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# transformWithState keeps several state variables per key: it needs RocksDB.
+# Only the changes of a micro-batch are committed, snapshots are taken in the
+# background.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 # Settings every job of the library relies on. Event times are compared and
 # printed in UTC; AQE re-plans joins and coalesces small shuffles at run time;
 # keyed streaming state lives in RocksDB (required by transformWithState).
@@ -19,10 +28,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # commit only the changes of a micro-batch, snapshot in the background
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    **STATE_STORE,
     "spark.ui.enabled": "false",
 }
 
@@ -49,6 +55,23 @@ def build_session(master: str | None = None, app: str = "tidepool",
     return spark
 
 
+@contextlib.contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]):
+    """``settings`` hold inside; the session's own come back on leaving. A
+    streaming query keeps the settings it was started with."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def _is_local_path(path: str) -> bool:
     return path.startswith(("/", "file:"))
 

@@ -16,20 +16,19 @@ from pyspark.sql import types as T
 
 from tidepool.contracts import require_columns
 from tidepool.operators.completion import GRAPH, JOB, LEVELS, TASK, declared_parts, level_keys
+from tidepool.session import STATE_STORE
 from tidepool.streaming.processors import (CompletionProcessor, FinalSessionProcessor,
                                            SessionTotalsProcessor, SyncProcessor)
 
 
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def _need_rocksdb(df: DataFrame) -> None:
-    """transformWithState keeps several state variables per key and needs the
-    RocksDB state store. The caller's configuration is not touched: a session
-    without it is told what to set (``build_session`` sets it)."""
+    """transformWithState needs the RocksDB state store. The caller's
+    configuration is not touched: a session without it is told what to set
+    (``build_session`` sets it; ``session_settings(spark, STATE_STORE)`` sets it
+    around the start of one query)."""
     key = "spark.sql.streaming.stateStore.providerClass"
-    if df.sparkSession.conf.get(key, "") != ROCKSDB_PROVIDER:
-        raise RuntimeError(f"set {key} to {ROCKSDB_PROVIDER}")
+    if df.sparkSession.conf.get(key, "") != STATE_STORE[key]:
+        raise RuntimeError(f"set {key} to {STATE_STORE[key]}")
 
 
 def _keys(keys) -> list[str]:
