@@ -1,5 +1,7 @@
 """The registered queries against SQL, and the pipeline against brute force."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -33,19 +35,17 @@ def labels(spark):
 
 
 def expected_kept(spark, docs):
-    """(id, text) after the four filters, each by its plain version."""
+    """(id, text) after the four filters, each by its plain version. Both
+    models are fitted on labelled rows of the whole table."""
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
-    trees = fit_quality(docs, labels(spark))
-    _, ratios = document_statistics([t for _, t in rows])
-    rows = [r for r, s in zip(rows, trees.score(ratios)) if s >= 0.3]
-    now = spark.createDataFrame(rows, "doc_id bigint, text string")
-    forest, cut = fit_rules(now, labels(spark))
+    forest, cut = fit_rules(docs, labels(spark))
+    assert forest is not None
     counts, ratios = document_statistics([t for _, t in rows])
-    n, repeats = counts[:, 0], counts[:, 4]
-    keep = ~((n < 50) | (100 * repeats > 50 * n))
-    if forest is not None:
-        keep &= forest.mean_path(_rule_values(ratios)) >= cut
-    rows = [r for r, k in zip(rows, keep) if k]
+    scores = fit_quality(docs, labels(spark)).score(ratios)
+    fixed = (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0])
+    usual = forest.mean_path(_rule_values(ratios)) >= cut
+    assert (fixed & (scores >= 0.3) & ~usual).any()  # the forest has something to reject
+    rows = [r for r, k in zip(rows, fixed & (scores >= 0.3) & usual) if k]
     group, _ = near_duplicates([t for _, t in rows])
     rows = [r for i, r in enumerate(rows) if group[i] == i]
     return rows, without_repeats(rows)
@@ -66,42 +66,8 @@ def test_pipeline_equals_brute_force(spark):
         assert r.n_chars == len(r.text)
     ids = sorted(got)
     place = {d: k for k, d in enumerate(ids)}
-    packed = corpus_pipeline.run(spark, SMOKE)
-    packed = packed.replace(0, 0).collect()
-    assert {r.doc_id for r in packed} == set(ids)
-    shown = [r.asDict() for r in packed]
-    from types import SimpleNamespace
-    check_packing([SimpleNamespace(**{**r, "doc_id": place[r["doc_id"]]}) for r in shown],
-                  packed_ids([got[i].text for i in ids]))
-
-
-def test_pipeline_equals_brute_force_with_a_forest_of_the_whole_table(spark):
-    docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
-    forest, cut = fit_rules(docs, labels(spark))
-    assert forest is not None
-    counts, ratios = document_statistics([t for _, t in rows])
-    scores = fit_quality(docs, labels(spark)).score(ratios)
-    fixed = (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0])
-    usual = forest.mean_path(_rule_values(ratios)) >= cut
-    assert (fixed & (scores >= 0.3) & ~usual).any()
-    rows = [r for r, k in zip(rows, fixed & (scores >= 0.3) & usual) if k]
-    group, _ = near_duplicates([t for _, t in rows])
-    rows = [r for i, r in enumerate(rows) if group[i] == i]
-    words = without_repeats(rows)
-    stage_docs = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        stage_docs = spark.createDataFrame(stage(spark, stage_docs, SMOKE).collect(), docs.schema)
-    got = {r.doc_id: r for r in stage_docs.collect()}
-    assert sorted(got) == [i for i, _ in rows]
-    for i, r in got.items():
-        assert [w.decode() for w in r.text.encode().split()] == words[i]
-        assert r.n_chars == len(r.text)
-    ids = sorted(got)
-    place = {d: k for k, d in enumerate(ids)}
     packed = [r.asDict() for r in corpus_pipeline.run(spark, SMOKE).collect()]
     assert {r["doc_id"] for r in packed} == set(ids)
-    from types import SimpleNamespace
     check_packing([SimpleNamespace(**{**r, "doc_id": place[r["doc_id"]]}) for r in packed],
                   packed_ids([got[i].text for i in ids]))
 
