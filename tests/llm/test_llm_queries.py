@@ -21,7 +21,7 @@ from tidepool.llm.statistics import document_statistics
 
 def test_every_operator_has_one_query():
     names = [q for q in E.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert "pipeline" in E.queries()
 
 

@@ -97,9 +97,10 @@ def texts_in(texts: pa.Array) -> Iterator[tuple[int, str | None]]:
         yield from enumerate(group, start=first)
 
 
-def piece_batches(segments, find_all: Callable, find_iter: Callable) -> Iterator[tuple]:
+def piece_batches(segments, find_all: Callable, find_iter: Callable,
+                  limit: int = BATCH_PIECES) -> Iterator[tuple]:
     """``(pieces, owners, lengths)``: the pieces of ``(owner, text)`` segments,
-    at most about ``BATCH_PIECES`` at a time and always in order; a very long
+    at most about ``limit`` at a time and always in order; a very long
     text is spread over several batches."""
     pieces, owners, lengths = [], [], []
     for owner, text in segments:
@@ -108,7 +109,7 @@ def piece_batches(segments, find_all: Callable, find_iter: Callable) -> Iterator
             pieces += found
             owners.append(owner)
             lengths.append(len(found))
-            if len(pieces) >= BATCH_PIECES:
+            if len(pieces) >= limit:
                 yield pieces, owners, lengths
                 pieces, owners, lengths = [], [], []
             continue
@@ -116,7 +117,7 @@ def piece_batches(segments, find_all: Callable, find_iter: Callable) -> Iterator
             yield pieces, owners, lengths
             pieces, owners, lengths = [], [], []
         matches = find_iter(text)
-        while chunk := [m.group() for m in itertools.islice(matches, BATCH_PIECES)]:
+        while chunk := [m.group() for m in itertools.islice(matches, limit)]:
             yield chunk, [owner], [len(chunk)]
     if owners:
         yield pieces, owners, lengths

@@ -127,4 +127,124 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN comps ON node = d.doc_id
 """
 
-ORACLES = {"op7_ngram_jaccard": OP7, "op8_embedding_near_dedup": OP8, "op6_warc_revisits": OP6, "op9_chat_format": OP9}
+
+def _round(k: int) -> str:
+    return f'''
+a{k} AS MATERIALIZED (
+  SELECT vec_id, part, any_value(s) AS s, min(d * 64 + e) AS de FROM (
+    SELECT p.vec_id, p.part, p.s, c.e, list_sum(list_transform(range(1, len(p.s) + 1),
+      lambda i: (p.s[i] - c.c[i]) * (p.s[i] - c.c[i]))) AS d
+    FROM p JOIN c{k} c ON p.part = c.part) GROUP BY vec_id, part),'''
+
+
+def _moved(k: int) -> str:
+    return f'''
+m{k} AS (SELECT part, e, i, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM (
+    SELECT part, de % 64 AS e, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM a{k})
+  GROUP BY part, e, i),
+n{k} AS (SELECT part, e, list((t - ((t % n) + n) % n) // n ORDER BY i) AS c FROM m{k}
+  GROUP BY part, e),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(n{k}.c, c.c) AS c
+  FROM c{k} c LEFT JOIN n{k} ON n{k}.part = c.part AND n{k}.e = c.e),'''
+
+
+OP11 = r'''
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding,
+    lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, part, z[part * (len(z) // 16) + 1:(part + 1) * (len(z) // 16)] AS s
+  FROM v, range(16) t(part)),
+c0 AS MATERIALIZED (
+  SELECT part, place - 1 AS e, s AS c FROM (
+    SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS place FROM p)
+  WHERE place <= 64),''' + _round(0) + _moved(0) + _round(1) + _moved(1) + _round(2) + r'''
+books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS digest FROM c2),
+coded AS MATERIALIZED (
+  SELECT vec_id, string_agg(printf('%02x', de % 64), '' ORDER BY part) AS code,
+    CAST(sum(de // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error,
+  CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  digest AS codebooks_sha256
+FROM coded JOIN v USING (vec_id), books
+'''
+
+_WORDS = r'''regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')'''
+
+OP12 = r'''
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS t
+  FROM range(256) r(n)),
+texts AS (
+  SELECT 'd' AS kind, doc_id AS id, ''' + _WORDS + r''' AS w FROM documents
+  UNION ALL SELECT 'b', item_id, ''' + _WORDS + r''' FROM benchmark),
+grams AS MATERIALIZED (
+  SELECT kind, id, g, count(*) AS n FROM (
+    SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)),
+      lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM texts) GROUP BY kind, id, g),
+buckets AS MATERIALIZED (
+  SELECT g, xor(list_reduce(list_transform(range(0, len(h), 2),
+      lambda i: CAST('0x' || h[i + 1:i + 2] AS BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)),
+    4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT g, hex(encode(g)) AS h FROM grams), crc),
+counts AS (
+  SELECT bucket, CAST(sum(CASE WHEN kind = 'd' THEN n ELSE 0 END) AS DOUBLE) AS s,
+    CAST(sum(CASE WHEN kind = 'b' THEN n ELSE 0 END) AS DOUBLE) AS t
+  FROM grams JOIN buckets USING (g) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)))) AS BIGINT) AS gain FROM counts),
+sums AS (
+  SELECT id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS g
+  FROM grams JOIN buckets USING (g) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, len(w) AS words, coalesce(n, 0) AS n_features,
+    CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END AS weight,
+    CAST('0x' || sha256('7:' || id)[1:8] AS BIGINT) AS h
+  FROM texts LEFT JOIN sums USING (id) WHERE kind = 'd'),
+final AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT)
+    AS score FROM scored),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+    25 * count(*) OVER () // 100 AS drawn FROM final WHERE words >= 20)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN place <= drawn THEN place END AS rank
+FROM final LEFT JOIN ranked USING (doc_id)
+'''
+
+OP13 = r'''
+WITH items AS (SELECT item_id, ''' + _WORDS + r''' AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(
+    range(1, len(w) - least(len(w), 10) + 2),
+    lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM items WHERE len(w) > 0),
+docs AS MATERIALIZED (SELECT doc_id, ''' + _WORDS + r''' AS w FROM documents),
+runs AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(
+    range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM docs, (SELECT DISTINCT k FROM windows)),
+hits AS MATERIALIZED (SELECT doc_id, i, runs.k AS k, item_id FROM runs JOIN windows USING (k, g)),
+places AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hits))
+  GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (
+    SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(places.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+'''
+
+ORACLES = {"op7_ngram_jaccard": OP7, "op8_embedding_near_dedup": OP8, "op6_warc_revisits": OP6,
+           "op9_chat_format": OP9, "op11_vector_codes": OP11,
+           "op12_importance_resampling": OP12, "op13_decontamination": OP13}

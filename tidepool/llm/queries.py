@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidepool.llm.byte_bpe import byte_bpe
 from tidepool.llm.chat import (PART, flatten_parts, format_conversations, masked_text,
                                parse_formatted)
+from tidepool.llm.decontaminate import with_hits
 from tidepool.llm.embedding_join import embedding_near_duplicates
+from tidepool.llm.importance import importance_resample
 from tidepool.llm.ngram_join import near_duplicate_groups
 from tidepool.llm.oracles import ORACLES  # noqa: F401
 from tidepool.llm.packing import pack_documents
@@ -17,6 +19,7 @@ from tidepool.llm.quality_gbt import quality_scores
 from tidepool.llm.quality_rules import quality_rules
 from tidepool.llm.suffix_dedup import remove_repeats
 from tidepool.llm.token_count import token_counts
+from tidepool.llm.vector_codes import vector_codes
 from tidepool.llm.warc import resolve_revisits
 
 
@@ -129,6 +132,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25,
+        min_words=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_hits(docs, _table(spark, sf_dir, "benchmark"), "hits", window=10)
+    ids = F.array_join(F.array_sort(F.col("hits.items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("bigint").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
+        (F.col("hits.n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -140,4 +163,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_chat_format": op9_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_decontamination": op13_decontamination,
 }
