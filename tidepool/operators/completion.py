@@ -12,10 +12,9 @@ the sum of all ``jobtasks`` values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.contracts import require_columns
@@ -53,28 +52,74 @@ def level_keys(level: str, scope: str = "graph") -> list[str]:
     raise ValueError(f"level must be one of {LEVELS}")
 
 
-def _fires(keys: list[str]):
-    """Firing numbers of rows sorted by key and arrival, one pass with one
-    counter: for keys whose payloads declare different numbers."""
-    def fires(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, fired = None, 0, 0
-        for batch in batches:
-            own = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-            fire, done = [], []
-            for key, expected in zip(own, batch.column("_expected").to_pylist()):
-                if key != last:
-                    last, seen, fired = key, 0, 0
-                seen += 1
-                fire.append(fired + 1)
-                hit = expected is not None and seen == expected
-                done.append(hit)
-                if hit:
-                    fired, seen = fired + 1, 0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(fire, pa.int64()), pa.array(done, pa.bool_())],
-                names=[*batch.schema.names, "fire", "_done"])
-
-    return fires
+def _same(keys: Sequence[str], names: Sequence[str]) -> list[F.Column]:
+    return [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+
+
+def _firings(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys..., _end, fire)`` (a written table): the links on the path of a
+    key that begins at row 0, and their numbers along it.
+
+    A link ``(keys..., _start, _end)`` says: if a count begins after row
+    ``_start``, it is reached at row ``_end``. Every end has one start, so the
+    links of a key form paths. Each link jumps back over twice as many links
+    per round, until it is at row 0 or at a row where no count ends (such a
+    path is never entered). A round is one join on (key, row): the links of a
+    hot key are dealt like all others, and rounds grow with the logarithm of
+    the longest path."""
+    names = [f"_j{i}" for i in range(len(keys))]
+    jumps = written(links.select(*keys, "_end", F.col("_start").alias("_at"),
+                                 F.lit(1).cast("bigint").alias("fire")), "completion-jumps")
+    while not jumps.where("_at > 0").isEmpty():
+        known = jumps.toDF(*names, "_known", "_next", "_more")
+        moved = jumps.where("_at > 0").join(
+            known, [*_same(keys, names), F.col("_at") == F.col("_known")]).select(
+            *keys, "_end", F.col("_next").alias("_at"), (F.col("fire") + F.col("_more")).alias("fire"))
+        further = written(jumps.where("_at = 0").unionByName(moved), "completion-jumps")
+        dropped(jumps)
+        jumps = further
+    return jumps
+
+
+def _numbered_payloads(p: DataFrame, keys: list[str], arrival: Sequence[str],
+                       partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """``p`` (with ``_expected``), numbered per key as ``_rn``, in two parts
+    with ``fire``, ``place`` and ``n_payloads`` (all NULL where no firing is
+    complete): keys whose payloads declare one number, and the others."""
+    of_key = p.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_expected").alias("_emin"),
+        F.max("_expected").alias("_emax"), F.count("_expected").alias("_known"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    renamed = of_key.toDF(*names, "_n", "_emin", "_emax", "_known")
+    numbered = number_rows(p, keys, list(arrival), out="_rn", partitions=partitions) \
+        .join(renamed, _same(keys, names))
+    one = (F.col("_emin") == F.col("_emax")) & (F.col("_known") == F.col("_n"))
+    size = F.when(F.col("_emax") > 0, F.col("_emax"))
+    fire = F.floor((F.col("_rn") - 1) / size).cast("bigint") + 1
+    done = fire * size <= F.col("_n")
+    steady = numbered.where(one).select(
+        *p.columns, "_rn", F.when(done, fire).alias("fire"),
+        F.when(done, F.col("_rn") - (fire - 1) * size).alias("place"),
+        F.when(done, size).alias("n_payloads"))
+    varied = written(numbered.where(~F.coalesce(one, F.lit(False))).select(*p.columns, "_rn"),
+                     "completion-varied")
+    if varied.isEmpty():
+        dropped(varied)
+        return steady, steady.limit(0)
+    start = F.col("_rn") - F.col("_expected")
+    links = written(varied.where((F.col("_expected") > 0) & (start >= 0))
+                    .groupBy(*keys, start.alias("_start")).agg(F.min("_rn").alias("_end")),
+                    "completion-links")
+    spans = links.toDF(*names, "_start", "_stop")
+    firings = _firings(links, keys)
+    span = firings.join(spans, [*_same(keys, names), F.col("_end") == F.col("_stop")]).select(
+        *names, "fire", (F.col("_end") - F.col("_start")).alias("n_payloads"),
+        F.explode(F.sequence(F.col("_start") + 1, F.col("_end"))).alias("_row"),
+        F.col("_start").alias("_from"))
+    # the spans of a key do not overlap: a row meets one at most
+    changed = varied.join(span, [*_same(keys, names), F.col("_rn") == F.col("_row")], "left").select(
+        *p.columns, "_rn", "fire", (F.col("_rn") - F.col("_from")).alias("place"), "n_payloads")
+    return steady, changed
 
 
 def job_output_rows(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
@@ -85,46 +130,26 @@ def job_output_rows(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[s
     (skew-safe), and whether a firing is complete follows from counts.
 
     Where all payloads of a key declare one number, firings are runs of that
-    length; the payloads of the other keys pass a counter in arrival order,
-    row by row, in the task of their key."""
+    length. Where the numbers of a key change, a count that begins after row s
+    is reached at the first row r that declares r - s; these links are
+    followed from row 0 by pointer doubling, in joins of written tables that
+    split a hot key."""
     keys = level_keys(level, scope)
     # only what the count and the output need travels through the scan
     p = payloads.select(*keys, *[c for c in arrival if c not in keys],
                         declared_parts(level).alias("_expected"), "output")
-    of_key = p.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_expected").alias("_emin"),
-        F.max("_expected").alias("_emax"), F.count("_expected").alias("_known"))
-    names = [f"_k{i}" for i in range(len(keys))]
-    renamed = of_key.toDF(*names, "_n", "_emin", "_emax", "_known")
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-    numbered = number_rows(p, keys, list(arrival), out="_rn", partitions=partitions) \
-        .join(renamed, same)
-    one = (F.col("_emin") == F.col("_emax")) & (F.col("_known") == F.col("_n"))
-    size = F.col("_emax")
-    fire = F.floor((F.col("_rn") - 1) / size).cast("bigint") + 1
-    steady = (numbered.where(one & (size > 0)).withColumn("fire", fire)
-              .where(F.col("fire") * size <= F.col("_n"))
-              .select(*keys, "fire", (F.col("_rn") - (F.col("fire") - 1) * size).alias("place"),
-                      size.alias("n_payloads"), "output"))
+    steady, varied = _numbered_payloads(p, keys, arrival, partitions)
+    return steady.unionByName(varied).where(F.col("fire").isNotNull()).select(
+        *keys, "fire", "place", "n_payloads", "output")
 
-    varied = written(numbered.where(~one & F.col("_emax").isNotNull())
-                     .select(*keys, "_rn", "_expected", "output"), "completion-varied")
-    if varied.isEmpty():
-        dropped(varied)
-        return steady
-    schema = varied.schema.simpleString()[len("struct<"):-1] + ",fire:bigint,_done:boolean"
-    counted = written(varied.repartition(*keys).sortWithinPartitions(*keys, "_rn")
-                      .mapInArrow(_fires(keys), schema), "completion-fires")
-    ends = (counted.where("_done").groupBy(*keys, "fire").agg(F.max("_rn").alias("_end"))
-            .toDF(*names, "_fire", "_end"))
-    w = Window.partitionBy(*names).orderBy("_fire")
-    ends = ends.withColumn("n_payloads", F.col("_end") - F.coalesce(
-        F.lag("_end").over(w), F.lit(0)))
-    same = [*same, F.col("fire") == F.col("_fire")]
-    changed = counted.join(ends, same).select(
-        *keys, "fire", (F.col("_rn") - F.col("_end") + F.col("n_payloads")).alias("place"),
-        "n_payloads", "output")
-    return steady.unionByName(changed)
+
+def unfinished_payloads(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
+                        scope: str = "graph", partitions: int | None = None) -> DataFrame:
+    """The payloads in no complete firing: what a later batch may complete."""
+    keys = level_keys(level, scope)
+    p = payloads.withColumn("_expected", declared_parts(level))
+    steady, varied = _numbered_payloads(p, keys, arrival, partitions)
+    return steady.unionByName(varied).where(F.col("fire").isNull()).select(*payloads.columns)
 
 
 def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),

@@ -181,3 +181,24 @@ def payloads_from_lineitem(lineitem: DataFrame, outputs: int = 2) -> DataFrame:
 
 PAYLOAD_ARRIVAL = ["arrival_ts", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                    "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+
+
+def varied_payloads(events: DataFrame) -> DataFrame:
+    """Work payloads whose declared numbers change: a user is a graph of one
+    job, event i declares ``1 + i % 4`` parts and writes its id. Arrival order:
+    ``(ts, event_id)``."""
+    parts = (F.col("event_id") % 4 + 1).cast("int")
+    return events.select(
+        F.col("user_id").alias("graphid"), F.create_map(F.lit("0"), parts).alias("jobtasks"),
+        F.lit(0).cast("bigint").alias("jobid"), F.col("event_id").alias("taskid"),
+        F.array(F.col("event_id").cast("string")).alias("output"), "ts", "event_id")
+
+
+VARIED_ARRIVAL = ["ts", "event_id"]
+
+
+def variable_windows(events: DataFrame) -> DataFrame:
+    """Events with a window of their own: 10 minutes times 1 to 36, from the
+    event's time on."""
+    length = F.make_dt_interval(mins=(F.col("event_id") % 36 + 1) * 10)
+    return events.withColumns({"window_from": F.col("ts"), "window_to": F.col("ts") + length})

@@ -380,3 +380,81 @@ ORACLES["sessions_absorb"] = f"""
            ELSE max(t) + {_SIX_H_US} END AS session_end_us,
       bool_or(fin AND NOT begins) AS closed, count(*) AS n_events
     FROM f GROUP BY user_id, seq"""
+
+
+ORACLES["job_output_varied"] = """
+    WITH RECURSIVE n AS (
+      SELECT user_id, event_id, 1 + event_id % 4 AS e,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    links AS MATERIALIZED (
+      SELECT user_id, rn - e AS s, min(rn) AS r FROM n WHERE rn >= e GROUP BY 1, 2),
+    chain AS (
+      SELECT user_id, s, r, 1 AS fire FROM links WHERE s = 0
+      UNION ALL SELECT l.user_id, l.s, l.r, fire + 1
+      FROM chain c JOIN links l ON l.user_id = c.user_id AND l.s = c.r)
+    SELECT c.user_id AS graphid, CAST(fire AS BIGINT) AS fire, r - s AS n_payloads,
+      count(*) AS n_outputs, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY rn) AS outputs_text
+    FROM chain c JOIN n ON n.user_id = c.user_id AND rn > s AND rn <= r
+    GROUP BY c.user_id, fire, r, s"""
+
+ORACLES["merged_windows"] = """
+    WITH w AS (SELECT user_id, value, epoch_us(ts) AS s,
+        epoch_us(ts) + (event_id % 36 + 1) * 600000000 AS e FROM events),
+    b AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w),
+    n AS (SELECT *, CAST(sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER (
+        PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        AS BIGINT) AS window_seq FROM b)
+    SELECT user_id, window_seq, min(s) AS window_start_us, max(e) AS window_end_us,
+      count(*) AS n_events, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
+    FROM n GROUP BY user_id, window_seq"""
+
+# The first micro-batch holds events of other residues than 0 and 3, the
+# second those of residue 0; events of residue 3 meet what the watermark of
+# the first (in whole milliseconds) has let through.
+ORACLES["stream_sessions_late"] = f"""
+    WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t,
+        CAST(round(value * 100) AS BIGINT) AS cents, event_id % 7 AS m FROM events),
+    wm AS (SELECT max(t) // 1000 * 1000 AS w FROM e WHERE m NOT IN (0, 3)),
+    done AS (SELECT user_id, CASE WHEN max(t) + {_SIX_H_US} <= max(w) THEN max(t) + {_SIX_H_US}
+        ELSE max(t) END AS upto FROM e, wm WHERE m <> 3 AND t <= w GROUP BY user_id),
+    r AS (SELECT e.*, m = 3 AND t < coalesce(upto, t) AS late FROM e LEFT JOIN done USING (user_id)),
+    o AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS pt
+        FROM r WHERE NOT late),
+    s AS (SELECT *, CAST(sum(CASE WHEN pt IS NULL OR t - pt >= {_SIX_H_US} THEN 1 ELSE 0 END)
+        OVER (PARTITION BY user_id ORDER BY t, event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_seq FROM o)
+    SELECT 'session' AS route, user_id, session_seq, min(t) AS session_start_us,
+      max(t) + {_SIX_H_US} AS session_end_us, count(*) AS n_events,
+      CAST(sum(cents) AS BIGINT) AS value_cents, CAST(-1 AS BIGINT) AS event_id
+    FROM s GROUP BY user_id, session_seq
+    UNION ALL
+    SELECT 'late', user_id, -1, t, -1, 1, cents, event_id FROM r WHERE late"""
+
+ORACLES["stream_job_output_expired"] = f"""
+    WITH RECURSIVE o AS (
+      SELECT user_id, event_id, epoch_us(ts) AS t, 1 + event_id % 4 AS e,
+        lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pt FROM events),
+    g AS (SELECT *, sum(CASE WHEN pt IS NULL OR t - pt >= {_SIX_H_US} THEN 1 ELSE 0 END)
+      OVER (PARTITION BY user_id ORDER BY t, event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o),
+    n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY t, event_id)
+      AS rn FROM g),
+    links AS MATERIALIZED (
+      SELECT user_id, k, rn - e AS s, min(rn) AS r FROM n WHERE rn >= e GROUP BY 1, 2, 3),
+    chain AS (
+      SELECT user_id, k, s, r, 1 AS fire FROM links WHERE s = 0
+      UNION ALL SELECT l.user_id, l.k, l.s, l.r, fire + 1
+      FROM chain c JOIN links l ON l.user_id = c.user_id AND l.k = c.k AND l.s = c.r),
+    stop AS (SELECT user_id, k, max(r) AS r, max(fire) AS f FROM chain GROUP BY 1, 2),
+    parts AS (
+      SELECT c.user_id, c.k, c.fire, true AS complete, n.t, n.event_id, n.rn
+      FROM chain c JOIN n ON n.user_id = c.user_id AND n.k = c.k AND rn > s AND rn <= c.r
+      UNION ALL
+      SELECT n.user_id, n.k, coalesce(f, 0) + 1, false, n.t, n.event_id, n.rn
+      FROM n LEFT JOIN stop ON stop.user_id = n.user_id AND stop.k = n.k
+      WHERE rn > coalesce(r, 0))
+    SELECT user_id AS graphid, CAST(fire AS BIGINT) AS fire, count(*) AS n_payloads,
+      string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY rn) AS outputs_text, complete,
+      min(t) AS first_us, max(t) AS last_us
+    FROM parts GROUP BY user_id, k, fire, complete"""

@@ -27,13 +27,14 @@ from tidepool.operators.route import (dead_letter, dead_letter_expr, errors, fai
 from tidepool.operators.scores import scores_by_field, total_score, user_score
 from tidepool.operators.sessions import (fixed_windows, session_windows,
                                          sessions_with_final, to_global_window)
+from tidepool.operators.windows import merged_windows
 from tidepool.plans import inputs as I
 from tidepool.session import STATE_STORE, claimed_path, dropped, session_settings
 from tidepool.sinks import with_attributes, write_lines, write_messages
 from tidepool.sources.files import read_lines
 from tidepool.sources.messages import (event_time_from_attribute, read_message_strings,
                                        read_messages)
-from tidepool.streaming.operators import (stream_fixed_window_counts, stream_group_values,
+from tidepool.streaming.operators import (late_only, on_time, stream_fixed_window_counts, stream_group_values,
                                           stream_job_output, stream_session_totals,
                                           stream_sessions_with_final, stream_sync_tagged)
 from tidepool.streaming.replay import (replay_stream, run_to_table, run_updates_to_table,
@@ -282,6 +283,22 @@ def q_job_output_all_levels(spark, sf):
                                   F.sum(F.size("outputs")).cast("bigint").alias("n_outputs"))
 
 
+@register("job_output_varied")
+def q_job_output_varied(spark, sf):
+    """Completed graphs whose payloads declare changing numbers."""
+    o = job_output(I.varied_payloads(_events(spark, sf)), "graphid", arrival=I.VARIED_ARRIVAL)
+    return _fired_view(o, ["graphid"])
+
+
+@register("merged_windows")
+def q_merged_windows(spark, sf):
+    """Windows of 10 minutes to 6 hours, an event each, merged per user."""
+    w = merged_windows(I.variable_windows(_events(spark, sf)), "user_id", "window_from",
+                       "window_to", aggs=[F.sum(_cents()).alias("value_cents")])
+    return w.select("user_id", "window_seq", _us("window_start").alias("window_start_us"),
+                    _us("window_end").alias("window_end_us"), "n_events", "value_cents")
+
+
 # --- filters, routes, guards ------------------------------------------------
 
 _PROPS = "k INT"
@@ -486,6 +503,47 @@ def q_stream_session_totals(spark, sf):
     return t.groupBy("user_id").agg(last.alias("t")).select("user_id", "t.*")
 
 
+@register_stateful("stream_sessions_late")
+def q_stream_sessions_late(spark, sf):
+    """Strict sessions on a stream in which every seventh event comes after
+    all others: sessions of the events in time, and the late events as rows.
+    (The watermark moves between micro-batches: another seventh comes in
+    between.)"""
+    import datetime as _dt
+    m = F.col("event_id") % 7
+    e = _events(spark, sf).withColumn("turn", F.when(m == 3, 2).when(m == 0, 1).otherwise(0))
+    end = spark.createDataFrame(
+        [(-1, _dt.datetime(9999, 12, 31), -1, _END_TYPE, 0.0, "{}", 3)], e.schema)
+    path, n = write_replay_files(e, "turn", end_rows=end, bounds=[0, 1])
+    s = stream_sessions_with_final(
+        replay_stream(spark, path, e.schema, n), "user_id", "ts", SIX_HOURS, tiebreak="event_id",
+        value=_cents(), end_marker=_is_end(), late="emit")
+    t = _drained(s, "stream-sessions-late", path)
+    minus = F.lit(-1).cast("bigint")
+    sessions = on_time(t).select(
+        F.lit("session").alias("route"), "user_id", "session_seq", "session_start_us",
+        "session_end_us", "n_events", "value_cents", minus.alias("event_id"))
+    late = late_only(t).select(
+        F.lit("late").alias("route"), "user_id", minus.alias("session_seq"),
+        F.col("late_event_us").alias("session_start_us"), minus.alias("session_end_us"),
+        F.lit(1).cast("bigint").alias("n_events"), F.col("late_value").alias("value_cents"),
+        F.col("late_tiebreak").alias("event_id"))
+    return sessions.unionByName(late)
+
+
+@register_stateful("stream_job_output_expired")
+def q_stream_job_output_expired(spark, sf):
+    """job_output_varied on a stream that forgets a graph after six hours
+    without payloads; what it had collected comes out as incomplete."""
+    events, path = _events_replay(spark, sf)
+    s = stream_job_output(I.varied_payloads(events), "graphid", arrival=I.VARIED_ARRIVAL,
+                          idle_seconds=SIX_HOURS, event_time="ts",
+                          end_marker=F.col("event_id") == -1)
+    return _drained(s, "stream-job-output-expired", path).select(
+        "graphid", "fire", "n_payloads", F.array_join("outputs", "|").alias("outputs_text"),
+        "complete", "first_us", "last_us")
+
+
 def _stream_tagged(spark, sf):
     events, path = _events_replay(spark, sf)
     return I.tagged_branches(events.where(~_is_end())), path

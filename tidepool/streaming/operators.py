@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tidepool.contracts import require_columns
 from tidepool.operators.completion import GRAPH, JOB, LEVELS, TASK, declared_parts, level_keys
 from tidepool.session import STATE_STORE
-from tidepool.streaming.processors import (CompletionProcessor, FinalSessionProcessor,
+from tidepool.streaming.processors import (LATE_FIELDS, CompletionProcessor, FinalSessionProcessor,
                                            SessionTotalsProcessor, SyncProcessor)
 
 
@@ -59,13 +59,22 @@ def stream_sessions_with_final(stream: DataFrame, keys: str | Sequence[str], eve
                                gap_seconds: float, is_final: Column | None = None,
                                tiebreak: str | None = None, value: Column | None = None,
                                lone_final: str = "close", watermark: str = "0 seconds",
-                               end_marker: Column | None = None) -> DataFrame:
+                               end_marker: Column | None = None,
+                               late: str = "drop") -> DataFrame:
     """Sessions per key on a stream (see ``FinalSessionProcessor``): rows
     ``(keys..., session_seq, session_start_us, session_end_us, closed,
     n_events, value_cents)`` appended as sessions close. Without
     ``is_final`` these are the strict gap sessions. ``watermark`` is the
     allowed lateness; ``end_marker`` flags rows that only push the
-    watermark (an end-of-stream sentinel)."""
+    watermark (an end-of-stream sentinel).
+
+    ``late="emit"``: rows that come too late for any session are not dropped
+    but appended with the session columns NULL and ``late_event_us,
+    late_tiebreak, late_value, watermark_us`` filled (:func:`on_time` and
+    :func:`late_only` tell them apart), so that every input row with an event
+    time is in a session or in the late rows."""
+    if late not in ("drop", "emit"):
+        raise ValueError("late must be 'drop' or 'emit'")
     ks = _keys(keys)
     require_columns(stream, *ks, event_time, where="stream_sessions_with_final")
     s = _prepare_event_time(stream, event_time, watermark, end_marker)
@@ -73,17 +82,40 @@ def stream_sessions_with_final(stream: DataFrame, keys: str | Sequence[str], eve
         *ks, F.unix_micros(F.col(event_time)).alias("ev_t"),
         F.coalesce(is_final, F.lit(False)).alias("ev_final") if is_final is not None
         else F.lit(False).alias("ev_final"),
-        (F.col(tiebreak) if tiebreak else F.lit(0)).cast("long").alias("ev_tb"),
+        _tiebreak(tiebreak),
         F.coalesce(value, F.lit(0)).cast("long").alias("ev_v") if value is not None
         else F.lit(0).cast("long").alias("ev_v"))
     out = T.StructType(_fields(stream, ks) + [
         T.StructField("session_seq", T.LongType()), T.StructField("session_start_us", T.LongType()),
         T.StructField("session_end_us", T.LongType()), T.StructField("closed", T.BooleanType()),
         T.StructField("n_events", T.LongType()), T.StructField("value_cents", T.LongType())])
+    if late == "emit":
+        for name in LATE_FIELDS:
+            out = out.add(name, T.LongType())
     gap_us = int(round(gap_seconds * 1_000_000))
     _need_rocksdb(prepared)
     return prepared.groupBy(*ks).transformWithState(
-        FinalSessionProcessor(ks, gap_us, lone_final), out, "Append", "EventTime")
+        FinalSessionProcessor(ks, gap_us, lone_final, late == "emit"), out, "Append", "EventTime")
+
+
+def _tiebreak(name: str | None) -> Column:
+    """NULL first."""
+    return F.coalesce((F.col(name) if name else F.lit(0)).cast("long"),
+                      F.lit(-(2 ** 63))).alias("ev_tb")
+
+
+def on_time(sessions: DataFrame) -> DataFrame:
+    """The sessions of a result with late rows."""
+    return sessions.where(F.col("session_seq").isNotNull()).drop(*LATE_FIELDS)
+
+
+def late_only(sessions: DataFrame) -> DataFrame:
+    """The late rows of a result with late rows: key, time, tiebreak, value
+    and the watermark that had passed them."""
+    none = {"session_seq", "session_start_us", "session_end_us", "closed", "n_events",
+            "value_cents"}
+    return sessions.where(F.col("session_seq").isNull()).select(
+        *[c for c in sessions.columns if c not in none])
 
 
 def stream_sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "value",
@@ -161,10 +193,19 @@ def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
 
 
 def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
-                      scope: str = "graph") -> DataFrame:
+                      scope: str = "graph", idle_seconds: float | None = None,
+                      event_time: str | None = None, watermark: str = "0 seconds",
+                      end_marker: Column | None = None) -> DataFrame:
     """Completion on a stream: per key, every time the payload count reaches
     the declared number, ``(keys..., fire, n_payloads, outputs)``. Task level
-    is stateless."""
+    is stateless.
+
+    With ``idle_seconds`` (and the ``event_time`` column it is measured by) a
+    key without payloads for that long is forgotten, so state stays bounded by
+    the keys that are active; what it had collected is a row too:
+    ``(keys..., fire, n_payloads, outputs, complete, first_us, last_us)``, see
+    ``CompletionProcessor``. Payloads without an event time are then left
+    out."""
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
     require_columns(payloads, GRAPH, JOB, TASK, "jobtasks", "output", *arrival,
@@ -172,17 +213,30 @@ def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence
     if level == TASK:
         return payloads.select(GRAPH, JOB, TASK, F.col("output").alias("outputs"))
     ks = level_keys(level, scope)
+    timed = []
+    if idle_seconds is not None:
+        if event_time is None:
+            raise ValueError("idle_seconds needs an event_time column")
+        payloads = _prepare_event_time(payloads, event_time, watermark, end_marker)
+        timed = [F.unix_micros(F.col(event_time)).alias("ev_t")]
     # the arrival columns travel as arr0, arr1, ...; the processor sorts on them
     # (names with a leading underscore arrived renamed _1, _2, ... in the
     # Python worker)
     acols = [F.col(c).alias(f"arr{i}") for i, c in enumerate(arrival)]
-    prepared = payloads.select(*ks, *acols, declared_parts(level).alias("expected"), "output")
+    prepared = payloads.select(*ks, *acols, *timed, declared_parts(level).alias("expected"),
+                               "output")
     out = T.StructType(_fields(payloads, ks) + [
         T.StructField("fire", T.LongType()), T.StructField("n_payloads", T.LongType()),
         T.StructField("outputs", T.ArrayType(T.StringType()))])
     _need_rocksdb(prepared)
+    if not timed:
+        return prepared.groupBy(*ks).transformWithState(
+            CompletionProcessor(ks, len(arrival)), out, "Append", "None")
+    out = out.add("complete", T.BooleanType()).add("first_us", T.LongType()) \
+             .add("last_us", T.LongType())
+    idle_us = int(round(idle_seconds * 1_000_000))
     return prepared.groupBy(*ks).transformWithState(
-        CompletionProcessor(ks, len(arrival)), out, "Append", "None")
+        CompletionProcessor(ks, len(arrival), idle_us), out, "Append", "EventTime")
 
 
 def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_time: str,
@@ -197,7 +251,7 @@ def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_ti
     s = _prepare_event_time(stream, event_time, watermark, end_marker)
     prepared = s.select(
         *ks, F.unix_micros(F.col(event_time)).alias("ev_t"), F.lit(False).alias("ev_final"),
-        (F.col(tiebreak) if tiebreak else F.lit(0)).cast("long").alias("ev_tb"),
+        _tiebreak(tiebreak),
         (F.coalesce(value, F.lit(0)) if value is not None else F.lit(0)).cast("long").alias("ev_v"))
     out = T.StructType(_fields(stream, ks) + [
         T.StructField("n_sessions", T.LongType()), T.StructField("n_events", T.LongType()),

@@ -15,6 +15,8 @@ key's share of one batch stays small.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 from pyspark.sql import Row
@@ -33,10 +35,29 @@ def _ms_ceil(us: int) -> int:
 
 # --- sessions closed by a gap or a final event (event time) -----------------
 
+# Pending rows of a bucket: a stretch of time of one key and micro-batch.
+BUCKET_ROWS = 1_000
 SESSION_STATE = ("seq long, start long, last long, n long, v long, lone boolean, "
-                 "active boolean, done_upto long, timer long")
-PENDING_STATE = "t long, fin boolean, tb long, v long"
-_FRESH = (0, 0, 0, 0, 0, False, False, -(2 ** 62), _NO_TIMER)
+                 "active boolean, done_upto long, timer long, next_bucket long, "
+                 "bucket_first array<long>, bucket_id array<long>")
+BUCKET_STATE = "t array<long>, fin array<boolean>, tb array<long>, v array<long>"
+LATE_FIELDS = ["late_event_us", "late_tiebreak", "late_value", "watermark_us"]
+
+
+class _Session:
+    """The value state of a key; ``buckets`` holds ``(first time, id)`` of its
+    pending buckets."""
+
+    def __init__(self, row=None):
+        (self.seq, self.start, self.last, self.n, self.v, self.lone, self.active, self.done,
+         self.timer, self.next_bucket, first, ids) = row or (
+            0, 0, 0, 0, 0, False, False, -(2 ** 62), _NO_TIMER, 0, [], [])
+        self.buckets = list(zip(first or [], ids or []))
+
+    def row(self) -> tuple:
+        return (self.seq, self.start, self.last, self.n, self.v, self.lone, self.active, self.done,
+                self.timer, self.next_bucket, [f for f, _ in self.buckets],
+                [i for _, i in self.buckets])
 
 
 class FinalSessionProcessor(StatefulProcessor):
@@ -48,15 +69,26 @@ class FinalSessionProcessor(StatefulProcessor):
     ``(ev_t, ev_final, ev_tb)`` order, so out-of-order arrival within the
     allowed lateness gives the batch result. A session is emitted when a
     final closes it, when a later row starts a new one, or when the
-    watermark passes ``last + gap``. Rows older than what was already
-    applied are late and dropped.
+    watermark passes ``last + gap``.
+
+    Waiting rows are kept in buckets of at most ``BUCKET_ROWS`` rows of
+    consecutive times, a map state of its own key each; a timer reads only
+    the buckets that begin at or before the watermark, in time order, and
+    holds only those that overlap.
+
+    A row is late if it is older than what was already applied, or would have
+    joined a session that the watermark has closed. Late rows are dropped, or
+    with ``emit_late`` come out as rows of their own: session columns NULL,
+    ``late_event_us``, ``late_tiebreak``, ``late_value`` and the
+    ``watermark_us`` at their arrival filled.
 
     ``lone_final="close"``: a final that starts a session is a closed
     one-row session. ``"absorb"``: such a session takes every later row of
     the key regardless of gaps until the next final closes it.
     """
 
-    def __init__(self, key_cols: list[str], gap_us: int, lone_final: str = "close"):
+    def __init__(self, key_cols: list[str], gap_us: int, lone_final: str = "close",
+                 emit_late: bool = False):
         if gap_us <= 0:
             raise ValueError("gap must be strictly positive")
         if lone_final not in ("close", "absorb"):
@@ -64,77 +96,97 @@ class FinalSessionProcessor(StatefulProcessor):
         self.key_cols = list(key_cols)
         self.gap_us = int(gap_us)
         self.lone_final = lone_final
+        self.emit_late = emit_late
         self.names = self.key_cols + ["session_seq", "session_start_us", "session_end_us",
                                       "closed", "n_events", "value_cents"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.session = handle.getValueState("session", SESSION_STATE)
-        self.pending = handle.getListState("pending", PENDING_STATE)
-
-    def _get(self) -> list:
-        st = self.session.get()
-        return list(st) if st is not None else list(_FRESH)
+        self.pending = handle.getMapState("pending", "bucket long", BUCKET_STATE)
+
+    def _put(self, st: _Session, rows: list[tuple]) -> None:
+        """A bucket of rows in order."""
+        self.pending.updateValue((st.next_bucket,), tuple(list(c) for c in zip(*rows)))
+        st.buckets.append((rows[0][0], st.next_bucket))
+        st.next_bucket += 1
+
+    def _ready(self, st: _Session, wm_us: int) -> Iterator[tuple]:
+        """The rows up to the watermark, in order; what is left of their
+        buckets goes back."""
+        due = sorted(b for b in st.buckets if b[0] <= wm_us)
+        st.buckets = [b for b in st.buckets if b[0] > wm_us]
+        heap: list[tuple] = []
+        for first, bucket in due:
+            while heap and heap[0][0] < first:
+                yield heapq.heappop(heap)
+            rows = list(zip(*self.pending.getValue((bucket,))))
+            self.pending.removeKey((bucket,))
+            cut = bisect.bisect_right(rows, wm_us, key=lambda r: r[0])
+            if cut < len(rows):
+                self._put(st, rows[cut:])
+            for r in rows[:cut]:
+                heapq.heappush(heap, r)
+        while heap:
+            yield heapq.heappop(heap)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        st = self._get()
-        done = st[7]
-        new = [(r["ev_t"], bool(r["ev_final"]), r["ev_tb"], r["ev_v"]) for r in rows
-               if r["ev_t"] >= done]  # rows before what was already applied are late
-        if not new:
+        st = _Session(self.session.get())
+        own = sorted((r["ev_t"], bool(r["ev_final"]), r["ev_tb"], r["ev_v"]) for r in rows)
+        cut = bisect.bisect_left(own, st.done, key=lambda r: r[0])
+        late, new = own[:cut], own[cut:]
+        for i in range(0, len(new), BUCKET_ROWS):
+            self._put(st, new[i:i + BUCKET_ROWS])
+        if new:
+            at = _ms_ceil(new[0][0])
+            if st.timer == _NO_TIMER or at < st.timer:
+                self.handle.registerTimer(at)
+                st.timer = at
+            self.session.update(st.row())
+        if not late or not self.emit_late:
             return iter(())
-        self.pending.appendList(new)
-        at = _ms_ceil(min(r[0] for r in new))
-        if st[8] == _NO_TIMER or at < st[8]:
-            self.handle.registerTimer(at)
-            st[8] = at
-            self.session.update(tuple(st))
-        return iter(())
+        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
+        none = [None] * (len(self.names) - len(self.key_cols))
+        return iter([_row(self.names + LATE_FIELDS, (*key, *none, t, tb, v, wm_us))
+                     for t, _, tb, v in late])
 
-    def _emit(self, key, out, seq, start, n, v, closed, end_us):
-        out.append(_row(self.names, (*key, seq, start, end_us, closed, n, v)))
+    def _emit(self, key, out, st: _Session, closed: bool, end_us: int) -> None:
+        names, values = self.names, (*key, st.seq, st.start, end_us, closed, st.n, st.v)
+        if self.emit_late:
+            names, values = names + LATE_FIELDS, (*values, None, None, None, None)
+        out.append(_row(names, values))
+        st.active = False
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-        pend = sorted(self.pending.get(), key=lambda r: (r[0], r[1], r[2]))
-        cut = 0
-        while cut < len(pend) and pend[cut][0] <= wm_us:
-            cut += 1
-        ready, rest = pend[:cut], pend[cut:]
-        seq, start, last, n, v, lone, active, done, _timer = self._get()
+        st = _Session(self.session.get())
         out: list[Row] = []
         gap = self.gap_us
         absorb = self.lone_final == "absorb"
-        for (rt, fin, _tb, rv) in ready:
-            if active and not (lone and absorb) and rt - last >= gap:
-                self._emit(key, out, seq, start, n, v, False, last + gap)
-                active = False
-            if not active:
-                seq, start, last, n, v, active, lone = seq + 1, rt, rt, 1, rv, True, fin
+        for (rt, fin, _tb, rv) in self._ready(st, wm_us):
+            st.done = max(st.done, rt)
+            if st.active and not (st.lone and absorb) and rt - st.last >= gap:
+                self._emit(key, out, st, False, st.last + gap)
+            if not st.active:
+                st.seq, st.start, st.last, st.n, st.v = st.seq + 1, rt, rt, 1, rv
+                st.active, st.lone = True, fin
                 if fin and not absorb:
-                    self._emit(key, out, seq, start, n, v, True, rt)
-                    active = False
+                    self._emit(key, out, st, True, rt)
                 continue
-            last, n, v = rt, n + 1, v + rv
+            st.last, st.n, st.v = rt, st.n + 1, st.v + rv
             if fin:
-                self._emit(key, out, seq, start, n, v, True, rt)
-                active = False
-        if ready:
-            done = max(done, ready[-1][0])
-            self.pending.clear()
-            if rest:
-                self.pending.put(rest)
-        if active and not (lone and absorb) and last + gap <= wm_us:
-            self._emit(key, out, seq, start, n, v, False, last + gap)
-            active = False
-        nxt = [rest[0][0]] if rest else []
-        if active and not (lone and absorb):
-            nxt.append(last + gap)
-        timer = _NO_TIMER
+                self._emit(key, out, st, True, rt)
+        waits = st.active and not (st.lone and absorb)
+        if waits and st.last + gap <= wm_us:
+            self._emit(key, out, st, False, st.last + gap)
+            st.done = max(st.done, st.last + gap)  # nothing may join it any more
+            waits = False
+        nxt = [f for f, _ in st.buckets] + ([st.last + gap] if waits else [])
+        st.timer = _NO_TIMER
         if nxt:
-            timer = _ms_ceil(min(nxt))
-            self.handle.registerTimer(timer)
-        self.session.update((seq, start, last, n, v, lone, active, done, timer))
+            st.timer = _ms_ceil(min(nxt))
+            self.handle.registerTimer(st.timer)
+        self.session.update(st.row())
         return iter(out)
 
     def close(self) -> None:
@@ -290,23 +342,50 @@ class SyncProcessor(StatefulProcessor):
 
 # --- completion of work payloads ---------------------------------------------
 
+# So many outputs of a key are kept beside its count; more go to a list state.
+INLINE_PATHS = 256
+COMPLETION_STATE = ("seen long, fired long, first long, last long, timer long, spilled boolean, "
+                    "paths array<string>")
+
+
 class CompletionProcessor(StatefulProcessor):
     """Counts a key's payloads in arrival order; when the count reaches the
     declared number it emits the collected outputs and starts again.
     Input columns: the key, ``arr0, arr1, ...`` (arrival order inside a
-    micro-batch), ``expected`` and ``output`` (a NULL output adds nothing).
-    A value state holds the count and the number of firings; the outputs
-    collected so far are appended to a list state, read only to fire."""
-
-    def __init__(self, key_cols: list[str], n_arrival: int):
+    micro-batch), ``expected`` and ``output`` (a NULL output adds nothing),
+    and with ``idle_us`` also ``ev_t`` (event time, epoch µs).
+
+    A value state holds the count, the number of firings and a few outputs;
+    more outputs are appended to a list state that is read only to fire.
+
+    Without ``idle_us`` a key's state lives for ever. With it, a key without
+    payloads for so long (to its next payload, or to the watermark) is
+    forgotten: what it had collected comes out as a row with ``complete``
+    false, and its firings are numbered from 1 again. Rows then also carry
+    ``first_us`` and ``last_us``, the times of the first and last payload
+    counted."""
+
+    def __init__(self, key_cols: list[str], n_arrival: int, idle_us: int | None = None):
+        if idle_us is not None and idle_us <= 0:
+            raise ValueError("idle time must be strictly positive")
         self.key_cols = list(key_cols)
         self.arr = [f"arr{i}" for i in range(n_arrival)]
-        self.names = self.key_cols + ["fire", "n_payloads", "outputs"]
+        self.idle_us = idle_us
+        self.names = self.key_cols + ["fire", "n_payloads", "outputs"] + (
+            ["complete", "first_us", "last_us"] if idle_us else [])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "seen long, fired long, held boolean")
+        self.handle = handle
+        self.state = handle.getValueState("state", COMPLETION_STATE)
         self.paths = handle.getListState("paths", "path string")
 
+    def _emitted(self, key, fire, seen, new, spilled, complete, first, last) -> Row:
+        if spilled:
+            new = [p[0] for p in self.paths.get()] + new
+            self.paths.clear()
+        values = (*key, fire, seen, new)
+        return _row(self.names, (*values, complete, first, last) if self.idle_us else values)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows = list(rows)
         if not rows:
@@ -315,26 +394,53 @@ class CompletionProcessor(StatefulProcessor):
         fields = rows[0].__fields__
         ia = [fields.index(c) for c in self.arr]
         ie, io = fields.index("expected"), fields.index("output")
+        it = fields.index("ev_t") if self.idle_us else None
         if len(rows) > 1:
             rows.sort(key=lambda r: _none_first(r[i] for i in ia))
         st = self.state.get()
-        seen, fired, held = tuple(st) if st is not None else (0, 0, False)
-        new: list[str] = []
+        seen, fired, first, last, timer, spilled, new = tuple(st) if st is not None else (
+            0, 0, 0, None, _NO_TIMER, False, [])
+        new = list(new or [])
         out = []
         for r in rows:
+            if it is not None:
+                t = r[it]
+                if last is not None and t - last >= self.idle_us:
+                    if seen:
+                        out.append(self._emitted(key, fired + 1, seen, new, spilled, False,
+                                                 first, last))
+                    seen, fired, new, spilled, last = 0, 0, [], False, t
+                if not seen:
+                    first = t
+                last = t if last is None else max(last, t)
             seen += 1
             new.extend(r[io] or [])
             if r[ie] is not None and seen == r[ie]:
                 fired += 1
-                if held:
-                    new = [p[0] for p in self.paths.get()] + new
-                    self.paths.clear()
-                out.append(_row(self.names, (*key, fired, seen, new)))
-                seen, new, held = 0, [], False
-        if new:
+                out.append(self._emitted(key, fired, seen, new, spilled, True, first, last))
+                seen, new, spilled = 0, [], False
+        if len(new) > INLINE_PATHS:
             self.paths.appendList([(p,) for p in new])
-            held = True
-        self.state.update((seen, fired, held))
+            new, spilled = [], True
+        if it is not None and timer == _NO_TIMER:
+            timer = _ms_ceil(last + self.idle_us)
+            self.handle.registerTimer(timer)
+        self.state.update((seen, fired, first, last, timer, spilled, new))
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        st = self.state.get()
+        if st is None:
+            return iter(())
+        seen, fired, first, last, _, spilled, new = tuple(st)
+        if last + self.idle_us > timerValues.getCurrentWatermarkInMs() * 1000:
+            timer = _ms_ceil(last + self.idle_us)  # payloads came since it was set
+            self.handle.registerTimer(timer)
+            self.state.update((seen, fired, first, last, timer, spilled, list(new or [])))
+            return iter(())
+        out = [self._emitted(key, fired + 1, seen, list(new or []), spilled, False, first, last)] \
+            if seen else []
+        self.state.clear()
         return iter(out)
 
     def close(self) -> None:

@@ -21,8 +21,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidepool.session import claimed_path, dropped, written
 
-# A slice has files of about this many bytes, and at least so many files.
+# A slice has files of about this many bytes, and at least so many files; a
+# table of more bytes than a slice may have is cut into more slices.
 FILE_BYTES, MIN_FILES = 128 << 20, 4
+SLICE_BYTES = 4 << 30
 
 
 def _folder(spark: SparkSession, path: str):
@@ -43,8 +45,9 @@ def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
                        end_rows: DataFrame | None = None, path: str | None = None,
                        min_files: int = MIN_FILES, bounds: list | None = None
                        ) -> tuple[str, int]:
-    """``(path, files per slice)``: ``df`` as ``n_slices`` slices split at
-    approximate quantiles of ``order_col`` (rows with equal values share a
+    """``(path, files per slice)``: ``df`` as ``n_slices`` slices - more if
+    they would be larger than ``SLICE_BYTES``, so that a micro-batch does not
+    grow with the table - split at approximate quantiles of ``order_col`` (rows with equal values share a
     slice) or after the given ``bounds``, and ``end_rows`` as a last one. The
     input is computed once, into a staging copy that is dropped again; each slice is then cut from the copy
     (Parquet statistics skip the other ranges) and written by as many tasks as
@@ -56,12 +59,13 @@ def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
     is_time = df.schema[order_col].dataType.typeName().startswith("timestamp")
     key = (F.unix_micros(F.col(order_col).cast("timestamp")) if is_time
            else F.col(order_col).cast("double"))
-    probs = [i / n_slices for i in range(1, n_slices)]
+    staged_bytes = _data_files(spark, staged.scratch)[1]
     if bounds is None:
+        n_slices = max(n_slices, -(-staged_bytes // SLICE_BYTES))
+        probs = [i / n_slices for i in range(1, n_slices)]
         bounds = (sorted(set(staged.select(key.alias("k")).approxQuantile("k", probs, 0.001)))
                   if probs else [])
-    n_files = max(min_files, -(-_data_files(spark, staged.scratch)[1]
-                               // (n_slices * FILE_BYTES)))
+    n_files = max(min_files, -(-staged_bytes // ((len(bounds) + 1) * FILE_BYTES)))
     nothing = spark.createDataFrame([], df.schema)
     written_files = 0
 
