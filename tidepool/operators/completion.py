@@ -143,13 +143,26 @@ def job_output_rows(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[s
         *keys, "fire", "place", "n_payloads", "output")
 
 
-def unfinished_payloads(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
-                        scope: str = "graph", partitions: int | None = None) -> DataFrame:
-    """The payloads in no complete firing: what a later batch may complete."""
+def _gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return (rows.groupBy(*keys, "fire")
+                .agg(F.max("n_payloads").alias("n_payloads"), F.sort_array(F.collect_list(
+                    F.struct("place", F.coalesce("output", none).alias("output")))).alias("_o"))
+                .select(*keys, "fire", "n_payloads",
+                        F.flatten(F.col("_o")["output"]).alias("outputs")))
+
+
+def job_output_and_rest(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
+                        scope: str = "graph", partitions: int | None = None
+                        ) -> tuple[DataFrame, DataFrame]:
+    """:func:`job_output` of a stateful level, and the payloads in no complete
+    firing: those that payloads still to come may complete."""
     keys = level_keys(level, scope)
     p = payloads.withColumn("_expected", declared_parts(level))
     steady, varied = _numbered_payloads(p, keys, arrival, partitions)
-    return steady.unionByName(varied).where(F.col("fire").isNull()).select(*payloads.columns)
+    rows = written(steady.unionByName(varied), "completion-rows")
+    done = F.col("fire").isNotNull()
+    return _gathered(rows.where(done), keys), rows.where(~done).select(*payloads.columns)
 
 
 def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
@@ -176,12 +189,7 @@ def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] =
         raise ValueError("stateful levels need an arrival order")
     keys = level_keys(level, scope)
     rows = job_output_rows(payloads, level, arrival, scope, partitions)
-    none = F.array().cast("array<string>")
-    return (rows.groupBy(*keys, "fire")
-                .agg(F.max("n_payloads").alias("n_payloads"), F.sort_array(F.collect_list(
-                    F.struct("place", F.coalesce("output", none).alias("output")))).alias("_o"))
-                .select(*keys, "fire", "n_payloads",
-                        F.flatten(F.col("_o")["output"]).alias("outputs")))
+    return _gathered(rows, keys)
 
 
 def job_output_all_levels(payloads: DataFrame, arrival: Sequence[str],

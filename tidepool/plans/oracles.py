@@ -458,3 +458,19 @@ ORACLES["stream_job_output_expired"] = f"""
       string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY rn) AS outputs_text, complete,
       min(t) AS first_us, max(t) AS last_us
     FROM parts GROUP BY user_id, k, fire, complete"""
+
+ORACLES["combined_moments"] = """
+    WITH e AS (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY c DESC) AS place FROM e)
+    SELECT event_type, count(*) AS n, CAST(sum(c) AS BIGINT) AS total,
+      CAST(sum(c * c) AS BIGINT) AS squares,
+      string_agg(CAST(c AS VARCHAR), ',' ORDER BY place) FILTER (place <= 3) AS top
+    FROM r GROUP BY event_type"""
+
+ORACLES["flat_map_lines"] = """
+    SELECT doc_id, line_no, CAST(length(line) AS BIGINT) AS n_chars FROM (
+      SELECT doc_id, generate_subscripts(arr, 1) - 1 AS line_no, unnest(arr) AS line
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS arr FROM documents))
+    WHERE length(line) >= 80"""
+
+ORACLES["stream_fan_out"] = ORACLES["job_output_all_levels"]

@@ -19,8 +19,11 @@ from tidepool.functions.scalar import (as_float, as_int, as_str, assign_event_ti
                                        encode_bytes, format_pair, format_score, key_by, multiply,
                                        now_iso, path_join, random_value, split_tokens,
                                        timestamp_text, value_range, with_event_time)
+from tidepool.functions.rows import flat_map
 from tidepool.operators.align import flatten, sync, sync_tagged
-from tidepool.operators.completion import job_output, job_output_all_levels, job_output_rows
+from tidepool.operators.combine import combine_by_key
+from tidepool.operators.completion import (job_output, job_output_all_levels,
+                                           job_output_and_rest, job_output_rows)
 from tidepool.operators.route import (dead_letter, dead_letter_expr, errors, fail_on_value,
                                       filter_by_attributes,
                                       row_budget_guard, split_threshold, tap)
@@ -34,6 +37,7 @@ from tidepool.sinks import with_attributes, write_lines, write_messages
 from tidepool.sources.files import read_lines
 from tidepool.sources.messages import (event_time_from_attribute, read_message_strings,
                                        read_messages)
+from tidepool.streaming.fan_out import run_fan_out
 from tidepool.streaming.operators import (late_only, on_time, stream_fixed_window_counts, stream_group_values,
                                           stream_job_output, stream_session_totals,
                                           stream_sessions_with_final, stream_sync_tagged)
@@ -765,3 +769,64 @@ def q_stream_fixed_windows_late(spark, sf):
                                    keys=["event_type"], end_marker=_is_end())
     t = _drained(s, "stream-fixed-windows-late", path)
     return t.select(_us("window.start").alias("window_start_us"), "event_type", "n")
+
+
+# --- extension points: combiners, one-to-many functions, fan-out ----------------
+
+class Moments:
+    """Count, sum, sum of squares and the three largest of a column of cents."""
+
+    def start(self):
+        return 0, 0, 0, []
+
+    def add(self, state, values):
+        x = [v for v in values.column(0).to_pylist() if v is not None]
+        return self.merge(state, (len(x), sum(x), sum(v * v for v in x), x))
+
+    def merge(self, a, b):
+        return a[0] + b[0], a[1] + b[1], a[2] + b[2], sorted([*a[3], *b[3]])[-3:]
+
+    def finish(self, state):
+        n, total, squares, top = state
+        return n, total, squares, ",".join(map(str, top[::-1]))
+
+
+@register("combined_moments")
+def q_combined_moments(spark, sf):
+    """A caller's own combiner: moments and largest values per event type."""
+    e = _events(spark, sf).select("event_type", _cents().alias("cents"))
+    return combine_by_key(e, "event_type", ["cents"], Moments(),
+                          "n bigint, total bigint, squares bigint, top string")
+
+
+def long_lines(text, least):
+    """``(line number, characters)`` of the lines with ``least`` or more."""
+    for place, line in enumerate((text or "").split("\n")):
+        if len(line) >= least:
+            yield place, len(line)
+
+
+@register("flat_map_lines")
+def q_flat_map_lines(spark, sf):
+    """A one-to-many function with an argument, over documents."""
+    return flat_map(I.table(spark, sf, "documents"), long_lines, ["text"],
+                    "line_no bigint, n_chars bigint", keep=["doc_id"], least=80)
+
+
+@register("stream_fan_out")
+def q_stream_fan_out(spark, sf):
+    """Task, job and graph outputs of one stream, read once."""
+    payloads, replay = _payload_replay(spark, sf)
+    path = claimed_path(spark, "fan-out")
+
+    def level(name):
+        return lambda rows: job_output_and_rest(rows, name, arrival=I.PAYLOAD_ARRIVAL)
+
+    found = run_fan_out(payloads, {
+        "taskid": lambda rows: (job_output(rows, "taskid"), None),
+        "jobid": level("jobid"), "graphid": level("graphid")}, path)
+    dropped(replay)
+    parts = [t.agg(F.lit(name).alias("level"), F.count(F.lit(1)).alias("n_rows"),
+                   F.coalesce(F.sum(F.size("outputs")), F.lit(0)).cast("bigint")
+                   .alias("n_outputs")) for name, t in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
