@@ -101,6 +101,15 @@ def test_stages_take_odd_and_empty_tables(spark):
             F.col("start") == 0).count() == len(texts)
 
 
+def test_a_lazy_stage_keeps_its_tables(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").limit(60)
+    once = stages["near_duplicates"](spark, docs, SMOKE)
+    cut = stages["repeated_passages"](spark, once, SMOKE)  # reads what is not written yet
+    again = stages["near_duplicates"](spark, docs, SMOKE)
+    assert once.count() == again.count() == cut.count()
+
+
 def test_packing_stage_has_no_gaps(spark):
     rows = corpus_pipeline.STAGES[-1][1](
         spark, spark.read.parquet(f"{SMOKE}/documents.parquet"), SMOKE).collect()

@@ -235,10 +235,39 @@ def test_odd_vectors(spark):
         ("3", 1, 3, True), ("3", 1, 3, True), ("None", 0, None, True)]
 
 
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b"), (2, [1.0, 0.01], "a"), (3, [0.0, 1.0], "b"),
+            (4, [0.01, 1.0], "b"), (5, [0.02, 1.0], "b"),
+            (7, [1.0, 0.0], "c"), (7, [0.0, 1.0], "c"), (8, [0.01, 1.0], "c"), (9, [0.0, 1.0], "c")]
+    for n in (1, 4):
+        df = spark.createDataFrame(
+            rows, "vec_id long, embedding array<float>, label string").repartition(n)
+        out = embedding_join.embedding_near_duplicates(df, 0.93).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [
+            (1, 1, 1), (1, 3, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 3, 1),
+            (7, 0, 7), (7, 2, 7), (8, 2, 7), (9, 2, 7)]
+        assert all(r.kept == (r.vec_id == r.component_id) for r in out)
+
+
+def test_a_block_goes_to_few_pairs_of_tiles(spark):
+    n = 64  # one label whose blocks all lie near each other
+    blocks = spark.createDataFrame(
+        [(i, "a", 2, [0.0], [1.0], 1, b"", b"", b"", b"") for i in range(n)], embedding_join.BLOCK)
+    pairs = spark.createDataFrame([(i, j) for i in range(n) for j in range(i, n)],
+                                  "a bigint, b bigint")
+    sent = embedding_join._dealt(blocks, pairs).collect()
+    copies = len(sent) / n
+    assert copies < 16  # 64 partners each
+    tile = {(r.block): r.tile for r in sent}
+    met = {(r.ta, r.tb) for r in sent}
+    assert all((tile[i], tile[j]) in met for i in range(n) for j in range(i, n))
+    assert all({r.ta, r.tb} & {r.tile} for r in sent)
+
+
 def test_distant_blocks_are_skipped():
     places = np.array([[0.0], [0.1], [5.0]])
     vectors = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.0]])
-    block = lambda i: {"n": len(i), "reps": np.array(i, np.int64).tobytes(),
+    block = lambda i: {"n": len(i), "classes": np.array(i, np.int64).tobytes(),
                        "weights": np.ones(len(i), np.int64).tobytes(),
                        "places": places[i].tobytes(), "vectors": vectors[i].tobytes()}
     assert embedding_join._Joined(block([0]), block([1]), 0.9, 0.5).count.tolist() == [1, 1]
@@ -305,3 +334,26 @@ def test_rows_equal_in_id_and_text_are_one_place(spark):
                                                 ids=[4, 4, None, 7])).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == [
         ("4", 60), ("4", 60), ("7", 60), ("None", 0)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_neighbours_across_partition_edges(spark, monkeypatch, partitions):
+    monkeypatch.setattr(suffix_dedup, "_num_partitions", lambda table, n: partitions)
+    rng = random.Random(partitions)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(2), rng.choice([None, 5, 6]), 7,
+             rng.randrange(3)) for _ in range(90)]
+    rows += [(9, 9, 1, 7, 0)] * 60  # a group of equal rows
+    df = spark.createDataFrame(rows, "gram long, content long, doc_id long, text_hash long, "
+                                     "first int")
+    got = suffix_dedup.sorted_neighbours(df, ["gram", "content"]).collect()
+    assert len(got) == len(rows)
+    place = lambda r: (r[2] is not None, r[2] or 0, r[3], r[4])
+    least = {}
+    for r in rows:
+        least[r[:2]] = min(least.get(r[:2], place(r)), place(r))
+    for r in got:
+        assert r["_repeat"] == (place(tuple(r)[:5]) != least[r.gram, r.content])
+    starts = sorted((r.gram, r.content) for r in got if r["_start"])
+    assert starts == sorted(least)
+    assert {r.gram for r in got if r["_differs"]} == {
+        g for g, _ in least if len({c for x, c in least if x == g}) > 1}

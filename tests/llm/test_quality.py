@@ -125,3 +125,91 @@ def test_forest_paths_are_shorter_for_odd_rows():
     odd = good[:50].copy()
     odd[:, 3] = 0.9
     assert forest.mean_path(odd).max() < forest.mean_path(good).min()
+
+
+def walk(trees, t, row, node=0, depth=0):
+    """The leaf of a row in tree t, step by step."""
+    if depth == quality_gbt.DEPTH:
+        return trees.leaf[t, node - (2 ** quality_gbt.DEPTH - 1)]
+    right = row[trees.feature[t, node]] > trees.cut[t, node]
+    return walk(trees, t, row, 2 * node + 1 + right, depth + 1)
+
+
+def test_scores_equal_a_plain_walk_of_the_trees():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(300, 4)).round(1)
+    trees = quality_gbt.BoostedTrees(rows, (rows[:, 0] + rows[:, 1] ** 2 > 0.5).astype(float))
+    got = trees.score(rows[:20])
+    for row, score in zip(rows[:20], got):
+        raw = trees.base + sum(walk(trees, t, row) for t in range(quality_gbt.TREES))
+        assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-12
+
+
+def test_first_split_equals_an_exhaustive_search():
+    rng = np.random.default_rng(9)
+    rows = rng.integers(0, 12, size=(120, 3)).astype(float)
+    label = (rows[:, 1] > 6).astype(float)
+    label[:9] = 1 - label[:9]
+    trees = quality_gbt.BoostedTrees(rows, label)
+    p = 1 / (1 + np.exp(-trees.base))
+    g, h = p - label, np.full(len(label), p * (1 - p))
+
+    def gain(left):
+        if min(left.sum(), (~left).sum()) < quality_gbt.MIN_ROWS:
+            return 0.0
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality_gbt.RIDGE)
+        return part(left) + part(~left) - part(np.ones(len(g), bool))
+
+    best = max(gain(rows[:, f] <= c) for f in range(3) for c in np.unique(rows[:, f]))
+    chosen = gain(rows[:, trees.feature[0, 0]] <= trees.cut[0, 0])
+    assert chosen > 0 and abs(chosen - best) < 1e-9
+
+
+def path(forest, t, row, node=0, depth=0):
+    f = forest.feature[t, node]
+    if f < 0:
+        return forest.path[t, node]
+    return path(forest, t, row, 2 * node + 1 + (row[f] > forest.cut[t, node]), depth + 1)
+
+
+def test_path_lengths_equal_a_plain_walk():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(600, 3))
+    forest = quality_rules.IsolationForest(rows, rows.min(axis=0), rows.max(axis=0))
+    look = np.concatenate([rows[:10], [[9.0, 9.0, 9.0], [-9.0, 0.0, 9.0]]])
+    mean = [np.mean([path(forest, t, r) for t in range(quality_rules.TREES)]) for r in look]
+    assert np.allclose(forest.mean_path(look), mean)
+    # a leaf's path is its depth and the usual depth of the rows that end there
+    take = np.random.default_rng(7).permutation(len(rows))[:quality_rules.TREE_ROWS]
+    for node in np.flatnonzero(forest.path[0])[:40]:
+        inside, at, depth = np.ones(len(take), bool), int(node), 0
+        while at:
+            up = (at - 1) // 2
+            right = rows[take][:, forest.feature[0, up]] > forest.cut[0, up]
+            inside &= right if at == 2 * up + 2 else ~right
+            at, depth = up, depth + 1
+        n = int(inside.sum())
+        usual = 0.0 if n < 2 else float(quality_rules._usual_depth(n))
+        assert abs(forest.path[0, node] - depth - usual) < 1e-9
+
+
+def test_verdict_on_the_held_out_fold(spark):
+    docs, labels = labelled(spark)
+    rows = quality_rules.quality_rules(docs, labels).join(labels, "doc_id").toPandas()
+    own = rows[[zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id]]
+    assert own[own.quality == 1].kept.mean() > 0.93
+    assert own[own.quality == 0].kept.mean() < 0.5
+
+
+def test_fits_do_not_depend_on_how_repeated_ids_are_dealt(spark):
+    docs, labels = labelled(spark)
+    first = docs.limit(200)
+    other = docs.selectExpr("doc_id - 100 doc_id", "text", "lang", "source", "n_chars").limit(300)
+    rows = spark.createDataFrame(first.unionByName(other).collect(), docs.schema)
+    cuts, trees = set(), set()
+    for n in (1, 3, 8):
+        dealt = rows.repartition(n)
+        forest, cut = quality_rules.fit_rules(dealt, labels)
+        cuts.add((cut, None if forest is None else forest.cut.tobytes()))
+        trees.add(quality_gbt.fit_quality(dealt, labels).leaf.tobytes())
+    assert len(cuts) == 1 and len(trees) == 1

@@ -11,22 +11,26 @@ lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import Forest, dropped, labelled_components, small, written
+from tidepool.llm.common import (BROADCAST_BYTES, Forest, dropped, labelled_components, small,
+                                 written)
 
 # Principal axes of the grid, and the vectors (documented bound) they are fitted on.
 AXES, FIT_VECTORS = 4, 4_000
 # Vectors of a block, and of an interval that is not halved any further.
 BLOCK_ROWS, LEAF_ROWS = 2_048, 256
 BLOCK_BYTES = 8 << 20
+# Blocks of a tile at most: two tiles are held by a task.
+TILE_BLOCKS = 8
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray | None:
@@ -109,7 +113,7 @@ def _projected(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
 
 
 BLOCK = ("block bigint, label string, dim int, low array<double>, high array<double>, n int,"
-         " reps binary, weights binary, places binary, vectors binary")
+         " classes binary, weights binary, places binary, vectors binary")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,29 +125,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def closed() -> pa.RecordBatch:
         nonlocal made, pending
-        reps, weights, places, vectors = zip(*pending)
+        classes, weights, places, vectors = zip(*pending)
         places, vectors = np.array(places), np.array(vectors, dtype=np.float64)
         row = {"block": first + made, "label": group[0], "dim": group[1],
                "low": places.min(axis=0).tolist(), "high": places.max(axis=0).tolist(),
-               "n": len(reps), "reps": np.array(reps, dtype=np.int64).tobytes(),
+               "n": len(classes), "classes": np.array(classes, dtype=np.int64).tobytes(),
                "weights": np.array(weights, dtype=np.int64).tobytes(),
                "places": places.tobytes(), "vectors": _unit(vectors).tobytes()}
         made, pending = made + 1, []
         return pa.RecordBatch.from_pylist([row], schema=pa.schema([
             ("block", pa.int64()), ("label", pa.string()), ("dim", pa.int32()),
             ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("n", pa.int32()),
-            ("reps", pa.binary()), ("weights", pa.binary()), ("places", pa.binary()),
+            ("classes", pa.binary()), ("weights", pa.binary()), ("places", pa.binary()),
             ("vectors", pa.binary())]))
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in
-                   ("label", "dim", "rep", "weight", "place", "vector")]
-        for label, dim, rep, weight, place, vector in zip(*columns):
+                   ("label", "dim", "class", "weight", "place", "vector")]
+        for label, dim, own, weight, place, vector in zip(*columns):
             limit = min(BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * dim)))
             if pending and (group != (label, dim) or len(pending) >= limit):
                 yield closed()
             group = (label, dim)
-            pending.append((rep, weight, place, vector))
+            pending.append((own, weight, place, vector))
     if pending:
         yield closed()
 
@@ -155,14 +159,14 @@ class _Joined:
     def __init__(self, a: dict, b: dict | None, bound: float, eps: float):
         sides = [a] if b is None else [a, b]
         self.bound, self.eps2 = bound, eps * eps
-        self.reps = np.concatenate([np.frombuffer(s["reps"], np.int64) for s in sides])
+        self.classes = np.concatenate([np.frombuffer(s["classes"], np.int64) for s in sides])
         self.weights = np.concatenate([np.frombuffer(s["weights"], np.int64) for s in sides])
         self.places = np.concatenate([np.frombuffer(s["places"], np.float64)
                                       .reshape(s["n"], -1) for s in sides])
         self.vectors = np.concatenate([np.frombuffer(s["vectors"], np.float64)
                                        .reshape(s["n"], -1) for s in sides])
-        self.count = np.zeros(len(self.reps), dtype=np.int64)
-        self.forest = Forest(len(self.reps))
+        self.count = np.zeros(len(self.classes), dtype=np.int64)
+        self.forest = Forest(len(self.classes))
         if b is None:
             self.inside(0, a["n"])
         else:
@@ -209,8 +213,8 @@ class _Joined:
         hit = np.flatnonzero(self.count)
         tree, root = self.forest.edges()
         return pa.table({
-            "a": pa.array(np.concatenate([self.reps[hit], self.reps[tree]])),
-            "b": pa.array(np.concatenate([self.reps[hit], self.reps[root]])),
+            "a": pa.array(np.concatenate([self.classes[hit], self.classes[tree]])),
+            "b": pa.array(np.concatenate([self.classes[hit], self.classes[root]])),
             "links": pa.array(np.concatenate([self.count[hit], np.zeros(len(tree), np.int64)]))})
 
 
@@ -234,6 +238,26 @@ def _block_pairs(summary: DataFrame, eps: float) -> DataFrame:
             .where(near).select("a", "b").distinct())
 
 
+def _dealt(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The blocks once for every pair of tiles ``(ta, tb)`` that has block
+    pairs. A tile is a stretch of blocks of one label and dimension, about as
+    many as the square root of a block's partners, so that a block is sent to
+    about that many tasks, not to one per partner."""
+    n_pairs, n_blocks = pairs.count(), blocks.count()
+    width = max(1, min(TILE_BLOCKS, math.isqrt(n_pairs // max(1, n_blocks))))
+    place = F.row_number().over(Window.partitionBy("label", "dim").orderBy("block")) - 1
+    tiles = written(blocks.select("label", "dim", "block").select(
+        "block", F.min("block").over(Window.partitionBy(
+            "label", "dim", F.floor(place / width))).alias("tile")), "block-tiles")
+    ta, tb = (small(tiles.select(F.col("block").alias(c), F.col("tile").alias(f"t{c}")), 16,
+                    n_blocks) for c in "ab")
+    met = written(pairs.join(ta, "a").join(tb, "b").select("ta", "tb").distinct(), "tile-pairs")
+    ends = met.select("ta", "tb", F.explode(F.array_distinct(F.array("ta", "tb"))).alias("tile"))
+    sent = tiles.join(small(ends, 32, 2 * met.count()), "tile")
+    return blocks.drop("label", "dim", "low", "high").join(
+        small(sent, 48, sent.count()), "block")
+
+
 def embedding_near_duplicates(df: DataFrame, bound: float = 0.93, vec_id: str = "vec_id",
                               embedding: str = "embedding", label: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per row of ``df``.
@@ -257,39 +281,45 @@ def embedding_near_duplicates(df: DataFrame, bound: float = 0.93, vec_id: str =
         rows.where("digest IS NOT NULL").groupBy("label", "digest").agg(
             F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"),
             F.first("vector").alias("vector"))
-        .withColumn("dim", F.size("vector")), "vector-classes")
+        .withColumns({"dim": F.size("vector"), "class": F.monotonically_increasing_id()}),
+        "vector-classes")
     n = classes.count()
     axes = _fit_axes(classes, n)
-    order = ["label", "dim", "cells", "rep"]
-    placed = _projected(classes, axes, eps).drop("digest")
+    order = ["label", "dim", "cells", "class"]
+    placed = _projected(classes, axes, eps).drop("digest", "rep")
     blocks = written(
         placed.repartitionByRange(max(1, -(-n // BLOCK_ROWS)), *order)
         .sortWithinPartitions(*order).mapInArrow(_blocks, BLOCK), "vector-blocks")
     pairs = written(_block_pairs(blocks.select("block", "label", "dim", "low", "high"), eps),
                     "block-pairs")
-    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    dealt = blocks.drop("label", "dim", "low", "high").join(small(ends, 64, 2 * pairs.count()),
-                                                            "block")
+    dealt = _dealt(blocks, pairs)
 
     def joined(table: pa.Table) -> pa.Table:
         sides = sorted(table.to_pylist(), key=lambda s: s["block"])
-        a, b = sides[0]["a"], sides[0]["b"]
-        found = _Joined(sides[0], None if a == b else sides[1], bound, eps)
-        return found.rows()
-
-    found = written(dealt.groupBy("a", "b").applyInArrow(joined, "a bigint, b bigint, links bigint"),
+        ta, tb = sides[0]["ta"], sides[0]["tb"]
+        # blocks of a pair of tiles that lie too far apart give no rows
+        return pa.concat_tables([
+            _Joined(a, None if a is b else b, bound, eps).rows()
+            for a in sides if a["tile"] == ta for b in sides
+            if b["tile"] == tb and a["block"] <= b["block"]])
+
+    found = written(dealt.groupBy("ta", "tb").applyInArrow(joined, "a bigint, b bigint, links bigint"),
                     "vector-links")
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     component = labelled_components(found.where("a <> b").select("a", "b"), "vector-components")
     of_class = written(
-        classes.select("label", "digest", "rep", "weight").join(counts, "rep", "left")
-        .join(component.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
-                .alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
+        classes.select("label", "digest", "rep", "weight", "class").join(counts, "class", "left")
+        .join(component.withColumnRenamed("node", "class"), "class", "left")
+        .select("label", "digest", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
+                .alias("n_links"), F.coalesce("component", "class").alias("component")),
         "vector-results")
+    smallest = written(of_class.groupBy(F.col("component").alias("_component")).agg(
+        F.min("rep").alias("component_id")), "vector-smallest")
     dropped(classes, blocks, pairs, found, component)
+    named = of_class.join(small(smallest, 16, n), F.col("component") == F.col("_component")) \
+        .select("label", "digest", "n_links", "component_id")
     out = rows.select("vec_id", "label", "digest").join(
-        small(of_class, 64, n), ["label", "digest"], "left")
+        F.broadcast(named) if n * 64 <= BROADCAST_BYTES else named, ["label", "digest"], "left")
     own = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
                       own.alias("component_id"),

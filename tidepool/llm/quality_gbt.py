@@ -106,8 +106,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
                 label: str = "quality", max_rows: int = FIT_ROWS) -> BoostedTrees:
     """Trees fitted on the statistics of about ``max_rows`` labelled rows at
     most, chosen by a hash of the id, outside the held-out fold. Only numbers
-    of the texts are collected. Without labels of both kinds the score is the
-    labels' smoothed mean (0.5 without any)."""
+    of the texts are collected. An id is learnt from once: of its texts the
+    one with the smallest hash, of its labels the smallest, so the fit does
+    not depend on how rows are dealt. Without labels of both kinds the score
+    is the labels' smoothed mean (0.5 without any)."""
 
     @F.arrow_udf("array<double>")
     def statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -118,8 +120,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
                 yield flat.cast(pa.list_(pa.float64()))
 
     sample = labelled_sample(docs, labels, label, max_rows, doc_id, text)
-    rows = (sample.select("doc_id", "label", statistics.asNondeterministic()("text").alias("r"))
-            .groupBy("doc_id").agg(F.min("label").alias("label"), F.first("r").alias("r"))
+    rows = (sample.select("doc_id", "label", F.xxhash64("text").alias("h"),
+                          statistics.asNondeterministic()("text").alias("r"))
+            .groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("r", "h").alias("r"))
             .orderBy("doc_id").toPandas())
     matrix = np.array(rows["r"].tolist()).reshape(len(rows), len(RATIOS))
     return BoostedTrees(matrix, rows["label"].to_numpy(dtype=np.float64))

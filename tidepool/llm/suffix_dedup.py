@@ -4,12 +4,13 @@ A passage is repeated if ``length`` words in a row occur at more than one
 place. Suffixes are retained only at minimiser positions: of the ``length -
 gram + 1`` word grams inside every run of ``length`` words, the one with the
 smallest hash, so that both copies of a repeated run retain the same suffix.
-Retained suffixes are brought together by their first gram, and those with an
-equal neighbour are matched: extended left and right as far as the runs that
-chose them reach, they are sorted by that whole content; where it is equal to
-a neighbour's, all but the first place repeat it. Where suffixes agree in the
-gram but differ in the extended content, the match is extended word by word:
-each run around the suffix is compared by itself.
+Retained suffixes are range-partitioned and sorted by their first gram, then
+by all that they cover extended left and right as far as the runs that chose
+them reach, then by place; every suffix is compared with its neighbour, across
+partition edges too. Where the extended content is its neighbour's, all but
+the first place repeat it. Where neighbours agree in the gram but not in the
+extended content, the match is extended word by word: each run around the
+suffix is sorted and compared with its neighbours by itself.
 
 The result is exact (up to equal 64-bit hashes of different runs): the words
 of every run that occurred earlier - in the order of document id, then place -
@@ -23,10 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidepool.llm.common import dropped, hashed_texts, lean_task, mix64, small, texts_in, written
+from tidepool.llm.common import (dropped, hashed_texts, lean_task, live_tables, mix64, small,
+                                 texts_in, written)
+from tidepool.operators.ordered import _num_partitions
 
 LENGTH, GRAM = 50, 24
 
@@ -166,51 +171,139 @@ def without_ranges(text: Column, ranges: Column) -> Column:
     return cut.asNondeterministic()(text, ranges)
 
 
-def _place() -> Column:
-    return F.struct("doc_id", "text_hash", "first")
+# --- sorted neighbours ---------------------------------------------------------
+
+_PLACE = ("doc_id", "text_hash", "first")
+_ADDED = "_pid int, _no bigint, _start boolean, _differs boolean, _again boolean, _head boolean"
+
+
+def _numbers(batch: pa.RecordBatch, names) -> list[np.ndarray]:
+    """The columns as numbers, a nullable one as two."""
+    out = []
+    for name in names:
+        column = batch.column(name)
+        if column.null_count:
+            out.append(column.is_null().to_numpy(zero_copy_only=False).astype(np.int64))
+            column = column.fill_null(0)
+        else:
+            out.append(np.zeros(len(column), dtype=np.int64))
+        out.append(column.to_numpy(zero_copy_only=False).astype(np.int64))
+    return out
+
+
+def _compared(keys: list[str]):
+    """Every row of a sorted partition with the row before: ``_start`` (other
+    keys), ``_differs`` (other keys, but the same first one), ``_again`` (not
+    at the first place of its keys) and ``_head`` (of the partition's first
+    keys, which may go on from the partition before)."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        rows = groups = 0
+        last = lead = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key, place = _numbers(batch, keys), _numbers(batch, _PLACE)
+            changed = np.zeros((len(key), n), dtype=bool)
+            for c, own in zip(changed, key):
+                c[1:] = own[1:] != own[:-1]
+            if last is not None:
+                changed[:, 0] = [own[0] != x for own, x in zip(key, last)]
+            start = changed.any(axis=0)
+            differs = start & ~changed[:2].any(axis=0)
+            if last is None:
+                start[0] = True
+            at = np.maximum.accumulate(np.where(start, np.arange(n), -1))
+            again = np.zeros(n, dtype=bool)
+            for i, own in enumerate(place):
+                first = own[np.maximum(at, 0)]
+                if lead is not None:
+                    first = np.where(at < 0, lead[i], first)
+                again |= own != first
+            head = groups + np.cumsum(start) == 1
+            groups += int(start.sum())
+            last = [int(own[-1]) for own in key]
+            if at[-1] >= 0:
+                lead = [int(own[at[-1]]) for own in place]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, pid, np.int32)),
+                 pa.array(np.arange(rows, rows + n)), pa.array(start), pa.array(differs),
+                 pa.array(again), pa.array(head)],
+                names=[*batch.schema.names, "_pid", "_no", "_start", "_differs", "_again", "_head"])
+            rows += n
+
+    return compare
+
+
+def sorted_neighbours(table: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` sorted by ``keys`` and place, with ``_repeat`` (its keys occur
+    at an earlier place), ``_start`` (the first row of its keys) and
+    ``_differs`` (a first row whose predecessor has the same first key).
+
+    Range partitions split any group, also one of equal rows (a row id comes
+    last in the order). What a partition must know of those before it is one
+    row per partition, followed in order on the driver."""
+    with_ids = written(table.withColumn("_tie", F.monotonically_increasing_id()), "suffix-ids")
+    order = [*keys, *_PLACE, "_tie"]
+    ranged = with_ids.repartitionByRange(_num_partitions(with_ids, None), *order) \
+        .sortWithinPartitions(*order).drop("_tie")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields)
+    rows = written(ranged.mapInArrow(_compared(keys), f"{fields}, {_ADDED}"), "suffix-array")
+    dropped(with_ids)
+    key, place = F.struct(*keys), F.struct(*_PLACE)
+    edges = rows.groupBy("_pid").agg(
+        F.min_by(key, "_no").alias("head"), F.max_by(key, "_no").alias("tail"),
+        F.max_by(place, F.when(F.col("_start"), F.col("_no"))).alias("lead")).orderBy("_pid")
+    fixes, tail, lead = [], None, None
+    for e in edges.toLocalIterator():
+        goes_on = tail == e["head"]
+        if goes_on or (tail is not None and tail[0] == e["head"][0]):
+            fixes.append((e["_pid"], goes_on, lead if goes_on else None))
+        if not (goes_on and e["head"] == e["tail"]):
+            lead = e["lead"]
+        tail = e["tail"]
+    fixed = table.sparkSession.createDataFrame(fixes, T.StructType([
+        T.StructField("_fix", T.IntegerType()), T.StructField("_on", T.BooleanType()),
+        T.StructField("_lead", T.StructType([table.schema[c] for c in _PLACE]))]))
+    goes_on = F.coalesce("_on", F.lit(False))
+    first_row = F.col("_no") == 0
+    return rows.join(F.broadcast(fixed), F.col("_pid") == F.col("_fix"), "left").select(
+        *table.columns,
+        F.when(goes_on & F.col("_head"), ~place.eqNullSafe(F.col("_lead")))
+        .otherwise(F.col("_again")).alias("_repeat"),
+        (F.col("_start") & ~(first_row & goes_on)).alias("_start"),
+        (F.col("_differs") | (first_row & F.col("_fix").isNotNull() & ~goes_on)).alias("_differs"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, text_hash, ranges`` (a written table): for the documents
     ``(doc_id, text_hash, text)`` that repeat something, the word ranges
     (``first`` to before ``end``, they may overlap) that occurred earlier."""
-    suffixes = written(docs.mapInArrow(_suffix_rows(length, gram), SUFFIXES), "suffixes")
-    # suffixes with an equal neighbour
-    again = written(suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-                    .where("n > 1").select("gram"), "suffix-grams")
-    shared = written(suffixes.join(small(again, 16), "gram", "left_semi"), "suffixes-shared")
-    # the first place of every extended content
-    firsts = written(shared.groupBy("gram", "content").agg(
-        F.min(_place()).alias("place"), F.max(F.col("last") - F.col("first")).alias("more")),
-        "suffix-firsts")
-    repeats = (shared.join(firsts.select("gram", "content", "place"), ["gram", "content"])
-               .where(_place() != F.col("place"))
-               .select("doc_id", "text_hash", "first", (F.col("last") + length).alias("end")))
-
-    # equal grams in different contents: compare run by run
-    differing = written(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-                        .where("n > 1").select("gram"), "suffix-differing")
-    around = written(firsts.join(small(differing, 16), "gram", "left_semi")
-                     .groupBy("place.doc_id", "place.text_hash")
-                     .agg(F.collect_list(F.struct(
-                         F.col("place.first").alias("first"),
-                         (F.col("place.first") + F.col("more")).alias("last"))).alias("ranges")),
+    before = set(live_tables())
+    suffixes = sorted_neighbours(docs.mapInArrow(_suffix_rows(length, gram), SUFFIXES),
+                                 ["gram", "content"])
+    repeats = suffixes.where("_repeat").select(
+        "doc_id", "text_hash", "first", (F.col("last") + length).alias("end"))
+
+    # equal grams in different contents: extended and compared run by run
+    differing = written(suffixes.where("_differs").select("gram").distinct(), "suffix-differing")
+    around = written(suffixes.where("_start").join(small(differing, 16), "gram", "left_semi")
+                     .groupBy("doc_id", "text_hash")
+                     .agg(F.collect_list(F.struct("first", "last")).alias("ranges")),
                      "runs-around")
     keyed = docs.select(F.col("doc_id").alias("_rep_id"), F.col("text_hash").alias("_rep_hash"),
                         "text")
     near = _with_ranges(keyed, around, "inner", few=True).select(
         F.col("_rep_id").alias("doc_id"), F.col("_rep_hash").alias("text_hash"), "text",
         F.col("_rep_ranges").alias("ranges"))
-    runs = written(near.mapInArrow(
-        _run_rows(length), "run bigint, doc_id bigint, text_hash bigint, first int"), "runs")
-    first_run = written(runs.groupBy("run").agg(
-        F.min(_place()).alias("place"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("run", "place"), "run-firsts")
-    run_repeats = (runs.join(small(first_run, 48), "run").where(_place() != F.col("place"))
-                   .select("doc_id", "text_hash", "first", (F.col("first") + length).alias("end")))
+    runs = sorted_neighbours(near.mapInArrow(
+        _run_rows(length), "run bigint, doc_id bigint, text_hash bigint, first int"), ["run"])
+    run_repeats = runs.where("_repeat").select(
+        "doc_id", "text_hash", "first", (F.col("first") + length).alias("end"))
     out = written(repeats.union(run_repeats).distinct().groupBy("doc_id", "text_hash")
                   .agg(F.collect_list(F.struct("first", "end")).alias("ranges")), "word-ranges")
-    dropped(suffixes, again, shared, firsts, differing, around, runs, first_run)
+    dropped(*[t for t in live_tables() if t not in before and t != out.scratch])
     return out
 
 
