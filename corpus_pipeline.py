@@ -1,10 +1,11 @@
 """A corpus pipeline: quality classifier, quality rules, near duplicates,
 repeated passages, packing.
 
-Every stage takes the documents its predecessor kept. Its result is written
-as Parquet and read again before the next stage, so a stage may delete the
-scratch tables that the stage before it left. The trained stages learn from
-the labelled rows of the whole documents table.
+Every stage takes the documents its predecessor kept. A stage's result may
+read scratch tables that the stage wrote; they are its own and stay until the
+caller drops them: :func:`run` does once the result is written, other callers
+open ``scratch_scope`` around a stage and the use of its result. The trained
+stages learn from the labelled rows of the whole documents table.
 """
 
 from __future__ import annotations
@@ -20,22 +21,6 @@ from tidepool.llm.quality_gbt import PREDICT_FROM, fit_quality, score_texts
 from tidepool.llm.quality_rules import fit_rules, judge
 from tidepool.llm.suffix_dedup import remove_repeats
 
-# Scratch tables the last stage's result still reads.
-_LEFT: list[str] = []
-
-
-def _stage(work):
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        dropped(*_LEFT)
-        before = set(live_tables())
-        out = work(spark, docs, sf_dir)
-        _LEFT[:] = [t for t in live_tables() if t not in before]
-        return out
-
-    stage.__name__, stage.__doc__ = work.__name__, work.__doc__
-    return stage
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -52,7 +37,6 @@ def _free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-@_stage
 def quality_classifier(spark, docs, sf_dir):
     """Documents whose quality score is at least ``PREDICT_FROM`` stay."""
     model = fit_quality(docs, _labels(spark, sf_dir))
@@ -61,7 +45,6 @@ def quality_classifier(spark, docs, sf_dir):
         F.col(score) >= F.lit(PREDICT_FROM)).select(*docs.columns)
 
 
-@_stage
 def quality_rules(spark, docs, sf_dir):
     """Documents that pass the fixed rules and the isolation forest stay.
 
@@ -73,13 +56,11 @@ def quality_rules(spark, docs, sf_dir):
         F.col(f"{verdict}.kept")).select(*docs.columns)
 
 
-@_stage
 def near_duplicates(spark, docs, sf_dir):
     """One document of every group of near duplicates stays."""
     return one_of_each_group(docs)
 
 
-@_stage
 def repeated_passages(spark, docs, sf_dir):
     """Passages of 50 words and more that occurred before are cut out;
     ``n_chars`` follows the text. All rows stay."""
@@ -89,7 +70,6 @@ def repeated_passages(spark, docs, sf_dir):
     return out.select(*docs.columns)
 
 
-@_stage
 def packing(spark, docs, sf_dir):
     """Every piece of every document with its place in a sequence."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -109,12 +89,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over ``documents``; the result of each
-    but the last is written and read again."""
-    docs = _documents(spark, sf_dir)
-    before = None
+    but the last is written and read again, then the scratch tables it read
+    are dropped. What the last stage's result reads stays."""
+    docs, last = _documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
+        before = set(live_tables()) - {last}
         kept = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        if before is not None:
-            dropped(before)
-        docs = before = kept
+        dropped(*[t for t in live_tables() if t not in before and t != kept.scratch])
+        docs, last = kept, kept.scratch
     return STAGES[-1][1](spark, docs, sf_dir)
