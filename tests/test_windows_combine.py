@@ -17,6 +17,7 @@ from tidepool.operators.windows import assign_merged_windows, merged_windows
 from tidepool.plans import queries as Q
 from tidepool.session import claimed_path, session_settings
 from tidepool.streaming import processors
+from tidepool.streaming.counters import BudgetExceeded, StreamCounters
 from tidepool.streaming.fan_out import run_fan_out
 from tidepool.streaming.operators import (late_only, on_time, stream_job_output,
                                           stream_sessions_with_final)
@@ -309,3 +310,28 @@ def test_idle_keys_come_out_incomplete_and_state_is_dropped(spark, monkeypatch,
         ("a", 220, 2, 1, False, ["a220"]), ("b", 5, 1, 1, True, ["b5"]),
         ("b", 104, 2, 1, False, ["b104"]), ("b", 205, 1, 1, False, ["b205"]),
         ("c", 300, 1, 1, False, ["c300"])]
+
+
+# --- counters and budgets of streams ----------------------------------------------------
+
+def test_a_budget_stops_a_stream_and_restarts_go_on_counting(spark):
+    df = spark.range(90).withColumn("at", F.col("id"))
+    replay, n = write_replay_files(df, "at", 3)
+    path = claimed_path(spark, "t-budget")
+
+    def counted():
+        return replay_stream(spark, replay, df.schema, n).observe("o", F.count(F.lit(1)).alias("n"))
+
+    def start(writer, once=False):
+        writer = writer.format("parquet").option("path", f"{path}/out") \
+            .option("checkpointLocation", f"{path}/checkpoint")
+        return (writer.trigger(once=True) if once else writer.trigger(availableNow=True)).start()
+
+    with StreamCounters(spark, {"n": 90}) as counters:
+        first = counters.run(counted(), lambda w: start(w, once=True))
+        assert 0 < first["n"] <= 90
+        assert counters.run(counted(), start)["n"] == 90  # both runs of the query
+        assert spark.read.parquet(f"{path}/out").count() == 90
+    path = claimed_path(spark, "t-budget")
+    with StreamCounters(spark, {"n": 20}) as counters, pytest.raises(BudgetExceeded, match="over 20"):
+        counters.run(counted(), start)

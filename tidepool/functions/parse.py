@@ -71,11 +71,12 @@ def _parsed_events(lines: DataFrame, line: str) -> DataFrame:
 
 
 def parse_game_event(lines: DataFrame, line: str = "value",
-                     observation: Observation | None = None) -> DataFrame:
+                     observation: Observation | str | None = None) -> DataFrame:
     """Accepted game events ``(user, team, score, event_time)``.
 
-    Rejected lines are dropped; pass an ``Observation`` to count them
-    (metric ``num_parse_errors``) beside the data.
+    Rejected lines are dropped; pass an ``Observation`` - on a stream a name,
+    see ``StreamCounters`` - to count them (metric ``num_parse_errors``)
+    beside the data.
     """
     require_columns(lines, line, where="parse_game_event")
     parsed = _parsed_events(lines, line)

@@ -474,3 +474,7 @@ ORACLES["flat_map_lines"] = """
     WHERE length(line) >= 80"""
 
 ORACLES["stream_fan_out"] = ORACLES["job_output_all_levels"]
+
+ORACLES["stream_counters"] = f"""
+    SELECT count(*) AS num_lines, count(*) FILTER (d IN (0, 1, 2, 3, 4)) AS num_parse_errors,
+      count(*) FILTER (d NOT IN (0, 1, 2, 3, 4)) AS num_rows FROM {_GAME} g"""

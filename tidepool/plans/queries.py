@@ -37,6 +37,7 @@ from tidepool.sinks import with_attributes, write_lines, write_messages
 from tidepool.sources.files import read_lines
 from tidepool.sources.messages import (event_time_from_attribute, read_message_strings,
                                        read_messages)
+from tidepool.streaming.counters import StreamCounters
 from tidepool.streaming.fan_out import run_fan_out
 from tidepool.streaming.operators import (late_only, on_time, stream_fixed_window_counts, stream_group_values,
                                           stream_job_output, stream_session_totals,
@@ -830,3 +831,22 @@ def q_stream_fan_out(spark, sf):
                    F.coalesce(F.sum(F.size("outputs")), F.lit(0)).cast("bigint")
                    .alias("n_outputs")) for name, t in found.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf):
+    """Counters of a stream of game lines, added up over its micro-batches,
+    under a row budget that it keeps."""
+    lines = I.game_lines(_events(spark, sf), "ts")
+    replay, n = write_replay_files(lines, "ts", 3)
+    parsed = parse_game_event(replay_stream(spark, replay, lines.schema, n), observation="game")
+    path = claimed_path(spark, "stream-counters")
+    with StreamCounters(spark, {"num_lines": lines.count()}) as counters:
+        found = counters.run(parsed, lambda w: w.format("parquet").option("path", f"{path}/out")
+                             .option("checkpointLocation", f"{path}/checkpoint")
+                             .trigger(availableNow=True).start())
+    rows = spark.read.schema(parsed.schema).parquet(f"{path}/out").count()
+    dropped(replay, path)
+    return spark.createDataFrame(
+        [(found["num_lines"], found["num_parse_errors"], rows)],
+        "num_lines bigint, num_parse_errors bigint, num_rows bigint")
