@@ -114,3 +114,11 @@ def test_payloads_can_be_attached(spark):
     df = spark.createDataFrame(rows, RECORD)
     got = {r.record_id: r.payload for r in attach_payloads(resolve_revisits(df), df).collect()}
     assert got == {"v": "body", "w": None}
+
+
+def test_payloads_of_responses_of_one_id(spark):
+    rows = [response("r", "http://a.com/", 0, TAG, "zzz"), response("r", "http://b.com/", 0, TAG, "aaa"),
+            revisit("v", "http://a.com/", 1, TAG), revisit("w", "http://b.com/", 1, TAG)]
+    df = spark.createDataFrame(rows, RECORD)
+    got = {r.record_id: r.payload for r in attach_payloads(resolve_revisits(df), df).collect()}
+    assert got == {"v": "zzz", "w": "aaa"}

@@ -157,7 +157,11 @@ def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED,
 
 def attach_payloads(resolved: DataFrame, records: DataFrame) -> DataFrame:
     """Resolved rows with the ``payload`` of the response they stand for
-    (null where unresolved): one join on the record id."""
+    (null where unresolved): one join on the record id and the digest, since
+    several responses may have one record id. Equal bodies of one id are one."""
+    body = F.sha2(F.coalesce(F.col("payload"), F.lit("")).cast("binary"), 256)
     bodies = records.where("record_type = 'response' AND record_id IS NOT NULL").groupBy(
-        F.col("record_id").alias("resolved_id")).agg(F.max("payload").alias("payload"))
-    return resolved.drop("payload").join(bodies, "resolved_id", "left")
+        F.col("record_id").alias("resolved_id"), body.alias("payload_sha256")).agg(
+        F.max("payload").alias("payload"))
+    return resolved.drop("payload").join(bodies, ["resolved_id", "payload_sha256"], "left") \
+        .select(*[c for c in resolved.columns if c != "payload"], "payload")
