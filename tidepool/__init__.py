@@ -25,8 +25,11 @@ from tidepool.functions.scalar import (as_float, as_int, as_str, assign_event_ti
                                        format_score, is_end_of_time, key_by, multiply, now_iso,
                                        path_join, random_value, split_tokens, timestamp_text,
                                        value_range, with_event_time)
+from tidepool.functions.rows import flat_map  # noqa: E402,F401
 from tidepool.operators.align import flatten, sync, sync_tagged  # noqa: E402,F401
-from tidepool.operators.completion import job_output, job_output_all_levels  # noqa: E402,F401
+from tidepool.operators.combine import Combiner, combine_by_key  # noqa: E402,F401
+from tidepool.operators.completion import (job_output, job_output_all_levels,  # noqa: E402,F401
+                                           job_output_and_rest, job_output_rows)
 from tidepool.operators.ordered import number_rows, number_sessions  # noqa: E402,F401
 from tidepool.operators.route import (attribute_predicate, count_where,  # noqa: E402,F401
                                       dead_letter, dead_letter_expr, errors, fail_on_value,
@@ -37,4 +40,6 @@ from tidepool.operators.scores import (group_values, merge_sorted,  # noqa: E402
 from tidepool.operators.sessions import (assign_sessions, fixed_windows,  # noqa: E402,F401
                                          session_windows, sessions_with_final,
                                          to_global_window)
+from tidepool.operators.windows import (assign_merged_windows,  # noqa: E402,F401
+                                        merged_windows)
 from tidepool.session import build_session, checkpoint_root  # noqa: E402,F401

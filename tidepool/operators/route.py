@@ -122,6 +122,7 @@ def row_budget_guard(df: DataFrame, limit: int, keys: Sequence[str]) -> DataFram
 # --- retries and dead letters -----------------------------------------------
 
 
+# The defaults (retries, delays, error class) are fixed values.
 def retry_call(fn: Callable, retries: int = 5, initial_delay: float = 0.1,
                max_delay: float = 10.0, retry_on: tuple = (ValueError,)) -> Callable:
     """Wrap ``fn``: on an exception of a ``retry_on`` class call again, up to
