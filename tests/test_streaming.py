@@ -77,13 +77,32 @@ def test_stream_out_of_order_within_lateness(spark):
     assert got == [2, 3]
 
 
-def test_stream_session_totals(spark):
-    st = _stream(spark, _events(spark, "n0 n10 n100 n200 n210 n220"))
+@pytest.mark.parametrize("n_files", [1, 3])
+def test_stream_session_totals(spark, n_files):
+    """One total per key (NULL too), as grouping the batch sessions gives."""
+    e = _events(spark, "n0 n10 n100 n200 n210 n220", key="a").unionByName(
+        _events(spark, "n5 n35 n36", key=None)).unionByName(_events(spark, "n7", key="b"))
+    s = stream_session_totals(_stream(spark, e, n_files), "k", "ts", 30, tiebreak="id",
+                              value=F.col("v"), end_marker=F.col("k") == "__end__")
+    rows = run_to_table(s, "t-totals").collect()
+    assert {r["k"]: tuple(r)[1:] for r in rows} == {
+        "a": (3, 6, 3, 6), None: (2, 3, 2, 3), "b": (1, 1, 1, 1)}
+    assert len(rows) == 3
+
+
+def test_session_totals_of_early_times_and_delayed_watermark(spark):
+    """Times before 1970, where watermarks begin, and a delayed watermark: no
+    session comes too late for the totals."""
+    early = spark.createDataFrame(
+        [("a", dt.datetime(1961, 5, 1, 0, 0, 0, 1), False, 1, 5),
+         ("a", dt.datetime(1961, 5, 1, 0, 0, 29), False, 2, 6),
+         ("a", dt.datetime(2024, 1, 1), False, 3, 7)], SCHEMA)
+    mixed = _events(spark, "n100 n0 n20 n90 n130 n60", key="b")
+    st = _stream(spark, early.unionByName(mixed), 1)
     s = stream_session_totals(st, "k", "ts", 30, tiebreak="id", value=F.col("v"),
-                              end_marker=F.col("k") == "__end__")
-    rows = sorted((r["n_sessions"], r["n_events"], r["longest_session"])
-                  for r in run_to_table(s, "t-totals").collect())
-    assert rows[-1] == (3, 6, 3)
+                              watermark="5 minutes", end_marker=F.col("k") == "__end__")
+    rows = run_to_table(s, "t-totals").collect()
+    assert {r["k"]: tuple(r)[1:] for r in rows} == {"a": (2, 3, 2, 18), "b": (4, 6, 2, 6)}
 
 
 def _kv(spark, rows, vtype="bigint"):

@@ -497,15 +497,12 @@ def q_stream_sessions(spark, sf):
 
 @register_stateful("stream_session_totals")
 def q_stream_session_totals(spark, sf):
-    """Sessions re-grouped per user into running totals; the latest total
-    of each user."""
+    """Sessions re-grouped per user into totals: two stateful operators in a
+    row."""
     events, path = _events_replay(spark, sf)
     s = stream_session_totals(events, "user_id", "ts", SIX_HOURS, tiebreak="event_id",
                               value=_cents(), end_marker=_is_end())
-    t = _drained(s, "stream-session-totals", path)
-    last = F.max_by(F.struct("n_sessions", "n_events", "longest_session", "value_cents"),
-                    "n_sessions")
-    return t.groupBy("user_id").agg(last.alias("t")).select("user_id", "t.*")
+    return _drained(s, "stream-session-totals", path)
 
 
 @register_stateful("stream_sessions_late")

@@ -18,7 +18,15 @@ from tidepool.contracts import require_columns
 from tidepool.operators.completion import GRAPH, JOB, LEVELS, TASK, declared_parts, level_keys
 from tidepool.session import STATE_STORE
 from tidepool.streaming.processors import (LATE_FIELDS, CompletionProcessor, FinalSessionProcessor,
-                                           SessionTotalsProcessor, SyncProcessor)
+                                           SyncProcessor)
+
+# Event time at which the watermark means "end of stream" (an end marker
+# row carries a later time): year 9999, as far as Python datetimes reach.
+END_OF_STREAM_MS = 253370764800000
+SESSION_FIELDS = [
+    T.StructField("session_seq", T.LongType()), T.StructField("session_start_us", T.LongType()),
+    T.StructField("session_end_us", T.LongType()), T.StructField("closed", T.BooleanType()),
+    T.StructField("n_events", T.LongType()), T.StructField("value_cents", T.LongType())]
 
 
 def _need_rocksdb(df: DataFrame) -> None:
@@ -85,10 +93,7 @@ def stream_sessions_with_final(stream: DataFrame, keys: str | Sequence[str], eve
         _tiebreak(tiebreak),
         F.coalesce(value, F.lit(0)).cast("long").alias("ev_v") if value is not None
         else F.lit(0).cast("long").alias("ev_v"))
-    out = T.StructType(_fields(stream, ks) + [
-        T.StructField("session_seq", T.LongType()), T.StructField("session_start_us", T.LongType()),
-        T.StructField("session_end_us", T.LongType()), T.StructField("closed", T.BooleanType()),
-        T.StructField("n_events", T.LongType()), T.StructField("value_cents", T.LongType())])
+    out = T.StructType(_fields(stream, ks) + SESSION_FIELDS)
     if late == "emit":
         for name in LATE_FIELDS:
             out = out.add(name, T.LongType())
@@ -139,11 +144,6 @@ def stream_sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "val
     return stream_sync_tagged(reduce(lambda a, b: a.unionByName(b), parts), n, order, match)
 
 
-# Event time at which the watermark means "end of stream" (an end marker
-# row carries a later time): year 9999, as far as Python datetimes reach.
-END_OF_STREAM_MS = 253370764800000
-
-
 def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
                        order: Sequence[str] = ("arrival_ts", "arrival_id"),
                        match: str = "occurrence", mode: str = "synced",
@@ -243,9 +243,14 @@ def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_ti
                           gap_seconds: float, tiebreak: str | None = None,
                           value: Column | None = None, watermark: str = "0 seconds",
                           end_marker: Column | None = None) -> DataFrame:
-    """Strict gap sessions re-grouped per key into running totals: a row
-    ``(keys..., n_sessions, n_events, longest_session, value_cents)`` each
-    time a session of the key closes."""
+    """Strict gap sessions re-grouped per key in one window over all time: a
+    row ``(keys..., n_sessions, n_events, longest_session, value_cents)`` per
+    key, appended when the watermark passes the end of that window (year 9999),
+    that is with the end-of-stream marker.
+
+    Two stateful operators in a row: the sessions carry their end as event
+    time, so the watermark goes on to a streaming aggregation, whose partial
+    sums are taken before its shuffle."""
     ks = _keys(keys)
     require_columns(stream, *ks, event_time, where="stream_session_totals")
     s = _prepare_event_time(stream, event_time, watermark, end_marker)
@@ -253,13 +258,18 @@ def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_ti
         *ks, F.unix_micros(F.col(event_time)).alias("ev_t"), F.lit(False).alias("ev_final"),
         _tiebreak(tiebreak),
         (F.coalesce(value, F.lit(0)) if value is not None else F.lit(0)).cast("long").alias("ev_v"))
-    out = T.StructType(_fields(stream, ks) + [
-        T.StructField("n_sessions", T.LongType()), T.StructField("n_events", T.LongType()),
-        T.StructField("longest_session", T.LongType()), T.StructField("value_cents", T.LongType())])
+    out = T.StructType(_fields(stream, ks) + SESSION_FIELDS
+                       + [T.StructField("session_end", T.TimestampType())])
     gap_us = int(round(gap_seconds * 1_000_000))
     _need_rocksdb(prepared)
-    return prepared.groupBy(*ks).transformWithState(
-        SessionTotalsProcessor(ks, gap_us), out, "Append", "EventTime")
+    sessions = prepared.groupBy(*ks).transformWithState(
+        FinalSessionProcessor(ks, gap_us, end_time=True), out, "Append", "EventTime",
+        eventTimeColumnName="session_end")
+    all_time = F.window("session_end", f"{END_OF_STREAM_MS} milliseconds")
+    return sessions.groupBy(*ks, all_time.alias("all_time")).agg(
+        F.count(F.lit(1)).alias("n_sessions"), F.sum("n_events").alias("n_events"),
+        F.max("n_events").alias("longest_session"),
+        F.sum("value_cents").alias("value_cents")).drop("all_time")
 
 
 def stream_group_values(stream: DataFrame, keys: str | Sequence[str], value: str) -> DataFrame:

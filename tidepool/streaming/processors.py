@@ -16,6 +16,7 @@ key's share of one batch stays small.
 from __future__ import annotations
 
 import bisect
+import datetime as dt
 import heapq
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _NO_TIMER = -1
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
 def _row(names, values) -> Row:
@@ -85,18 +87,26 @@ class FinalSessionProcessor(StatefulProcessor):
     ``lone_final="close"``: a final that starts a session is a closed
     one-row session. ``"absorb"``: such a session takes every later row of
     the key regardless of gaps until the next final closes it.
+
+    ``end_time`` adds the session's end as a timestamp, ``session_end``: the
+    event time of a stateful operator that follows, in whole milliseconds
+    (rounded up, as timers are). It has to lie after the watermark before:
+    watermarks begin in 1970, so an earlier end is carried as 1 ms later.
     """
 
     def __init__(self, key_cols: list[str], gap_us: int, lone_final: str = "close",
-                 emit_late: bool = False):
+                 emit_late: bool = False, end_time: bool = False):
         if gap_us <= 0:
             raise ValueError("gap must be strictly positive")
         if lone_final not in ("close", "absorb"):
             raise ValueError("lone_final must be 'close' or 'absorb'")
+        if emit_late and end_time:
+            raise ValueError("late rows have no session end")
         self.key_cols = list(key_cols)
         self.gap_us = int(gap_us)
         self.lone_final = lone_final
         self.emit_late = emit_late
+        self.end_time = end_time
         self.names = self.key_cols + ["session_seq", "session_start_us", "session_end_us",
                                       "closed", "n_events", "value_cents"]
 
@@ -154,6 +164,9 @@ class FinalSessionProcessor(StatefulProcessor):
         names, values = self.names, (*key, st.seq, st.start, end_us, closed, st.n, st.v)
         if self.emit_late:
             names, values = names + LATE_FIELDS, (*values, None, None, None, None)
+        if self.end_time:
+            names = names + ["session_end"]
+            values = (*values, _EPOCH + dt.timedelta(milliseconds=max(1, _ms_ceil(end_us))))
         out.append(_row(names, values))
         st.active = False
 
@@ -193,32 +206,6 @@ class FinalSessionProcessor(StatefulProcessor):
         pass
 
 
-class SessionTotalsProcessor(FinalSessionProcessor):
-    """Sessions folded into one running total per key (the sessions of a
-    key re-grouped into one global window). Emits the key's totals each time
-    one of its sessions closes: ``(keys..., n_sessions, n_events,
-    longest_session, value_cents)``; the latest row of a key is its total."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.totals = handle.getValueState("totals", "s long, e long, m long, v long")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        closed = list(super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
-        if not closed:
-            return iter(())
-        t = self.totals.get()
-        s, e, m, v = t if t is not None else (0, 0, 0, 0)
-        out = []
-        names = self.key_cols + ["n_sessions", "n_events", "longest_session", "value_cents"]
-        for r in closed:
-            n_events, cents = r["n_events"], r["value_cents"]
-            s, e, m, v = s + 1, e + n_events, max(m, n_events), v + cents
-            out.append(_row(names, (*key, s, e, m, v)))
-        self.totals.update((s, e, m, v))
-        return iter(out)
-
-
 # --- keyed alignment (arrival order = processing order) ---------------------
 
 
