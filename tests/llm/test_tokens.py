@@ -177,6 +177,16 @@ def test_packing_in_many_groups_and_long_texts(spark, monkeypatch):
                   packed_ids(ODD_TEXTS))
 
 
+def test_packing_with_little_memory_is_the_same(spark):
+    texts = [*ODD_TEXTS, *random_texts(40), *smoke_texts(spark)]
+    docs = documents(spark, texts)
+    rows = packing.pack_documents(docs, PACKED, known_words=50, slice_bytes=2_000).collect()
+    check_packing(rows, packed_ids(texts))
+    pieces = {(r.doc_id, r.start, r.length, r.ids_crc32) for r in rows}
+    assert pieces == {(r.doc_id, r.start, r.length, r.ids_crc32) for r in
+                      packing.pack_documents(docs, PACKED).collect()}
+
+
 def test_null_and_repeated_ids_are_documents_of_their_own(spark):
     rows = packing.pack_documents(documents(spark, ["a b", "a b", "c", None],
                                             ids=[None, None, 5, 5]), PACKED).collect()

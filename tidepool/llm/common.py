@@ -57,9 +57,14 @@ def lean_task(operator: str):
         yield
     finally:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every libc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        release_memory()
+
+
+def release_memory() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every libc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_file(spark: SparkSession, path: str):

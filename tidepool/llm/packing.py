@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import (CodeBook, array_slices, lean_task, per_process, shared_file,
-                                 split_words, written)
+from tidepool.llm.common import (CodeBook, array_slices, lean_task, per_process, release_memory,
+                                 shared_file, split_words, written)
 
 PIECES = ("struct<doc_tokens:bigint,"
           "pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>")
@@ -163,14 +163,17 @@ class WordIds:
 
 
 def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2048,
-              end_id: int = 1) -> Column:
+              end_id: int = 1, known_words: int = KNOWN_WORDS,
+              slice_bytes: int = PACK_SLICE_BYTES) -> Column:
     """A struct column: ``doc_tokens`` and ``pieces`` of every whole text, as
     ids of ``tokenizer`` without added special tokens, then ``end_id``; pieces
     of ``length`` ids and a remainder. Null and empty texts: ``end_id`` only.
 
     White space separates pre-tokens in the vocabularies this serves (their
     normaliser folds it and their pattern drops it), so distinct words are
-    encoded once and their ids put together."""
+    encoded once and their ids put together. A process remembers
+    ``known_words`` of them and has ``slice_bytes`` of text in hand: smaller
+    numbers save memory for time, the result is the same."""
     data, key = shared_file(df.sparkSession, tokenizer)
 
     @F.arrow_udf(PIECES)
@@ -182,13 +185,14 @@ def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2
                 return (results or WordIds()).add(*encoder.encode(
                     [w.decode("utf-8", "surrogatepass") for w in new]))
 
-            book = per_process(("word-ids", key), lambda: CodeBook(encode, KNOWN_WORDS))
+            book = per_process(("word-ids", key, known_words),
+                               lambda: CodeBook(encode, known_words))
             for batch in batches:
                 tokens: list[int] = []
                 starts: list[np.ndarray] = []
                 sizes: list[np.ndarray] = []
                 sums: list[int] = []
-                for _, part in array_slices(batch, PACK_SLICE_BYTES):
+                for _, part in array_slices(batch, slice_bytes):
                     words, counts = split_words(part)
                     rows = book.rows_of_array(words)
                     known = book.results or WordIds()
@@ -206,6 +210,9 @@ def cut_texts(df: DataFrame, tokenizer: str, text: str = "text", length: int = 2
                         starts.append(start)
                         sizes.append(np.minimum(length, len(own) - start))
                         sums += [zlib.crc32(own[s:s + length].tobytes()) for s in start]
+                    del words, rows, size, upto, at, ids
+                    if slice_bytes < PACK_SLICE_BYTES:
+                        release_memory()
                 none = np.zeros(0, np.int64)
                 pieces = pa.StructArray.from_arrays(
                     [pa.array(np.concatenate([none, *starts])),
@@ -285,12 +292,15 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048,
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
-                   capacity: int = 2048, end_id: int = 1) -> DataFrame:
+                   capacity: int = 2048, end_id: int = 1, known_words: int = KNOWN_WORDS,
+                   slice_bytes: int = PACK_SLICE_BYTES) -> DataFrame:
     """Every piece of every document with its place: ``doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset``. Rows with equal or null
-    ``doc_id`` are documents of their own; other columns are not read."""
+    ``doc_id`` are documents of their own; other columns are not read. For
+    ``known_words`` and ``slice_bytes`` see :func:`cut_texts`."""
     cut = docs.select(F.col(doc_id).alias("doc_id"),
-                      cut_texts(docs, tokenizer, text, capacity, end_id).alias("_cut"))
+                      cut_texts(docs, tokenizer, text, capacity, end_id, known_words,
+                                slice_bytes).alias("_cut"))
     pieces = cut.select("doc_id", F.col("_cut.doc_tokens").alias("doc_tokens"),
                         F.inline("_cut.pieces"))
     return pack(pieces, "length", capacity).select(
