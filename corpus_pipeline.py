@@ -71,8 +71,10 @@ def repeated_passages(spark, docs, sf_dir):
 
 
 def packing(spark, docs, sf_dir):
-    """Every piece of every document with its place in a sequence."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Every piece of every document with its place in a sequence. The tasks
+    take less memory and more time than by default: the JVM has grown by then."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"),
+                          known_words=200_000, slice_bytes=1 << 20)
 
 
 STAGES = [
