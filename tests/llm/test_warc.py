@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidepool.llm.warc import RECORD, attach_payloads, canonical_url, resolve_revisits
+from tidepool.llm.warc import (RECORD, _busy_urls, _time_splits, attach_payloads, canonical_url,
+                                resolve_revisits)
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -108,6 +109,33 @@ def test_one_url_with_most_rows(spark):
                for i in range(200))
 
 
+def test_one_url_with_most_rows_at_one_time(spark):
+    rows = [response(f"r{i:04d}", "http://hot.com/", 7, TAG, "p" * i) for i in range(200)]
+    rows += [revisit(f"v{i}", "http://hot.com/", 7, TAG) for i in range(200)]
+    rows += [response("r", "http://hot.com/", 6, TAG, "first"), revisit("u", "http://hot.com/", 6, TAG),
+             revisit("w", "http://hot.com/", 8, TAG)]
+    rows += [response(f"s{i}", f"http://{i}.com/", 7, TAG) for i in range(30)]
+    rows += [revisit(f"t{i}", f"http://{i}.com/", 7 + i % 2, TAG) for i in range(30)]
+    for slices in (None, 1, 2, 9):
+        got = resolved(spark, rows, slices=slices)
+        assert {got[f"v{i}"].resolved_id for i in range(200)} == {"r"}
+        assert got["u"].resolution == "no_response" and got["w"].resolved_id == "r0199"
+        assert all(got[f"t{i}"].resolved_id == (f"s{i}" if i % 2 else None) for i in range(30))
+
+
+def test_slices_follow_the_busy_urls(spark):
+    rows = [(f"{i % 50}.com" if i % 3 else "hot.com", float(i // 2)) for i in range(3_000)]
+    known = spark.createDataFrame(rows, "url_key string, at double")
+    urls, n, total = _busy_urls(known)
+    assert [r.url_key for r in urls.collect()] == ["hot.com"] and (n, total) == (1, 1_000)
+    splits, full = _time_splits(known.where("url_key = 'hot.com'"), 31)
+    times = [t for u, t in rows if u == "hot.com"]
+    held = [sum(a <= t < b for t in times) for a, b in zip(splits, splits[1:])]
+    assert not full and sum(held) == 1_000 and max(held) <= 2 * 1_000 / 31
+    splits, full = _time_splits(known.withColumn("at", F.least("at", F.lit(9.0))), 31)
+    assert full == [9.0] and splits[splits.index(9.0) + 1] == 10.0
+
+
 def test_payloads_can_be_attached(spark):
     rows = [response("r", "http://a.com/", 0, TAG, "body"), revisit("v", "http://a.com/", 1, TAG),
             revisit("w", "http://b.com/", 1, TAG)]

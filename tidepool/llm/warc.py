@@ -9,12 +9,14 @@ ones. DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm.common import written
+from tidepool.llm.common import small, written
 
 # What the operator reads; other columns are ignored.
 RECORD = T.StructType([
@@ -31,8 +33,8 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
              "vary")
 # Query parameters that do not name another page.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=.*)?$"
-# Time slices that one URL's records are dealt over.
-TIME_SLICES = 512
+# Bytes of a row in the table of URLs with very many records, at most about.
+URL_BYTES = 512
 
 
 def canonical_url(url: Column) -> Column:
@@ -82,8 +84,29 @@ def _validated(stored: Column, update: Column) -> Column:
                       _value(stored, "last-modified") == _value(update, "last-modified"))
 
 
+def _busy_urls(known: DataFrame) -> tuple[DataFrame, int, int]:
+    """URLs with more records than the square root of all records, hence
+    fewer URLs than that: their table, its rows, and their records."""
+    counts = written(known.groupBy("url_key").agg(F.count("*").alias("rows")), "urls")
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0]
+    busy = counts.where(F.col("rows") > math.isqrt(total))
+    n, rows = busy.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).head()
+    return busy.select("url_key"), n, rows
+
+
+def _time_splits(busy: DataFrame, slices: int) -> tuple[list[float], list[float]]:
+    """Bounds of ``slices`` time slices with about as many records each, and
+    the starts of slices of one time only. A time that fills a slice and more
+    is a slice of its own (doubles tell whole microseconds apart up to 2^53)."""
+    shares = [i / slices for i in range(1, slices)]
+    bounds = busy.approxQuantile("at", shares, 0.1 / slices) if shares else []
+    full = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b and abs(a) < 2 ** 53})
+    splits = sorted({*bounds, *full, *(t + 1 for t in full)})
+    return [float("-inf"), *(splits or [0.0]), float("inf")], full
+
+
 def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED,
-                     slices: int = TIME_SLICES) -> DataFrame:
+                     slices: int | None = None) -> DataFrame:
     """One row per revisit record: ``record_id, url_key, captured_at,
     resolution, resolved_id, status, headers, payload_sha256, payload_bytes``.
 
@@ -96,9 +119,13 @@ def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED,
     payload is empty. Repeated rows are resolved alike and all stay.
 
     Payloads are digested before anything is shuffled. So that one URL with
-    very many records is not one task, records are dealt by URL and time
-    slice (quantiles of all times); the last response of the slices before
-    is carried in from a table with one row per URL and slice."""
+    very many records is not one task, the records of such URLs are dealt by
+    URL and time slice (quantiles of their times; ``slices`` of them, by
+    default the square root of their number, so that slices and the records
+    of one grow alike); the last response of the slices before is carried in
+    from a table with one row per URL and slice. A time with more records than
+    a slice is a slice by itself: nothing in it is earlier, so its revisits
+    take what is carried in and are never gathered."""
     full = (F.col("record_type") == "response") & (F.col("status") == 200)
     revisit = F.col("record_type") == "revisit"
     read = records.where(full | revisit).select(
@@ -115,10 +142,14 @@ def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED,
                                               "sha256", "bytes")).alias("response")), "captures")
     usable = F.col("url_key").isNotNull() & F.col("us").isNotNull()
     known = narrow.where(usable)
-    shares = [i / slices for i in range(1, slices)]
-    bounds = known.approxQuantile("at", shares, 0.1 / slices) if shares else []
-    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="at", outputCol="slice").transform(known)
+    urls, n_urls, rows = _busy_urls(known)
+    marked = known.join(small(urls.withColumn("busy", F.lit(True)), URL_BYTES, n_urls),
+                        "url_key", "left")
+    splits, full = _time_splits(marked.where("busy"), slices or math.isqrt(rows) or 1)
+    by_time = Bucketizer(splits=splits, inputCol="at", outputCol="time_slice")
+    dealt = by_time.transform(marked).withColumn(
+        "slice", F.when(F.col("busy"), F.col("time_slice")).otherwise(-1.0))
+    one_time = F.col("slice").isin([float(splits.index(t)) for t in full])
 
     last = dealt.where("NOT is_revisit").groupBy("url_key", "slice").agg(
         F.max("response").alias("response"))
@@ -132,10 +163,15 @@ def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED,
 
     within = Window.partitionBy("url_key", "slice").orderBy("us").rangeBetween(
         Window.unboundedPreceding, -1)
-    found = dealt.withColumn("own", F.max("response").over(within)).where("is_revisit")
+    found = dealt.where(~one_time).withColumn("own", F.max("response").over(within)) \
+        .where("is_revisit")
     stored = F.coalesce("own", "carried")
     joined = found.join(carried, ["url_key", "slice"], "left").select(
         "record_id", "url_key", "captured_at", "headers", stored.alias("stored"))
+    if full:
+        joined = joined.unionByName(dealt.where(one_time & F.col("is_revisit")).join(
+            carried, ["url_key", "slice"], "left").select(
+            "record_id", "url_key", "captured_at", "headers", F.col("carried").alias("stored")))
     lost = narrow.where(F.col("is_revisit") & ~usable).select(
         "record_id", "url_key", "captured_at", "headers",
         F.lit(None).cast(joined.schema["stored"].dataType).alias("stored"))
