@@ -103,6 +103,25 @@ def test_equal_job_ids_of_two_graphs(spark):
     assert job_output(one, "jobid", arrival=ARR, scope="jobid").count() == 1
 
 
+def test_levels_of_one_feed_equal_each_level(spark):
+    p = work_payloads(spark, graphs=3, jobs=2, tasks=3, outputs=1, seed=2)
+    p = p.where(~((F.col("graphid") == 0) & (F.col("jobid") == 1) & (F.col("taskid") == 2)))
+    p = p.unionByName(p.where("graphid = 2").withColumn("arrival", F.col("arrival") + 1000))
+    # a key whose payloads declare changing numbers
+    p = p.withColumn("jobtasks", F.when(
+        (F.col("graphid") == 1) & (F.col("taskid") == 0),
+        F.transform_values("jobtasks", lambda _, n: n - 1)).otherwise(F.col("jobtasks")))
+    for scope in ("graph", "jobid"):
+        got = job_output_all_levels(p, ARR, scope=scope).collect()
+        for level in ("jobid", "graphid"):
+            alone = job_output(p, level, arrival=ARR, scope=scope)
+            keys = [c for c in ("graphid", "jobid", "fire", "n_payloads", "outputs")
+                    if c in alone.columns]
+            rows = sorted(tuple(map(str, r)) for r in alone.select(*keys).collect())
+            assert rows and rows == sorted(tuple(str(r[c]) for c in keys)
+                                           for r in got if r["level"] == level)
+
+
 def test_level_validation(spark):
     p = work_payloads(spark, 1, 1, 1, 1)
     with pytest.raises(ValueError):

@@ -81,19 +81,41 @@ def _firings(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     return jumps
 
 
-def _numbered_payloads(p: DataFrame, keys: list[str], arrival: Sequence[str],
+_DECLARED = {"_emin": F.min, "_emax": F.max, "_known": F.count}
+
+
+def _counted(payloads: DataFrame, levels: Sequence[str], scope: str) -> dict[str, DataFrame]:
+    """Per level a written table ``(keys..., _n, _emin, _emax, _known)``: the
+    payloads of each key, the least and greatest number they declare and how
+    many declare one. The payloads are read once, counted by the keys of all
+    levels; a level with fewer keys adds these counts up."""
+    every = list(dict.fromkeys(k for level in levels for k in level_keys(level, scope)))
+    p = payloads.select(*every, *[declared_parts(level).alias(f"_{level}") for level in levels])
+    finest = written(p.groupBy(*every).agg(F.count(F.lit(1)).alias("_n"), *[
+        f(f"_{level}").alias(name + level) for level in levels for name, f in _DECLARED.items()]),
+        "completion-counts")
+    out = {}
+    for level in levels:
+        keys = level_keys(level, scope)
+        own = finest.select(*keys, "_n", *[F.col(name + level).alias(name) for name in _DECLARED])
+        out[level] = own if set(keys) == set(every) else written(own.groupBy(*keys).agg(
+            F.sum("_n").alias("_n"), F.min("_emin").alias("_emin"),
+            F.max("_emax").alias("_emax"), F.sum("_known").alias("_known")), "completion-counts")
+    return out
+
+
+def _numbered_payloads(p: DataFrame, of_key: DataFrame, keys: list[str], arrival: Sequence[str],
                        partitions: int | None) -> tuple[DataFrame, DataFrame]:
     """``p`` (with ``_expected``), numbered per key as ``_rn``, in two parts
     with ``fire``, ``place`` and ``n_payloads`` (all NULL where no firing is
-    complete): keys whose payloads declare one number, and the others."""
-    of_key = p.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_expected").alias("_emin"),
-        F.max("_expected").alias("_emax"), F.count("_expected").alias("_known"))
+    complete): keys whose payloads declare one number, and the others.
+    ``of_key`` is the level's table of :func:`_counted`."""
     names = [f"_k{i}" for i in range(len(keys))]
     renamed = of_key.toDF(*names, "_n", "_emin", "_emax", "_known")
-    numbered = number_rows(p, keys, list(arrival), out="_rn", partitions=partitions) \
-        .join(renamed, _same(keys, names))
-    one = (F.col("_emin") == F.col("_emax")) & (F.col("_known") == F.col("_n"))
+    numbered = number_rows(p, keys, list(arrival), out="_rn", partitions=partitions,
+                           counts=of_key).join(renamed, _same(keys, names))
+    one = F.coalesce((F.col("_emin") == F.col("_emax")) & (F.col("_known") == F.col("_n")),
+                     F.lit(False))
     size = F.when(F.col("_emax") > 0, F.col("_emax"))
     fire = F.floor((F.col("_rn") - 1) / size).cast("bigint") + 1
     done = fire * size <= F.col("_n")
@@ -101,11 +123,9 @@ def _numbered_payloads(p: DataFrame, keys: list[str], arrival: Sequence[str],
         *p.columns, "_rn", F.when(done, fire).alias("fire"),
         F.when(done, F.col("_rn") - (fire - 1) * size).alias("place"),
         F.when(done, size).alias("n_payloads"))
-    varied = written(numbered.where(~F.coalesce(one, F.lit(False))).select(*p.columns, "_rn"),
-                     "completion-varied")
-    if varied.isEmpty():
-        dropped(varied)
+    if of_key.where(~one).isEmpty():
         return steady, steady.limit(0)
+    varied = written(numbered.where(~one).select(*p.columns, "_rn"), "completion-varied")
     start = F.col("_rn") - F.col("_expected")
     links = written(varied.where((F.col("_expected") > 0) & (start >= 0))
                     .groupBy(*keys, start.alias("_start")).agg(F.min("_rn").alias("_end")),
@@ -123,7 +143,8 @@ def _numbered_payloads(p: DataFrame, keys: list[str], arrival: Sequence[str],
 
 
 def job_output_rows(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
-                    scope: str = "graph", partitions: int | None = None) -> DataFrame:
+                    scope: str = "graph", partitions: int | None = None,
+                    counts: DataFrame | None = None) -> DataFrame:
     """The payloads of complete firings, ``(keys..., fire, place, n_payloads,
     output)``: ``fire`` counts the firings of the key, ``place`` the payloads
     of a firing from 1. Nothing is gathered: payloads are numbered per key
@@ -133,12 +154,15 @@ def job_output_rows(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[s
     length. Where the numbers of a key change, a count that begins after row s
     is reached at the first row r that declares r - s; these links are
     followed from row 0 by pointer doubling, in joins of written tables that
-    split a hot key."""
+    split a hot key. ``counts`` is the level's table of :func:`_counted`, if
+    it is at hand."""
     keys = level_keys(level, scope)
     # only what the count and the output need travels through the scan
     p = payloads.select(*keys, *[c for c in arrival if c not in keys],
                         declared_parts(level).alias("_expected"), "output")
-    steady, varied = _numbered_payloads(p, keys, arrival, partitions)
+    if counts is None:
+        counts = _counted(payloads, [level], scope)[level]
+    steady, varied = _numbered_payloads(p, counts, keys, arrival, partitions)
     return steady.unionByName(varied).where(F.col("fire").isNotNull()).select(
         *keys, "fire", "place", "n_payloads", "output")
 
@@ -159,14 +183,16 @@ def job_output_and_rest(payloads: DataFrame, level: str = GRAPH, arrival: Sequen
     firing: those that payloads still to come may complete."""
     keys = level_keys(level, scope)
     p = payloads.withColumn("_expected", declared_parts(level))
-    steady, varied = _numbered_payloads(p, keys, arrival, partitions)
+    of_key = _counted(payloads, [level], scope)[level]
+    steady, varied = _numbered_payloads(p, of_key, keys, arrival, partitions)
     rows = written(steady.unionByName(varied), "completion-rows")
     done = F.col("fire").isNotNull()
     return _gathered(rows.where(done), keys), rows.where(~done).select(*payloads.columns)
 
 
 def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
-               scope: str = "graph", partitions: int | None = None) -> DataFrame:
+               scope: str = "graph", partitions: int | None = None,
+               counts: DataFrame | None = None) -> DataFrame:
     """Outputs per completed task / job / graph.
 
     ``taskid``: each payload's outputs as they are, ``(graphid, jobid,
@@ -188,18 +214,20 @@ def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] =
     if not arrival:
         raise ValueError("stateful levels need an arrival order")
     keys = level_keys(level, scope)
-    rows = job_output_rows(payloads, level, arrival, scope, partitions)
+    rows = job_output_rows(payloads, level, arrival, scope, partitions, counts)
     return _gathered(rows, keys)
 
 
 def job_output_all_levels(payloads: DataFrame, arrival: Sequence[str],
                           scope: str = "graph", partitions: int | None = None) -> DataFrame:
     """Task, job and graph outputs of one feed, as one DataFrame with a
-    ``level`` column (absent keys NULL; ``fire`` NULL for tasks). Each level
-    plans the feed anew and reads only the columns it uses."""
+    ``level`` column (absent keys NULL; ``fire`` NULL for tasks). The keys of
+    all levels are counted in one pass; each level then reads the feed for
+    the columns it uses."""
+    counts = _counted(payloads, STATEFUL, scope)
     parts = []
     for level in (TASK, JOB, GRAPH):
-        out = job_output(payloads, level, arrival, scope, partitions)
+        out = job_output(payloads, level, arrival, scope, partitions, counts.get(level))
         cols = []
         for c, t in ((GRAPH, "bigint"), (JOB, "bigint"), (TASK, "bigint"), ("fire", "bigint"),
                      ("n_payloads", "bigint")):

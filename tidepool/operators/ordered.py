@@ -257,10 +257,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
 def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
                   gap_us: int | None, final: Column | None,
                   partitions: int | None, hot_key_rows: int | None = None,
-                  cluster_by: Sequence[str] | None = None) -> DataFrame:
+                  cluster_by: Sequence[str] | None = None,
+                  counts: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` plus ``_tp_rn`` / ``_tp_seq`` numbered per key.
 
-    Keys are counted first. The rows of keys up to the hot-key threshold
+    Keys are counted first, unless ``counts`` has their rows as ``_n``. The rows of keys up to the hot-key threshold
     (``tidepool.hotKeyRows``, default one million rows) fit one task per key
     and take a plain window; the rows of the other keys - only these - go
     through the range-partitioned scan, which cuts a key into many tasks.
@@ -282,10 +283,14 @@ def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
     if threshold < 1:  # every key counts as hot
         out = _range_scan(work, keys, sort_cols, gap_us, with_final, partitions)
         return out.select(*df.columns, _RN, _SEQ)
-    hot = hot_keys(df, cluster or keys, threshold)
+    if counts is None:
+        hot = hot_keys(df, cluster or keys, threshold)
+    else:
+        hot = counts.where(F.col("_n") > F.lit(threshold)).select(*(cluster or keys))
     n_hot = hot.count()
     if not n_hot:
-        dropped(hot)
+        if counts is None:
+            dropped(hot)
         return _window_scan(work, keys, sort_cols, gap_us, cluster).select(
             *df.columns, _RN, _SEQ)
     names = [f"_tp_h{i}" for i in range(len(hot.columns))]
@@ -302,14 +307,16 @@ def _ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence,
                 out: str = "rn", partitions: int | None = None,
                 hot_key_rows: int | None = None,
-                cluster_by: Sequence[str] | None = None) -> DataFrame:
+                cluster_by: Sequence[str] | None = None,
+                counts: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = 1, 2, 3, ... per key in ``order`` (the numbers of
     ``row_number() over (partition by keys order by order)``), without
     holding a key in one task. ``order`` should be a total order (end it
-    with a unique column) for repeatable numbers."""
+    with a unique column) for repeatable numbers. ``counts``, a written table
+    ``(keys or cluster_by..., _n)`` of rows per key, saves counting them."""
     order = _as_cols(order)
     scanned = _ordered_scan(df, keys, order, None, None, partitions, hot_key_rows,
-                            cluster_by)
+                            cluster_by, counts)
     return scanned.select(*df.columns, F.col(_RN).alias(out))
 
 
