@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -260,12 +261,22 @@ def encode_ids(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> C
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocab = per_process(("vocabulary", key), lambda: Vocabulary(data.value))
-        rx = per_process(("pattern", pattern), lambda: regex.compile(pattern))
-        for batch in batches:
-            out = [[i for ids in vocab.encode([_as_latin1(p) for p in rx.findall(t or "")])
-                    for i in ids] for t in batch.to_pylist()]
-            yield pa.array(out, type=pa.list_(pa.int32()))
+        with lean_task("byte-bpe"):
+            vocab = per_process(("vocabulary", key), lambda: Vocabulary(data.value))
+            rx = per_process(("pattern", pattern), lambda: regex.compile(pattern))
+            for batch in batches:
+                total, found = np.zeros(len(batch), dtype=np.int64), [np.zeros(0, np.int32)]
+                segments = ((i, t) for i, t in texts_in(batch) if t)
+                for pieces, owners, lengths in piece_batches(segments, rx.findall,
+                                                             lambda t: rx.finditer(t)):
+                    if not pieces:
+                        continue
+                    ids = vocab.encode([_as_latin1(p) for p in pieces])
+                    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+                    np.add.at(total, owners, sums_by_length(counts, lengths))
+                    found.append(np.fromiter(chain.from_iterable(ids), np.int32, counts.sum()))
+                ends = np.concatenate([[0], np.cumsum(total)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
 
     return ids_of.asNondeterministic()(F.col(text))
 
@@ -277,10 +288,11 @@ def decode_ids(df: DataFrame, ranks: str, ids: str = "ids") -> Column:
 
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocab = per_process(("vocabulary", key), lambda: Vocabulary(data.value))
-        for batch in batches:
-            yield pa.array([None if x is None else vocab.decode(x) for x in batch.to_pylist()],
-                           type=pa.binary())
+        with lean_task("byte-bpe"):
+            vocab = per_process(("vocabulary", key), lambda: Vocabulary(data.value))
+            for batch in batches:  # row by row: the ids of one are Python objects at a time
+                yield pa.array([vocab.decode(x.as_py()) if x.is_valid else None for x in batch],
+                               type=pa.binary())
 
     return bytes_of.asNondeterministic()(F.col(ids))
 
