@@ -3,6 +3,10 @@
 Each builder takes a streaming DataFrame and returns one; start it with any
 sink. Keyed state lives in the state store and is checkpointed with the
 query, so a restarted query (or a lost executor) resumes where it stopped.
+Keys are dealt to ``groups`` key groups (see ``key_groups``): one call of
+Python takes the rows of a group, with the states of its keys, so these
+should fit a task; take more groups for very many keys. A query keeps the
+number of groups it was started with.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import types as T
 from tidepool.contracts import require_columns
 from tidepool.operators.completion import GRAPH, JOB, LEVELS, TASK, declared_parts, level_keys
 from tidepool.session import STATE_STORE
+from tidepool.streaming.key_groups import GROUP, KEY_GROUPS, KeyGroups, grouped_rows
 from tidepool.streaming.processors import (LATE_FIELDS, CompletionProcessor, FinalSessionProcessor,
                                            SyncProcessor)
 
@@ -47,6 +52,28 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
 
+def _by_key(rows: DataFrame, keys: Sequence[str], processor, out: T.StructType, time_mode: str,
+            groups: int, event_time: str = "") -> DataFrame:
+    """``processor`` of one key over ``rows``, for all keys of a key group at
+    once (see ``KeyGroups``)."""
+    _need_rocksdb(rows)
+    if groups < 1:
+        raise ValueError("need at least one key group")
+    dealt, packed = grouped_rows(rows, keys, groups)
+    return dealt.groupBy(GROUP).transformWithState(
+        KeyGroups(processor, keys, packed), out, "Append", time_mode,
+        eventTimeColumnName=event_time)
+
+
+def _arrival(rows: DataFrame, order: Sequence[str]) -> list[Column]:
+    """The order columns as arr0, arr1, ...; times as microseconds. (Names with
+    a leading underscore arrived renamed _1, _2, ... in the Python worker.)"""
+    times = (T.TimestampType, T.TimestampNTZType)
+    return [(F.unix_micros(F.col(c).cast("timestamp"))
+             if isinstance(rows.schema[c].dataType, times) else F.col(c)).alias(f"arr{i}")
+            for i, c in enumerate(order)]
+
+
 def _prepare_event_time(stream: DataFrame, event_time: str, watermark: str,
                         end_marker: Column | None) -> DataFrame:
     et = F.col(event_time).cast("timestamp")
@@ -68,7 +95,7 @@ def stream_sessions_with_final(stream: DataFrame, keys: str | Sequence[str], eve
                                tiebreak: str | None = None, value: Column | None = None,
                                lone_final: str = "close", watermark: str = "0 seconds",
                                end_marker: Column | None = None,
-                               late: str = "drop") -> DataFrame:
+                               late: str = "drop", groups: int = KEY_GROUPS) -> DataFrame:
     """Sessions per key on a stream (see ``FinalSessionProcessor``): rows
     ``(keys..., session_seq, session_start_us, session_end_us, closed,
     n_events, value_cents)`` appended as sessions close. Without
@@ -98,9 +125,8 @@ def stream_sessions_with_final(stream: DataFrame, keys: str | Sequence[str], eve
         for name in LATE_FIELDS:
             out = out.add(name, T.LongType())
     gap_us = int(round(gap_seconds * 1_000_000))
-    _need_rocksdb(prepared)
-    return prepared.groupBy(*ks).transformWithState(
-        FinalSessionProcessor(ks, gap_us, lone_final, late == "emit"), out, "Append", "EventTime")
+    return _by_key(prepared, ks, FinalSessionProcessor(ks, gap_us, lone_final, late == "emit"),
+                   out, "EventTime", groups)
 
 
 def _tiebreak(name: str | None) -> Column:
@@ -125,7 +151,7 @@ def late_only(sessions: DataFrame) -> DataFrame:
 
 def stream_sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "value",
                 order: Sequence[str] = ("arrival_ts", "arrival_id"),
-                match: str = "occurrence") -> DataFrame:
+                match: str = "occurrence", groups: int = KEY_GROUPS) -> DataFrame:
     """Keyed alignment of several streams; arrival order is processing order
     (within a micro-batch, ``order``). occurrence: ``(key, occurrence,
     value_0..)``; arrival: ``(key, group, srcs, items)``. When the streams
@@ -141,13 +167,15 @@ def stream_sync(inputs: Sequence[DataFrame], key: str = "key", value: str = "val
                 for j in range(n)]
         parts.append(d.select(F.col(key).alias("key"), F.lit(i).alias("src"), *vals,
                               *[F.col(c) for c in order]))
-    return stream_sync_tagged(reduce(lambda a, b: a.unionByName(b), parts), n, order, match)
+    return stream_sync_tagged(reduce(lambda a, b: a.unionByName(b), parts), n, order, match,
+                              groups=groups)
 
 
 def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
                        order: Sequence[str] = ("arrival_ts", "arrival_id"),
                        match: str = "occurrence", mode: str = "synced",
-                       end_marker: Column | None = None) -> DataFrame:
+                       end_marker: Column | None = None,
+                       groups: int = KEY_GROUPS) -> DataFrame:
     """:func:`stream_sync` over one stream carrying all inputs: ``key``,
     ``src``, ``value_0 .. value_{n-1}`` and the ``order`` columns.
 
@@ -166,12 +194,7 @@ def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
     if mode == "longest":
         tagged = _prepare_event_time(tagged, order[0], "0 seconds", end_marker)
     types = [tagged.schema[v].dataType for v in vals]
-    # all order columns travel as arr0, arr1, ...; times as microseconds
-    acols = [F.unix_micros(F.col(c).cast("timestamp")) if isinstance(
-        tagged.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(c)
-        for c in order]
-    u = tagged.select("key", F.col("src").cast("int").alias("src"),
-                      *[c.alias(f"arr{i}") for i, c in enumerate(acols)], *vals)
+    u = tagged.select("key", F.col("src").cast("int").alias("src"), *_arrival(tagged, order), *vals)
     order_ddl = [u.schema[f"arr{i}"].dataType.simpleString() for i in range(len(order))]
     vfields = [T.StructField(v, t) for v, t in zip(vals, types)]
     kf = T.StructField("key", tagged.schema["key"].dataType)
@@ -183,19 +206,17 @@ def stream_sync_tagged(tagged: DataFrame, n_inputs: int,
                             T.StructField("srcs", T.StringType()),
                             T.StructField("items", T.ArrayType(item))])
     ddl = [t.simpleString() for t in types]
-    _need_rocksdb(u)
     if mode == "longest":
-        return u.groupBy("key").transformWithState(
-            SyncProcessor(n, ddl, order_ddl, match, flush_at_ms=END_OF_STREAM_MS), out, "Append",
-            "EventTime")
-    return u.groupBy("key").transformWithState(
-        SyncProcessor(n, ddl, order_ddl, match), out, "Append", "None")
+        return _by_key(u, ["key"], SyncProcessor(
+            n, ddl, order_ddl, match, flush_at_ms=END_OF_STREAM_MS), out, "EventTime", groups)
+    return _by_key(u, ["key"], SyncProcessor(n, ddl, order_ddl, match), out, "None", groups)
 
 
 def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
                       scope: str = "graph", idle_seconds: float | None = None,
                       event_time: str | None = None, watermark: str = "0 seconds",
-                      end_marker: Column | None = None) -> DataFrame:
+                      end_marker: Column | None = None,
+                      groups: int = KEY_GROUPS) -> DataFrame:
     """Completion on a stream: per key, every time the payload count reaches
     the declared number, ``(keys..., fire, n_payloads, outputs)``. Task level
     is stateless.
@@ -219,30 +240,26 @@ def stream_job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence
             raise ValueError("idle_seconds needs an event_time column")
         payloads = _prepare_event_time(payloads, event_time, watermark, end_marker)
         timed = [F.unix_micros(F.col(event_time)).alias("ev_t")]
-    # the arrival columns travel as arr0, arr1, ...; the processor sorts on them
-    # (names with a leading underscore arrived renamed _1, _2, ... in the
-    # Python worker)
-    acols = [F.col(c).alias(f"arr{i}") for i, c in enumerate(arrival)]
-    prepared = payloads.select(*ks, *acols, *timed, declared_parts(level).alias("expected"),
+    # the processor sorts on the arrival columns
+    prepared = payloads.select(*ks, *_arrival(payloads, arrival), *timed, declared_parts(level).alias("expected"),
                                "output")
     out = T.StructType(_fields(payloads, ks) + [
         T.StructField("fire", T.LongType()), T.StructField("n_payloads", T.LongType()),
         T.StructField("outputs", T.ArrayType(T.StringType()))])
-    _need_rocksdb(prepared)
     if not timed:
-        return prepared.groupBy(*ks).transformWithState(
-            CompletionProcessor(ks, len(arrival)), out, "Append", "None")
+        return _by_key(prepared, ks, CompletionProcessor(ks, len(arrival)), out, "None", groups)
     out = out.add("complete", T.BooleanType()).add("first_us", T.LongType()) \
              .add("last_us", T.LongType())
     idle_us = int(round(idle_seconds * 1_000_000))
-    return prepared.groupBy(*ks).transformWithState(
-        CompletionProcessor(ks, len(arrival), idle_us), out, "Append", "EventTime")
+    return _by_key(prepared, ks, CompletionProcessor(ks, len(arrival), idle_us), out,
+                   "EventTime", groups)
 
 
 def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_time: str,
                           gap_seconds: float, tiebreak: str | None = None,
                           value: Column | None = None, watermark: str = "0 seconds",
-                          end_marker: Column | None = None) -> DataFrame:
+                          end_marker: Column | None = None,
+                          groups: int = KEY_GROUPS) -> DataFrame:
     """Strict gap sessions re-grouped per key in one window over all time: a
     row ``(keys..., n_sessions, n_events, longest_session, value_cents)`` per
     key, appended when the watermark passes the end of that window (year 9999),
@@ -261,10 +278,8 @@ def stream_session_totals(stream: DataFrame, keys: str | Sequence[str], event_ti
     out = T.StructType(_fields(stream, ks) + SESSION_FIELDS
                        + [T.StructField("session_end", T.TimestampType())])
     gap_us = int(round(gap_seconds * 1_000_000))
-    _need_rocksdb(prepared)
-    sessions = prepared.groupBy(*ks).transformWithState(
-        FinalSessionProcessor(ks, gap_us, end_time=True), out, "Append", "EventTime",
-        eventTimeColumnName="session_end")
+    sessions = _by_key(prepared, ks, FinalSessionProcessor(ks, gap_us, end_time=True), out,
+                       "EventTime", groups, "session_end")
     all_time = F.window("session_end", f"{END_OF_STREAM_MS} milliseconds")
     return sessions.groupBy(*ks, all_time.alias("all_time")).agg(
         F.count(F.lit(1)).alias("n_sessions"), F.sum("n_events").alias("n_events"),

@@ -1,13 +1,14 @@
 """Keyed stateful processors for Structured Streaming (``transformWithState``).
 
 Each processor keeps a small per-key state in the state store (RocksDB) and
-sees one key's new rows per micro-batch; rows are put in order inside the
-key before they are applied. The per-row code here is the fold of one key's
+sees one key's new rows per micro-batch, as tuples with ``__fields__`` or
+Rows; rows are put in order inside the key before they are applied. The per-row code here is the fold of one key's
 rows; grouping, shuffling, checkpointing and recovery are Spark's. The Row
 interface is used (not the pandas one): a key's rows per micro-batch are
 few, and per-key pandas frames cost several times more than the fold.
-Every state access is a round trip to the state store, so each processor
-reads and writes its state once per key and call where it can. A key's new
+Every state access would be a round trip to the state store: the streaming
+operators run a processor for groups of keys (``key_groups``), which read and
+write the states of their keys at once. A key's new
 rows of one micro-batch are held in memory together; bound micro-batches on
 the source (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``) so that a hot
 key's share of one batch stays small.
@@ -141,8 +142,12 @@ class FinalSessionProcessor(StatefulProcessor):
             yield heapq.heappop(heap)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        if not rows:
+            return iter(())
         st = _Session(self.session.get())
-        own = sorted((r["ev_t"], bool(r["ev_final"]), r["ev_tb"], r["ev_v"]) for r in rows)
+        at, af, ab, av = (rows[0].__fields__.index(c) for c in ("ev_t", "ev_final", "ev_tb", "ev_v"))
+        own = sorted((r[at], bool(r[af]), r[ab], r[av]) for r in rows)
         cut = bisect.bisect_left(own, st.done, key=lambda r: r[0])
         late, new = own[:cut], own[cut:]
         for i in range(0, len(new), BUCKET_ROWS):
@@ -262,8 +267,12 @@ class SyncProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         vals = [f"value_{i}" for i in range(self.n)]
         arr = [f"arr{i}" for i in range(len(self.order_ddl))]
-        new = sorted(((r["src"], *[r[c] for c in arr], *[r[c] for c in vals]) for r in rows),
-                     key=self._order)
+        rows = list(rows)
+        if not rows:
+            return iter(())
+        # positions, not names: see CompletionProcessor
+        at = [rows[0].__fields__.index(c) for c in ("src", *arr, *vals)]
+        new = sorted((tuple([r[i] for i in at]) for r in rows), key=self._order)
         e = self.emitted.get()
         done, held, queued = (e[0], e[1], list(e[2])) if e is not None else (0, 0, [0] * self.n)
         for r in new:
