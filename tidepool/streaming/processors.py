@@ -146,7 +146,9 @@ class FinalSessionProcessor(StatefulProcessor):
         if not rows:
             return iter(())
         st = _Session(self.session.get())
-        at, af, ab, av = (rows[0].__fields__.index(c) for c in ("ev_t", "ev_final", "ev_tb", "ev_v"))
+        names = ("ev_t", "ev_final", "ev_tb", "ev_v")
+        fields = getattr(rows[0], "__fields__", None)  # none: rows are mappings
+        at, af, ab, av = map(fields.index, names) if fields else names
         own = sorted((r[at], bool(r[af]), r[ab], r[av]) for r in rows)
         cut = bisect.bisect_left(own, st.done, key=lambda r: r[0])
         late, new = own[:cut], own[cut:]
