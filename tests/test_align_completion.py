@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators.align import flatten, sync
 from tidepool.operators.completion import job_output, job_output_all_levels
+from tidepool.session import session_settings
 from tidepool.sources.payloads import work_payloads
 
 
@@ -122,6 +123,25 @@ def test_levels_of_one_feed_equal_each_level(spark):
                                            for r in got if r["level"] == level)
 
 
+def test_levels_share_one_exchange_and_join_no_counts(spark):
+    p = work_payloads(spark, graphs=4, jobs=2, tasks=3, outputs=2, seed=6)
+    p = p.where(~((F.col("graphid") == 0) & (F.col("taskid") == 2)))
+    p = p.unionByName(p.where("graphid = 3").withColumn("arrival", F.col("arrival") + 1000))
+    changed = F.when((F.col("graphid") == 1) & (F.col("taskid") == 0),
+                     F.transform_values("jobtasks", lambda _, n: n - 1)).otherwise(F.col("jobtasks"))
+    no_broadcast = {"spark.sql.adaptive.enabled": "false",
+                    "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for rows, apart in ((p, False), (p.withColumn("jobtasks", changed), True)):
+        slow = sorted(map(str, job_output_all_levels(rows, ARR).collect()))  # hot keys from 3 rows on
+        with session_settings(spark, {"tidepool.hotKeyRows": "1000", **no_broadcast}):
+            got = job_output_all_levels(rows, ARR)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, got.collect())) == slow and slow
+        if not apart:
+            assert plan.count("Exchange hashpartitioning") == 1
+            assert "completion-counts" not in plan
+
+
 def test_level_validation(spark):
     p = work_payloads(spark, 1, 1, 1, 1)
     with pytest.raises(ValueError):

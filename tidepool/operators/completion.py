@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.contracts import require_columns
-from tidepool.operators.ordered import number_rows
+from tidepool.operators.ordered import EDGE_BROADCAST_MAX_ROWS, hot_key_threshold, number_rows
 from tidepool.session import dropped, written
 
 GRAPH, JOB, TASK = "graphid", "jobid", "taskid"
@@ -104,26 +104,75 @@ def _counted(payloads: DataFrame, levels: Sequence[str], scope: str) -> dict[str
     return out
 
 
+def _one_number() -> F.Column:
+    """Of a key's counts: whether all its payloads declare one number."""
+    return F.coalesce((F.col("_emin") == F.col("_emax")) & (F.col("_known") == F.col("_n")),
+                      F.lit(False))
+
+
+def _apart(of_key: DataFrame) -> DataFrame:
+    """The keys of a table of :func:`_counted` that a plain window cannot
+    take: too many payloads for one task, or changing numbers."""
+    hot = F.col("_n") > F.lit(hot_key_threshold(of_key.sparkSession))
+    return of_key.where(hot | ~_one_number())
+
+
+def _without(rows: DataFrame, keys: Sequence[str], of_key: DataFrame
+             ) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` of the keys not in ``of_key``, and of the keys in it (None if
+    it is empty). A few keys are broadcast."""
+    n = of_key.count()
+    if not n:
+        return rows, None
+    names = [f"_a{i}" for i in range(len(keys))]
+    some = of_key.select(*keys).toDF(*names)
+    if n <= EDGE_BROADCAST_MAX_ROWS:
+        some = F.broadcast(some)
+    return (rows.join(some, _same(keys, names), "left_anti"),
+            rows.join(some, _same(keys, names), "left_semi"))
+
+
+def _runs(size: F.Column) -> list[F.Column]:
+    """``fire``, ``place`` and ``n_payloads`` from a payload's number ``_rn``
+    among the ``_n`` of its key, where all of them declare ``size``."""
+    size = F.when(size > 0, size)
+    fire = F.floor((F.col("_rn") - 1) / size).cast("bigint") + 1
+    done = fire * size <= F.col("_n")
+    return [F.when(done, fire).alias("fire"),
+            F.when(done, F.col("_rn") - (fire - 1) * size).alias("place"),
+            F.when(done, size).alias("n_payloads")]
+
+
+def _windowed(p: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+    """``p`` with its numbers ``_rn`` and ``_n`` per key, for keys that fit a
+    task: rows are not joined with the counts of their keys, so they move
+    once at most."""
+    w = Window.partitionBy(*keys)
+    return p.select("*", F.row_number().over(w.orderBy(*arrival)).cast("bigint").alias("_rn"),
+                    F.count(F.lit(1)).over(w).alias("_n"))
+
+
 def _numbered_payloads(p: DataFrame, of_key: DataFrame, keys: list[str], arrival: Sequence[str],
                        partitions: int | None) -> tuple[DataFrame, DataFrame]:
     """``p`` (with ``_expected``), numbered per key as ``_rn``, in two parts
     with ``fire``, ``place`` and ``n_payloads`` (all NULL where no firing is
     complete): keys whose payloads declare one number, and the others.
-    ``of_key`` is the level's table of :func:`_counted`."""
+    ``of_key`` is the level's table of :func:`_counted`; only its hot keys and
+    those with changing numbers are joined with payloads."""
     names = [f"_k{i}" for i in range(len(keys))]
-    renamed = of_key.toDF(*names, "_n", "_emin", "_emax", "_known")
-    numbered = number_rows(p, keys, list(arrival), out="_rn", partitions=partitions,
-                           counts=of_key).join(renamed, _same(keys, names))
-    one = F.coalesce((F.col("_emin") == F.col("_emax")) & (F.col("_known") == F.col("_n")),
-                     F.lit(False))
-    size = F.when(F.col("_emax") > 0, F.col("_emax"))
-    fire = F.floor((F.col("_rn") - 1) / size).cast("bigint") + 1
-    done = fire * size <= F.col("_n")
-    steady = numbered.where(one).select(
-        *p.columns, "_rn", F.when(done, fire).alias("fire"),
-        F.when(done, F.col("_rn") - (fire - 1) * size).alias("place"),
-        F.when(done, size).alias("n_payloads"))
-    if of_key.where(~one).isEmpty():
+    apart = _apart(of_key)
+    plain, odd = _without(p, keys, apart)
+    plain = _windowed(plain, keys, arrival)
+    steady = plain.select(*p.columns, "_rn", *_runs(F.col("_expected")))
+    if odd is None:
+        return steady, steady.limit(0)
+    renamed = apart.toDF(*names, "_n", "_emin", "_emax", "_known")
+    numbered = number_rows(odd, keys, list(arrival), out="_rn", partitions=partitions,
+                           counts=apart).join(renamed, _same(keys, names))
+    one = _one_number()
+    steady = steady.unionByName(numbered.where(one).select(
+        *p.columns, "_rn", *_runs(F.col("_emax"))))
+    if apart.where(~one).isEmpty():
         return steady, steady.limit(0)
     varied = written(numbered.where(~one).select(*p.columns, "_rn"), "completion-varied")
     start = F.col("_rn") - F.col("_expected")
@@ -218,22 +267,57 @@ def job_output(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] =
     return _gathered(rows, keys)
 
 
+_LEVEL_COLUMNS = (GRAPH, JOB, TASK, "fire", "n_payloads")
+
+
+def _leveled(out: DataFrame, level: str) -> DataFrame:
+    """``out`` of one level with a ``level`` column, absent columns NULL."""
+    return out.select(F.lit(level).alias("level"), *[
+        (F.col(c) if c in out.columns else F.lit(None)).cast("bigint").alias(c)
+        for c in _LEVEL_COLUMNS], "outputs")
+
+
+def _both_levels(payloads: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """Graph and job outputs of graphs without hot keys and changing numbers.
+    A graph's payloads meet once: both levels number them there and gather
+    them there."""
+    p = payloads.select(GRAPH, JOB, *[c for c in arrival if c not in (GRAPH, JOB)],
+                        *[declared_parts(level).alias(f"_{level}") for level in STATEFUL], "output")
+    for level in (GRAPH, JOB):
+        p = _windowed(p, level_keys(level), arrival).withColumn(f"_of_{level}", F.struct(
+            F.lit(level).alias("level"),
+            (F.col(JOB) if level == JOB else F.lit(None)).cast("bigint").alias("_job"),
+            *_runs(F.col(f"_{level}")))).drop("_rn", "_n")
+    rows = p.select(GRAPH, "output", F.explode(F.array(*[f"_of_{x}" for x in STATEFUL])).alias("_of"))
+    rows = rows.where(F.col("_of.fire").isNotNull()).select(
+        GRAPH, "output", "_of.level", F.col("_of._job").alias(JOB), "_of.fire", "_of.place",
+        "_of.n_payloads")
+    return _gathered(rows, ["level", GRAPH, JOB])
+
+
 def job_output_all_levels(payloads: DataFrame, arrival: Sequence[str],
                           scope: str = "graph", partitions: int | None = None) -> DataFrame:
     """Task, job and graph outputs of one feed, as one DataFrame with a
     ``level`` column (absent keys NULL; ``fire`` NULL for tasks). The keys of
-    all levels are counted in one pass; each level then reads the feed for
-    the columns it uses."""
+    all levels are counted in one pass. Jobs lie within graphs, so both levels
+    then share one exchange of the feed; only graphs with a hot key or with
+    changing numbers, and all graphs if jobs are keyed across them, are taken
+    level by level."""
     counts = _counted(payloads, STATEFUL, scope)
-    parts = []
-    for level in (TASK, JOB, GRAPH):
-        out = job_output(payloads, level, arrival, scope, partitions, counts.get(level))
-        cols = []
-        for c, t in ((GRAPH, "bigint"), (JOB, "bigint"), (TASK, "bigint"), ("fire", "bigint"),
-                     ("n_payloads", "bigint")):
-            cols.append((F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c))
-        parts.append(out.select(F.lit(level).alias("level"), *cols, "outputs"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
+    res = _leveled(job_output(payloads, TASK), TASK)
+    odd = payloads
+    if scope == "graph":
+        require_columns(payloads, *arrival, where="job_output_all_levels")
+        if not arrival:
+            raise ValueError("stateful levels need an arrival order")
+        apart = [_apart(counts[level]).select(GRAPH) for level in STATEFUL]
+        plain, odd = _without(payloads, [GRAPH], apart[0].union(apart[1]).distinct())
+        both = _both_levels(plain, arrival)
+        res = res.unionByName(both.select("level", *[
+            (F.col(c) if c in both.columns else F.lit(None)).cast("bigint").alias(c)
+            for c in _LEVEL_COLUMNS], "outputs"))
+    if odd is not None:
+        for level in (JOB, GRAPH):
+            res = res.unionByName(_leveled(
+                job_output(odd, level, arrival, scope, partitions, counts[level]), level))
     return res
