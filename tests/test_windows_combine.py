@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from tidepool.functions.rows import flat_map
 from tidepool.operators import combine, windows
 from tidepool.operators.combine import combine_by_key
-from tidepool.operators.completion import job_output, job_output_and_rest, job_output_rows
+from tidepool.operators.completion import (job_output, job_output_and_rest, job_output_rows,
+                                           ready_keys)
 from tidepool.operators.windows import assign_merged_windows, merged_windows
 from tidepool.plans import queries as Q
 from tidepool.session import claimed_path, session_settings
 from tidepool.streaming import processors
 from tidepool.streaming.counters import BudgetExceeded, StreamCounters
+from tidepool.streaming import fan_out
 from tidepool.streaming.fan_out import run_fan_out
 from tidepool.streaming.operators import (late_only, on_time, stream_job_output,
                                           stream_sessions_with_final)
@@ -215,6 +217,42 @@ def test_fan_out_after_a_failed_batch_doubles_nothing(spark):
     assert got == sorted((g, k, o) for g, _, k, o in plain_firings(rows)[0])
 
 
+def test_keyed_fan_out_carries_waiting_rows_once(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([2, 3, 5, None]), a) for a in range(100)]
+    rows += [(100 + a, 9, a) for a in range(100)]  # these wait for ever
+    df = payloads(spark, rows)
+    replay, n = write_replay_files(df, "arrival", 4)
+    path = claimed_path(spark, "t-keyed-fan-out")
+    monkeypatch.setattr(fan_out, "PARTS", 2)
+    calls, parts = Counter(), {}
+
+    def run(fail):
+        def graphs(batch):
+            calls["graphs"] += 1
+            if fail and calls["graphs"] == 4:
+                raise RuntimeError("lost")
+            for i in range(4):
+                at = f"{path}/graphs/carried/{i}"
+                if fan_out._exists(spark, at):
+                    parts[i] = {r.graphid for r in spark.read.parquet(at).collect()}
+            return job_output_and_rest(batch, "graphid", arrival=["arrival"])
+
+        branch = fan_out.KeyedBranch(["graphid"], lambda r: ready_keys(r, "graphid"), graphs)
+        with session_settings(spark, {"tidepool.hotKeyRows": "1000"}):
+            return run_fan_out(replay_stream(spark, replay, df.schema, n), {"graphs": branch}, path)
+
+    with pytest.raises(Exception, match="lost"):
+        run(True)  # the fourth micro-batch has written its bitmap
+    assert shown(run(False)["graphs"].select("graphid", F.lit(0).alias("fire"), "n_payloads",
+                                             "outputs")) \
+        == sorted(((g, 0, k, o) for g, _, k, o in plain_firings(rows)[0]), key=str)
+    assert calls["graphs"] == 5
+    # what waits is in the part of its micro-batch, until a part of all is written
+    waits = [len([g for g in parts[i] if g is not None and g >= 100]) for i in range(3)]
+    assert waits[0] + waits[1] < waits[2] and 0 < waits[1] < 40
+
+
 # --- processors -------------------------------------------------------------------------
 
 class FakeState:

@@ -225,6 +225,17 @@ def _gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
                         F.flatten(F.col("_o")["output"]).alias("outputs")))
 
 
+def ready_keys(payloads: DataFrame, level: str = GRAPH, scope: str = "graph") -> DataFrame:
+    """The keys of a stateful level that may fire: those with as many payloads
+    as one of them declares. No other key has a complete firing."""
+    keys = level_keys(level, scope)
+    declared = F.col("_expected")
+    return (payloads.select(*keys, declared_parts(level).alias("_expected")).groupBy(*keys)
+                    .agg(F.count(F.lit(1)).alias("_n"),
+                         F.min(F.when(declared > 0, declared)).alias("_emin"))
+                    .where(F.col("_n") >= F.col("_emin")).select(*keys))
+
+
 def job_output_and_rest(payloads: DataFrame, level: str = GRAPH, arrival: Sequence[str] = (),
                         scope: str = "graph", partitions: int | None = None
                         ) -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,8 @@ from tidepool.functions.rows import flat_map
 from tidepool.operators.align import flatten, sync, sync_tagged
 from tidepool.operators.combine import combine_by_key
 from tidepool.operators.completion import (job_output, job_output_all_levels,
-                                           job_output_and_rest, job_output_rows)
+                                           job_output_and_rest, job_output_rows, level_keys,
+                                           ready_keys)
 from tidepool.operators.route import (dead_letter, dead_letter_expr, errors, fail_on_value,
                                       filter_by_attributes,
                                       row_budget_guard, split_threshold, tap)
@@ -38,7 +39,7 @@ from tidepool.sources.files import read_lines
 from tidepool.sources.messages import (event_time_from_attribute, read_message_strings,
                                        read_messages)
 from tidepool.streaming.counters import StreamCounters
-from tidepool.streaming.fan_out import run_fan_out
+from tidepool.streaming.fan_out import KeyedBranch, run_fan_out
 from tidepool.streaming.operators import (late_only, on_time, stream_fixed_window_counts, stream_group_values,
                                           stream_job_output, stream_session_totals,
                                           stream_sessions_with_final, stream_sync_tagged)
@@ -818,7 +819,8 @@ def q_stream_fan_out(spark, sf):
     path = claimed_path(spark, "fan-out")
 
     def level(name):
-        return lambda rows: job_output_and_rest(rows, name, arrival=I.PAYLOAD_ARRIVAL)
+        return KeyedBranch(level_keys(name), lambda rows: ready_keys(rows, name),
+                           lambda rows: job_output_and_rest(rows, name, arrival=I.PAYLOAD_ARRIVAL))
 
     found = run_fan_out(payloads, {
         "taskid": lambda rows: (job_output(rows, "taskid"), None),

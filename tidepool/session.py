@@ -114,12 +114,13 @@ def claimed_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared scratch folder and read
-    back: later steps share it and a lost executor does not redo it."""
+    back: later steps share it and a lost executor does not redo it.
+    ``options`` are the writer's."""
     spark = df.sparkSession
     path = claimed_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

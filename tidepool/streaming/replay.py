@@ -51,11 +51,11 @@ def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
     slice) or after the given ``bounds``, and ``end_rows`` as a last one. The
     input is computed once, into a staging copy that is dropped again; each slice is then cut from the copy
     (Parquet statistics skip the other ranges) and written by as many tasks as
-    it has files. A slice with fewer rows than files is filled up with empty
+    it has files. A slice of fewer files is filled up with empty
     files, so that every micro-batch is one slice."""
     spark = df.sparkSession
     path = path or claimed_path(spark, "replay")
-    staged = written(df, "replay-staging")
+    staged = written(df, "replay-staging", compression="zstd")
     is_time = df.schema[order_col].dataType.typeName().startswith("timestamp")
     key = (F.unix_micros(F.col(order_col).cast("timestamp")) if is_time
            else F.col(order_col).cast("double"))
@@ -71,7 +71,8 @@ def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
 
     def add(part: DataFrame) -> None:
         nonlocal written_files
-        part.repartition(n_files).write.mode("append").parquet(path)
+        # the copy's files are dealt to as many tasks: no row is shuffled
+        part.coalesce(n_files).write.mode("append").option("compression", "zstd").parquet(path)
         written_files += n_files
         for _ in range(written_files - _data_files(spark, path)[0]):
             nothing.repartition(1).write.mode("append").parquet(path)
