@@ -4,6 +4,7 @@ brute force over all pairs."""
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -111,6 +112,42 @@ def test_links_are_counted(spark, monkeypatch, sizes):
         2 * w + bool(s) for w, s in zip(want, sets) for _ in range(2))
 
 
+def test_the_sketch_grows_with_the_ngrams(spark, monkeypatch):
+    """A counter for four n-grams, so that n-grams of 20 texts lie above those
+    of one however many there are (2^20 counters before, whatever the table)."""
+    assert [ngram_join._counters(n) for n in (0, 1 << 22, (1 << 22) + 1, 1 << 24, 1 << 40)] == [
+        1 << 20, 1 << 20, 1 << 21, 1 << 22, 1 << 25]
+    monkeypatch.setattr(ngram_join, "LEAST_COUNTERS", 1 << 8)
+    monkeypatch.setattr(ngram_join, "CHUNK", 1 << 8)
+    monkeypatch.setattr(ngram_join, "HELD_GRAMS", 3000)
+    monkeypatch.setattr(ngram_join, "SPLIT_ROWS", 4)
+    rng = random.Random(6)
+    shared = [" ".join(prose(rng, 44, 1 << 30)) for _ in range(10)]
+    texts = [" ".join(prose(rng, 100, 1 << 30) + [shared[i % 10]]) for i in range(200)]
+    sets = [s for _, own in ngram_join.ngram_sets(pa.array(texts + shared), 5) for s in own]
+    task, schema = ngram_join._described(5)
+    docs = documents(spark, texts).selectExpr("doc_id", "xxhash64(text) text_hash", "text")
+    levels, hot, parts = ngram_join._sketch(docs.mapInArrow(task, schema))
+    flat = np.concatenate(sets[:200])
+    assert len(levels) == 1 << 13 >= len(flat) / 4
+    counts = np.bincount((flat % np.uint64(len(levels))).astype(np.int64), minlength=len(levels))
+    assert levels.tolist() == (ngram_join._levels(counts, len(flat) / len(levels))).tolist()
+    want = np.maximum(0, counts - 4 * (len(flat) // len(levels))) // 4
+    assert (hot.tolist(), parts.tolist()) == (np.flatnonzero(want).tolist(), want[want > 0].tolist())
+    common = np.concatenate(sets[200:]) % np.uint64(len(levels))
+    assert levels[common].min() >= 20 and (levels >= 20).sum() <= len(common) + 5
+
+
+def test_levels_keep_the_order_of_counts():
+    for mean in (0.01, 5, 60, 4000):
+        counts = np.arange(0, 3_000_000, 7)
+        levels = ngram_join._levels(counts, mean).astype(int)
+        assert (np.diff(levels) >= 0).all() and levels[0] == 0 and levels[-1] > 200
+        # a deviation above the mean is told from the mean
+        low, high = ngram_join._levels(np.array([mean, mean + mean ** 0.5 + 1]).astype(int), mean)
+        assert high > low
+
+
 def test_groups_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(ngram_join, "LONG_COLUMN", 4)

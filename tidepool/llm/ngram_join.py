@@ -6,8 +6,8 @@ of the matrix with its transpose is computed only where the sizes leave room
 for a link:
 
 1. Equal sets are one class. A sketch of how many documents hold each n-gram
-   (counted over all of them, folded to 2^20 counters) orders n-grams, rare
-   ones first.
+   (counted over all of them, folded to one counter for four n-grams, 2^25 at
+   most) orders n-grams, rare ones first.
 2. Sets that link share some of the first n - ceil(t n) + c n-grams of either
    set in that order, and at least c of them. These prefixes are the columns
    that are multiplied: short columns give pairs, whose shared counts are
@@ -33,11 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import (Forest, dropped, gram_hashes, hashed_texts,
-                                 labelled_components, lean_task, mix64, small, written)
+                                 labelled_components, lean_task, mix64, release_memory, small,
+                                 written)
 
 WORDS, PERCENT = 5, 75
-# Counters of the n-gram sketch (8 MB), sent in chunks.
-COUNTERS, CHUNK = 1 << 20, 1 << 13
+# Counters of the n-gram sketch: at least and at most (a byte each), n-grams
+# for one of them, and counters of a chunk, in which they are summed.
+LEAST_COUNTERS, MOST_COUNTERS, GRAMS_A_COUNTER, CHUNK = 1 << 20, 1 << 25, 4, 1 << 16
+# n-grams of a task that are counted at once.
+HELD_GRAMS = 4_000_000
 # Prefix n-grams two sets must share, if they are that large.
 SHARED = 3
 # A column of more documents than this is long.
@@ -64,8 +68,8 @@ def _digest(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _counter(grams: np.ndarray) -> np.ndarray:
-    return (grams & np.uint64(COUNTERS - 1)).astype(np.int64)
+def _counter(grams: np.ndarray, counters: int) -> np.ndarray:
+    return (grams & np.uint64(counters - 1)).astype(np.int64)
 
 
 def _size_need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -76,18 +80,26 @@ def _size_need(n: np.ndarray, percent: int) -> np.ndarray:
 # --- 1. classes and the sketch ---------------------------------------------------
 
 def _described(words: int):
+    """Rows ``(doc_id, text_hash, n, digest)`` of the texts and, with the
+    number of a chunk, the ``n`` counters of it that a task's n-grams fall on:
+    their sorted places, as compressed differences."""
     schema = ("doc_id bigint, text_hash bigint, n bigint, digest bigint, chunk int,"
-              " counts binary")
+              " places binary")
     arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()),
-                       ("digest", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+                       ("digest", pa.int64()), ("chunk", pa.int32()), ("places", pa.binary())])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean_task("ngrams"):
-            counts = np.zeros(COUNTERS, dtype=np.int64)
+            held, size = [], 0
             for batch in batches:
                 for first, sets in ngram_sets(batch.column("text"), words):
                     n = len(sets)
-                    np.add.at(counts, _counter(np.concatenate(sets)), 1)
+                    flat = np.concatenate(sets)
+                    held.append((flat & np.uint64(MOST_COUNTERS - 1)).astype(np.uint32))
+                    size += len(flat)
+                    if size >= HELD_GRAMS:
+                        yield counted(held)
+                        held, size = [], 0
                     none = pa.nulls(n)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").slice(first, n),
@@ -95,44 +107,95 @@ def _described(words: int):
                          pa.array([len(s) for s in sets], pa.int64()),
                          pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()),
                          none.cast(pa.int32()), none.cast(pa.binary())], schema=arrow)
-            yield from counted(counts)
-
-    def counted(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        chunks = [(i, counts[i * CHUNK:(i + 1) * CHUNK]) for i in range(COUNTERS // CHUNK)]
-        chunks = [(i, c.astype(np.int32 if c.max() < 1 << 31 else np.int64).tobytes())
-                  for i, c in chunks if c.any()]
-        if chunks:
-            none = pa.nulls(len(chunks), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array([i for i, _ in chunks], pa.int32()),
-                 pa.array([c for _, c in chunks], pa.binary())], schema=arrow)
+            if size:
+                yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        counter = np.concatenate(held)
+        counter.sort()
+        edges = np.searchsorted(counter, np.arange(0, MOST_COUNTERS + 1, CHUNK))
+        chunks = np.flatnonzero(np.diff(edges))
+        places = []
+        for i in chunks:
+            own = (counter[edges[i]:edges[i + 1]] & np.uint32(CHUNK - 1)).astype(np.uint16)
+            own[1:] = np.diff(own)
+            places.append(pa.compress(own.tobytes(), "zstd", asbytes=True))
+        none = pa.nulls(len(chunks), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [none, none, pa.array(np.diff(edges)[chunks], pa.int64()), none,
+             pa.array(chunks, pa.int32()), pa.array(places, pa.binary())], schema=arrow)
 
     return described, schema
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, counts in zip(batch.column("chunk").to_pylist(),
-                                 batch.column("counts").to_pylist()):
-            kind = np.int32 if len(counts) == 4 * CHUNK else np.int64
-            into = total.setdefault(chunk, np.zeros(CHUNK, dtype=np.int64))
-            into += np.frombuffer(counts, dtype=kind)
-    if total:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()])],
-            names=["chunk", "counts"])
-
-
-def _sketch(described: DataFrame) -> np.ndarray:
-    """Documents per counter, added up over all tasks."""
-    chunks = (described.where("chunk IS NOT NULL").select("chunk", "counts")
-              .repartition("chunk").mapInArrow(_summed, "chunk int, counts binary"))
-    sketch = np.zeros(COUNTERS, dtype=np.int64)
-    for row in chunks.collect():  # at most 128 chunks of 64 KB
-        sketch[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] += np.frombuffer(
-            row["counts"], dtype=np.int64)
-    return sketch
+def _levels(counts: np.ndarray, mean: float) -> np.ndarray:
+    """Counts in the order they have, as bytes: exact around the mean (in steps
+    of an eighth of its usual deviation, if that is more than 1), by their
+    logarithm above."""
+    step = max(1, int(mean ** 0.5) // 8)
+    x = np.maximum(0, counts - max(0, int(mean - 4 * mean ** 0.5))) // step
+    above = 128 + 8 * np.log2(np.maximum(x, 128) / 128)
+    return np.where(x < 128, x, np.minimum(above, 255)).astype(np.uint8)
+
+
+def _summed(mean: float, chunks: int):
+    """Rows sorted by ``chunk`` modulo ``chunks`` to one row for each: the
+    levels of its counters, and those far above the others with their parts."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, np.zeros(CHUNK, dtype=np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk = batch.column("chunk")[k].as_py() % chunks
+                if last is not None and chunk != last:
+                    yield row(last, total)
+                    total[:] = 0
+                last = chunk
+                places = pa.decompress(batch.column("places")[k].as_buffer(),
+                                       2 * batch.column("n")[k].as_py(), "zstd", asbytes=True)
+                total += np.bincount(np.cumsum(np.frombuffer(places, np.uint16), dtype=np.int64),
+                                     minlength=CHUNK)
+        if last is not None:
+            yield row(last, total)
+
+    def row(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+        parts = np.maximum(0, total - 4 * int(mean)) // SPLIT_ROWS
+        hot = np.flatnonzero(parts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int32()), pa.array([_levels(total, mean).tobytes()]),
+             pa.array([(chunk * CHUNK + hot).tobytes()]), pa.array([parts[hot].tobytes()])],
+            names=["chunk", "levels", "hot", "parts"])
+
+    return summed, "chunk int, levels binary, hot binary, parts binary"
+
+
+def _counters(grams: int) -> int:
+    """How many counters a sketch of so many n-grams has."""
+    wanted = 1 << max(0, -(-grams // GRAMS_A_COUNTER) - 1).bit_length()
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, wanted))
+
+
+def _sketch(described: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents per counter, added up over all tasks, as levels (a byte each);
+    the counters of very many documents, sorted, and the parts that their
+    columns are dealt to."""
+    grams = described.where("chunk IS NULL").agg(F.sum("n")).first()[0] or 0
+    counters = _counters(grams)
+    chunks = counters // CHUNK
+    task, schema = _summed(grams / counters, chunks)
+    found = (described.where("chunk IS NOT NULL")
+             .select((F.col("chunk") % chunks).alias("chunk"), "n", "places")
+             .repartition("chunk").sortWithinPartitions("chunk").mapInArrow(task, schema))
+    levels = np.zeros(counters, dtype=np.uint8)
+    hot, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row in found.collect():  # at most 512 chunks of 64 KB
+        levels[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(
+            row["levels"], np.uint8)
+        hot.append(np.frombuffer(row["hot"], np.int64))
+        parts.append(np.frombuffer(row["parts"], np.int64))
+    hot, parts = np.concatenate(hot), np.concatenate(parts)
+    order = np.argsort(hot)
+    release_memory()
+    return levels, hot[order], parts[order]
 
 
 # --- 2. prefixes, short columns, hubs of long columns ---------------------------
@@ -146,15 +209,15 @@ def _prefixes(words: int, percent: int, shared_sketch):
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean_task("ngrams"):
-            sketch = shared_sketch.value
-            usual = 4 * int(sketch.mean())
+            levels, *hot = shared_sketch.value
             seen: set[int] = set()
             for batch in batches:
                 for _, sets in ngram_sets(batch.column("text"), words):
-                    if (rows := of_sets(sets, sketch, usual, seen)) is not None:
+                    if (rows := of_sets(sets, levels, *hot, seen)) is not None:
                         yield rows
 
-    def of_sets(sets: list, sketch: np.ndarray, usual: int, seen: set) -> pa.RecordBatch | None:
+    def of_sets(sets: list, levels: np.ndarray, hot: np.ndarray, hot_parts: np.ndarray,
+                seen: set) -> pa.RecordBatch | None:
         grams, nodes, sizes = [], [], []
         for own in sets:
             n = len(own)
@@ -166,7 +229,7 @@ def _prefixes(words: int, percent: int, shared_sketch):
             seen.add(node)
             need = int(_size_need(np.array(n), percent))
             length = n - need + min(SHARED, need)
-            order = np.argsort(sketch[_counter(own)], kind="stable")[:length]
+            order = np.argsort(levels[_counter(own, len(levels))], kind="stable")[:length]
             grams.append(own[order])
             nodes.append(node)
             sizes.append(n)
@@ -175,8 +238,12 @@ def _prefixes(words: int, percent: int, shared_sketch):
         flat = np.concatenate(grams)
         length = np.fromiter(map(len, grams), np.int64, len(grams))
         node = np.repeat(np.array(nodes, dtype=np.int64), length)
-        parts = np.maximum(0, sketch[_counter(flat)] - usual) // SPLIT_ROWS
-        part = np.where(parts > 0, 1 + (node & 0x7FFFFFFF) % np.maximum(parts, 1), 0)
+        part = np.zeros(len(flat), dtype=np.int64)
+        if len(hot):
+            counter = _counter(flat, len(levels))
+            at = np.minimum(np.searchsorted(hot, counter), len(hot) - 1)
+            is_hot = hot[at] == counter
+            part[is_hot] = 1 + (node[is_hot] & 0x7FFFFFFF) % hot_parts[at[is_hot]]
         return pa.RecordBatch.from_arrays(
             [pa.array(flat.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(node),
              pa.array(np.repeat(np.array(sizes, dtype=np.int64), length))], schema=arrow)
@@ -605,6 +672,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
         .sortWithinPartitions(*sort)
         .mapInArrow(_columns(percent), "a bigint, b bigint, shared bigint, need bigint"),
         "ngram-columns")
+    sketch.unpersist()
 
     hubs = labelled_components(found.where("shared = 0").select("a", "b"), "ngram-clusters")
     cluster = written(hubs.withColumnRenamed("component", "cluster")
