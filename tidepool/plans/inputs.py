@@ -154,16 +154,19 @@ def payloads_from_lineitem(lineitem: DataFrame, outputs: int = 2) -> DataFrame:
     columns as tiebreaks."""
     job = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
     li = lineitem.withColumn("jobid", job.cast("bigint"))
-    # Declared task counts: an aggregate (partial sums map-side) with at most
-    # two entries per order, joined back on the order key (AQE splits a hot
-    # order's partition on the lineitem side). Every order has its entry, so
-    # a left join gives the same rows - and lets Catalyst drop the join from
-    # plans that read no declared column.
-    declared = (li.groupBy("l_orderkey", "jobid")
-                  .agg(F.max("l_linenumber").alias("_ntasks"))
-                  .groupBy("l_orderkey")
-                  .agg(F.map_from_entries(F.array_sort(F.collect_list(
-                      F.struct(F.col("jobid").cast("string"), F.col("_ntasks"))))).alias("jobtasks")))
+    # Declared task counts: an aggregate (partial maxima map-side) with one row
+    # per order and an entry for each of its jobs, joined back on the order key
+    # (AQE splits a hot order's partition on the lineitem side). Every order has
+    # its row, so a left join gives the same rows - and lets Catalyst drop the
+    # join from plans that read no declared column.
+    jobs = [(str(j), F.col("jobid") == j) for j in (0, 1)]
+    entries = F.array(*[F.when(F.col(f"_has_{j}"), F.struct(F.lit(j).alias("jobid"), F.col(
+        f"_ntasks_{j}").alias("_ntasks"))) for j, _ in jobs])
+    declared = li.groupBy("l_orderkey").agg(
+        *[F.max(F.when(own, F.col("l_linenumber"))).alias(f"_ntasks_{j}") for j, own in jobs],
+        *[F.max(own).alias(f"_has_{j}") for j, own in jobs]).select(
+        "l_orderkey", F.map_from_entries(F.filter(entries, lambda x: x.isNotNull()))
+        .alias("jobtasks"))
     li = li.join(declared, "l_orderkey", "left")
     graph = F.col("l_orderkey")
     task = F.col("l_linenumber")

@@ -583,10 +583,18 @@ def q_stream_sync_longest(spark, sf):
                     F.col("value_3_size").cast("string").alias("value_3_size"), "value_4")
 
 
-def _payload_replay(spark, sf, n_slices=3):
-    p = _payloads(spark, sf)
+# Rows of a part in which payloads are built for a replay, and parts at most.
+_PART_ROWS, _MOST_PARTS = 2_000_000, 8
+
+
+def _payload_replay(spark, sf, n_slices=3, consume=True):
+    lineitem = I.table(spark, sf, "lineitem")
+    # an order's lines are in one part: what a part shuffles is gone before the next
+    parts = min(_MOST_PARTS, -(-lineitem.count() // _PART_ROWS)) or 1
+    own = F.pmod(F.xxhash64("l_orderkey"), F.lit(parts))
+    p = [I.payloads_from_lineitem(lineitem.where(own == k)) for k in range(parts)]
     path, n = write_replay_files(p, "arrival_ts", n_slices)
-    return replay_stream(spark, path, p.schema, n), path
+    return replay_stream(spark, path, p[0].schema, n, consume), path
 
 
 @register_stateful("stream_job_output_job")
@@ -815,7 +823,7 @@ def q_flat_map_lines(spark, sf):
 @register("stream_fan_out")
 def q_stream_fan_out(spark, sf):
     """Task, job and graph outputs of one stream, read once."""
-    payloads, replay = _payload_replay(spark, sf)
+    payloads, replay = _payload_replay(spark, sf, consume=False)
     path = claimed_path(spark, "fan-out")
 
     def level(name):

@@ -19,6 +19,10 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+# Shuffle files go when the statement that wrote them ends, not when the driver
+# happens to collect its garbage: for statements whose result is a table.
+FREE_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 # Settings every job of the library relies on. Event times are compared and
 # printed in UTC; AQE re-plans joins and coalesces small shuffles at run time;
 # keyed streaming state lives in RocksDB (required by transformWithState).

@@ -9,7 +9,9 @@ group's keys at once, folds the new rows key by key with the processor of one
 key, and writes the states back.
 
 Spark hands rows to Python value by value, which costs more than folding them:
-columns whose values JSON gives back unchanged travel as one text.
+columns whose values JSON gives back unchanged travel as one text. Rows of
+nothing else are bundled before they are shuffled: those of a key group that a
+task has in hand are one compressed row.
 
 What a key holds beyond ``LARGE_ROWS`` rows of a list, or of a map's value,
 lies in state entries of its own that are read only when the processor asks
@@ -22,6 +24,8 @@ import json
 import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,8 @@ GROUP, PACKED = "tp_key_group", "tp_packed"
 # Fixed value: the key groups of a query unless it names another number. It is
 # part of the state's layout: a query keeps the number it was started with.
 KEY_GROUPS = 4096
+# Rows of a task that are bundled at once.
+BUNDLED_ROWS = 250_000
 # Rows of a list or of a map's value that are kept with the key's small state.
 LARGE_ROWS = 256
 
@@ -61,17 +67,72 @@ def grouped_rows(rows: DataFrame, keys: Sequence[str], groups: int) -> tuple[Dat
         *[c for c in rows.columns if c not in names]), packed
 
 
+def _compressed(plain) -> bytes:
+    """The number of bytes, and the bytes compressed."""
+    return len(plain).to_bytes(8, "big") + pa.compress(plain, "zstd", asbytes=True)
+
+
+def _decompressed(held: bytes) -> bytes:
+    return pa.decompress(held[8:], int.from_bytes(held[:8], "big"), "zstd", asbytes=True)
+
+
+def bundled(dealt: DataFrame) -> DataFrame:
+    """Rows of :func:`grouped_rows` that are all packed, with those of one key
+    group in a row as far as a task has them in hand: lines, compressed."""
+    most = BUNDLED_ROWS
+
+    def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                yield bundle(held)
+                held, size = [], 0
+        if size:
+            yield bundle(held)
+
+    def bundle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        table = table.set_column(1, PACKED, table[PACKED].cast(pa.large_binary()))
+        table = table.sort_by(GROUP).combine_chunks()
+        group = table[GROUP].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        text = table[PACKED].chunk(0)
+        _, offsets, data = text.buffers()
+        at = np.frombuffer(offsets, np.int64)[text.offset:text.offset + len(group) + 1]
+        at = at[np.append(first, len(group))].tolist()
+        lines = [_compressed(data.slice(a, b - a)) for a, b in zip(at, at[1:])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(group[first], pa.int32()), pa.array(lines, pa.binary())],
+            names=[GROUP, PACKED])
+
+    lines = dealt.select(GROUP, F.concat(PACKED, F.lit("\n")).alias(PACKED))
+    return lines.mapInArrow(bundles, f"{GROUP} int, {PACKED} binary")
+
+
+def _texts(rows) -> Iterator[tuple]:
+    """``(row, packed columns, other columns)`` of the rows, bundled or not."""
+    for r in rows:
+        _, text, *rest = r
+        if isinstance(text, str):
+            yield r, json.loads(text), rest
+        else:
+            lines = _decompressed(bytes(text)).decode().split("\n")[:-1]
+            for line in lines:
+                yield r, json.loads(line), rest
+
+
 def _unpacked(rows, packed: list) -> Iterator[tuple]:
     """The rows as tuples that know their ``__fields__``: packed columns
     first. (Rows look up every access, by place too.)"""
     doubles = [i for i, f in enumerate(packed) if isinstance(f.dataType, T.DoubleType)]
     make = None
-    for r in rows:
+    for r, found, rest in _texts(rows):
         if make is None:
             names = [f.name for f in packed] + list(r.__fields__[2:])
             make = type("_Fields", (tuple,), {"__fields__": names})
-        _, text, *rest = r
-        values = list(json.loads(text).values())
+        values = list(found.values())
         for i in doubles:
             if values[i] is not None:
                 values[i] = float(values[i])
@@ -89,6 +150,19 @@ def _hashable(v):
     return v
 
 
+def _dumped(value) -> bytes:
+    """``value`` as compressed bytes after their number. (All keys of a group
+    with new rows are written anew, to the state store and its change log.)"""
+    return _compressed(pickle.dumps(value, 5))
+
+
+def _loaded(held: bytes):
+    held = bytes(held)
+    if held[:1] != b"\0":  # written before states were compressed
+        return pickle.loads(held)
+    return pickle.loads(_decompressed(held))
+
+
 class _Key:
     """A key's states by name and its timers."""
 
@@ -208,11 +282,11 @@ class KeyGroups(StatefulProcessor):
 
     def stored(self, rows) -> int:
         self.next_part += 1
-        self.parts.updateValue((self.next_part,), (pickle.dumps(rows, 5),))
+        self.parts.updateValue((self.next_part,), (_dumped(rows),))
         return self.next_part
 
     def fetched(self, part: int):
-        return pickle.loads(bytes(self.parts.getValue((part,))[0]))
+        return _loaded(self.parts.getValue((part,))[0])
 
     def removed(self, part: int) -> None:
         self.parts.removeKey((part,))
@@ -226,7 +300,7 @@ class KeyGroups(StatefulProcessor):
             return {}
         self.timer, self.next_part = found[1], found[2]
         return {self.hashable(k): _Key(k, states, set(timers))
-                for k, states, timers in pickle.loads(bytes(found[0]))}
+                for k, states, timers in _loaded(found[0])}
 
     def _save(self, keys: dict) -> None:
         held = [(k.key, k.states, tuple(k.timers)) for k in keys.values()
@@ -238,7 +312,7 @@ class KeyGroups(StatefulProcessor):
             if first is not None:
                 self.handle.registerTimer(first)
         if held:
-            self.group.update((pickle.dumps(held, 5), first, self.next_part))
+            self.group.update((_dumped(held), first, self.next_part))
         else:
             self.group.clear()
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tidepool.contracts import require_columns
 from tidepool.operators.completion import GRAPH, JOB, LEVELS, TASK, declared_parts, level_keys
 from tidepool.session import STATE_STORE
-from tidepool.streaming.key_groups import GROUP, KEY_GROUPS, KeyGroups, grouped_rows
+from tidepool.streaming.key_groups import GROUP, KEY_GROUPS, KeyGroups, bundled, grouped_rows
 from tidepool.streaming.processors import (LATE_FIELDS, CompletionProcessor, FinalSessionProcessor,
                                            SyncProcessor)
 
@@ -60,6 +60,8 @@ def _by_key(rows: DataFrame, keys: Sequence[str], processor, out: T.StructType,
     if groups < 1:
         raise ValueError("need at least one key group")
     dealt, packed = grouped_rows(rows, keys, groups)
+    if len(dealt.columns) == 2 and time_mode == "None":
+        dealt = bundled(dealt)
     return dealt.groupBy(GROUP).transformWithState(
         KeyGroups(processor, keys, packed), out, "Append", time_mode,
         eventTimeColumnName=event_time)

@@ -13,13 +13,14 @@ what they wrote.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidepool.session import claimed_path, dropped, written
+from tidepool.session import FREE_SHUFFLES, claimed_path, dropped, session_settings, written
 
 # A slice has files of about this many bytes, and at least so many files; a
 # table of more bytes than a slice may have is cut into more slices.
@@ -41,7 +42,13 @@ def _data_files(spark: SparkSession, path: str) -> tuple[int, int]:
     return len(found), sum(f.getLen() for f in found)
 
 
-def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
+def _read_again(table: DataFrame) -> DataFrame:
+    out = table.sparkSession.read.schema(table.schema).parquet(table.scratch)
+    out.scratch = table.scratch
+    return out
+
+
+def write_replay_files(df: DataFrame | Sequence[DataFrame], order_col: str, n_slices: int = 3,
                        end_rows: DataFrame | None = None, path: str | None = None,
                        min_files: int = MIN_FILES, bounds: list | None = None
                        ) -> tuple[str, int]:
@@ -49,13 +56,20 @@ def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
     they would be larger than ``SLICE_BYTES``, so that a micro-batch does not
     grow with the table - split at approximate quantiles of ``order_col`` (rows with equal values share a
     slice) or after the given ``bounds``, and ``end_rows`` as a last one. The
-    input is computed once, into a staging copy that is dropped again; each slice is then cut from the copy
+    input - or its parts, one after the other - is computed once, into a staging copy that is
+    dropped again; each slice is then cut from the copy
     (Parquet statistics skip the other ranges) and written by as many tasks as
     it has files. A slice of fewer files is filled up with empty
     files, so that every micro-batch is one slice."""
+    df, *others = [df] if isinstance(df, DataFrame) else df
     spark = df.sparkSession
     path = path or claimed_path(spark, "replay")
-    staged = written(df, "replay-staging", compression="zstd")
+    with session_settings(spark, FREE_SHUFFLES):
+        staged = written(df, "replay-staging", compression="zstd")
+        for other in others:
+            other.write.mode("append").parquet(staged.scratch, compression="zstd")
+        if others:  # the files are listed again
+            staged = _read_again(staged)
     is_time = df.schema[order_col].dataType.typeName().startswith("timestamp")
     key = (F.unix_micros(F.col(order_col).cast("timestamp")) if is_time
            else F.col(order_col).cast("double"))
@@ -91,11 +105,13 @@ def write_replay_files(df: DataFrame, order_col: str, n_slices: int = 3,
     return path, n_files
 
 
-def replay_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+def replay_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1,
+                  consume: bool = False) -> DataFrame:
     """A streaming DataFrame over the replay files, ``files_per_trigger``
-    files (one slice) per micro-batch, oldest first."""
+    files (one slice) per micro-batch, oldest first. With ``consume`` Spark
+    deletes a slice once it is done: for files that one stream reads once."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-                 .parquet(path))
+                 .option("cleanSource", "delete" if consume else "off").parquet(path))
 
 
 def run_to_table(stream: DataFrame, name: str = "stream", progress: list | None = None
@@ -106,9 +122,10 @@ def run_to_table(stream: DataFrame, name: str = "stream", progress: list | None
     spark = stream.sparkSession
     base = claimed_path(spark, name)
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    q: StreamingQuery = (stream.writeStream.format("parquet").option("path", out)
-                         .option("checkpointLocation", ckpt).outputMode("append")
-                         .trigger(availableNow=True).start())
+    with session_settings(spark, FREE_SHUFFLES):
+        q: StreamingQuery = (stream.writeStream.format("parquet").option("path", out)
+                             .option("checkpointLocation", ckpt).outputMode("append")
+                             .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"streaming query failed: {q.exception()}")
