@@ -2,6 +2,7 @@
 brute force over all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,23 @@ def test_the_sketch_grows_with_the_ngrams(spark, monkeypatch):
     assert levels[common].min() >= 20 and (levels >= 20).sum() <= len(common) + 5
 
 
+def test_blocks_hold_few_sets_as_objects(monkeypatch):
+    """Sets of an Arrow batch become Python objects a few at a time (a whole
+    batch, 40 MB, before)."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 1 << 20)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([i // 3000 for i in range(5000)]), pa.array([bytes([i % 256]) * 8000
+                                                               for i in range(5000)])],
+        names=["cluster", "grams"])
+    tracemalloc.start()
+    blocks = [(group, len(rows)) for group, rows in ngram_join._grouped(iter([batch]), ["cluster"])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for group, n in blocks if group == (0,)) == 3000
+    assert sum(n for _, n in blocks) == 5000 and max(n for _, n in blocks) <= 132
+    assert peak < 8 << 20
+
+
 def test_levels_keep_the_order_of_counts():
     for mean in (0.01, 5, 60, 4000):
         counts = np.arange(0, 3_000_000, 7)

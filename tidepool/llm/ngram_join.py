@@ -48,6 +48,8 @@ SHARED = 3
 LONG_COLUMN = 15
 # Documents and bytes of a block; overlap of neighbouring blocks.
 BLOCK_ROWS, BLOCK_BYTES, OVERLAP = 1_024, 6 << 20, 64
+# Columns of a dense tile of two blocks (8 MB).
+TILE = 1_024
 # Rows of one n-gram in a partition, beyond which it is dealt to several.
 SPLIT_ROWS = 200_000
 
@@ -408,9 +410,9 @@ def block_product(sets: list[np.ndarray], split: int) -> np.ndarray:
         out += out.T
     heavy = count[column] > 32
     r, c = rows[heavy], np.unique(column[heavy], return_inverse=True)[1]
-    for lo in range(0, int(c.max()) + 1 if len(c) else 0, 4096):
-        a, b = np.searchsorted(c, [lo, lo + 4096])
-        tile = np.zeros((len(sets), min(4096, int(c.max()) + 1 - lo)), dtype=np.float32)
+    for lo in range(0, int(c.max()) + 1 if len(c) else 0, TILE):
+        a, b = np.searchsorted(c, [lo, lo + TILE])
+        tile = np.zeros((len(sets), min(TILE, int(c.max()) + 1 - lo)), dtype=np.float32)
         tile[r[a:b], c[a:b] - lo] = 1
         out += tile[:left] @ tile[base:].T
     return out
@@ -432,7 +434,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], group_columns: list[str]) -> Ite
     pending: list[dict] = []
     size, group = 0, None
     for batch in batches:
-        for row in batch.to_pylist():
+        # a batch has up to ten thousand sets: few of them are Python objects
+        for row in (r for k in range(0, batch.num_rows, 64) for r in batch.slice(k, 64).to_pylist()):
             own = tuple(row[c] for c in group_columns)
             if pending and (own != group or len(pending) >= BLOCK_ROWS or size >= BLOCK_BYTES):
                 yield group, pending
